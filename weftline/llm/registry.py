@@ -1,8 +1,8 @@
 """The corpus operators' queries and, where SQL can express them, their oracles."""
 
-from . import chat, shard
+from . import chat, pack, shard
 from .decontaminate import op9_benchmark_decontamination
 
-QUERIES = {f.__name__: f for f in (chat.op1_chat_formatting, shard.op5_sharding, op9_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (chat.op1_chat_formatting, pack.op3_packing, shard.op5_sharding, op9_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.ORACLE_SQL, "op5_sharding": shard.ORACLE_SQL}
