@@ -38,7 +38,28 @@ def tokenizer_file() -> str:
 
 #: ASCII white space, where the tokenizer always ends a word and drops the white space itself.
 _IN_WORD = ~np.isin(np.arange(256), [32, 9, 10, 13])
-_SAME = np.arange(256).astype(np.uint8)
+_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+_MARK = np.array([32 < i < 127 and not chr(i).isalnum() and i != 39 for i in range(256)])  # ASCII punctuation but the apostrophe
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that the tokenizer takes one by one: it also always parts letters from the ASCII punctuation next to them.
+
+    A span ends between an ASCII or Latin-1 letter and a mark, or a mark and an ASCII letter. Apostrophes start contractions, and a mark before
+    other characters may combine with them: there nothing is cut. whole: cut at white space alone.
+    """
+    starts, ends, rows = shared.word_spans(raw, offsets, _IN_WORD)
+    if whole or len(raw) < 2:
+        return starts, ends, rows
+    letter, mark = _LETTER[raw], _MARK[raw]
+    ended = letter.copy()
+    ended[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = (mark[1:] & ended[:-1]) | (letter[1:] & mark[:-1])
+    cut[offsets[offsets < len(raw)]] = False
+    at = np.flatnonzero(cut)
+    starts = np.sort(np.concatenate([starts, at]))
+    return starts, np.sort(np.concatenate([ends, at])), np.searchsorted(starts, offsets)
 
 
 class WordTokenizer:
@@ -49,28 +70,45 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.remember = remember
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # whether an id ends a word
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.bounds, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            got = [e.ids for e in self.tok.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
-            n, flat = len(self.known), np.fromiter((x for ids in got for x in ids), np.uint32)
-            while len(self.flat) < self.used + len(flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while len(self.bounds) <= n + len(got):
-                self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.bounds[n + 1 : n + len(got) + 1] = self.used + np.cumsum([len(x) for x in got])
-            self.used += len(flat)
-            self.known.update(zip(hashes[i : i + 20_000], range(n, n + len(got)), strict=True))
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after another, and where each word's end."""
+        if all(w.isalpha() for w in words):  # as one text, in which each is one word, unless its lower case has marks
+            flat = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[flat]) + 1
+            if len(ends) == len(words):
+                return flat, ends
+        got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter((x for ids in got for x in ids), np.uint32), np.cumsum([len(x) for x in got])
+
+    def _learn(self, keys: list[int], words: list[str]) -> None:
+        for alpha in (True, False):
+            at = [i for i, w in enumerate(words) if w.isalpha() is alpha]
+            for k in range(0, len(at), 20_000):
+                part = at[k : k + 20_000]
+                n, (flat, ends) = len(self.known), self._ids([words[i] for i in part])
+                while len(self.flat) < self.used + len(flat):
+                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+                while len(self.bounds) <= n + len(part):
+                    self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+                self.flat[self.used : self.used + len(flat)] = flat
+                self.bounds[n + 1 : n + len(part) + 1] = self.used + ends
+                self.used += len(flat)
+                self.known.update(zip([keys[i] for i in part], range(n, n + len(part)), strict=True))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids one after another, and each row's first. A text's ids are its words' ids one after another."""
-        starts, ends, rows = shared.word_spans(raw, offsets, _IN_WORD)
+        whole = raw.tobytes()
+        starts, ends, rows = _words(raw, offsets, any(x.encode() in whole for x in self.special))
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         uniq, first, back = np.unique(shared.span_hash(shared.prefix_hash(raw), starts, ends), return_index=True, return_inverse=True)
@@ -79,7 +117,6 @@ class WordTokenizer:
             self.forget()
         new = [i for i, h in enumerate(keys) if h not in self.known]
         if new:
-            whole = raw.tobytes()
             at = first[new]
             self._learn([keys[i] for i in new], [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
         slot = np.array([self.known[h] for h in keys])[back]
