@@ -55,20 +55,23 @@ def root_to_leaf_paths(nodes: DataFrame, branches: int = 1, max_rounds: int = 40
     up = links.join(ids, same("tree_id", "t") & (F.col("parent_id") == F.col("p")), "left").select(
         "tree_id", "node_id", F.col("p").alias("anc"), F.when(F.col("p").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("score").alias("total")
     )
-    hops = []
+    hops, done = [], None
     for _ in range(max_rounds):
-        up = shared.cut(up, "up")
-        hops.append(up)
-        if not up.where("anc IS NOT NULL").limit(1).count():
+        state = shared.cut(up, "up")
+        rooted, live = state.where("anc IS NULL"), state.where("anc IS NOT NULL")
+        done = rooted if done is None else done.unionAll(rooted)
+        if not live.limit(1).count():
             break
-        far = up.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("anc").alias("anc2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        up = up.join(far, same("tree_id", "t") & (F.col("anc") == F.col("n")), "left").select(
-            "tree_id", "node_id", F.col("anc2").alias("anc"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")
+        # only nodes that have not met their root go on; a short tree's nodes are out of the joins after few rounds
+        hops.append(live)
+        far = done.unionAll(live).select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("anc").alias("anc2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        up = live.join(far, same("tree_id", "t") & (F.col("anc") == F.col("n"))).select(
+            "tree_id", "node_id", F.col("anc2").alias("anc"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")
         )
     else:
         raise ValueError("replies form a cycle or a path longer than 2**max_rounds")
     parents = links.where("parent_id IS NOT NULL").select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p")).distinct()
-    leaves = hops[-1].join(parents, same("tree_id", "t") & (F.col("node_id") == F.col("p")), "left_anti")
+    leaves = done.join(parents, same("tree_id", "t") & (F.col("node_id") == F.col("p")), "left_anti")
     # the best of each tree by a partial aggregate where one branch is asked for: a tree with very many leaves is not one task's
     worth = F.struct((-F.col("total") / (F.col("depth") + 1)).alias("cost"), (-F.col("depth")).alias("short"), F.col("node_id").alias("leaf"), F.col("depth").alias("depth"))
     if branches == 1:
@@ -77,8 +80,8 @@ def root_to_leaf_paths(nodes: DataFrame, branches: int = 1, max_rounds: int = 40
         w = Window.partitionBy("tree_id").orderBy("w")
         best = leaves.select("tree_id", worth.alias("w")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= branches).select("tree_id", "rank", "w.leaf", "w.depth")
     path = best.select("tree_id", F.col("leaf").alias("leaf_id"), "rank", F.col("depth").alias("pos"), F.col("leaf").alias("node_id"))
-    for k in reversed(range(len(hops) - 1)):  # each listed node adds its 2**k-th ancestor
-        jump = hops[k].where("anc IS NOT NULL").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "anc")
+    for k in reversed(range(len(hops))):  # each listed node adds its 2**k-th ancestor
+        jump = hops[k].select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "anc")
         more = path.join(jump, same("tree_id", "t") & (F.col("node_id") == F.col("n"))).select("tree_id", "leaf_id", "rank", (F.col("pos") - (1 << k)).alias("pos"), F.col("anc").alias("node_id"))
         path = shared.cut(path.unionAll(more), "path")
     return path
