@@ -1,8 +1,8 @@
 """The corpus operators' queries and, where SQL can express them, their oracles."""
 
-from . import chat, hmm, jaccard, langid, pack, shard, toxic
+from . import chat, hmm, jaccard, langid, pack, shard, suffixes, toxic
 from .decontaminate import op9_benchmark_decontamination
 
-QUERIES = {f.__name__: f for f in (chat.op1_chat_formatting, langid.op2_language_id, pack.op3_packing, jaccard.op4_ngram_jaccard_join, shard.op5_sharding, hmm.op6_hidden_markov_lm, toxic.op7_toxicity, op9_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (chat.op1_chat_formatting, langid.op2_language_id, pack.op3_packing, jaccard.op4_ngram_jaccard_join, shard.op5_sharding, hmm.op6_hidden_markov_lm, toxic.op7_toxicity, suffixes.op8_suffix_array_dedup, op9_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.ORACLE_SQL, "op5_sharding": shard.ORACLE_SQL}
