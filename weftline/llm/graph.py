@@ -2,7 +2,7 @@
 
 Equal vectors form a class; classes are indexed. Centroids are fitted on a bounded sample, every class joins the shards of its nearest ones (so
 shards overlap), and a shard that would exceed `limit` members is dealt into sub-shards. In each a graph is built: a member's
-candidates are its nearest members and some drawn at random, robust pruning keeps those that no kept nearer one makes needless, and edges go
+candidates are its nearest members and some of every ring of falling similarity, robust pruning keeps those that no kept nearer one makes needless, and edges go
 both ways. The adjacency lists of a class from all its shards are united. Then every class is searched in its shards: a greedy beam from
 the shard's medoids, and once it is within range, an expansion over neighbours that are within range (less a slack) until none is new. Found pairs are
 verified in double precision. A pair of two shards' members is judged in the first shard both are in, and between sub-shards by the later one. A shard
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-NEAR, FAR, DEGREE, ALPHA = 40, 24, 32, 1.2
+#: Nearest candidates, candidates of each ring beyond; edges to near ones, to far ones, and with edges back; the pruning's slack.
+NEAR, FAR, CLOSE, WIDE, DEGREE, ALPHA = 32, 6, 20, 14, 48, 1.2
 BEAM, ENTRIES, SLACK = 12, 16, 0.03
 
 
@@ -78,31 +79,36 @@ def build(x: np.ndarray, seed: int = 3, block: int = 256) -> np.ndarray:
     """The shard's graph: member, up to DEGREE neighbours (-1: none)."""
     n = len(x)
     rng = np.random.default_rng(seed)
-    near, far = min(NEAR, n - 1), min(FAR, n - 1)
     if n < 2:
         return np.full((n, DEGREE), -1)
-    first = np.full((n, DEGREE), -1)
+    near = min(NEAR, n - 1)
+    rings = [near]
+    while rings[-1] * 2 < n:
+        rings.append(rings[-1] * 2)
+    first = np.full((n, CLOSE + WIDE), -1)
     for lo in range(0, n, block):
         base = np.arange(lo, min(n, lo + block))
         s = x[base] @ x.T
         s[np.arange(len(base)), base] = -np.inf
-        cand = np.argpartition(-s, near - 1, axis=1)[:, :near]
-        first[base] = robust_prune(x, base, np.concatenate([cand, rng.integers(0, n, (len(base), far))], axis=1))
-    # edges back, pruned again where they are too many
+        by = np.argpartition(-s, [r - 1 for r in rings], axis=1)
+        # some of every ring of falling similarity: without them two groups of copies side by side would not meet
+        far = np.concatenate([by[:, a + rng.integers(0, e - a, FAR)] for a, e in zip(rings, [*rings[1:], n], strict=True)], axis=1)
+        first[base, :CLOSE] = robust_prune(x, base, by[:, :near], CLOSE)
+        first[base, CLOSE:] = robust_prune(x, base, far, WIDE)
+    # edges back, pruned where they are too many
     src, at = np.nonzero(first >= 0)
     dst = first[src, at]
-    order = np.argsort(dst, kind="stable")
+    order = np.lexsort((rng.random(len(dst)), dst))
     dst, src = dst[order], src[order]
     rank = np.arange(len(dst)) - np.searchsorted(dst, dst)
     keep = rank < 2 * DEGREE
     back = np.full((n, 2 * DEGREE), -1)
     back[dst[keep], rank[keep]] = src[keep]
-    both = np.concatenate([first, back], axis=1)
-    out = np.full((n, DEGREE), -1)
+    extra = np.full((n, DEGREE - CLOSE - WIDE), -1)
     for lo in range(0, n, block):
         base = np.arange(lo, min(n, lo + block))
-        out[base] = robust_prune(x, base, both[base])
-    return out
+        extra[base] = robust_prune(x, base, back[base], extra.shape[1])
+    return np.concatenate([first, extra], axis=1)
 
 
 def medoids(x: np.ndarray, k: int = ENTRIES) -> np.ndarray:
@@ -111,8 +117,11 @@ def medoids(x: np.ndarray, k: int = ENTRIES) -> np.ndarray:
     return np.unique((c @ x.T).argmax(axis=1))
 
 
-def search(x: np.ndarray, adj: np.ndarray, entries: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, member) of the members found within range: greedy beam, then range expansion. Candidates only; the caller verifies."""
+def search(x: np.ndarray, adj: np.ndarray, entries: np.ndarray, q: np.ndarray, threshold: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) of the members found within range: greedy beam, then range expansion. Candidates only; the caller verifies.
+
+    own: the queries' places as members (-1: none). Where the beam did not come to a query's own place, expansion starts there as well.
+    """
     n, m = len(q), len(x)
     row = np.arange(n)[:, None]
     beam = np.broadcast_to(entries, (n, len(entries)))
@@ -135,7 +144,10 @@ def search(x: np.ndarray, adj: np.ndarray, entries: np.ndarray, q: np.ndarray, t
         beam, sim, done = np.concatenate([beam, new], axis=1), np.concatenate([sim, s], axis=1), np.concatenate([done, known], axis=1)
     within = threshold - SLACK
     i, j = np.nonzero(sim >= within)
-    key = np.unique(i * m + beam[i, j])
+    key = i * m + beam[i, j]
+    if own is not None:
+        key = np.concatenate([key, (np.arange(n) * m + own)[own >= 0]])
+    key = np.unique(key)
     seen, fresh = key, key
     while len(fresh):
         i, node = fresh // m, fresh % m
@@ -208,10 +220,12 @@ def _search(threshold: float):
             for i, a in enumerate(lists):
                 adj[i, : len(a)] = a
             entries = medoids(x)
+            own = np.full(len(node), -1)
+            own[member] = np.arange(len(member))
             found = []
             for lo in range(0, len(node), 512):
                 part = np.arange(lo, min(len(node), lo + 512))
-                i, j = search(x, adj, entries, exact[part].astype(np.float32), threshold)
+                i, j = search(x, adj, entries, exact[part].astype(np.float32), threshold, own[part])
                 i, j = part[i], member[j]
                 # the first shard that both are in; each pair once
                 both = (shards[i][:, :, None] == shards[j][:, None, :]).any(axis=2)
@@ -328,7 +342,7 @@ def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int =
     return 1.0 if not r["n"] else r["add"] / r["n"]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int = 3, members: int = 1500, limit: int = 6000, sample: int = 16_384, recall: float = 0.98) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int = 2, members: int = 1500, limit: int = 6000, sample: int = 16_384, recall: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding)."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("emb"))
     fine = F.col("emb").isNotNull() & F.forall("emb", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("emb", lambda v: v != 0)
