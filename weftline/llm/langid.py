@@ -16,8 +16,6 @@ for itself. Ties go to the first language by name. Extra columns are dropped by
 from __future__ import annotations
 
 import re
-import sys
-import types
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,8 +34,7 @@ _EDGE = 0x110000  # stands for a word's ends; the hash table has an entry for it
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each code point: whether it is a letter, its lower case (where that is one code point), its hash. Made once a worker."""
-    kept = sys.modules.setdefault("_weftline_kept", types.ModuleType("_weftline_kept"))
-    if "letters" not in kept.__dict__:
+    if "letters" not in shared.kept():
         every = [chr(i) for i in range(0x110000)]
         letter = np.array([bool(_WORD.match(c)) for c in every])
         lower = np.arange(0x110000, dtype=np.int32)
@@ -45,8 +42,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             x = every[i].lower()
             if len(x) == 1:
                 lower[i] = ord(x)
-        kept.letters = letter, lower, shared.mix(np.arange(1, 0x110002, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-    return kept.letters
+        shared.kept()["letters"] = letter, lower, shared.mix(np.arange(1, 0x110002, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    return shared.kept()["letters"]
 
 
 def _sums(points: np.ndarray) -> np.ndarray:

@@ -13,7 +13,6 @@ across it, so words between white space are tokenised once and remembered by eac
 
 from __future__ import annotations
 
-import sys
 import zlib
 from collections.abc import Iterator
 
@@ -129,13 +128,11 @@ class WordTokenizer:
 def _tokenizer(path: str) -> WordTokenizer:
     """One for each worker process, kept from task to task."""
     import os
-    import types
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    kept = sys.modules.setdefault("_weftline_kept", types.ModuleType("_weftline_kept"))
-    if path not in kept.__dict__:
-        kept.__dict__[path] = WordTokenizer(path)
-    return kept.__dict__[path]
+    if path not in shared.kept():
+        shared.kept()[path] = WordTokenizer(path)
+    return shared.kept()[path]
 
 
 def _pieces(path: str, window: int, end: int, with_ids: bool):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -139,18 +141,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _P = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
+
+
+def kept() -> dict:
+    """What a process keeps from task to task. It is no global of this package, which would travel with every function sent to the workers."""
+    return sys.modules.setdefault("_weftline_kept", types.ModuleType("_weftline_kept")).__dict__
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64, for i up to n."""
-    if len(_powers.get("up", ())) < n:
-        m = max(n, SLICE * 2)
-        for name, base in (("up", _P), ("down", pow(_P, -1, 1 << 64))):
-            x = np.full(m, base, np.uint64)
+    if len(kept().get("powers", ((),))[0]) < n:
+        both = []
+        for base in (_P, pow(_P, -1, 1 << 64)):
+            x = np.full(max(n, SLICE * 2), base, np.uint64)
             x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
+            both.append(np.multiply.accumulate(x))
+        kept()["powers"] = tuple(both)
+    return kept()["powers"]
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
