@@ -135,9 +135,14 @@ def _tokenizer(path: str) -> WordTokenizer:
     return shared.kept()[path]
 
 
+def _width(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def _pieces(path: str, window: int, end: int, with_ids: bool):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
+        narrow = _width(len(tok.ends))
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, hi, raw, at in shared.slices(batch.column("text")):
@@ -153,21 +158,24 @@ def _pieces(path: str, window: int, end: int, with_ids: bool):
                         crc.append(zlib.crc32(piece.tobytes()))
                         total.append(len(x))
                         if with_ids:
-                            kept.append(piece)
+                            kept.append(piece.astype(narrow).tobytes())
                 cols = [ids.take(pa.array(rows, pa.int64())), *(pa.array(v, pa.int64()) for v in (start, length, crc, total))]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    cols.append(pa.array(kept, pa.list_(pa.int32())))
-                    names.append("ids")
+                    cols.append(pa.array(kept, pa.binary()))
+                    names.append("packed_ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return step
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): every document's tokens and the end token, cut at the window."""
+    """(doc_id, start, length, ids_crc32, doc_tokens[, packed_ids]): every document's tokens and the end token, cut at the window.
+
+    packed_ids holds the ids in two bytes each, or four for a larger vocabulary; `pack` gives them as an array.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", packed_ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(_pieces(path, window, end, with_ids), schema)
 
 
@@ -245,8 +253,14 @@ def _seat(seats: dict[str, np.ndarray]):
             i = np.searchsorted(key, length * (1 << 48) + rank, "right") - 1
             n = rank - seats["rank"][i]
             each = seats["each"][i]
-            names = [c for c in b.schema.names if c != "_rank"]
-            cols = [b.column(c) for c in names] + [pa.array(seats["window"][i] + n // each), pa.array(seats["offset"][i] + n % each * length)]
+            names = [c for c in b.schema.names if c not in ("_rank", "packed_ids")]
+            cols = [b.column(c) for c in names]
+            if "packed_ids" in b.schema.names:
+                raw, _ = shared.utf8(b.column("packed_ids"))
+                ids = np.frombuffer(raw.tobytes(), f"<u{len(raw) // max(1, int(length.sum()))}" if len(raw) else "<u2")
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                names.append("ids")
+            cols += [pa.array(seats["window"][i] + n // each), pa.array(seats["offset"][i] + n % each * length)]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "sequence_id", "offset"])
 
     return step
@@ -258,7 +272,8 @@ def pack(cut_pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
     seats = _seats(plan(counts, window))
     ranked = shared.gapless_rank(rows, ["length"], ["doc_id", "start", "ids_crc32"], "_rank", rows=sum(counts.values()))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "packed_ids")
+    fields += ", ids array<int>" * ("packed_ids" in rows.columns)
     return ranked.mapInArrow(_seat(seats), f"{fields}, sequence_id long, offset long")
 
 
