@@ -140,7 +140,7 @@ def windows(text: bytes, size: int) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))]
 
 
-STATE = "_n_words long, _hits array<int>, _items array<string>"
+STATE = "_w_n_words long, _w_hits array<int>, _w_items array<string>"
 
 
 def _search(patterns: dict[bytes, list[str]], first: bool):
@@ -165,13 +165,13 @@ def _search(patterns: dict[bytes, list[str]], first: bool):
                 for r in np.unique(row):
                     hits[lo + r] = np.flatnonzero(hit[rows[r] : rows[r + 1]]).astype(np.int32)
                     items[lo + r] = sorted({i for k in np.unique(which[row == r]) for i in patterns[names[k]]})
-            old = {} if first else {k: batch.column(k).to_pylist() for k in ("_hits", "_items")}
+            old = {} if first else {k: batch.column(k).to_pylist() for k in ("_w_hits", "_w_items")}
             if old:
-                hits = [a if b is None else b if not a else np.union1d(a, b).astype(np.int32) for a, b in zip(old["_hits"], hits, strict=True)]
-                items = [a if b is None else sorted({*(a or ()), *b}) for a, b in zip(old["_items"], items, strict=True)]
-            keep = [c for c in batch.schema.names if c not in ("_n_words", "_hits", "_items")]
+                hits = [a if b is None else b if not a else np.union1d(a, b).astype(np.int32) for a, b in zip(old["_w_hits"], hits, strict=True)]
+                items = [a if b is None else sorted({*(a or ()), *b}) for a, b in zip(old["_w_items"], items, strict=True)]
+            keep = [c for c in batch.schema.names if c not in ("_w_n_words", "_w_hits", "_w_items")]
             cols = [batch.column(c) for c in keep] + [pa.array(n_words), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "_n_words", "_hits", "_items"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "_w_n_words", "_w_hits", "_w_items"])
 
     return step
 
@@ -191,7 +191,7 @@ def pattern_blocks(benchmark: DataFrame, size: int, block_bytes: int) -> Iterato
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
-    """docs with n_words, hit_words (indices of the words inside any occurrence) and item_ids (sorted). No shuffle.
+    """docs with _w_n_words, _w_hits (indices of the words inside any occurrence) and _w_items (item ids, sorted). No shuffle.
 
     Each block of patterns is one pass in the same stage; only a block of bounded size is sent to the workers at once.
     """
@@ -200,7 +200,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_
     for k, patterns in enumerate(pattern_blocks(benchmark, size, block_bytes)):
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
         out = out.mapInArrow(_search(patterns, k == 0), f"{fields}, {STATE}")
-    return out.select(*(F.col(f"`{c}`") for c in kept), F.col("_n_words").alias("n_words"), F.coalesce("_hits", F.array().cast("array<int>")).alias("hit_words"), F.coalesce("_items", F.array().cast("array<string>")).alias("item_ids"))
+    return out.select(*(F.col(f"`{c}`") for c in kept), "_w_n_words", F.coalesce("_w_hits", F.array().cast("array<int>")).alias("_w_hits"), F.coalesce("_w_items", F.array().cast("array<string>")).alias("_w_items"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,11 +208,11 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
         "doc_id",
-        "n_words",
-        F.size("hit_words").cast("long").alias("n_hit"),
-        F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"),
-        (F.size("hit_words") > 0).alias("contaminated"),
+        F.col("_w_n_words").alias("n_words"),
+        F.size("_w_hits").cast("long").alias("n_hit"),
+        F.size("_w_items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "_w_items").cast("binary"), 256).alias("items_sha256"),
+        (F.size("_w_hits") > 0).alias("contaminated"),
     )
 
 
@@ -220,7 +220,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Pipeline stage: documents without a benchmark window, unchanged."""
     cols = docs.columns
     found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("hit_words") == 0).select(*cols)
+    return shared.only(found.where(F.size("_w_hits") == 0), *cols)
 
 
 def brute_force(texts: dict, items: dict, size: int = 10) -> dict:

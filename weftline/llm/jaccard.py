@@ -286,12 +286,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     cols = docs.columns
     found = shared.cut(similar(docs).where("kept"), "kept")
     # repeated rows of a kept document are alike in id and text: one of them stays, but all of those without words
-    kept = found.where("NOT alone").select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_k")).distinct()
-    empty = found.where("alone").select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_k")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k"))
-    one = keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
-    return one.unionByName(keyed.join(empty, same, "left_semi")).select(*cols)
+    kept = found.where("NOT alone").select(F.col("doc_id").alias("_w_d"), F.col("tkey").alias("_w_k")).distinct()
+    empty = found.where("alone").select(F.col("doc_id").alias("_w_d"), F.col("tkey").alias("_w_k")).distinct()
+    keyed = docs.withColumn("_w_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_w_d")) & (F.col("_w_key") == F.col("_w_k"))
+    one = keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_w_key"])
+    return one.unionByName(keyed.join(empty, same, "left_semi")).transform(lambda d: shared.only(d, *cols))
 
 
 def brute_force(texts: list[tuple], threshold: float = 0.8) -> list[tuple]:

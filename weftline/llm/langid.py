@@ -10,7 +10,7 @@ Learning: rows with text and language that `train` selects. Counts are taken on
 n-grams hold at most `most` entries. That bounds the model, which is sent to every worker.
 
 Texts that are null or have no letter are `und` with score 0, and so is every text if nothing could be learned. Repeated rows are predicted each
-for itself. Ties go to the first language by name. Extra columns are dropped by the query and kept by `predict`.
+for itself. Ties go to the first language by name. Extra columns are dropped by the query and kept by `predict`; the stage's own columns start with _w_.
 """
 
 from __future__ import annotations
@@ -207,19 +207,18 @@ def _edges(names: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h[order], values[order]
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; existing columns of these names are replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the language and the score in columns of these names, which docs must not have."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # `most` bounds it
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*sent.value.languages, "und"])
         for b in batches:
-            best, score = sent.value.predict(b.column("text"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "score"])
+            best, sure = sent.value.predict(b.column("text"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[best].tolist(), pa.string()), pa.array(sure)], names=[*b.schema.names, lang, score])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(step, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(step, f"{fields}, `{lang}` string, `{score}` double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,4 +232,5 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str, least: fl
     """Pipeline stage: documents whose language is identified with a posterior of at least `least`, unchanged."""
     cols = docs.columns
     model = learn(docs, ~shared.in_remainder("doc_id", 4, 2))
-    return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*cols)
+    found = predict(docs, model, "_w_lang", "_w_score").where((F.col("_w_lang") != "und") & (F.col("_w_score") >= least))
+    return shared.only(found, *cols)

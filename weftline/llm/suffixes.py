@@ -311,7 +311,7 @@ def _cover(width: int, k: int, keep_text: bool):
         for b in batches:
             n = b.num_rows
             removed, spans, digests, texts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64), [], [], np.zeros(n, np.int64)
-            full, starts, ends = (b.column(c).to_pylist() for c in ("full", "starts", "ends"))
+            full, starts, ends = (b.column(c).to_pylist() for c in ("_w_full", "_w_starts", "_w_ends"))
             for lo, hi, raw, offsets in shared.slices(b.column("text")):
                 some = [r for r in range(hi - lo) if full[lo + r] or starts[lo + r]]
                 sizes[lo:hi] = np.diff(offsets)
@@ -343,23 +343,23 @@ def _cover(width: int, k: int, keep_text: bool):
                         texts.append(left.decode("utf-8", "ignore"))
                     else:
                         digests.append(hashlib.sha256(left).hexdigest())
-            keep = [c for c in b.schema.names if c not in ("full", "starts", "ends", *(["text"] if not keep_text else []))]
+            keep = [c for c in b.schema.names if c not in ("_w_full", "_w_starts", "_w_ends", *(["text"] if not keep_text else []))]
             cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in keep]
             tail = [pa.array(sizes), pa.array(removed), pa.array(spans)]
-            names = [*keep, "_n_bytes", "_n_removed", "_n_spans"]
+            names = [*keep, "_w_n_bytes", "_w_n_removed", "_w_n_spans"]
             if not keep_text:
                 tail.append(pa.array(digests, pa.string()))
-                names.append("_kept_sha256")
+                names.append("_w_kept_sha256")
             yield pa.RecordBatch.from_arrays([*cols, *tail], names=names)
 
     return step
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = GRAM, per_bucket: int = 20_000, hot: int = 100_000, keep_text: bool = True) -> DataFrame:
-    """docs without the repeated bytes (characters that a cut would split are dropped), with _n_bytes, _n_removed, _n_spans; or, with
-    keep_text=False, without the texts and with _kept_sha256 of the exact remaining bytes."""
-    keyed = docs.withColumn("_tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
-    base = keyed.select("doc_id", F.col("_tkey").alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
+    """docs without the repeated bytes (characters that a cut would split are dropped), with _w_n_bytes, _w_n_removed, _w_n_spans; or, with
+    keep_text=False, without the texts and with _w_kept_sha256 of the exact remaining bytes."""
+    keyed = docs.withColumn("_w_tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
+    base = keyed.select("doc_id", F.col("_w_tkey").alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = base.mapInArrow(_scan(width, k), f"doc_id {kind}, tkey long, full array<int>, g array<long>, c array<long>, i array<int>")
     table = shared.cut(scanned.where("size(full) > 0 OR size(g) > 0").withColumn("rid", F.monotonically_increasing_id()), "anchors")
@@ -387,27 +387,27 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = GRAM, per_bucke
     spans = shared.cut(merged, "spans").groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("x")).select("rid", F.col("x.start").alias("starts"), F.col("x.end").alias("ends"))
     more = flagged.where("twice").groupBy("rid").agg(F.collect_list("nth").alias("more"))
     empty = F.array().cast("array<int>")
-    found = table.select("rid", F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), "full").join(more, "rid", "left").join(spans, "rid", "left")
-    found = found.select("_d", "_t", F.array_union("full", F.coalesce("more", empty)).alias("full"), "starts", "ends").where("size(full) > 0 OR starts IS NOT NULL").dropDuplicates(["_d", "_t"])
-    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tkey") == F.col("_t")), "left").drop("_d", "_t", "_tkey")
+    found = table.select("rid", F.col("doc_id").alias("_w_d"), F.col("tkey").alias("_w_t"), "full").join(more, "rid", "left").join(spans, "rid", "left")
+    found = found.select("_w_d", "_w_t", F.array_union("full", F.coalesce("more", empty)).alias("_w_full"), F.col("starts").alias("_w_starts"), F.col("ends").alias("_w_ends")).where("size(_w_full) > 0 OR _w_starts IS NOT NULL").dropDuplicates(["_w_d", "_w_t"])
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_w_d")) & (F.col("_w_tkey") == F.col("_w_t")), "left").drop("_w_d", "_w_t", "_w_tkey")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if keep_text or f.name != "text")
-    return joined.mapInArrow(_cover(width, k, keep_text), f"{fields}, _n_bytes long, _n_removed long, _n_spans long" + ", _kept_sha256 string" * (not keep_text))
+    return joined.mapInArrow(_cover(width, k, keep_text), f"{fields}, _w_n_bytes long, _w_n_removed long, _w_n_spans long" + ", _w_kept_sha256 string" * (not keep_text))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = remove_repeats(docs, keep_text=False)
-    return found.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+    return found.select("doc_id", *(F.col(f"_w_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the texts without their repeated passages and n_chars to match; documents of which nothing is left go."""
     cols = docs.columns
-    left = remove_repeats(docs).where((F.col("_n_removed") == 0) | (F.trim("text") != ""))
-    changed = F.col("_n_removed") > 0
+    left = remove_repeats(docs).where((F.col("_w_n_removed") == 0) | (F.trim(F.col("text")) != ""))
+    changed = F.col("_w_n_removed") > 0
     if "n_chars" in cols:
         left = left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return left.select(*cols)
+    return shared.only(left, *cols)
 
 
 def brute_force(texts: list[bytes], width: int = WIDTH) -> list[tuple[int, int, bytes]]:

@@ -115,8 +115,12 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit_label_model(votes: np.ndarray, first: np.ndarray, rounds: int = 25) -> LabelModel:
-    """EM from a first guess of the posteriors. votes: row, voter, in -1, 0, 1."""
+def fit_label_model(votes: np.ndarray, first: np.ndarray, rounds: int = 25, anchor: int | None = None, least: float = 0.85) -> LabelModel:
+    """EM from a first guess of the posteriors. votes: row, voter, in -1, 0, 1.
+
+    anchor: a voter who never abstains and is right at least that often in either class. It keeps the latent class from drifting to another
+    that splits the votes as well, such as a language, and does not share its weight.
+    """
     n, m = votes.shape
     q = np.clip(first, 0.02, 0.98)
     weight, corr = np.ones(m), np.eye(m)
@@ -125,6 +129,10 @@ def fit_label_model(votes: np.ndarray, first: np.ndarray, rounds: int = 25) -> L
         prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
         table = np.stack([np.tensordot(1 - q, hot, (0, 0)), np.tensordot(q, hot, (0, 0))], axis=1) + 0.5
         table /= table.sum(axis=2, keepdims=True)
+        if anchor is not None:
+            for c, right in ((0, 0), (1, 2)):
+                p = max(table[anchor, c, right], least)
+                table[anchor, c] = [p, 1e-6, 1 - p] if right == 0 else [1 - p, 1e-6, p]
         if k in (5, 15):
             mean = (table[:, :, 2] - table[:, :, 0]).T  # class, voter
             left = votes - (q[:, None] * mean[1] + (1 - q)[:, None] * mean[0])
@@ -134,6 +142,8 @@ def fit_label_model(votes: np.ndarray, first: np.ndarray, rounds: int = 25) -> L
             strong = np.where(np.abs(corr) > 0.25, np.abs(corr), 0)
             np.fill_diagonal(strong, 1)
             weight = 1 / strong.sum(axis=1)
+            if anchor is not None:
+                weight[anchor] = 1
         model = LabelModel(prior, table, corr, weight)
         q = model.posterior(votes)
     return model
@@ -214,8 +224,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_rows: int
     g = 2 * (part(a, F.col("n") * rate) + part(b, F.col("n") * (1 - rate)) + part(yes - a, (n - F.col("n")) * rate) + part(n - yes - b, (n - F.col("n")) * (1 - rate)))
     mined = sample.mapInArrow(_df, "word binary, yes long, n long").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n")).where("n >= 3")
     mined = mined.withColumn("g", F.when(a > F.col("n") * rate, g).otherwise(-g))
-    found = _apart([(r["word"].decode("utf-8", "surrogateescape"), r["g"]) for r in mined.orderBy(F.abs("g").desc(), F.octet_length("word").desc(), F.desc("word")).limit(8 * most_words).collect()])[:most_words]
-    insults = [w for w, x in found if x > CLEAR][:lexicon]
+    mined_rows = [(r["word"].decode("utf-8", "surrogateescape"), r["g"], r["yes"] / r["n"]) for r in mined.orderBy(F.abs("g").desc(), F.octet_length("word").desc(), F.desc("word")).limit(8 * most_words).collect()]
+    found = _apart([x[:2] for x in mined_rows])[:most_words]
+    precision = {w: p for w, _, p in mined_rows}
+    # a lexicon voter is right more often than not; a word that merely goes with toxic texts, as of one language, is left to the classifier
+    insults = [w for w, x in found if x > CLEAR and precision[w] > 0.5][:lexicon]
     words = insults + [w for w, _ in found if w not in set(insults)]
     signs = dict(found)
     reader = Reader(words, len(insults))
@@ -245,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_rows: int
     hit = column[features] >= 0
     votes[rows[hit], column[features[hit]]] = sign[column[features[hit]]]
     votes[:, -1] = np.where(label > 0, 1, -1)
-    model = fit_label_model(votes, np.where(label > 0, 0.9, 0.1))
+    model = fit_label_model(votes, np.where(label > 0, 0.9, 0.1), anchor=votes.shape[1] - 1)
     soft = model.posterior(votes)
     return Model(words, len(insults), fit_linear(rows, features, len(got), m, soft), model)
 
