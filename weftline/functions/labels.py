@@ -266,6 +266,9 @@ def date_values(text: Column) -> Column:
     month = _map({k: str(v) for k, v in K.MONTH_NUMBERS.items()})
     two = lambda x: F.lpad(x, 2, "0")
 
+    def groups(pattern: str):
+        return lambda m: F.struct(*(F.regexp_extract(m, pattern, g).alias(f"g{g}") for g in (1, 2, 3)))
+
     def reading(y: int, m: int, d: int):
         def one(x: Column) -> Column:
             mo = F.coalesce(F.when(x[f"g{m}"].rlike("^[0-9]+$"), x[f"g{m}"]), F.try_element_at(month, F.lower(x[f"g{m}"])))
@@ -276,6 +279,7 @@ def date_values(text: Column) -> Column:
 
     found = []
     for pattern, readings in K.DATE_PATTERNS:
-        parts = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in (1, 2, 3)))
+        whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+        parts = F.transform(whole, groups(pattern))
         found += [F.transform(parts, reading(*r)) for r in readings]
     return F.array_sort(F.array_distinct(F.filter(F.concat(*found), lambda x: x.isNotNull())))
