@@ -27,7 +27,9 @@ from . import shared
 
 PATTERNS = ("shouting", "exclaims", "addresses", "insult_near_you", "several_insults", "no_insult", "repeats")
 #: Bytes of a word's stem, which is written with a star: patterns such as `abcde*` catch a word's forms.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
+#: A stem may have to occur so often in a text.
+LEVELS = 3
 #: A log-likelihood ratio from which a word votes.
 CLEAR = 25
 _YOU = ("you", "your", "youre", "u")
@@ -36,24 +38,38 @@ _YOU = ("you", "your", "youre", "u")
 # ---------------------------------------------------------------- features
 
 
+def _bytes(word: str) -> bytes:
+    return word.encode("utf-8", "surrogateescape")
+
+
 def _hash(words: list[str]) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
-    each = [w.encode("utf-8", "surrogateescape") for w in words]
+    each = [_bytes(w) for w in words]
     raw, ends = np.frombuffer(b"".join(each), np.uint8), np.cumsum([len(x) for x in each])
     return shared.span_hash(shared.prefix_hash(raw), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64))
 
 
 class Reader:
-    """Which words and patterns are in each row."""
+    """Which words and patterns are in each row. A feature is a word, `stem*` (a word that begins so and goes on) or `stem*2`, `stem*3` (so many of them)."""
 
     def __init__(self, words: list[str], insults: int) -> None:
-        """The first `insults` words speak for toxicity."""
-        h = np.concatenate([_hash([w.rstrip("*") for w in words]) ^ np.array([np.uint64(len(w.encode("utf-8", "surrogateescape")) - 1 if w.endswith("*") else 0) for w in words], np.uint64)]) if words else np.zeros(0, np.uint64)
-        self.order = np.argsort(h)
-        self.keys = h[self.order]
+        """The first `insults` features speak for toxicity."""
         self.n, self.insults = len(words), insults
         self.you = np.sort(_hash(list(_YOU)))
+        self.tables = {}  # by stem size in bytes, 0 for words: sorted hashes, and the feature of each level
+        by: dict[int, dict[str, dict[int, int]]] = {}
+        for f, w in enumerate(words):
+            stem, star, level = w.partition("*")
+            by.setdefault(len(_bytes(stem)) if star else 0, {}).setdefault(stem, {})[int(level or 1)] = f
+        for size, stems in by.items():
+            h = _hash(list(stems))
+            order = np.argsort(h)
+            levels = np.full((len(stems), LEVELS + 1), -1)
+            for k, found in enumerate(stems.values()):
+                for level, f in found.items():
+                    levels[k, level] = f
+            self.tables[size] = h[order], levels[order]
 
     def read(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, feature) pairs without repeats; features are the words, then PATTERNS."""
@@ -62,17 +78,25 @@ class Reader:
         sums = shared.prefix_hash(shared.ALNUM[raw])
         h = shared.span_hash(sums, starts, ends)
         row_of = np.repeat(np.arange(n), np.diff(rows))
-        insult, pairs = np.zeros(len(h), bool), []
-        for size in (0, *STEMS) if self.n else ():
+        insult = np.zeros(len(h), bool)
+        row, feature = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, (keys, levels) in self.tables.items():
             which = np.arange(len(h)) if not size else np.flatnonzero(ends - starts > size)
             if not len(which):
                 continue
-            key = h if not size else shared.span_hash(sums, starts[which], starts[which] + size) ^ np.uint64(size)
-            at = np.minimum(np.searchsorted(self.keys, key), self.n - 1)
-            hit = self.keys[at] == key
-            which, feature = which[hit], self.order[at[hit]]
-            insult[which[feature < self.insults]] = True
-            pairs.append(row_of[which] * (self.n + 1) + feature)
+            key = h if not size else shared.span_hash(sums, starts[which], starts[which] + size)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[at] == key
+            which, stem = which[hit], at[hit]
+            insult[which[(levels[stem, 1] >= 0) & (levels[stem, 1] < self.insults)]] = True
+            pair, count = np.unique(row_of[which] * len(keys) + stem, return_counts=True)
+            r, stem = pair // len(keys), pair % len(keys)
+            for level in range(1, LEVELS + 1):
+                ok = (count >= level) & (levels[stem, level] >= 0)
+                row.append(r[ok])
+                feature.append(levels[stem[ok], level])
+        row, feature = np.concatenate(row), np.concatenate(feature)
+        spoken = np.bincount(row[feature < self.insults], minlength=n)
         flags = np.zeros((len(PATTERNS), n), bool)
         size = np.maximum(np.diff(offsets), 1)
         per_row = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
@@ -88,14 +112,13 @@ class Reader:
             near[d:] |= insult[d:] & you[:-d] & (row_of[d:] == row_of[:-d])
             near[:-d] |= insult[:-d] & you[d:] & (row_of[d:] == row_of[:-d])
         flags[3] = count(near) > 0
-        flags[4] = count(insult) > 1
-        flags[5] = count(insult) == 0
+        flags[4] = (count(insult) > 1) | (spoken > 1)
+        flags[5] = spoken == 0
         same = np.zeros(len(h), bool)
         same[1:] = (h[1:] == h[:-1]) & (row_of[1:] == row_of[:-1])
         flags[6] = count(same) * 10 > np.maximum(np.diff(rows), 1)
-        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
-        pattern, row = np.nonzero(flags)
-        return np.concatenate([pairs // (self.n + 1), row]), np.concatenate([pairs % (self.n + 1), self.n + pattern])
+        pattern, r = np.nonzero(flags)
+        return np.concatenate([row, r]), np.concatenate([feature, self.n + pattern])
 
 
 # ---------------------------------------------------------------- label model
@@ -173,8 +196,9 @@ def _df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             raw = np.frombuffer(text.encode(), np.uint8)
-            words = set(shared.ALNUM[raw].tobytes().replace(b"\0", b" ").split())
-            words |= {w[:k] + b"*" for w in words for k in STEMS if len(w) > k}
+            split = shared.ALNUM[raw].tobytes().replace(b"\0", b" ").split()
+            stems = Counter(w[:k] for w in split for k in STEMS if len(w) > k)
+            words = set(split) | {w + b"*" for w in stems} | {w + b"*%d" % level for w, c in stems.items() for level in range(2, min(c, LEVELS) + 1)}
             every.update(words)
             if toxic:
                 yes.update(words)
@@ -186,12 +210,12 @@ def _apart(found: list[tuple[str, float]]) -> list[tuple[str, float]]:
     """Without what a stronger one says already: words below a chosen stem, stems that extend or shorten a chosen one."""
     out, stems, heads = [], set(), set()
     for w, g in found:
-        stem = w.rstrip("*")
+        stem, star, _ = w.partition("*")
         under = any(stem[:k] in stems for k in range(1, len(stem) + 1))
-        if under or (w.endswith("*") and stem in heads):
+        if under or (star and stem in heads):
             continue
         out.append((w, g))
-        if w.endswith("*"):
+        if star:
             stems.add(stem)
         heads.update(stem[:k] for k in range(1, len(stem) + 1))
     return out
