@@ -13,6 +13,7 @@ from ..functions import labels as L
 from ..operators import dataset as D
 from ..operators import evaluation as V
 from ..operators import pages as P
+from ..operators import training as R
 from ..operators import typed as T
 from ..sources import warc
 from .ledgers import h32, ledger, ledger_sql
@@ -795,3 +796,73 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["q00_build_dataset"] = flagship
+
+
+# ---------------------------------------------------------------- preparation
+
+
+@query("WITH g AS (SELECT DISTINCT source FROM documents), k AS (SELECT source FROM g ORDER BY sha256('21|' || source), source LIMIT 5) SELECT source AS source_group, count(*) AS n FROM documents WHERE source IN (SELECT source FROM k) GROUP BY source")
+def q65_source_subset(t):
+    """SL-3: five whole sources, the feature of a subset for overfit runs."""
+    df = t.documents.select(F.col("source").alias("source_group"))
+    return R.source_subset(df, 5, 21).groupBy("source_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n, count(*) AS back, count(*) AS levels FROM documents")
+def q66_shuffled_options(t):
+    """SL-6, SL-7: options shuffled by hash and put back."""
+    values = F.array(*(F.concat(F.lit(x), F.col("doc_id").cast("string")) for x in "abcde"))
+    order = R.shuffled_order(F.col("doc_id").cast("string"), F.lit(5), 3)
+    ids = F.transform(order, lambda i: i.cast("string"))
+    back = R.unpermuted(R.permuted(values, order), order) == values
+    levels = R.by_level(ids, R.permuted(values, order)) == values
+    return t.documents.agg(F.count(F.lit(1)).alias("n"), F.count_if(back).alias("back"), F.count_if(levels).alias("levels"))
+
+
+@query("""SELECT doc_id, sha256('{"a":' || doc_id || ',"b":"é"}') AS request_sha256, sha256('{"a": ' || doc_id || ', "b": "é"}') AS spaced_sha256 FROM documents""")
+def q67_request_digests(t):
+    """SF-35, SF-36."""
+    df = t.documents.select("doc_id", F.concat(F.lit('{"b": "é", "a":'), F.col("doc_id").cast("string"), F.lit("}")).alias("body"))
+    return R.request_digests(df, "doc_id", "body").join(R.request_digests(df, "doc_id", "body", compact=False).withColumnRenamed("request_sha256", "spaced_sha256"), "doc_id")
+
+
+_BAD = "CASE h % 7 WHEN 0 THEN 'candidate ids must be unique' WHEN 1 THEN 'invalid candidate text' WHEN 2 THEN 'invalid candidate/target alignment' WHEN 3 THEN 'invalid target' WHEN 4 THEN 'target must sum to one' WHEN 5 THEN 'invalid candidate id' END"
+
+
+@query(f"WITH {LED} SELECT {_BAD} AS error, count(*) AS n FROM led GROUP BY 1")
+def q68_row_validity(t):
+    """EV-5 to EV-7, HX-7, SF-22 with injected faults."""
+    k, y = F.col("h") % 7, F.col("target")
+    ids = F.when(k == 0, F.array(F.lit("0"), F.lit("0"))).when(k == 5, F.array(F.lit("0"), F.lit(" 1"))).otherwise(F.col("ids"))
+    texts = F.when(k == 1, F.array(F.lit("x"), F.lit(" "))).otherwise(F.col("ids"))
+    target = F.when(k == 2, F.slice(y, 1, 1)).when(k == 3, F.array(F.lit(float("nan")), F.lit(0.5))).when(k == 4, F.transform(y, lambda v: v * 2)).otherwise(y)
+    return t.L.select(R.row_error(ids, texts, target).alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {LED} SELECT case_id FROM led WHERE h % 4 <> 0")
+def q69_pending_items(t):
+    """SRC-16."""
+    rows = t.L.select("case_id", "h")
+    return R.pending(rows.select("case_id"), rows.where("h % 4 = 0"), ["case_id"])
+
+
+@query("SELECT page_id, unnest(['page_type', 'page_status']) AS decision FROM pages UNION ALL SELECT page_id, 'language' FROM pages WHERE page_id % 3 = 0")
+def q70_asked_decisions(t):
+    """PF-15, JN-14."""
+    labelled = t.pages.where("page_id % 3 = 0").select("page_id", F.lit("language").alias("decision"))
+    return R.asked(t.pages, labelled.unionAll(t.pages.select("page_id", F.lit("page_type"))))
+
+
+@query("SELECT item_id, sha256(substr(text, 1, 3500) || chr(10) || chr(10) || 'Which?' || chr(10) || chr(10) || 'A. one' || chr(10) || 'B. two' || chr(10) || chr(10) || 'Answer with one letter.') AS prompt_sha256 FROM benchmark")
+def q71_prompts(t):
+    """SF-41, LB-23's text."""
+    p = R.prompt(F.col("text"), F.lit("Which?"), F.array(F.lit("one"), F.lit("two")))
+    return t.benchmark.select("item_id", F.sha2(p.cast("binary"), 256).alias("prompt_sha256"))
+
+
+@query(f"WITH {LED} SELECT count(*) AS n FROM led WHERE NOT (CASE WHEN h % 10007 = 0 THEN true ELSE false END AND {split_sql('source_group', 1)} = 'train')")
+def q72_preflight(t):
+    """PF-11, PF-16: the rare bad rows of train go."""
+    rows = t.L.withColumn("split", E.split_of(F.col("source_group"), 1))
+    bad = F.when((F.col("h") % 10007 == 0) & (F.col("split") == "train"), "bad")
+    return R.preflight(rows, bad, share=0.05).agg(F.count(F.lit(1)).alias("n"))
