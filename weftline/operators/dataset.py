@@ -29,11 +29,25 @@ def running_cap(df: DataFrame, group: str, order: list[str], most: int) -> DataF
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
-def capped(df: DataFrame, keys: list[str], caps: DataFrame, order: list[Column]) -> DataFrame:
-    """At most `cap` rows of each key by the given order; a key without a cap keeps all. caps has a row for each capped key."""
-    joined = df.join(caps, keys, "left")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return joined.withColumn("_n", F.row_number().over(w)).where(F.col("cap").isNull() | (F.col("_n") <= F.col("cap"))).drop("_n", "cap")
+def hash_rank(df: DataFrame, keys: list[str], seed: int, key: str, out: str = "_n") -> DataFrame:
+    """Each row's place from 1 in its group's seeded order, without bringing a group's rows into one task.
+
+    Groups are dealt by the hash's first two digits, rows are numbered in their part, and the parts' counts, 256 for a group at most, say
+    where each begins. df is read twice.
+    """
+    dealt = df.withColumn("_h", E.stable_key(seed, F.col(key))[0]).withColumn("_b", F.substring("_h", 1, 2))
+    counts = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_kb"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", key)))
+    on = [ranked[k].eqNullSafe(bases[f"_k{i}"]) for i, k in enumerate(keys)] + [ranked["_b"] == bases["_kb"]]
+    return ranked.join(bases, on).withColumn(out, F.col("_r") + F.col("_base")).drop("_h", "_b", "_r", "_kb", "_base", *(f"_k{i}" for i in range(len(keys))))
+
+
+def capped(df: DataFrame, keys: list[str], caps: DataFrame, seed: int, key: str) -> DataFrame:
+    """At most `cap` rows of each group in its seeded order; a group without a cap keeps all. caps has a row for each group."""
+    joined = hash_rank(df, keys, seed, key).join(caps, keys, "left")
+    return joined.where(F.col("cap").isNull() | (F.col("_n") <= F.col("cap"))).drop("_n", "cap")
 
 
 def balance_v1(df: DataFrame, *, seed: int, key: str = "case_id", split: str | None = "split", page_type_ratio: float = 3.0, ok_ratio: float = 3.0, per_language: int = 1500) -> DataFrame:
@@ -50,7 +64,7 @@ def balance_v1(df: DataFrame, *, seed: int, key: str = "case_id", split: str | N
         .when(F.col("decision") == "language", F.lit(per_language))
     )
     caps = counts.withColumn("cap", cap.cast("long")).drop("n")
-    return capped(df, [*by, "decision", "label"], caps, E.stable_key(seed, F.col(key)))
+    return capped(df, [*by, "decision", "label"], caps, seed, key)
 
 
 def balance_v0(df: DataFrame, *, seed: int, max_ratio: float, key: str = "case_id") -> DataFrame:
@@ -58,15 +72,16 @@ def balance_v0(df: DataFrame, *, seed: int, max_ratio: float, key: str = "case_i
     counts = df.groupBy("decision", "label").agg(F.count(F.lit(1)).alias("n"))
     rarest = F.min("n").over(Window.partitionBy("decision"))
     cap = F.when(F.col("decision").isin("page_type", "in_stock"), F.greatest(F.lit(1), F.floor(F.lit(max_ratio) * rarest).cast("long")))
-    return capped(df, ["decision", "label"], counts.withColumn("cap", cap.cast("long")).drop("n"), E.stable_key(seed, F.col(key)))
+    return capped(df, ["decision", "label"], counts.withColumn("cap", cap.cast("long")).drop("n"), seed, key)
 
 
 def stratified_split(df: DataFrame, *, stratum: str, key: str, seed: int) -> DataFrame:
     """SL-4: a tenth of each stratum to development and to calibration, at least one each; raises if a stratum has none left."""
-    w = Window.partitionBy(stratum)
     # half to even, as whole numbers: n/10 is on a half only for n ending in 5
     ten = lambda n: F.greatest(F.lit(1), F.floor((n + F.when((n % 10 == 5) & (F.floor(n / 10) % 2 == 0), 4).otherwise(5)) / 10).cast("int"))
-    ranked = df.withColumn("_n", F.row_number().over(w.orderBy(*E.stable_key(seed, F.col(key))))).withColumn("_k", F.count(F.lit(1)).over(w).cast("int"))
+    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).cast("int").alias("_k"))
+    ranked = hash_rank(df, [stratum], seed, key)
+    ranked = ranked.join(sizes, ranked[stratum].eqNullSafe(sizes["_s"])).drop("_s")
     tenth = ten(F.col("_k"))
     split = (
         F.when(F.col("_k") - 2 * tenth < 1, F.raise_error(F.concat(F.lit("not enough cases in "), F.col(stratum).cast("string"))).cast("string"))

@@ -15,7 +15,7 @@ from ..operators import evaluation as V
 from ..operators import pages as P
 from ..operators import training as R
 from ..operators import typed as T
-from ..sources import warc
+from ..sources import stages, warc
 from .ledgers import h32, ledger, ledger_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -790,6 +790,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to labelled decisions, capped by host, split by host, balanced, counted: the builder's whole path."""
     rows = P.page_rows_v1(labelled_pages(Tables(spark, sf_dir)))
     rows = rows.withColumn("label", E.gold_label(F.col("candidates.id"), F.col("target"))).select("case_id", "url", "source_group", "decision", "label")
+    rows = stages.cut(rows, "rows")  # pages are parsed once
     kept = D.cap_pages(rows, "source_group", "url", 20, 1)
     kept = D.balance_v1(kept.withColumn("split", E.split_of(F.col("source_group"), 1)), seed=1)
     return kept.groupBy("split", "decision", "label").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source_group").alias("source_groups"))
