@@ -1,59 +1,22 @@
-"""Helpers the corpus operators share: written intermediate tables, vectorised words, gapless ranks, components."""
+"""Helpers the corpus operators share: vectorised words, gapless ranks, components."""
 
 from __future__ import annotations
 
-import atexit
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import cut, shared_dir  # noqa: F401
+
 #: Bytes of text that one vectorised step works on; bounds a worker's memory (about 60 bytes of arrays for each).
 SLICE = 1 << 20
 
 
-# ---------------------------------------------------------------- intermediate tables
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see. Only a local session without one gets a folder of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="weftline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back: what follows does not depend on executors staying alive.
-
-    The table is removed when the process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        there = jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-    except Exception:  # the session has ended: the folder is the cluster's to clear
-        pass
-
-
 def in_remainder(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the text 'null'."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
