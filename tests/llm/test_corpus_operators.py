@@ -301,15 +301,44 @@ def test_components(spark):
 
 
 def test_pipeline_stages(spark, tables):
+    """Each stage against brute force on its own input."""
     docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
     cols = docs.columns
+    seen = {}
     for name, stage in corpus_pipeline.STAGES:
+        seen[name, "in"] = [r.asDict() for r in docs.collect()]
         docs = shared.cut(stage(spark, docs, tables["full"]))
+        seen[name, "out"] = [r.asDict() for r in docs.collect()]
         if name != "packing":
             assert docs.columns == cols, name
-            ids = [r.doc_id for r in docs.select("doc_id").collect()]
-            if name == "language ID":
-                assert not {302, 303, 304, 305} & set(ids) and ids.count(3) == 3
-            if name == "n-gram Jaccard join":
-                assert ids.count(3) == 1 and 300 not in ids and 301 not in ids
-    assert docs.select("doc_id").distinct().count() > 150
+    rows = lambda part: sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in part)
+
+    part, left = seen["language ID", "in"], seen["language ID", "out"]
+    gone = {r["doc_id"] for r in part} - {r["doc_id"] for r in left}
+    assert gone == {302, 303, 304, 305} and rows(left) == rows([r for r in part if re.search(r"[^\W\d_]", r["text"] or "")])
+
+    part, left = seen["n-gram Jaccard join", "in"], seen["n-gram Jaccard join", "out"]
+    some = {r["doc_id"]: r["text"] for r in part if r["doc_id"] is not None}
+    heads = {g for _, _, _, g in jaccard.brute_force(list(some.items()))}
+    assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == sorted(heads) and {3} <= heads and not {300, 301} & heads
+
+    part, left = seen["suffix-array dedup", "in"], {r["doc_id"]: r for r in seen["suffix-array dedup", "out"]}
+    want = suffixes.brute_force([r["text"].encode() for r in part])
+    for r, (removed, _, kept) in zip(part, want, strict=True):
+        text = kept.decode("utf-8", "ignore")
+        if removed and not text.strip():
+            assert r["doc_id"] not in left
+        else:
+            assert left[r["doc_id"]]["text"] == text and (not removed or left[r["doc_id"]]["n_chars"] == len(text))
+    assert sum(removed > 0 for removed, _, _ in want) >= 3
+
+    part, left = seen["benchmark decontamination", "in"], seen["benchmark decontamination", "out"]
+    hits = decontaminate.brute_force({k: r["text"] for k, r in enumerate(part)}, dict(enumerate(t for _, t in tables["bench"])))
+    assert rows(left) == rows([r for k, r in enumerate(part) if not hits[k][1]]) and len(left) < len(part)
+
+    pieces = seen["packing", "out"]
+    per = Counter()
+    for r in pieces:
+        per[r["doc_id"]] += len(r["ids"])
+        assert len(r["ids"]) == r["length"] <= 2048
+    assert set(per) == {r["doc_id"] for r in left} and all(r["doc_tokens"] == per[r["doc_id"]] for r in pieces)

@@ -35,11 +35,14 @@ _EDGE = 0x110000  # stands for a word's ends; the hash table has an entry for it
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each code point: whether it is a letter, its lower case (where that is one code point), its hash. Made once a worker."""
     if "letters" not in shared.kept():
-        every = [chr(i) for i in range(0x110000)]
-        letter = np.array([bool(_WORD.match(c)) for c in every])
-        lower = np.arange(0x110000, dtype=np.int32)
-        for i in np.flatnonzero(letter):
-            x = every[i].lower()
+        every = np.arange(0x110000, dtype=np.int32)
+        text = every.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        letter = np.zeros(0x110000, bool)
+        for m in _WORD.finditer(text):
+            letter[m.start() : m.end()] = True
+        lower = every.copy()
+        for i in np.flatnonzero(letter[:0x20000]).tolist():  # no letter beyond has case
+            x = text[i].lower()
             if len(x) == 1:
                 lower[i] = ord(x)
         shared.kept()["letters"] = letter, lower, shared.mix(np.arange(1, 0x110002, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))

@@ -76,8 +76,25 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.bounds, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.old, self.new = none, none  # sorted hashes and the words' numbers: many, and the latest
+        self.count = self.used = 0
+        self.bounds, self.flat = np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int32)
+        for hashes, numbers in (self.old, self.new):
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+                hit = hashes[at] == keys
+                out[hit] = numbers[at[hit]]
+        return out
+
+    def _merge(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, numbers = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(hashes, kind="stable")  # two sorted runs
+        return hashes[order], numbers[order]
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids one after another, and where each word's end."""
@@ -89,20 +106,26 @@ class WordTokenizer:
         got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
         return np.fromiter((x for ids in got for x in ids), np.uint32), np.cumsum([len(x) for x in got])
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Keys are sorted."""
+        number = np.empty(len(keys), np.int32)
         for alpha in (True, False):
             at = [i for i, w in enumerate(words) if w.isalpha() is alpha]
             for k in range(0, len(at), 20_000):
                 part = at[k : k + 20_000]
-                n, (flat, ends) = len(self.known), self._ids([words[i] for i in part])
+                flat, ends = self._ids([words[i] for i in part])
                 while len(self.flat) < self.used + len(flat):
                     self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                while len(self.bounds) <= n + len(part):
+                while len(self.bounds) <= self.count + len(part):
                     self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
                 self.flat[self.used : self.used + len(flat)] = flat
-                self.bounds[n + 1 : n + len(part) + 1] = self.used + ends
+                self.bounds[self.count + 1 : self.count + len(part) + 1] = self.used + ends
+                number[part] = np.arange(self.count, self.count + len(part))
                 self.used += len(flat)
-                self.known.update(zip([keys[i] for i in part], range(n, n + len(part)), strict=True))
+                self.count += len(part)
+        self.new = self._merge(self.new, (keys, number))
+        if len(self.new[0]) > 1 << 16:
+            self.old, self.new = self._merge(self.old, self.new), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids one after another, and each row's first. A text's ids are its words' ids one after another."""
@@ -111,17 +134,19 @@ class WordTokenizer:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         uniq, first, back = np.unique(shared.span_hash(shared.prefix_hash(raw), starts, ends), return_index=True, return_inverse=True)
-        keys = uniq.tolist()
-        if len(self.known) + len(keys) > self.remember:
+        if self.count + len(uniq) > self.remember:
             self.forget()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        if new:
+        number = self._find(uniq)
+        new = np.flatnonzero(number < 0)
+        if len(new):
             at = first[new]
-            self._learn([keys[i] for i in new], [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        slot = np.array([self.known[h] for h in keys])[back]
-        size = self.bounds[slot + 1] - self.bounds[slot]
+            self._learn(uniq[new], [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            number[new] = self._find(uniq[new])
+        slot = number[back]
+        begin = self.bounds[slot].astype(np.int64)
+        size = self.bounds[slot + 1] - begin
         end = np.cumsum(size)
-        take = np.repeat(self.bounds[slot] - (end - size), size) + np.arange(int(end[-1]))
+        take = np.repeat(begin - (end - size), size) + np.arange(int(end[-1]))
         return self.flat[take], np.concatenate([[0], end])[rows]
 
 
@@ -248,7 +273,7 @@ def _seat(seats: dict[str, np.ndarray]):
     key = seats["length"] * (1 << 48) + seats["rank"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             length, rank = b.column("length").to_numpy(zero_copy_only=False), b.column("_rank").to_numpy(zero_copy_only=False)
             i = np.searchsorted(key, length * (1 << 48) + rank, "right") - 1
             n = rank - seats["rank"][i]

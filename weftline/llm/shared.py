@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.stages import cut, shared_dir  # noqa: F401
+from ..sources.stages import cut
 
 #: Bytes of text that one vectorised step works on; bounds a worker's memory (about 60 bytes of arrays for each).
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def in_remainder(doc_id: str | Column, modulus: int, remainder: int) -> Column:
