@@ -296,7 +296,10 @@ def pack(cut_pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = shared.cut(cut_pieces, "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
     seats = _seats(plan(counts, window))
-    ranked = shared.gapless_rank(rows, ["length"], ["doc_id", "start", "ids_crc32"], "_rank", rows=sum(counts.values()))
+    # a length's buckets by its own count; fewer pieces each where they carry their ids
+    each = 2_000 if "packed_ids" in rows.columns else 50_000
+    buckets = F.element_at(F.array(*(F.lit(max(1, -(-counts.get(i, 0) // each))) for i in range(1, window + 1))), F.col("length").cast("int"))
+    ranked = shared.gapless_rank(rows, ["length"], ["doc_id", "start", "ids_crc32"], "_rank", buckets=buckets)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "packed_ids")
     fields += ", ids array<int>" * ("packed_ids" in rows.columns)
     return ranked.mapInArrow(_seat(seats), f"{fields}, sequence_id long, offset long")
