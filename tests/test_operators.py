@@ -253,6 +253,9 @@ def test_warc(spark, tmp_path):
     assert len(found) == 5 and {r.detected_language for r in found} == {"eng"} and all("Straße" in r.html for r in found)
     assert [r.status for r in warc.html_pages(records, errors_only=True).collect()] == [404]
     assert warc.html_pages(records, max_pages=2).count() == 2
+    for kw in ({}, {"errors_only": True}, {"max_pages": 2}):
+        a, b = (sorted(map(str, df.select("seq", "url", "status", "detected_language", "html").collect())) for df in (warc.html_pages(records, **kw), warc.read_pages(spark, str(tmp_path), **kw)))
+        assert a == b and a
     rows = P.page_rows_v1(warc.html_pages(records).withColumnRenamed("status", "http_status"))
     assert rows.groupBy("decision").count().count() == 4
 

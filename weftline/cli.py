@@ -43,7 +43,7 @@ def compare(spark: SparkSession, baseline: str, candidate: str, samples: int = 2
 
 def build(spark: SparkSession, path: str, out: str, *, max_pages: int = 40_000, errors_only: bool = False) -> dict:
     """Labelled rows of all WARC files below a path, as JSON lines by decision."""
-    found = warc.html_pages(warc.read_warc(spark, path), errors_only=errors_only, max_pages=max_pages)
+    found = warc.read_pages(spark, path, errors_only=errors_only, max_pages=max_pages)
     rows = pages.page_rows_v1(found.withColumnRenamed("status", "http_status"))
     files.write_jsonl(rows, out, ["decision"])
     return {"out": out}

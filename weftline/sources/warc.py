@@ -131,33 +131,84 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
 
-def decode(pages: DataFrame) -> DataFrame:
-    """Adds html: the body by the HTTP charset, replacing what is broken; null if it is no HTML (PF-2). Python's codecs decide."""
+def html_text(body: bytes | None, http: dict | None) -> str | None:
+    """The body by the HTTP charset, replacing what is broken; None if it is no HTML (PF-2). Python's codecs decide."""
+    kind = (http or {}).get("content-type", "").lower()
+    if "html" not in kind or body is None:
+        return None
+    charset = kind.rpartition("charset=")[2].split(";")[0].strip() if "charset=" in kind else "utf-8"
+    try:
+        return bytes(body).decode(charset or "utf-8", "replace")
+    except LookupError:
+        return bytes(body).decode("utf-8", "replace")
 
-    def one(body, http) -> str | None:
-        kind = dict(http).get("content-type", "").lower() if http is not None else ""
-        if "html" not in kind or body is None:
-            return None
-        charset = kind.rpartition("charset=")[2].split(";")[0].strip() if "charset=" in kind else "utf-8"
-        try:
-            return bytes(body).decode(charset or "utf-8", "replace")
-        except LookupError:
-            return bytes(body).decode("utf-8", "replace")
 
+def decode(pages: DataFrame) -> DataFrame:
+    """html in place of body and http."""
     keep = [f for f in pages.schema.fields if f.name not in ("body", "http")]
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = b[[f.name for f in keep]].copy()
-            out["html"] = [one(x, h) for x, h in zip(b["body"], b["http"], strict=True)]
+            out["html"] = [html_text(x, dict(h) if h is not None else None) for x, h in zip(b["body"], b["http"], strict=True)]
             yield out
 
     return pages.mapInPandas(step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", html string")
 
 
+def with_language(records: Iterator[dict]) -> Iterator[dict]:
+    """A file's responses, each with the language of the first metadata record of its URL before the next response (JN-1)."""
+    waiting = None
+    for r in records:
+        if r["rec_type"] == "response":
+            if waiting:
+                yield waiting
+            waiting = r | {"detected_language": None}
+        elif waiting and r["url"] == waiting["url"]:
+            yield waiting | {"detected_language": r["lang3"]}
+            waiting = None
+    if waiting:
+        yield waiting
+
+
+def _pages(records: Iterator[dict], errors_only: bool, max_pages: int | None) -> Iterator[dict]:
+    seen: set[str] = set()  # of one file
+    n = 0
+    for r in with_language(records):
+        if r["url"] is None or r["url"] in seen or (r["status"] == 200) == errors_only:
+            continue
+        seen.add(r["url"])
+        html = html_text(r["body"], r["http"])
+        if html is None:
+            continue
+        yield {k: r[k] for k in ("warc_file", "seq", "url", "status", "detected_language")} | {"html": html}
+        n += 1
+        if n == max_pages:
+            return
+
+
+def read_pages(spark: SparkSession, path: str, *, errors_only: bool = False, max_pages: int | None = None) -> DataFrame:
+    """What `html_pages(read_warc(...))` gives, in one narrow stage: a file is read by one task in order, so its pages need no shuffle."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"], strict=True):
+                held = []
+                for r in _pages(_rows(name, content, 10**12), errors_only, max_pages):
+                    held.append(r)
+                    if len(held) == 64:
+                        yield pd.DataFrame(held)
+                        held = []
+                if held:
+                    yield pd.DataFrame(held)
+
+    return files.mapInPandas(step, "warc_file string, seq long, url string, status int, detected_language string, html string")
+
+
 def html_pages(records: DataFrame, *, errors_only: bool = False, max_pages: int | None = None, dedupe: str = "per_file") -> DataFrame:
-    """(warc_file, seq, url, status, detected_language, html) of a scan: the wanted status class, the first record of each URL,
-    the first pages of each file, with the language found by the crawler (JN-1)."""
+    """(warc_file, seq, url, status, detected_language, html) of scanned records: the wanted status class, the first record of each URL,
+    the first pages of each file, with the language found by the crawler (JN-1). `read_pages` does this while it reads."""
     found = dataset.attach_metadata(records.where(F.col("rec_type").isin("response", "metadata")))
     wanted = found.where(F.col("url").isNotNull() & ((F.col("status") != 200) if errors_only else (F.col("status") == 200)))
     keys = ["warc_file", "url"] if dedupe == "per_file" else ["url"]
