@@ -231,6 +231,7 @@ def write_warc(path):
         return gzip.compress(f"WARC/1.0\r\n{head}\r\n\r\n".encode() + body)
 
     out = b""
+    out += member("WARC-Type: response\r\nWARC-Target-URI: https://h1.example/p", b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\nno page")
     for i in range(6):
         status = "404 Not Found" if i == 5 else "200 OK"
         url = f"https://h{i}.example/p"
@@ -248,7 +249,7 @@ def test_warc(spark, tmp_path):
     records = warc.read_warc(spark, str(tmp_path))
     spark.dataSource.register(warc.WarcSource)
     again = spark.read.format("warc").option("paths", f"{tmp_path}/a.warc.gz,{tmp_path}/none.gz").load()
-    assert records.count() == again.where("rec_type <> 'failed'").count() == 19 and again.where("rec_type = 'failed'").count() == 1
+    assert records.count() == again.where("rec_type <> 'failed'").count() == 20 and again.where("rec_type = 'failed'").count() == 1
     found = warc.html_pages(records).collect()
     assert len(found) == 5 and {r.detected_language for r in found} == {"eng"} and all("Straße" in r.html for r in found)
     assert [r.status for r in warc.html_pages(records, errors_only=True).collect()] == [404]

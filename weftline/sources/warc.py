@@ -175,12 +175,12 @@ def _pages(records: Iterator[dict], errors_only: bool, max_pages: int | None) ->
     seen: set[str] = set()  # of one file
     n = 0
     for r in with_language(records):
-        if r["url"] is None or r["url"] in seen or (r["status"] == 200) == errors_only:
+        if not r["url"] or r["url"] in seen or (r["status"] == 200) == errors_only:
             continue
-        seen.add(r["url"])
         html = html_text(r["body"], r["http"])
         if html is None:
             continue
+        seen.add(r["url"])
         yield {k: r[k] for k in ("warc_file", "seq", "url", "status", "detected_language")} | {"html": html}
         n += 1
         if n == max_pages:
@@ -207,10 +207,11 @@ def read_pages(spark: SparkSession, path: str, *, errors_only: bool = False, max
 
 
 def html_pages(records: DataFrame, *, errors_only: bool = False, max_pages: int | None = None, dedupe: str = "per_file") -> DataFrame:
-    """(warc_file, seq, url, status, detected_language, html) of scanned records: the wanted status class, the first record of each URL,
+    """(warc_file, seq, url, status, detected_language, html) of scanned records: the wanted status class, the first HTML record of each URL,
     the first pages of each file, with the language found by the crawler (JN-1). `read_pages` does this while it reads."""
     found = dataset.attach_metadata(records.where(F.col("rec_type").isin("response", "metadata")))
-    wanted = found.where(F.col("url").isNotNull() & ((F.col("status") != 200) if errors_only else (F.col("status") == 200)))
+    is_html = F.contains(F.lower(F.coalesce(F.try_element_at("http", F.lit("content-type")), F.lit(""))), F.lit("html")) & F.col("body").isNotNull()
+    wanted = found.where((F.coalesce("url", F.lit("")) != "") & is_html & ((F.col("status") != 200) if errors_only else (F.col("status") == 200)))
     keys = ["warc_file", "url"] if dedupe == "per_file" else ["url"]
     slim = wanted.select("warc_file", "seq", "url").transform(lambda d: dataset.first_wins(d, keys, ["seq"] if dedupe == "per_file" else ["warc_file", "seq"]))
     pages = decode(wanted.join(slim, ["warc_file", "seq", "url"], "left_semi").select("warc_file", "seq", "url", "status", "http", "body", "detected_language")).where("html IS NOT NULL")
