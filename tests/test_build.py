@@ -48,3 +48,24 @@ def test_merge(spark, rows, tmp_path):
     assert sum(c["decision_cases"] for c in m["split_counts"].values()) == rows.count() and m["inputs"] == ["a", "b"]
     with pytest.raises(ValueError, match="more than one split"):
         build.merge([(kept, {"revision": "a"}), (kept.withColumn("split", F.lit("test")), {"revision": "b"})], f"{tmp_path}/n")
+
+
+def test_collect_v0(spark):
+    untyped, article = "<p>untyped</p>" * 60, SHOP.replace('"Product"', '"Article"')
+    html = [SHOP, article, untyped, SHOP, article]
+    data = [(f"w{f}", 10 * f + i, f"https://shop{i % 2}.example/{i if i != 3 else 0}", html[i]) for f in range(2) for i in range(5)] + [("w0", 99, "no host", SHOP)]
+    df = spark.createDataFrame(data, "warc_file string, seq long, url string, html string").repartition(3)
+    urls = lambda **kw: sorted({(r.source_group, r.url[-1]) for r in build.collect_v0(df, **kw).collect()})
+    assert urls() == [("shop0.example", "0"), ("shop0.example", "4"), ("shop1.example", "0"), ("shop1.example", "1")]
+    assert urls(per_host=1) == [("shop0.example", "0"), ("shop1.example", "1")]
+    assert urls(non_product_keep=0.0) == [("shop0.example", "0"), ("shop1.example", "0")]
+    assert build.collect_v0(df).where("decision = 'page_type'").count() == 4  # each URL once
+
+
+def test_fresh_pages(spark):
+    body = NEWS.replace("The library is open.", "The library is open. " * 20)
+    data = [("w", i, f"https://h{i % 3}.example/{i}", body if i != 4 else "<p>thin") for i in range(9)]
+    df = spark.createDataFrame(data, "warc_file string, seq long, url string, html string")
+    known = spark.createDataFrame([("h0.example",)], "host string")
+    seqs = lambda **kw: sorted(r.seq for r in build.fresh_pages(df, known, **kw).collect())
+    assert seqs(per_host=2, per_file=100) == [1, 2, 5, 7] and seqs(per_host=2, per_file=3) == [1, 2, 5]

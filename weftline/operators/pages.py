@@ -88,9 +88,9 @@ def _row(when: Column, decision: str, question: str, candidates: Column, gold: C
     return F.when(when, F.struct(*(v.alias(k) for k, v in values.items())).cast(ROW))
 
 
-def _rows(parsed: DataFrame, state: Column, rows: list[Column]) -> DataFrame:
-    """One row for each decision that is not null, with the target shared evenly by the gold options."""
-    out = parsed.select("url", F.coalesce(E.host_of(F.col("url")), F.lit("")).alias("source_group"), state.alias("state"), F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r"))
+def _rows(parsed: DataFrame, state: Column, rows: list[Column], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each decision that is not null, with the target shared evenly by the gold options, and the page's columns to keep."""
+    out = parsed.select(*keep, "url", F.coalesce(E.host_of(F.col("url")), F.lit("")).alias("source_group"), state.alias("state"), F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r"))
     share = F.lit(1.0) / F.size("r.gold")
     return out.select(
         F.concat("url", F.lit("::"), "r.decision").alias("case_id"),
@@ -105,6 +105,7 @@ def _rows(parsed: DataFrame, state: Column, rows: list[Column]) -> DataFrame:
         F.transform("r.candidates", lambda c: F.when(F.array_contains(F.col("r.gold"), c["id"]), share).otherwise(0.0)).alias("target"),
         "r.label_source",
         "r.label_quality",
+        *keep,
     )
 
 
@@ -124,7 +125,7 @@ def labels_v1(parsed: DataFrame, min_chars: int = 200) -> DataFrame:
     )
 
 
-def page_rows_v1(pages: DataFrame, min_chars: int = 200) -> DataFrame:
+def page_rows_v1(pages: DataFrame, min_chars: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
     """LB-17: at most four labelled decisions of each page(url, html, http_status, detected_language)."""
     df = labels_v1(parse_v1(pages), min_chars).where(~F.col("too_little_text"))
     url = F.col("url")
@@ -143,10 +144,10 @@ def page_rows_v1(pages: DataFrame, min_chars: int = 200) -> DataFrame:
         _row(ok & F.col("language").isNotNull(), "language", K.QUESTIONS["language"], _by_hash(F.concat(own, others), F.concat(url, F.lit("#")), "id"), F.array("language"), F.to_json(F.struct(F.col("detected_language").alias("common crawl detector"), F.col("html_lang").alias("html lang"))), "agreed"),
         _row(ok & (F.size("dates") >= 2) & (F.size(right) > 0), "published_date", K.QUESTIONS["published_date"], options, right, F.to_json(F.map_from_arrays(F.array("published.source"), F.array(date))), "single"),
     ]
-    return _rows(df, F.struct(F.substring("url", 1, 300).alias("url"), "title", "page"), rows)
+    return _rows(df, F.struct(F.substring("url", 1, 300).alias("url"), "title", "page"), rows, keep)
 
 
-def page_rows_v0(pages: DataFrame) -> DataFrame:
+def page_rows_v0(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """LB-18: at most three decisions of each page(url, html) that has schema.org types and enough text."""
     df = parse_v0(pages).withColumn("label", L.v0_page_type(F.col("node_types"))).where(F.col("label").isNotNull() & (F.length("text") >= 200)).withColumn("stock", L.stock(F.col("availabilities")))
     url, product = F.col("url"), F.col("label") == "product"
@@ -162,4 +163,4 @@ def page_rows_v0(pages: DataFrame) -> DataFrame:
         _row(product & F.col("price").isNotNull() & (F.size(gold) > 0) & (F.size(other) > 0), "price_field", K.V0_QUESTIONS["price_field"], options, right, source, None),
         _row(product & F.col("stock").isNotNull(), "in_stock", K.NOUL_PREFIX + K.V0_QUESTIONS["in_stock"], _options(K.V0_STOCK), F.array(F.col("stock").cast("string")), source, None, "noul"),
     ]
-    return _rows(df, F.struct(F.substring("url", 1, 300).alias("url"), "title", "text", "link_count"), rows)
+    return _rows(df, F.struct(F.substring("url", 1, 300).alias("url"), "title", "text", "link_count"), rows, keep)

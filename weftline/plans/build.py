@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import exprs as E
 from ..operators import dataset as D
+from ..operators import pages as P
 from ..sources import files, stages
 
 ROW = ("case_id", "source_group", "workflow", "state", "question", "question_type", "candidates", "target", "label_source", "label_quality")
@@ -53,6 +54,29 @@ def manifest(rows: DataFrame, name: str, **extra) -> dict:
     return {"dataset": name, "revision": revision, "split_unit": "whole hosts", **extra, "split_counts": counts}
 
 
+def collect_v0(pages: DataFrame, *, per_host: int = 20, non_product_keep: float = 1.0) -> DataFrame:
+    """DS-3: the rows of labelled pages(warc_file, seq, url, html): hosts only, other than products by hash, the first of each URL over all files,
+    and the first so many pages of each host as they come (WN-4, WN-5, PF-6)."""
+    at = ["warc_file", "seq"]
+    rows = P.page_rows_v0(pages.where(E.host_of(F.col("url")) != ""), keep=tuple(at))
+    rows = stages.cut(rows, "rows")
+    product = (F.col("decision") == "page_type") & (E.gold_label(F.col("candidates.id"), F.col("target")) == "product")
+    one = rows.groupBy(*at, "url", "source_group").agg(F.max(product.cast("int")).alias("product"))
+    kept = one.where(E.keep_by_hash(F.col("url"), non_product_keep, (F.col("product") == 1) | F.lit(non_product_keep >= 1)))
+    kept = D.running_cap(D.first_wins(kept, ["url"], at), "source_group", at, per_host)
+    return rows.join(kept.select(*at, "url"), [*at, "url"], "left_semi").drop(*at)
+
+
+def fresh_pages(pages: DataFrame, known_hosts: DataFrame, *, per_host: int, per_file: int) -> DataFrame:
+    """DS-13, PF-14: parsed pages(warc_file, seq, url, html, ...) of hosts outside known_hosts(host) that are not thin: so many of a host
+    in each file, so many of each file, as they come."""
+    parsed = P.parse_v1(pages).withColumn("host", E.host_of(F.col("url"))).where((F.col("host") != "") & (F.length("page") >= 200))
+    fresh = parsed.join(known_hosts.select("host").distinct(), "host", "left_anti")
+    w = Window.partitionBy("warc_file", "host").orderBy("seq")
+    few = fresh.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_host).drop("_n")
+    return D.running_cap(few, "warc_file", ["seq"], per_file)
+
+
 def _write(rows: DataFrame, out: str, name: str, **extra) -> dict:
     rows = stages.cut(rows, "dataset")
     files.write_jsonl(rows.select("split", *(c for c in ROW if c in rows.columns)), out, ["split"])
