@@ -207,6 +207,17 @@ def test_predict_averages_orders(spark):
     assert even.choice == "b" and abs(even.probabilities["a"] - even.probabilities["c"]) < 1e-9
 
 
+def test_engine_settings(spark, tmp_path):
+    (tmp_path / "engine.json").write_text(json.dumps({"name": "e", "temperature": 2.0, "temperature_by_type": {"noul": 0.5}, "abstain_below": 0.9, "max_tokens": 512}, indent=1))
+    e = T.Engine.load(spark, str(tmp_path / "engine.json"), T.OverlapScorer(1.0), orders=1)
+    body = json.dumps({"state": "", "questions": {"c": {"instructions": "x", "criteria": {"a": "1", "b": "2"}}, "n": {"type": "noul", "instructions": "y"}}})
+    got = {r.qid: r.answer for r in e.predict(spark.createDataFrame([(1, body)], "request_id long, body string")).collect()}
+    assert abs(got["c"].probabilities["a"] - 0.6225) < 1e-4 and abs(got["n"].noul - 0.1192) < 1e-4 and got["c"].abstain
+    for bad in ({"orders": 0}, {"temperature": 0.0}, {"temperature_by_type": {"noul": -1.0}}):
+        with pytest.raises(ValueError):
+            T.Engine(T.OverlapScorer(), **bad)
+
+
 def test_benchmark_rows(spark):
     q = {"q1": {"type": "choice", "instructions": "Which?", "criteria": {"a": "A", "b": "B"}}, "q2": {"type": "score", "instructions": "How?", "criteria": ["lo", "hi"]}, "q3": {"type": "noul", "instructions": "Yes.", "criteria": None}}
     gold = {"q1": {"probabilities": {"a": 3, "b": 1}}, "q2": {"probabilities": {"0": 0.5, "1": 0.5}}, "q3": {"probabilities": {"false": 0, "true": 1}}}

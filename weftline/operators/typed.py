@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -138,6 +139,36 @@ def predict(requests: DataFrame, scorer: Scorer, *, orders: int = 1, temperature
     return answers.unionByName(bad, allowMissingColumns=True)
 
 
+@dataclass(frozen=True)
+class Engine:
+    """A scorer with its settings (HX-5): orders averaged over, temperatures, the bound to abstain below."""
+
+    scorer: Scorer
+    name: str = "engine"
+    orders: int = 1
+    temperature: float = 1.0
+    temperature_by_type: dict[str, float] = field(default_factory=dict)
+    abstain_below: float | None = None
+
+    def __post_init__(self) -> None:
+        if self.orders < 1:
+            raise ValueError("orders must be at least 1")
+        for t in (self.temperature, *self.temperature_by_type.values()):
+            if not (0 < t < float("inf")):
+                raise ValueError("temperature must be positive")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, scorer: Scorer, **changed) -> Engine:
+        """Settings from a JSON file on any store Spark reads (SC-6); the scorer brings its own weights."""
+        found = json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))  # one small file of settings
+        known = {k: found[k] for k in ("name", "orders", "temperature", "temperature_by_type", "abstain_below") if found.get(k) is not None}
+        return cls(scorer, **(known | changed))
+
+    def predict(self, requests: DataFrame) -> DataFrame:
+        temperatures = {k: self.temperature_by_type.get(k, self.temperature) for k in PREFIX}
+        return predict(requests, self.scorer, orders=self.orders, temperature=temperatures, abstain_below=self.abstain_below)
+
+
 def benchmark_rows(cases: DataFrame, types: tuple[str, ...] = ("choice",)) -> DataFrame:
     """DS-9: decision rows of cases(id, workflow, state, questions, gold), the last three JSON text."""
     spec = "map<string,struct<type:string,instructions:string,criteria:string>>"
