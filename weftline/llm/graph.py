@@ -288,7 +288,7 @@ def _index(classes: DataFrame, threshold: float, overlap: int, members: int, lim
     counts = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     share = min(1.0, sample / max(1, total))
-    rows = classes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).select("node", "dim", "emb").orderBy("node").toLocalIterator()
+    rows = classes.where(shared.drawn(share, "node")).select("node", "dim", "emb").orderBy("node").toLocalIterator()
     drawn: dict[int, list] = {}
     for r in rows:
         drawn.setdefault(r["dim"], []).append(r["emb"])
@@ -333,7 +333,7 @@ def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int =
     """Share of the brute-force links that were found, over a sample of at most about `queries` classes against all."""
     total = classes.count()
     share = min(1.0, queries / max(1, total))
-    drawn = [(r["node"], r["emb"]) for r in classes.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20)))).select("node", "emb").collect()]
+    drawn = [(r["node"], r["emb"]) for r in classes.where(shared.drawn(share, "node", F.lit(1))).select("node", "emb").collect()]
     if not drawn:
         return 1.0
     true = classes.select("node", "size", "dim", "emb").mapInArrow(_brute(drawn, threshold), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))

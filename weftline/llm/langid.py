@@ -176,7 +176,9 @@ def learn(docs: DataFrame, train: Column, sample_bytes: int = 24 << 20, most: in
     if not langs:
         return Model([], np.zeros(0), {})
     share = [min(1.0, sample_bytes / len(langs) / max(1, size[x][0])) for x in langs]
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(F.create_map(*(F.lit(v) for x, p in zip(langs, share, strict=True) for v in (x, int(p * (1 << 20))))), F.col("lang"))
+    draw = F.lit(False)
+    for x, p in zip(langs, share, strict=True):
+        draw = draw | ((F.col("lang") == x) & shared.drawn(p, "doc_id"))
     found = rows.where(draw).select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator()
     words: dict[str, Counter] = {x: Counter() for x in langs}
     for r in found:

@@ -23,6 +23,15 @@ def in_remainder(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")) % modulus == remainder
 
 
+#: Steps of a draw: fine enough for a sample of a few rows out of 10**11.
+DRAW = 1 << 40
+
+
+def drawn(share: float, *keys: str | Column) -> Column:
+    """A draw of about that share of rows by a hash of the keys; all rows at 1."""
+    return F.pmod(F.xxhash64(*keys), F.lit(DRAW).cast("long")) < F.lit(int(share * DRAW)).cast("long")
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, by exact name: extra or clashing ones do no harm."""
     return df.select(*(F.col(f"`{n}`") for n in names))

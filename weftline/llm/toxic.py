@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_rows: int
     known = labels.where(F.col("toxic").isNotNull() & train_rows).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.count()
     share = min(1.0, most_rows / max(1, total))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    drawn = known.where(shared.drawn(share, "doc_id"))
     # at most about `most_rows` small rows, so they can be sent to every worker, and the texts stay where they are; copies of a text count once
     sample = shared.cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "labelled")
     size = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("yes")).first()
