@@ -9,6 +9,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, graph, hmm, jaccard, langid, registry, shared, suffixes
 
@@ -140,6 +141,28 @@ def test_forward_sums_all_paths():
         m = hmm.Model(norm(st[0] + 1e-12), norm(st[0] + 1e-12), norm(mv + 1e-12), emit / emit.sum(axis=0), m.hashes, m.counts, m.share, back=m.back)
 
 
+def test_states_are_learned_from_all_texts(spark):
+    """A start from a twentieth of the texts ends where a start from all of them ends: at a round over all texts that gains next to nothing."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(800):
+        topic = rng.integers(0, 3)
+        words = []
+        for _ in range(100):
+            topic = topic if rng.random() < 0.95 else rng.integers(0, 3)
+            words.append(f"w{topic}x{int(3000 * rng.random() ** 2)}")
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = hmm.token_counts(df).cache()
+
+    def mean(**kw):
+        model = hmm.train(df, counts, states=3, most=10_000, **kw)
+        r = hmm.score_texts(df.withColumn("held_out", F.lit(False)), model, counts).agg(F.sum("score"), F.sum("n_tokens")).first()
+        return r[0] / r[1]
+
+    assert abs(mean(sample_tokens=4000) - mean(sample_tokens=10**9)) < 0.01
+
+
 def test_toxicity(spark, tables):
     got = run(spark, tables, "op7_")
     assert len(got) == len(tables["docs"])

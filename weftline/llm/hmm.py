@@ -6,9 +6,10 @@ for training count c, the class's tokens N_class and distinct tokens V_class; th
 proper distribution over all tokens, the part that depends on states is bounded by `most`, and the counts of all others stay distributed:
 they are joined to the texts' tokens, never collected.
 
-Training: word counts over all training texts; Baum-Welch on a bounded sample (`sample_tokens`) to tell the states apart; then `rounds` of Baum-Welch
-over all training texts, whose expected counts each partition sums and the shuffle adds up. There texts are taken in stretches of
-`STRETCH` tokens; scores take whole texts. A text's score is the log10 of its exact probability, summed over all state paths.
+Training: word counts over all training texts; Baum-Welch on a bounded sample (`sample_tokens`) gives a start; from there Baum-Welch over
+all training texts, whose expected counts each partition sums and the shuffle adds up, round after round until one gains less than `gain` log10 per token over
+all of them, at most `rounds`. There texts are taken in stretches of `STRETCH` tokens, written once as symbols; scores take whole texts.
+A text's score is the log10 of its exact probability, summed over all state paths.
 
 Null and empty texts are one end token. Repeated rows score alike. With nothing to train on, every token has the probability of an
 unseen one. An empty table gives an empty result. Extra columns are dropped.
@@ -17,7 +18,7 @@ unseen one. An empty table gives an empty result. Extra columns are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -134,38 +135,41 @@ def forward(model: Model, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def expected(model: Model, sym: np.ndarray, first: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch's expected counts: emissions (symbol, state), moves (state, state), starts (two rows: of texts, of later stretches)."""
+    return _expected(model, sym, first, heads)[:3]
+
+
+def _expected(model: Model, sym: np.ndarray, first: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """As above, and the natural log of the sequences' probability. Works in the precision of the model's emissions."""
     states = len(model.start)
     order, at, live = _by_length(first)
     emits, moves, starts = np.zeros((len(model.emit), states)), np.zeros((states, states)), np.zeros((2, states))
     if not len(live):
-        return emits, moves, starts
-    a = np.where(heads[order][:, None], model.start, model.inner)
-    alpha, scales = [], []
+        return emits, moves, starts, 0.0
+    # token by token of all sequences: those at t are the rows off[t] to off[t + 1]
+    off = np.concatenate([[0], np.cumsum(live)])
+    who = sym[at[np.arange(off[-1]) - np.repeat(off[:-1], live)] + np.repeat(np.arange(len(live)), live)]
+    emit, one, turned = model.emit[who], np.ones(states, model.emit.dtype), np.ascontiguousarray(model.move.T)
+    alpha, scales = np.empty_like(emit), np.empty(len(who), emit.dtype)
     for t, n in enumerate(live):
-        a = (a[:n] if t == 0 else a[:n] @ model.move) * model.emit[sym[at[:n] + t]]
-        scale = a.sum(axis=1)
-        a = a / scale[:, None]
-        alpha.append(a)
-        scales.append(scale)
-    beta = np.ones((live[-1], states))
-    who, what = [], []
-    for t in range(len(live) - 1, -1, -1):
-        n = live[t]
-        gamma = alpha[t] * beta
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        who.append(sym[at[:n] + t])
-        what.append(gamma)
-        if t:
-            ahead = model.emit[who[-1]] * beta / scales[t][:, None]
-            moves += alpha[t - 1][:n].T @ ahead
-            beta = np.vstack([ahead @ model.move.T, np.ones((live[t - 1] - n, states))])
-        else:
-            h = heads[order]
-            starts[0], starts[1] = gamma[h].sum(axis=0), gamma[~h].sum(axis=0)
-    who = np.concatenate(who)
+        a, now = alpha[off[t] : off[t + 1]], slice(off[t], off[t + 1])
+        a[:] = np.where(heads[order][:, None], model.start, model.inner) if t == 0 else alpha[off[t - 1] : off[t - 1] + n] @ model.move
+        a *= emit[now]
+        scales[now] = a @ one
+        a /= scales[now, None]
+    beta = np.ones_like(emit)
+    for t in range(len(live) - 1, 0, -1):
+        now, before = slice(off[t], off[t + 1]), slice(off[t - 1], off[t - 1] + live[t])
+        ahead = emit[now] * beta[now]
+        ahead /= scales[now, None]
+        moves += alpha[before].T @ ahead
+        beta[before] = ahead @ turned
+    alpha *= beta
+    alpha /= (alpha @ one)[:, None]
+    h = heads[order]
+    starts[0], starts[1] = alpha[: live[0]][h].sum(axis=0), alpha[: live[0]][~h].sum(axis=0)
     for s in range(states):
-        emits[:, s] = np.bincount(who, np.concatenate([x[:, s] for x in what]), len(emits))
-    return emits, moves * model.move, starts
+        emits[:, s] = np.bincount(who, alpha[:, s], len(emits))
+    return emits, moves * model.move, starts, float(np.log(scales, dtype=np.float64).sum())
 
 
 def reestimated(model: Model, emits: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> Model:
@@ -196,23 +200,43 @@ def _fed(model: Model, column: pa.Array, most: int) -> Iterator[tuple[int, int,
             parts, n, begin = [], 0, hi
 
 
+def _encode(sent):
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, _, sym, first, _ in _fed(sent.value, b.column("text"), _BLOCK):
+                cuts, heads = _stretches(first)
+                # byte by byte: the upper ones are almost all zero, and compression takes them away
+                cols = [sym.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), cuts.astype("<i8").tobytes(), heads.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], names=["sym", "cuts", "heads"])
+
+    return step
+
+
 def _expect(sent):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         states = len(model.start)
-        total = [np.zeros((len(model.emit), states)), np.zeros((states, states)), np.zeros((2, states))]
+        total = [np.zeros((len(model.emit), states)), np.zeros((states, states)), np.zeros((2, states)), 0.0]
         for b in batches:
-            for _, _, _, sym, first, _ in _fed(model, b.column("text"), _BLOCK):
-                cuts, heads = _stretches(first)
-                for x, y in zip(total, expected(model, sym, cuts, heads), strict=True):
-                    x += y
-        rows = np.concatenate([total[0], total[1], total[2]])
+            for r in range(b.num_rows):
+                sym, cuts, heads = (b.column(c)[r].as_py() for c in ("sym", "cuts", "heads"))
+                sym = np.frombuffer(sym, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+                got = _expected(model, sym, np.frombuffer(cuts, "<i8"), np.frombuffer(heads, bool))
+                total = [x + y for x, y in zip(total, got, strict=True)]
+        last = np.zeros((1, states))
+        last[0, 0] = total[3]
+        rows = np.concatenate([*total[:3], last]).astype(np.float32)
         some = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(rows[some, s]) for s in range(states))], names=["row", *(f"s{s}" for s in range(states))])
 
     return step
 
 
+def _single(model: Model) -> Model:
+    """In single precision; the counts that come of it are summed in double."""
+    return replace(model, **{x: getattr(model, x).astype(np.float32) for x in ("start", "inner", "move", "emit")})
+
+
 def _least_count(counts: DataFrame, most: int) -> float:
     """A count that at most `most` tokens reach, from a histogram in steps of a sixteenth of a power of two."""
     step = F.floor(F.log2(F.col("c")) * 16).cast("int")
@@ -225,7 +249,7 @@ def _least_count(counts: DataFrame, most: int) -> float:
     return float("inf") if least is None else least
 
 
-def train(texts: DataFrame, counts: DataFrame, states: int = 12, most: int = 65_536, sample_tokens: int = 300_000, rounds: int = 1, seed: int = 7) -> Model:
+def train(texts: DataFrame, counts: DataFrame, states: int = 12, most: int = 65_536, sample_tokens: int = 300_000, rounds: int = 40, gain: float = 0.001, seed: int = 7) -> Model:
     spark = texts.sparkSession
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = whole["n"] or 0, whole["v"]
@@ -253,16 +277,25 @@ def train(texts: DataFrame, counts: DataFrame, states: int = 12, most: int = 65_
     for _, _, _, sym, first, _ in _fed(model, held, 1 << 40):
         cuts, heads = _stretches(first)
         for _ in range(20):
-            model = reestimated(model, *(x / share for x in expected(model, sym, cuts, heads)))
+            model = reestimated(model, *expected(model, sym, cuts, heads))
     k = len(back)
+    cols = ", ".join(f"s{s} float" for s in range(states))
+    sent = spark.sparkContext.broadcast(model)  # `most` bounds it
+    coded = shared.cut(texts.select("text").mapInArrow(_encode(sent), "sym binary, cuts binary, heads binary"), "coded")
+    sent.unpersist()
+    last = -np.inf
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(model)  # `most` bounds it
-        cols = ", ".join(f"s{s} double" for s in range(states))
-        sums = texts.select("text").mapInArrow(_expect(sent), f"row int, {cols}").groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toPandas()
-        rows = np.zeros((k + states + 2, states))
+        sent = spark.sparkContext.broadcast(_single(model))
+        sums = coded.mapInArrow(_expect(sent), f"row int, {cols}").groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toPandas()
+        rows = np.zeros((k + states + 3, states))
         rows[sums["row"].to_numpy()] = sums[[f"s{s}" for s in range(states)]].to_numpy()
-        model = reestimated(model, rows[:k], rows[k : k + states], rows[k + states :])
+        model = reestimated(model, rows[:k], rows[k : k + states], rows[k + states : k + states + 2])
         sent.unpersist()
+        spark.sparkContext._jvm.System.gc()  # lets go of the round's shuffle files, else they add up
+        now = rows[-1, 0] / np.log(10) / total
+        if now - last < gain:
+            break
+        last = now
     return model
 
 
