@@ -266,6 +266,22 @@ def test_embedding_subshards_and_recall(spark):
     assert 0.9 * true <= found <= true
 
 
+def test_audit_is_not_outvoted_and_always_runs(spark, monkeypatch):
+    """One group of 200 whose links are all found, 100 pairs whose links are all missed: most drawn vectors with links lack half or all."""
+    rng = np.random.default_rng(2)
+    heads = rng.normal(size=(101, 32))
+    x = np.concatenate([heads[:1] + rng.normal(size=(200, 32)) * 0.01, np.repeat(heads[1:], 2, axis=0) + rng.normal(size=(200, 32)) * 0.01])
+    classes = spark.createDataFrame([(i, 1, 32, [float(a) for a in v]) for i, v in enumerate(x)], "node long, size long, dim int, emb array<float>")
+    links = spark.createDataFrame([(i, 0, 199) for i in range(200)], "node long, other long, add long")
+    assert 0.4 < graph.audit(classes, links, 0.95, queries=400) < 0.6
+    # none of the few drawn at first has links: more are drawn
+    alone = spark.createDataFrame([(i, 1, 32, [float(a) for a in rng.normal(size=32)]) for i in range(400, 3000)], classes.schema)
+    assert graph.audit(classes.where("node >= 200").unionAll(alone), links.where("node < 0"), 0.95, queries=4) < 0.1
+    monkeypatch.setattr(graph, "audit", lambda *a, **kw: 0.0)
+    with pytest.raises(RuntimeError, match="overlap 8"):
+        graph.near_duplicates(classes.select(F.col("node").alias("vec_id"), F.col("emb").alias("embedding")), most_overlap=8)
+
+
 def test_sharding(spark, tables):
     got = run(spark, tables, "op5_")
     assert len(got) == len(tables["docs"])

@@ -5,9 +5,9 @@ shards overlap), and a shard that would exceed `limit` members is dealt into sub
 candidates are its nearest members and some of every ring of falling similarity, robust pruning keeps those that no kept nearer one makes needless, and edges go
 both ways. The adjacency lists of a class from all its shards are united. Then every class is searched in its shards: a greedy beam from
 the shard's medoids, and once it is within range, an expansion over neighbours that are within range (less a slack) until none is new. Found pairs are
-verified in double precision. A pair of two shards' members is judged in the first shard both are in, and between sub-shards by the later one. A shard
-gives back sums and a spanning star of each linked cluster, not its pairs. At last recall is audited: a bounded sample of vectors is compared with all
-others by brute force, and with too low a recall the index is built anew with more overlap.
+verified in double precision. A pair of two shards' members counts as a link in the first shard both are in (between sub-shards: in the later one); it joins
+their components in whichever finds it. A shard gives back sums and a spanning star of each linked cluster, not its pairs. At last recall is audited: a bounded sample of vectors is compared with all
+others by brute force, and with too low a recall the index is built anew with more overlap; if the most overlap fails too, an error is raised.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different lengths don't link. Repeated rows are
 vectors of their own. An empty table gives an empty result. Extra columns are dropped.
@@ -211,7 +211,7 @@ def _search(threshold: float):
         shards = np.stack([np.asarray(s) for s in t["shards"].to_numpy()])
         here = t["shard"][0].as_py()
         member = np.flatnonzero(role == 0)
-        out = (np.zeros(0, np.int64),) * 2
+        out = (*(np.zeros(0, np.int64),) * 2, np.zeros(0, bool))
         if len(member):
             x = exact[member].astype(np.float32)
             place = {v: i for i, v in enumerate(node[member].tolist())}
@@ -227,21 +227,20 @@ def _search(threshold: float):
                 part = np.arange(lo, min(len(node), lo + 512))
                 i, j = search(x, adj, entries, exact[part].astype(np.float32), threshold, own[part])
                 i, j = part[i], member[j]
-                # the first shard that both are in; each pair once
+                # links count in the first shard that both are in; each pair once. Components take a pair from any shard
                 both = (shards[i][:, :, None] == shards[j][:, None, :]).any(axis=2)
                 first = np.where(both, shards[i], np.iinfo(np.int32).max).min(axis=1)
-                ok = (first == here) & (i != j)
-                i, j = i[ok], j[ok]
+                first, i, j = first[i != j] == here, i[i != j], j[i != j]
                 ok = np.concatenate([np.einsum("ij,ij->i", exact[i[a : a + 65536]], exact[j[a : a + 65536]]) >= threshold for a in range(0, len(i), 65536)] or [np.zeros(0, bool)])
-                i, j = i[ok], j[ok]
+                first, i, j = first[ok], i[ok], j[ok]
                 low, high = np.minimum(i, j), np.maximum(i, j)
-                found.append(low * len(node) + high)
+                found.append((low * len(node) + high) * 2 + first)
             pairs = np.unique(np.concatenate(found))
-            out = pairs // len(node), pairs % len(node)
-        left, right = out
+            out = pairs // 2 // len(node), pairs // 2 % len(node), pairs % 2 == 1
+        every, (left, right) = out[:2], (x[out[2]] for x in out[:2])
         add = np.bincount(left, size[right], len(node)) + np.bincount(right, size[left], len(node)) if len(left) else np.zeros(len(node))
-        root = _roots(len(node), left, right)
-        linked = np.flatnonzero(add)
+        root = _roots(len(node), *every)
+        linked = np.unique(np.concatenate(every))
         return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]]), pa.array(add[linked].astype(np.int64))], names=["node", "other", "add"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,20 +328,26 @@ def _brute(queries: list[tuple[int, list[float]]], threshold: float):
     return step
 
 
-def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int = 256) -> float:
-    """Share of the brute-force links that were found, over a sample of at most about `queries` classes against all."""
+def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int = 256, enough: int = 32, most: int = 4096) -> float:
+    """Mean over drawn classes that have links of the share of their brute-force links that were found, so that no large group outvotes the others.
+
+    About `queries` classes are drawn, and four times as many, up to `most`, until `enough` have links or all classes are drawn.
+    """
     total = classes.count()
-    share = min(1.0, queries / max(1, total))
-    drawn = [(r["node"], r["emb"]) for r in classes.where(shared.drawn(share, "node", F.lit(1))).select("node", "emb").collect()]
-    if not drawn:
-        return 1.0
-    true = classes.select("node", "size", "dim", "emb").mapInArrow(_brute(drawn, threshold), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     got = links.groupBy("node").agg(F.sum("add").alias("add"))
-    r = true.join(got, "node", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("add", F.lit(0)))).alias("add")).first()
-    return 1.0 if not r["n"] else r["add"] / r["n"]
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int = 2, members: int = 1500, limit: int = 6000, sample: int = 16_384, recall: float = 0.98) -> DataFrame:
+    while total:
+        share = min(1.0, queries / total)
+        drawn = [(r["node"], r["emb"]) for r in classes.where(shared.drawn(share, "node", F.lit(1))).select("node", "emb").collect()]
+        if drawn:
+            true = classes.select("node", "size", "dim", "emb").mapInArrow(_brute(drawn, threshold), "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).where("n > 0")
+            r = true.join(got, "node", "left").agg(F.count(F.lit(1)).alias("n"), F.avg(F.least("n", F.coalesce("add", F.lit(0))) / F.col("n")).alias("recall")).first()
+            if r["n"] >= enough or share == 1.0 or queries >= most:
+                return r["recall"] if r["n"] else 1.0
+        queries = min(most, queries * 4) if queries < most else queries * 4
+    return 1.0
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int = 2, members: int = 1500, limit: int = 6000, sample: int = 16_384, recall: float = 0.98, most_overlap: int = 32) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding)."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("emb"))
     fine = F.col("emb").isNotNull() & F.forall("emb", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("emb", lambda v: v != 0)
@@ -351,8 +356,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int =
     classes = shared.cut(classes, "classes")
     while True:
         links = shared.cut(_index(classes, threshold, overlap, members, limit, sample), "links")
-        if overlap >= 8 or audit(classes, links, threshold) >= recall:
+        found = audit(classes, links, threshold)
+        if found >= recall:
             break
+        if overlap >= most_overlap:
+            raise RuntimeError(f"the index found {found:.4f} of the links at overlap {overlap}, less than {recall}")
         overlap *= 2
     roots = shared.components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     sums = links.groupBy("node").agg(F.sum("add").alias("add"))
