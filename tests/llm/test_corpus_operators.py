@@ -54,6 +54,17 @@ def test_unseen_words_fall_back_to_ngrams(spark, tables):
     assert got[1] == "de" and got[2] == "fr" and got[3] == "de" and got[4] in ("de", "en", "fr")
 
 
+def test_pipeline_keeps_documents_of_unsure_language(spark, tmp_path):
+    """A word that four languages share leaves each with a quarter of the posterior: a language is named, and the document stays."""
+    rows = [(10 * i + k, f"shared {x}word shared", x) for i in range(12) for k, x in enumerate(("de", "en", "es", "fr"))]
+    docs = spark.createDataFrame([*rows, (900, "shared", "en"), (901, "123", "en")], "doc_id long, text string, lang string")
+    model = langid.learn(docs, ~shared.in_remainder("doc_id", 4, 2))
+    r = langid.predict(docs.where("doc_id = 900"), model).first()
+    assert r.lang_pred != "und" and r.score < 0.5
+    kept = {r.doc_id for r in langid.keep_identified(spark, docs, str(tmp_path)).collect()}
+    assert 900 in kept and 901 not in kept
+
+
 def test_jaccard_join(spark, tables):
     got = run(spark, tables, "op4_")
     assert len(got) == len(tables["docs"])
