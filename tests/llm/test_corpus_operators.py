@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, graph, hmm, jaccard, langid, registry, shared, suffixes
+from weftline.llm import decontaminate, graph, hmm, jaccard, langid, registry, shard, shared, suffixes
 
 
 def crc(doc_id):
@@ -306,6 +306,14 @@ def test_sharding(spark, tables):
     assert all(same.setdefault(r["doc_id"], r["shard"]) == r["shard"] for r in got)
 
 
+def test_slots_follow_doc_id_over_many_buckets(spark):
+    docs = spark.createDataFrame([(int(i), f"text {i}") for i in np.random.default_rng(4).permutation(3000)] + [(None, "a"), (7, "a")], "doc_id long, text string")
+    got = shard.shard_documents(docs, 3, rows_per_bucket=100).collect()
+    for s in range(3):
+        rows = sorted((r for r in got if r.shard == s), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size))
+        assert [r.slot for r in rows] == list(range(len(rows)))
+
+
 def test_weights_move_rows_only_to_what_grew(spark):
     from pyspark.sql import functions as F
 

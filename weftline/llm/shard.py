@@ -70,8 +70,17 @@ def place(df: DataFrame, key: Column, trees: dict[str, list[Leaf]]) -> DataFrame
     return drawn.withColumns(out).drop("_key", *names.values())
 
 
-def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
-    """Every document's shard, its place there, and its shard if there were one more."""
+def _range(rows: DataFrame, rows_per_bucket: int) -> Column:
+    """A row's bucket of about that many rows, by ranges of doc_id; nulls come first. Rows with one id share a bucket."""
+    n = -(-rows.count() // rows_per_bucket)
+    bounds = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    if not bounds:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col("doc_id").cast("double"))), F.lit(0)).cast("int")
+
+
+def shard_documents(docs: DataFrame, shards: int, rows_per_bucket: int = 50_000) -> DataFrame:
+    """Every document's shard, its place there by doc_id, and its shard if there were one more."""
     sized = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
@@ -81,7 +90,7 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     placed = place(sized, F.col("doc_id"), {"shard": topology(shards), "grown_shard": topology(shards + 1)})
     # numbering reads the rows twice: the texts are left behind first
     rows = shared.cut(placed, "shard")
-    return shared.gapless_rank(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
+    return shared.gapless_rank(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot", bucket=_range(rows, rows_per_bucket))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +99,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """Slots follow doc_id while a shard has one bucket of 50,000 rows, as at the size where SQL is compared. DuckDB has no crc32: its table is made by rule, eight steps of the reflected polynomial."""
+    """Slots follow doc_id at every size. DuckDB has no crc32: its table is made by rule, eight steps of the reflected polynomial."""
     leaves = topology(9)
     draws = ", ".join(f"-ln((CAST('0x' || substr(md5(k || ':{x.region}/{x.rack}/{x.shard}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS d{x.shard}" for x in leaves)
 

@@ -158,17 +158,17 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, inside:
 # ---------------------------------------------------------------- ranks
 
 
-def gapless_rank(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_bucket: int = 50_000, buckets: Column | None = None) -> DataFrame:
+def gapless_rank(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_bucket: int = 50_000, buckets: Column | None = None, bucket: Column | None = None) -> DataFrame:
     """Number the rows of each key from 0 without gaps, and without bringing a key's rows into one task.
 
     Each key is dealt into buckets by a hash of the order columns; rows are numbered in their bucket, and
     the buckets' counts, a table that is smaller than the input by `rows_per_bucket`, give the first number of each.
     `buckets` says how many a row's key gets, where that is known; else every key gets as many as all rows need.
-    df must be cheap to read twice. `order` should tell rows apart; rows alike in it are numbered arbitrarily.
+    `bucket` is a row's bucket itself; where it grows with `order`, so do the numbers. df must be cheap to read twice. `order` should tell rows apart; rows alike in it are numbered arbitrarily.
     """
-    if buckets is None:
+    if buckets is None and bucket is None:
         buckets = F.lit(max(1, -(-df.count() // rows_per_bucket)))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), buckets))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), buckets) if bucket is None else bucket)
     counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
