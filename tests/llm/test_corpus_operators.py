@@ -97,6 +97,28 @@ def test_many_near_copies_in_tiles(spark):
         assert got == want
 
 
+def test_documents_that_polynomials_cannot_tell_apart_are_no_copies(spark):
+    """Thue-Morse sequences of words, and of letters in one word, collide under every polynomial modulo a power of two."""
+    tm = lambda n, a, b, sep: sep.join(b if i.bit_count() & 1 else a for i in range(n))
+    rows = [(1, tm(1024, "a", "b", " ")), (2, tm(1024, "b", "a", " ")), (3, tm(1024, "a", "b", "")), (4, tm(1024, "b", "a", ""))]
+    got = {r.doc_id: (r.class_id, r.n_links, r.group_id) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (c, n, g) for d, c, n, g in jaccard.brute_force(rows)} and {c for c, _, _ in got.values()} == {1, 2, 3, 4}
+
+
+def test_span_hashes():
+    rng = np.random.default_rng(6)
+    raw = rng.integers(0, 3, 4000).astype(np.uint8)
+    starts = rng.integers(0, 3000, 3000)
+    ends = starts + rng.choice([0, 1, 5, 7, 8, 9, 16, 17, 40, 255, 256, 257, 700], 3000)
+    h = shared.span_hash(raw, starts, ends)
+    by = {}
+    for a, b, x in zip(starts, ends, h.tolist(), strict=True):
+        assert by.setdefault(raw[a:b].tobytes(), x) == x
+    assert len(set(by.values())) == len(by)
+    same = shared.same_spans(raw, starts[:-1], (ends - starts)[:-1], np.concatenate([raw, np.zeros(1000, np.uint8)]), starts[1:])
+    assert same.tolist() == [raw[a:b].tobytes() == raw[c : c + b - a].tobytes() for a, b, c in zip(starts[:-1], ends[:-1], starts[1:], strict=True)]
+
+
 def test_least_matches_is_the_posterior():
     least = jaccard.least_matches(0.8, 1e-3)
     x = np.linspace(0, 1, 200_001)
@@ -183,31 +205,81 @@ def test_toxicity(spark, tables):
     assert np.mean([r["predicted"] == int(r["doc_id"] % 12 == 5) for r in held]) > 0.95
 
 
+def _repeated(texts, width=200):
+    """Removed bytes, spans and digests by a dictionary of windows, fast enough for long texts."""
+    seen, out = Counter(), []
+    for t in texts:
+        seen.update(hash(t[s : s + width]) for s in range(len(t) - width + 1))
+    for t in texts:
+        edge = np.zeros(len(t) + 1, int)
+        for s in range(len(t) - width + 1):
+            if seen[hash(t[s : s + width])] > 1:
+                edge[s] += 1
+                edge[s + width] -= 1
+        c = np.cumsum(edge)[:-1] > 0
+        out.append((int(c.sum()), int((np.diff(c.astype(int), prepend=0) == 1).sum()), np.frombuffer(t, np.uint8)[~c].tobytes()))
+    return out
+
+
 def test_suffix_dedup(spark, tables):
     got = run(spark, tables, "op8_")
     texts = [(t or "").encode() for _, t, *_ in tables["docs"]]
-    keep = [i for i, t in enumerate(texts) if len(t) < 200_000]
-    slim = suffixes.brute_force([texts[i] if i in keep else b"" for i in range(len(texts))])
-    want = Counter()
-    for i, (removed, spans, left) in enumerate(slim):
-        if i in keep:
-            want[tables["docs"][i][0], len(texts[i]), removed, spans, hashlib.sha256(left).hexdigest()] += 1
-    have = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got)
-    missing = want - have
-    assert all(k[0] == 306 for k in missing), missing
+    short = [t if len(t) < 20_000 else b"" for t in texts]
+    assert _repeated(short) == suffixes.brute_force(short)
+    want = Counter((d, len(t), removed, spans, hashlib.sha256(left).hexdigest()) for (d, *_), t, (removed, spans, left) in zip(tables["docs"], texts, _repeated(texts), strict=True))
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
     x = next(r for r in got if r["doc_id"] == 307)  # one long run: every window repeats within the text
     assert x["n_removed"] == 300_000 and x["n_spans"] == 1
 
 
-def test_suffix_dedup_of_hot_contexts(spark):
+def test_suffix_dedup_is_the_runs_and_their_merge(spark, monkeypatch):
+    """Copies that never meet in one run: with the merge's output emptied nothing is removed."""
+    rng = np.random.default_rng(7)
+    line = bytes(rng.integers(97, 123, 900)).decode()
+    rows = [(i, bytes(rng.integers(97, 123, 300 + i)).decode() + line) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    take = lambda: {r.doc_id: r._w_n_removed for r in suffixes.remove_repeats(df, held=1, keep_text=False).collect()}
+    assert take() == {i: w[0] for i, w in enumerate(suffixes.brute_force([t.encode() for _, t in rows]))} and take()[0] >= 900
+    monkeypatch.setattr(suffixes, "_merged", lambda width: lambda batches: (b.slice(0, 0).select([]) for b in batches if False))
+    assert set(take().values()) == {0}
+
+
+def test_anchors_do_not_depend_on_blocks():
+    rng = np.random.default_rng(11)
+    raw, offsets = rng.integers(97, 99, 5000).astype(np.uint8), np.array([0, 700, 700, 850, 1200, 5000])
+    whole = suffixes.anchors(raw, offsets)
+    for block in (150, 333, 1000):
+        part = suffixes.anchors(raw, offsets, block=block)
+        assert all((whole[c] == part[c]).all() for c in whole)
+
+
+def test_united_spans():
+    rng = np.random.default_rng(12)
+    rid, start = rng.integers(0, 5, 300), rng.integers(0, 900, 300)
+    end = start + rng.integers(1, 12, 300)
+    want = {r: set() for r in range(5)}
+    for r, s, e in zip(rid, start, end, strict=True):
+        want[r] |= set(range(s, e))
+    got = {r: set() for r in range(5)}
+    rows = list(zip(*(x.tolist() for x in suffixes.united(rid, start, end)), strict=True))
+    for r, s, e in rows:
+        assert not got[r] & set(range(s, e))
+        got[r] |= set(range(s, e))
+    assert got == want and all(a[0] != b[0] or a[2] < b[1] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_suffix_dedup_of_hot_contexts(spark, monkeypatch):
     rng = np.random.default_rng(5)
     line = bytes(rng.integers(97, 123, 260)).decode()
     rows = [(i, bytes(rng.integers(97, 123, 80)).decode() + line[: 180 + i] + bytes(rng.integers(97, 123, 60)).decode() + "é") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {i: (*w[:2], hashlib.sha256(w[2]).hexdigest()) for (i, _), w in zip(rows, suffixes.brute_force([t.encode() for _, t in rows]), strict=True)}
-    for hot in (5, 100_000):
+    deal, levels = suffixes._dealt, []
+    monkeypatch.setattr(suffixes, "_dealt", lambda width, k, level, n: levels.append(level) or deal(width, k, level, n))
+    for hot in (5, 40, 100_000):
         got = {r.doc_id: (r._w_n_removed, r._w_n_spans, r._w_kept_sha256) for r in suffixes.remove_repeats(df, hot=hot, per_bucket=7, keep_text=False).collect()}
         assert got == want
+    assert {1, 2} <= set(levels)  # both finer levels were needed
 
 
 def test_loser_tree_merge():

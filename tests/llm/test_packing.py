@@ -67,3 +67,28 @@ def test_windows_are_gapless(packed):
 
 def test_empty_table(spark):
     assert pack.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def _thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+def test_words_that_polynomials_cannot_tell_apart_keep_their_ids():
+    """Thue-Morse words collide under every polynomial modulo a power of two."""
+    path = pack.tokenizer_file()
+    words = [_thue_morse(1024), _thue_morse(1024, "b", "a"), _thue_morse(2048), _thue_morse(2048, "b", "a")]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    got, _ = pack.WordTokenizer(path).encode(raw, np.array([0, len(raw)]))
+    assert got.tolist() == Tokenizer.from_file(path).encode(" ".join(words), add_special_tokens=False).ids
+
+
+def test_words_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    from weftline.llm import shared
+
+    monkeypatch.setattr(shared, "span_hash", lambda raw, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    path = pack.tokenizer_file()
+    text = "these words share a hash, all three of them; longer words, too, like unbelievable and incomprehensible ones"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    tok = pack.WordTokenizer(path)
+    for _ in range(2):
+        assert tok.encode(raw, np.array([0, len(raw)]))[0].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids

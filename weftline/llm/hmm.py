@@ -37,7 +37,7 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Each token's hash and class, ends included, and each text's first token."""
     low = shared.LOWER[raw]
     starts, ends, rows = shared.word_spans(raw, offsets, shared.IS_DARK)
-    h = shared.span_hash(shared.prefix_hash(low), starts, ends)
+    h = shared.span_hash(low, starts, ends)
     last = low[ends - 1].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64)
     before = np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0).astype(np.uint64) if len(ends) else last
     cls = (shared.mix(last * np.uint64(256) + before + np.uint64(1)) % np.uint64(CLASSES)).astype(np.int16)

@@ -7,7 +7,8 @@ judged only in the first band it shares. Within a tile signatures are compared 1
 Beta(m+1, n-m+1), and a pair whose posterior probability of reaching the threshold is below `tolerance` is dropped. The rest are verified on their
 whole sets. A tile gives back sums and a spanning star of each linked cluster, not its pairs.
 
-A pair at the threshold is missed by all bands with a chance of 3e-6, and above it far less; sets and classes are told apart by 64- and 128-bit hashes.
+A pair at the threshold is missed by all bands with a chance of 3e-6, and above it far less; shingles are told apart by 64-bit hashes, classes by the 128-bit xxh3 of
+their words' 64-bit hashes.
 Nulls, empty texts and texts without words link with nothing, not even with each other. Repeated rows are copies. An empty table
 gives an empty result. Extra columns are dropped.
 """
@@ -61,23 +62,11 @@ def signatures(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _class_keys(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each row's words."""
-    up, down = shared.powers(len(words) + 1)
-    size = np.diff(rows).astype(np.uint64)
-    out = []
-    for salt in _C[:2]:
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(shared.mix(words ^ salt) * up[: len(words)], out=sums[1:])
-        out.append(shared.mix((sums[rows[1:]] - sums[rows[:-1]]) * down[rows[:-1]] + size))
-    return out[0].view(np.int64), out[1].view(np.int64)
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi, raw, offsets in shared.slices(b.column("text")):
             x, first, words, rows = shingles(raw, offsets)
-            one, two = _class_keys(words, rows)
+            one, two = shared.keys128(words, rows)
             sig = signatures(x, first)
             flat = pa.array(sig.view(np.int32).ravel())
             sigs = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, K, dtype=np.int32)), flat)

@@ -29,11 +29,11 @@ from . import shared
 
 ORDERS = (5, 4, 3, 2, 1)
 _WORD = re.compile(r"[^\W\d_]+")
-_EDGE = 0x110000  # stands for a word's ends; the hash table has an entry for it
+_EDGE = 0x110000  # stands for a word's ends
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each code point: whether it is a letter, its lower case (where that is one code point), its hash. Made once a worker."""
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: whether it is a letter, and its lower case (where that is one code point). Made once a worker."""
     if "letters" not in shared.kept():
         every = np.arange(0x110000, dtype=np.int32)
         text = every.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
@@ -45,15 +45,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             x = text[i].lower()
             if len(x) == 1:
                 lower[i] = ord(x)
-        shared.kept()["letters"] = letter, lower, shared.mix(np.arange(1, 0x110002, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        shared.kept()["letters"] = letter, lower
     return shared.kept()["letters"]
 
 
-def _sums(points: np.ndarray) -> np.ndarray:
-    up, _ = shared.powers(len(points) + 1)
-    out = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(_tables()[2][points] * up[: len(points)], out=out[1:])
-    return out
+def _hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of code points, by their four bytes each."""
+    return shared.span_hash(points, starts * 4, ends * 4)
 
 
 def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +84,7 @@ def _grams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) ->
         begin, stop = begin + 1, stop - 1
     count = np.maximum(stop - begin - n + 1, 0)
     at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    return shared.span_hash(_sums(flat), at, at + n), count
+    return _hashes(flat, at, at + n), count
 
 
 @dataclass
@@ -134,7 +132,7 @@ class Model:
             if not len(starts):
                 continue
             points = _tables()[1][points]
-            uniq, first, back = np.unique(shared.span_hash(_sums(points), starts, ends), return_index=True, return_inverse=True)
+            uniq, first, back = np.unique(_hashes(points, starts, ends), return_index=True, return_inverse=True)
             each = self.words(points, starts[first], ends[first], uniq)
             sums = np.zeros((len(starts) + 1, len(self.languages)))
             np.cumsum(each[back], axis=0, out=sums[1:], dtype=np.float64)
@@ -207,7 +205,7 @@ def _edges(names: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     points = np.frombuffer("".join(names).encode("utf-32-le"), np.int32).copy()
     points[points == 0] = _EDGE
     ends = np.cumsum([len(x) for x in names]).astype(np.int64)
-    h = shared.span_hash(_sums(points), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+    h = _hashes(points, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
     order = np.argsort(h)
     return h[order], values[order]
 

@@ -8,7 +8,8 @@ their window by their rank among the pieces of their length; ranks are made buck
 
 Nulls and empty texts are one end token. Repeated rows are packed each for itself. An empty table gives an empty result.
 Extra columns are dropped. Ids are those of the tokenizer file on the whole text: the tokenizer drops white space and never joins
-across it, so words between white space are tokenised once and remembered by each worker.
+across it, so words between white space are tokenised once and remembered by each worker. A remembered word is found by a hash and then
+compared byte by byte; words that share a hash with another are tokenised apart.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def _words(raw: np.ndarray, offsets: np.ndarray, whole: bool) -> tuple[np.ndarra
 
 
 class WordTokenizer:
-    """Ids of whole texts, with a bounded memory of the ids of the words between white space, by their 64-bit hash."""
+    """Ids of whole texts, with a bounded memory of words between white space: their 64-bit hashes, bytes and ids. A hash finds a word, its bytes decide."""
 
     def __init__(self, path: str, remember: int = 800_000) -> None:
         from tokenizers import Tokenizer
@@ -80,6 +81,7 @@ class WordTokenizer:
         self.old, self.new = none, none  # sorted hashes and the words' numbers: many, and the latest
         self.count = self.used = 0
         self.bounds, self.flat = np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.spelt, self.text = np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint8)  # the words' bytes, and where each one's end
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The words' numbers, -1 for unknown ones."""
@@ -106,20 +108,25 @@ class WordTokenizer:
         got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
         return np.fromiter((x for ids in got for x in ids), np.uint32), np.cumsum([len(x) for x in got])
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """Keys are sorted."""
         number = np.empty(len(keys), np.int32)
+        texts = [w.decode("utf-8", "replace") for w in words]
         for alpha in (True, False):
-            at = [i for i, w in enumerate(words) if w.isalpha() is alpha]
+            at = [i for i, w in enumerate(texts) if w.isalpha() is alpha]
             for k in range(0, len(at), 20_000):
                 part = at[k : k + 20_000]
-                flat, ends = self._ids([words[i] for i in part])
-                while len(self.flat) < self.used + len(flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                while len(self.bounds) <= self.count + len(part):
-                    self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+                flat, ends = self._ids([texts[i] for i in part])
+                spelt = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
+                first = int(self.spelt[self.count])
+                self.flat = _roomy(self.flat, self.used + len(flat))
+                self.bounds = _roomy(self.bounds, self.count + len(part) + 1)
+                self.spelt = _roomy(self.spelt, self.count + len(part) + 1)
+                self.text = _roomy(self.text, first + len(spelt) + 8)
                 self.flat[self.used : self.used + len(flat)] = flat
                 self.bounds[self.count + 1 : self.count + len(part) + 1] = self.used + ends
+                self.text[first : first + len(spelt)] = spelt
+                self.spelt[self.count + 1 : self.count + len(part) + 1] = first + np.cumsum([len(words[i]) for i in part])
                 number[part] = np.arange(self.count, self.count + len(part))
                 self.used += len(flat)
                 self.count += len(part)
@@ -133,21 +140,37 @@ class WordTokenizer:
         starts, ends, rows = _words(raw, offsets, any(x.encode() in whole for x in self.special))
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        uniq, first, back = np.unique(shared.span_hash(shared.prefix_hash(raw), starts, ends), return_index=True, return_inverse=True)
-        if self.count + len(uniq) > self.remember:
+        size = ends - starts
+        uniq, first, back = np.unique(shared.span_hash(raw, starts, ends), return_index=True, return_inverse=True)
+        if self.count + len(uniq) > self.remember or self.spelt[self.count] > 64 << 20:
             self.forget()
         number = self._find(uniq)
         new = np.flatnonzero(number < 0)
         if len(new):
             at = first[new]
-            self._learn(uniq[new], [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self._learn(uniq[new], [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             number[new] = self._find(uniq[new])
         slot = number[back]
+        spelt = self.spelt[slot]
+        fits = self.spelt[slot + 1] - spelt == size
+        fits[fits] = shared.same_spans(raw, starts[fits], size[fits], self.text, spelt[fits])
         begin = self.bounds[slot].astype(np.int64)
-        size = self.bounds[slot + 1] - begin
-        end = np.cumsum(size)
-        take = np.repeat(begin - (end - size), size) + np.arange(int(end[-1]))
-        return self.flat[take], np.concatenate([[0], end])[rows]
+        count = self.bounds[slot + 1] - begin
+        flat = self.flat
+        odd = np.flatnonzero(~fits)
+        if len(odd):  # another word has their hash
+            ids = [self.tok.encode(whole[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
+            count[odd] = [len(x) for x in ids]
+            begin[odd] = self.used + np.cumsum(count[odd]) - count[odd]
+            flat = np.concatenate([flat[: self.used], np.array([x for i in ids for x in i], np.uint32)])
+        end = np.cumsum(count)
+        take = np.repeat(begin - (end - count), count) + np.arange(int(end[-1]))
+        return flat[take], np.concatenate([[0], end])[rows]
+
+
+def _roomy(x: np.ndarray, size: int) -> np.ndarray:
+    """x, or a longer copy that has room for `size`."""
+    return x if len(x) >= size else np.concatenate([x, np.zeros(max(len(x), size - len(x)), x.dtype)])
 
 
 def _tokenizer(path: str) -> WordTokenizer:

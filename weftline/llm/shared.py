@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stages import cut
 
-#: Bytes of text that one vectorised step works on; bounds a worker's memory (about 60 bytes of arrays for each).
+#: Bytes of text that one vectorised step works on. It takes about 20 bytes of arrays for each byte; a longer text is a step of its own.
 SLICE = 1 << 19
 
 
@@ -112,47 +113,83 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_P = 0x9E3779B97F4A7C15 | 1
-
-
 def kept() -> dict:
     """What a process keeps from task to task. It is no global of this package, which would travel with every function sent to the workers."""
     return sys.modules.setdefault("_weftline_kept", types.ModuleType("_weftline_kept")).__dict__
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64, for i up to n."""
-    if len(kept().get("powers", ((),))[0]) < n:
-        both = []
-        for base in (_P, pow(_P, -1, 1 << 64)):
-            x = np.full(max(n, SLICE * 2), base, np.uint64)
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        kept()["powers"] = tuple(both)
-    return kept()["powers"]
+#: Spans of more bytes are hashed one by one.
+LONG = 256
+
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number, zeros behind the end; to be indexed, not computed with as a whole."""
+    return _eights(np.concatenate([raw, np.zeros(8, np.uint8)]))
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
+def _eights(padded: np.ndarray) -> np.ndarray:
+    return np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
 
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial in the bytes, modulo 2**64; span_hash turns them into a hash of any span."""
-    up, _ = powers(len(raw) + 1)
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=out[1:])
-    return out
 
+def low_bytes(n: np.ndarray) -> np.ndarray:
+    """A mask of the first n bytes, at most all eight, of such a number."""
+    return np.where(n >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.minimum(n, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1))
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans, equal for equal bytes wherever they stand."""
-    _, down = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, equal for equal bytes wherever they stand.
+
+    Eight bytes at a time go through a bijective finaliser, so spans of up to eight bytes and one length never share a hash, and no arrangement of
+    the bytes is algebraically alike another; spans above LONG go through xxh3.
+    """
+    raw = np.ascontiguousarray(raw).view(np.uint8)
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(1))
+    if not len(size):
+        return h
+    at = eights(raw)
+    h = mix(h ^ (at[starts] & low_bytes(size)))
+    live = np.flatnonzero((size > 8) & (size <= LONG))
+    done = 8
+    while len(live):
+        rest = size[live] - done
+        h[live] = mix(h[live] ^ (at[starts[live] + done] & low_bytes(rest)))
+        done += 8
+        live = live[rest > 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].data)
+    return h
+
+
+def same_spans(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Whether each span of raw is, byte by byte, the span of the same size that begins there in other, which has eight bytes to spare."""
+    same = np.ones(len(starts), bool)
+    if not len(starts):
+        return same
+    one, two = eights(raw), _eights(other)
+    live, done = np.flatnonzero(sizes > 0), 0
+    while len(live):
+        rest = sizes[live] - done
+        alike = ((one[starts[live] + done] ^ two[begins[live] + done]) & low_bytes(rest)) == 0
+        same[live[~alike]] = False
+        live = live[alike & (rest > 8)]
+        done += 8
+    return same
+
+
+def keys128(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of the 128-bit xxh3 of each row's values."""
+    flat = np.ascontiguousarray(values).view(np.uint8).data
+    step = values.dtype.itemsize
+    digests = b"".join(xxhash.xxh3_128_digest(flat[a * step : b * step]) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True))
+    both = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each word's 64-bit hash after `table` mapped its bytes, and each row's first word."""
     s, e, rows = word_spans(raw, offsets, inside)
-    return span_hash(prefix_hash(table[raw]), s, e), rows
+    return span_hash(table[raw], s, e), rows
 
 
 # ---------------------------------------------------------------- ranks

@@ -47,7 +47,7 @@ def _hash(words: list[str]) -> np.ndarray:
         return np.zeros(0, np.uint64)
     each = [_bytes(w) for w in words]
     raw, ends = np.frombuffer(b"".join(each), np.uint8), np.cumsum([len(x) for x in each])
-    return shared.span_hash(shared.prefix_hash(raw), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64))
+    return shared.span_hash(raw, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64))
 
 
 class Reader:
@@ -75,8 +75,8 @@ class Reader:
         """(row, feature) pairs without repeats; features are the words, then PATTERNS."""
         n = len(offsets) - 1
         starts, ends, rows = shared.word_spans(raw, offsets, shared.IS_ALNUM)
-        sums = shared.prefix_hash(shared.ALNUM[raw])
-        h = shared.span_hash(sums, starts, ends)
+        low = shared.ALNUM[raw]
+        h = shared.span_hash(low, starts, ends)
         row_of = np.repeat(np.arange(n), np.diff(rows))
         insult = np.zeros(len(h), bool)
         row, feature = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -84,7 +84,7 @@ class Reader:
             which = np.arange(len(h)) if not size else np.flatnonzero(ends - starts > size)
             if not len(which):
                 continue
-            key = h if not size else shared.span_hash(sums, starts[which], starts[which] + size)
+            key = h if not size else shared.span_hash(low, starts[which], starts[which] + size)
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = keys[at] == key
             which, stem = which[hit], at[hit]
