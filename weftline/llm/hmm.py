@@ -122,14 +122,16 @@ def forward(model: Model, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.zeros(len(order))
     if not len(live):
         return out
+    off = np.concatenate([[0], np.cumsum(live)])
+    scales, one = np.empty(off[-1]), np.ones(len(model.start))
     a = np.tile(model.start, (len(order), 1))
-    log = np.zeros(len(order))
     for t, n in enumerate(live):
-        a = (a[:n] if t == 0 else a[:n] @ model.move) * model.emit[sym[at[:n] + t]]
-        scale = a.sum(axis=1)
-        a /= scale[:, None]
-        log[:n] += np.log(scale)
-    out[order] = log
+        a = a[:n] @ model.move if t else a[:n]
+        a *= model.emit[sym[at[:n] + t]]
+        now = scales[off[t] : off[t + 1]]
+        np.matmul(a, one, out=now)
+        a /= now[:, None]
+    out[order] = np.bincount(np.arange(off[-1]) - np.repeat(off[:-1], live), np.log(scales), len(order))
     return out
 
 
@@ -152,9 +154,12 @@ def _expected(model: Model, sym: np.ndarray, first: np.ndarray, heads: np.ndarra
     alpha, scales = np.empty_like(emit), np.empty(len(who), emit.dtype)
     for t, n in enumerate(live):
         a, now = alpha[off[t] : off[t + 1]], slice(off[t], off[t + 1])
-        a[:] = np.where(heads[order][:, None], model.start, model.inner) if t == 0 else alpha[off[t - 1] : off[t - 1] + n] @ model.move
+        if t:
+            np.matmul(alpha[off[t - 1] : off[t - 1] + n], model.move, out=a)
+        else:
+            a[:] = np.where(heads[order][:, None], model.start, model.inner)
         a *= emit[now]
-        scales[now] = a @ one
+        np.matmul(a, one, out=scales[now])
         a /= scales[now, None]
     beta = np.ones_like(emit)
     for t in range(len(live) - 1, 0, -1):
@@ -167,6 +172,7 @@ def _expected(model: Model, sym: np.ndarray, first: np.ndarray, heads: np.ndarra
     alpha /= (alpha @ one)[:, None]
     h = heads[order]
     starts[0], starts[1] = alpha[: live[0]][h].sum(axis=0), alpha[: live[0]][~h].sum(axis=0)
+    who = who.astype(np.intp)  # once, not once a state
     for s in range(states):
         emits[:, s] = np.bincount(who, alpha[:, s], len(emits))
     return emits, moves * model.move, starts, float(np.log(scales, dtype=np.float64).sum())
