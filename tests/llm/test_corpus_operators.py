@@ -147,6 +147,44 @@ def test_hmm(spark, tables):
         assert math.isfinite(r["score"]) and r["score"] < 0
 
 
+def _brute_scores(model, counts, rows):
+    """Each text's log10 probability, token by token in logs, from the model and a dictionary of counts."""
+    out = []
+    add = lambda x: max(x) + math.log(sum(math.exp(v - max(x)) for v in x)) if max(x) > -math.inf else -math.inf
+    k = len(model.hashes)
+    for text in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        h, cls, _ = hmm.tokens(raw, np.array([0, len(raw)]))
+        state, rare = None, 0.0
+        for x, sym in zip(h.tolist(), model.symbols(h, cls).tolist(), strict=True):
+            if sym >= k:
+                rare += math.log10(counts.get(x, 0) + 1) - model.share[sym - k]
+            emit = [math.log(v) for v in model.emit[sym]]
+            prior = [math.log(v) for v in model.start] if state is None else [add([state[i] + math.log(model.move[i, j]) for i in range(len(emit))]) for j in range(len(emit))]
+            state = [p + e for p, e in zip(prior, emit, strict=True)]
+        out.append(add(state) / math.log(10) + rare)
+    return out
+
+
+def test_hmm_scores_are_the_forward_sums(spark, tables):
+    """The query's own scores, and those of a model with few symbols, against a plain recursion; held out they beat the base."""
+    docs = spark.read.parquet(f"{tables['full']}/documents.parquet").select("doc_id", "text")
+    held = shared.in_remainder("doc_id", 7, 2)
+    texts = docs.where(~held).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counts = hmm.token_counts(texts)
+    by_hash = {r.h & (2**64 - 1): r.c for r in counts.collect()}
+    some = [(d, t) for d, t, *_ in tables["docs"] if d is not None and d < 308 and len(t or "") < 20_000]
+    for most, got in ((65_536, run(spark, tables, "op6_")), (40, [r.asDict() for r in hmm.hmm_scores(docs, held, most=40).collect()])):
+        model = hmm.train(texts, counts, most=most)
+        have = {}
+        for r in got:
+            have.setdefault(r["doc_id"], []).append(r["score"])
+        for (d, _), want in zip(some[::7], _brute_scores(model, by_hash, [t for _, t in some[::7]]), strict=True):
+            assert any(abs(x - want) < 1e-4 * max(1, abs(want)) for x in have[d]), (d, want, have[d])
+        out = [r for r in got if r["held_out"]]
+        assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
 def test_forward_sums_all_paths():
     rng = np.random.default_rng(1)
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
@@ -386,20 +424,42 @@ def test_slots_follow_doc_id_over_many_buckets(spark):
         assert [r.slot for r in rows] == list(range(len(rows)))
 
 
-def test_weights_move_rows_only_to_what_grew(spark):
-    from pyspark.sql import functions as F
+def _moves(spark, one, two, n=20_000):
+    df = shard.place(spark.range(n), F.col("id"), {"a": one, "b": two})
+    return {(r.a, r.b): r["count"] for r in df.groupBy("a", "b").count().collect()}
 
-    from weftline.llm import shard
 
-    tree = shard.topology(8)
-    grown = [shard.Leaf(x.shard, x.region, x.rack, 2.0) if x.shard == 3 else x for x in tree]
-    df = shard.place(spark.range(20_000), F.col("id"), {"a": tree, "b": grown})
-    counts = {(r.a, r.b): r["count"] for r in df.groupBy("a", "b").count().collect()}
-    assert all(a == b or b == 3 for a, b in counts)
+def test_shares_follow_weights(spark):
+    tree = [shard.Leaf(x.shard, x.region, x.rack, 1.0 + x.shard % 3) for x in shard.topology(8)]
     per = Counter()
-    for (a, b), n in counts.items():
-        per[b] += n
-    assert abs(per[3] / 20_000 - 2 / 9) < 0.02 and abs(per[0] / 20_000 - 1 / 9) < 0.02
+    for (a, _), n in _moves(spark, tree, tree, 30_000).items():
+        per[a] += n
+    whole = sum(x.weight for x in tree)
+    assert all(abs(per[x.shard] / 30_000 - x.weight / whole) < 0.015 for x in tree)
+
+
+def test_movement_stays_in_subtrees_whose_weights_change(spark):
+    tree = shard.topology(8)
+    assert all(a == b or b == 8 for a, b in _moves(spark, tree, shard.grown(tree)))
+    more = [shard.Leaf(x.shard, x.region, x.rack, 2.0) if x.shard == 3 else x for x in tree]
+    moves = {k: n for k, n in _moves(spark, tree, more).items() if k[0] != k[1]}
+    assert all(b in range(4) for _, b in moves)  # into the region that grew, and from anywhere
+    assert {a for a, _ in moves} > {4, 5, 6, 7} and not any(a in (0, 1) and b in (0, 1) for a, b in moves)
+    less = [shard.Leaf(x.shard, x.region, x.rack, 0.0) if x.shard == 3 else x for x in tree]
+    moves = {k: n for k, n in _moves(spark, tree, less).items() if k[0] != k[1]}
+    assert all(a in range(4) for a, _ in moves) and all(b != 3 for _, b in moves)
+
+
+def test_the_tree_is_no_flat_draw(spark):
+    """The least draw among the leaves would differ: inner nodes draw for themselves."""
+    import hashlib as h
+
+    def flat(key):
+        u = lambda x: (int(h.md5(f"{key}:{x.region}/{x.rack}/{x.shard}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return min(shard.topology(8), key=lambda x: -math.log(u(x))).shard
+
+    got = {r.id: r.a for r in shard.place(spark.range(500), F.col("id"), {"a": shard.topology(8)}).collect()}
+    assert sum(got[k] != flat(k) for k in got) > 100
 
 
 def test_ranks_without_gaps(spark):
