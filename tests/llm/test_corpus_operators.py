@@ -334,32 +334,46 @@ def test_loser_tree_merge():
             assert h == suffixes.common(a, b, 0)
 
 
+def _windows_found(texts, items, size=10):
+    """By a dictionary of windows: (words, words hit, item ids) of each text."""
+    split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    pats = {}
+    for i, t in items:
+        w = split(t)
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            pats.setdefault(tuple(w[k : k + size]), set()).add(str(i))
+    out = []
+    for t in texts:
+        w, hit, ids = split(t), set(), set()
+        for n in {len(p) for p in pats}:
+            for k in range(len(w) - n + 1):
+                found = pats.get(tuple(w[k : k + n]))
+                if found:
+                    hit |= set(range(k, k + n))
+                    ids |= found
+        out.append((len(w), len(hit), sorted(ids)))
+    return out
+
+
 def test_decontamination(spark, tables):
     got = run(spark, tables, "op9_")
-    assert len(got) == len(tables["docs"])
     items = [("null" if i is None else i, t) for i, t in tables["bench"]]
-    texts = {k: t for k, (_, t, *_) in enumerate(tables["docs"]) if len(t or "") < 20_000}
-    # equal item ids: judged one by one, then united
-    want = {}
-    for k in texts:
-        want[k] = [0, set(), set()]
-    for i, t in items:
-        for k, (n, _, ids) in decontaminate.brute_force(texts, {i: t}).items():
-            want[k][0] = n
-            want[k][2] |= set(ids)
-    expect = Counter((tables["docs"][k][0], n, len(ids), decontaminate.digest(sorted(ids))) for k, (n, _, ids) in want.items())
-    have = Counter((r["doc_id"], r["n_words"], r["n_items"], r["items_sha256"]) for r in got if r["doc_id"] not in (306, 307))
-    assert have == expect
-    whole = decontaminate.brute_force(texts, dict(enumerate(t for _, t in items)))
-    assert Counter((tables["docs"][k][0], h) for k, (_, h, _) in whole.items()) == Counter((r["doc_id"], r["n_hit"]) for r in got if r["doc_id"] not in (306, 307))
-    assert all(r["contaminated"] == (r["n_hit"] > 0) for r in got)
+    short = {k: t for k, (_, t, *_) in enumerate(tables["docs"]) if len(t or "") < 5_000}
+    one_each = dict(enumerate(t for _, t in items))
+    assert {k: x for k, x in zip(short, _windows_found(short.values(), one_each.items()), strict=True)} == decontaminate.brute_force(short, one_each)
+    want = _windows_found([t for _, t, *_ in tables["docs"]], items)
+    expect = Counter((d, n, hit, len(ids), decontaminate.digest(ids), hit > 0) for (d, *_), (n, hit, ids) in zip(tables["docs"], want, strict=True))
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == expect
+    assert any("null" in ids for _, _, ids in want)
 
 
 def test_decontamination_in_blocks(spark, tables):
     docs = spark.read.parquet(f"{tables['full']}/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet(f"{tables['full']}/benchmark.parquet")
-    one, many = (Counter(map(str, decontaminate.find_benchmark(docs, bench, block_bytes=b).drop("text").collect())) for b in (1 << 20, 200))
+    one, many = (Counter(map(str, decontaminate.find_benchmark(docs, bench, block_bytes=b).drop("text").collect())) for b in (1 << 20, 60))
     assert one == many
+    plan = decontaminate.find_benchmark(docs, bench, block_bytes=60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and len(decontaminate.pattern_blocks(bench, 10, 60)) > decontaminate.HELD
 
 
 def test_embeddings(spark, tables):

@@ -6,6 +6,9 @@ length class are searched together: a table over blocks of 6 bytes tells how far
 the hash of the window's last 8 bytes picks a bucket of patterns, and bytes are compared directly. Many windows of a text move
 at once, one for each stretch of it, so that the steps are vectorised.
 
+The patterns are made by the executors and written to the shared folder in blocks of bounded size. Texts are searched in one narrow stage: a task reads the
+blocks one after another for each batch of texts and holds at most HELD of them, so memory does not grow with the benchmark.
+
 Nulls, empty texts and texts without words have no words and no hits. Repeated documents are judged each for itself. An item
 without words gives no pattern; repeated item ids count once; a null item id is the text "null". Extra columns are dropped.
 """
@@ -13,6 +16,7 @@ without words gives no pattern; repeated item ids count once; a null item id is
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,6 +31,8 @@ BLOCK = 6
 TABLE = 20
 TAIL = 8
 SPACE = 32
+#: Blocks of patterns that a worker keeps.
+HELD = 4
 
 
 def normal(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,67 +146,93 @@ def windows(text: bytes, size: int) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))]
 
 
-STATE = "_w_n_words long, _w_hits array<int>, _w_items array<string>"
+class Finder:
+    """A block's search, and the items of each pattern."""
+
+    def __init__(self, patterns: dict[bytes, list[str]]) -> None:
+        self.search = WuManber(list(patterns))
+        self.names = [p for g in self.search.groups for p in g["patterns"]]
+        self.items = [patterns[p] for p in self.names]
+        self.sizes = np.array([len(p) for p in self.names], np.int64)
+
+    def find(self, text: np.ndarray) -> list[np.ndarray]:
+        return self.search.find(text)[0]
+
 
+def _finder(path: str) -> Finder:
+    """A block from the shared folder; the last HELD ones stay with the worker."""
+    held = shared.kept().setdefault("patterns", {})
+    if path not in held:
+        while len(held) >= HELD:
+            del held[next(iter(held))]
+        held[path] = pickle.loads(shared.read_parquet(path, ["payload"])["payload"][0].as_py())  # noqa: S301  written by _block
+    return held[path]
 
-def _search(patterns: dict[bytes, list[str]], first: bool):
-    """A mapInArrow step: adds the words hit and the items found to what earlier blocks of patterns found."""
-    finder = WuManber(list(patterns))
+
+def _search(blocks: list[str]):
+    """A mapInArrow step: the words hit and the items found, over all blocks."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             n_words, hits, items = np.zeros(n, np.int64), [None] * n, [None] * n
-            for lo, hi, raw, offsets in shared.slices(batch.column("text")):
+            for lo, hi, raw, offsets in shared.slices(batch.column("text"), shared.SLICE * (1 if len(blocks) <= HELD else 16)):  # blocks that must be read again are read less often
                 text, heads, words, rows = normal(raw, offsets)
                 n_words[lo:hi] = np.diff(rows)
-                (begin, which), names = finder.find(text)
-                # a row's text ends with a space and the next one's begins with its own: no match crosses rows
-                row = np.searchsorted(heads, begin, "right") - 1
-                cover = np.zeros(len(text) + 1, np.int64)
-                size = np.array([len(x) for x in names])[which] if len(which) else which
-                np.add.at(cover, begin + 1, 1)
-                np.add.at(cover, begin + size - 1, -1)
-                hit = np.cumsum(cover)[words] > 0
-                for r in np.unique(row):
-                    hits[lo + r] = np.flatnonzero(hit[rows[r] : rows[r + 1]]).astype(np.int32)
-                    items[lo + r] = sorted({i for k in np.unique(which[row == r]) for i in patterns[names[k]]})
-            old = {} if first else {k: batch.column(k).to_pylist() for k in ("_w_hits", "_w_items")}
-            if old:
-                hits = [a if b is None else b if not a else np.union1d(a, b).astype(np.int32) for a, b in zip(old["_w_hits"], hits, strict=True)]
-                items = [a if b is None else sorted({*(a or ()), *b}) for a, b in zip(old["_w_items"], items, strict=True)]
-            keep = [c for c in batch.schema.names if c not in ("_w_n_words", "_w_hits", "_w_items")]
-            cols = [batch.column(c) for c in keep] + [pa.array(n_words), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "_w_n_words", "_w_hits", "_w_items"])
+                cover = np.zeros(len(text) + 1, np.int32)
+                found: dict[int, set[str]] = {}
+                for path in blocks:
+                    finder = _finder(path)
+                    begin, which = finder.find(text)
+                    # a row's text ends with a space and the next one's begins with its own: no match crosses rows
+                    row = np.searchsorted(heads, begin, "right") - 1
+                    np.add.at(cover, begin + 1, 1)
+                    np.add.at(cover, begin + finder.sizes[which] - 1, -1)
+                    for r, k in np.unique(np.stack([row, which]), axis=1).T.tolist() if len(row) else ():
+                        found.setdefault(r, set()).update(finder.items[k])
+                if found:
+                    hit = np.cumsum(cover)[words] > 0
+                    for r, ids in found.items():
+                        hits[lo + r] = np.flatnonzero(hit[rows[r] : rows[r + 1]]).astype(np.int32)
+                        items[lo + r] = sorted(ids)
+            cols = [*batch.columns, pa.array(n_words), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "_w_n_words", "_w_hits", "_w_items"])
+
+    return step
+
+
+def _patterns(size: int):
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
+                found = sorted(set(windows(text.encode(), size)))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([item] * len(found), pa.string())], names=["pattern", "item"])
 
     return step
 
 
-def pattern_blocks(benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[dict[bytes, list[str]]]:
-    """The items' patterns in blocks of at most about `block_bytes` of item text, so that one block fits any worker."""
+def _block(t: pa.Table) -> pa.Table:
+    """A block's search as one value."""
+    found: dict[bytes, set[str]] = defaultdict(set)
+    for p, i in zip(t["pattern"].to_pylist(), t["item"].to_pylist(), strict=True):
+        found[p].add(i)
+    return pa.table({"block": t["block"].slice(0, 1), "payload": pa.array([pickle.dumps(Finder({p: sorted(i) for p, i in found.items()}))], pa.binary())})
+
+
+def pattern_blocks(benchmark: DataFrame, size: int, block_bytes: int) -> list[str]:
+    """Files in the shared folder, each with the patterns of about `block_bytes` of item text. Only their names come to the driver."""
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    for b in range(blocks):
-        out: dict[bytes, set[str]] = defaultdict(set)
-        for r in named.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).toLocalIterator():
-            for w in windows(r["text"].encode(), size):
-                out[w].add(r["item"])
-        if out or b == 0:
-            yield {k: sorted(v) for k, v in out.items()}
-
-
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
-    """docs with _w_n_words, _w_hits (indices of the words inside any occurrence) and _w_items (item ids, sorted). No shuffle.
-
-    Each block of patterns is one pass in the same stage; only a block of bounded size is sent to the workers at once.
-    """
-    kept = docs.columns
-    out = docs
-    for k, patterns in enumerate(pattern_blocks(benchmark, size, block_bytes)):
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        out = out.mapInArrow(_search(patterns, k == 0), f"{fields}, {STATE}")
-    return out.select(*(F.col(f"`{c}`") for c in kept), "_w_n_words", F.coalesce("_w_hits", F.array().cast("array<int>")).alias("_w_hits"), F.coalesce("_w_items", F.array().cast("array<string>")).alias("_w_items"))
+    blocks = int(max(1, -(-(named.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)))
+    patterns = named.mapInArrow(_patterns(size), "pattern binary, item string").withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks)))
+    made = shared.cut(patterns.groupBy("block").applyInArrow(_block, "block long, payload binary"), "patterns", apart="block")
+    return sorted(f for f in made.inputFiles() if "block=" in f)
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
+    """docs with _w_n_words, _w_hits (indices of the words inside any occurrence) and _w_items (item ids, sorted). One narrow stage."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    out = docs.mapInArrow(_search(pattern_blocks(benchmark, size, block_bytes)), f"{fields}, _w_n_words long, _w_hits array<int>, _w_items array<string>")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "_w_n_words", F.coalesce("_w_hits", F.array().cast("array<int>")).alias("_w_hits"), F.coalesce("_w_items", F.array().cast("array<string>")).alias("_w_items"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,18 @@ def drawn(share: float, *keys: str | Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(DRAW).cast("long")) < F.lit(int(share * DRAW)).cast("long")
 
 
+def read_parquet(uri: str, columns: list[str]) -> pa.Table:
+    """A file of the shared folder, read by a worker itself through Arrow's file systems."""
+    from urllib.parse import unquote, urlparse
+
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
+
+    where, path = (fs.LocalFileSystem(), unquote(urlparse(uri).path)) if urlparse(uri).scheme in ("", "file") else fs.FileSystem.from_uri(uri)
+    with where.open_input_file(path) as f:
+        return pq.ParquetFile(f).read(columns)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, by exact name: extra or clashing ones do no harm."""
     return df.select(*(F.col(f"`{n}`") for n in names))
