@@ -149,11 +149,10 @@ def windows(text: bytes, size: int) -> list[bytes]:
 class Finder:
     """A block's search, and the items of each pattern."""
 
-    def __init__(self, patterns: dict[bytes, list[str]]) -> None:
-        self.search = WuManber(list(patterns))
-        self.names = [p for g in self.search.groups for p in g["patterns"]]
-        self.items = [patterns[p] for p in self.names]
-        self.sizes = np.array([len(p) for p in self.names], np.int64)
+    def __init__(self, groups: list[dict], items: list[list[str]]) -> None:
+        self.search = WuManber([])
+        self.search.groups, self.items = groups, items
+        self.sizes = np.array([len(p) for g in groups for p in g["patterns"]], np.int64)
 
     def find(self, text: np.ndarray) -> list[np.ndarray]:
         return self.search.find(text)[0]
@@ -165,7 +164,7 @@ def _finder(path: str) -> Finder:
     if path not in held:
         while len(held) >= HELD:
             del held[next(iter(held))]
-        held[path] = pickle.loads(shared.read_parquet(path, ["payload"])["payload"][0].as_py())  # noqa: S301  written by _block
+        held[path] = Finder(*pickle.loads(shared.read_parquet(path, ["payload"])["payload"][0].as_py()))  # noqa: S301  written by _block
     return held[path]
 
 
@@ -212,11 +211,13 @@ def _patterns(size: int):
 
 
 def _block(t: pa.Table) -> pa.Table:
-    """A block's search as one value."""
+    """A block's search, made once, as one value of plain lists and arrays."""
     found: dict[bytes, set[str]] = defaultdict(set)
     for p, i in zip(t["pattern"].to_pylist(), t["item"].to_pylist(), strict=True):
         found[p].add(i)
-    return pa.table({"block": t["block"].slice(0, 1), "payload": pa.array([pickle.dumps(Finder({p: sorted(i) for p, i in found.items()}))], pa.binary())})
+    groups = WuManber(list(found)).groups
+    payload = pickle.dumps((groups, [sorted(found[p]) for g in groups for p in g["patterns"]]))
+    return pa.table({"block": t["block"].slice(0, 1), "payload": pa.array([payload], pa.binary())})
 
 
 def pattern_blocks(benchmark: DataFrame, size: int, block_bytes: int) -> list[str]:
