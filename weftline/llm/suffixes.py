@@ -467,15 +467,13 @@ def _cover(width: int, keep_text: bool):
 
 
 def _wanted(table: DataFrame) -> DataFrame:
-    """(rid, nth) of the anchors whose k-gram hash occurs again, without bringing a common one's rows into one task."""
+    """(rid, nth) of the anchors whose k-gram hash occurs again. Very common ones, at most 5,000 by their sum, need no shuffle of their rows."""
     heads = table.select("rid", F.posexplode("g").alias("nth", "g"))
     often = shared.cut(heads.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     least = max(10_000, (often.agg(F.sum("n")).first()[0] or 0) // 5_000)
-    common = often.where(F.col("n") > least).select("g")  # at most 5,000 by their sum
-    if not common.limit(1).count():
-        return heads.join(often, "g", "left_semi").select("rid", "nth")
-    marked = heads.join(F.broadcast(common.withColumn("common", F.lit(True))), "g", "left")
-    return marked.where("common").select("rid", "nth").unionAll(marked.where("common IS NULL").join(often.where(F.col("n") <= least), "g", "left_semi").select("rid", "nth"))
+    common = [r["g"] for r in often.where(F.col("n") > least).select("g").collect()]
+    rest = heads.where(~F.col("g").isin(common)).join(often.where(F.col("n") <= least), "g", "left_semi").select("rid", "nth")
+    return rest.unionAll(heads.where(F.col("g").isin(common)).select("rid", "nth")) if common else rest
 
 
 def _spans(runs: DataFrame) -> DataFrame:
