@@ -6,9 +6,9 @@ for training count c, the class's tokens N_class and distinct tokens V_class; th
 proper distribution over all tokens, the part that depends on states is bounded by `most`, and the counts of all others stay distributed:
 they are joined to the texts' tokens, never collected.
 
-Training: word counts over all training texts; Baum-Welch on a bounded sample (`sample_tokens`) gives a start; from there Baum-Welch over
-all training texts, whose expected counts each partition sums and the shuffle adds up, round after round until one gains less than `gain` log10 per token over
-all of them, at most `rounds`. There texts are taken in stretches of `STRETCH` tokens, written once as symbols; scores take whole texts.
+Training: word counts over all training texts; Baum-Welch on a bounded sample (`sample_tokens`) gives a start; from there Baum-Welch over growing shares of
+the training texts (SHARES) and then over all of them, whose expected counts each partition sums and the shuffle adds up. A share is left when a round
+gains less than `gain` log10 per token over the one before, all texts likewise, after `rounds` at most. There texts are taken in stretches of `STRETCH` tokens, written once as symbols; scores take whole texts.
 A text's score is the log10 of its exact probability, summed over all state paths.
 
 Null and empty texts are one end token. Repeated rows score alike. With nothing to train on, every token has the probability of an
@@ -17,6 +17,7 @@ unseen one. An empty table gives an empty result. Extra columns are dropped.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -30,6 +31,8 @@ from . import shared
 CLASSES = 256
 STRETCH = 512
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
+#: Shares of the texts, in sixteenths, that Baum-Welch settles on one after another. Early rounds move the model far and need few texts for it.
+SHARES = (1, 4, 16)
 _BLOCK = 1 << 18  # tokens that Baum-Welch holds at once, about 300 bytes each; scores hold twice as many
 
 
@@ -161,15 +164,22 @@ def _expected(model: Model, sym: np.ndarray, first: np.ndarray, heads: np.ndarra
         a *= emit[now]
         np.matmul(a, one, out=scales[now])
         a /= scales[now, None]
-    beta = np.ones_like(emit)
-    for t in range(len(live) - 1, 0, -1):
-        now, before = slice(off[t], off[t + 1]), slice(off[t - 1], off[t - 1] + live[t])
-        ahead = emit[now] * beta[now]
-        ahead /= scales[now, None]
-        moves += alpha[before].T @ ahead
-        beta[before] = ahead @ turned
-    alpha *= beta
-    alpha /= (alpha @ one)[:, None]
+    # backwards; a step's part of alpha becomes its states' posterior while it is at hand
+    beta = np.ones((live[-1], states), emit.dtype)
+    for t in range(len(live) - 1, -1, -1):
+        now = slice(off[t], off[t + 1])
+        a = alpha[now]
+        ahead = beta
+        if t:
+            ahead = emit[now]
+            ahead *= beta
+            ahead /= scales[now, None]
+        a *= beta
+        a /= (a @ one)[:, None]
+        if t:
+            moves += alpha[off[t - 1] : off[t - 1] + live[t]].T @ ahead
+            beta = np.ones((live[t - 1], states), emit.dtype)
+            np.matmul(ahead, turned, out=beta[: live[t]])
     h = heads[order]
     starts[0], starts[1] = alpha[: live[0]][h].sum(axis=0), alpha[: live[0]][~h].sum(axis=0)
     who = who.astype(np.intp)  # once, not once a state
@@ -213,7 +223,8 @@ def _encode(sent):
                 cuts, heads = _stretches(first)
                 # byte by byte: the upper ones are almost all zero, and compression takes them away
                 cols = [sym.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), cuts.astype("<i8").tobytes(), heads.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], names=["sym", "cuts", "heads"])
+                draw = zlib.crc32(cols[0]) % 16
+                yield pa.RecordBatch.from_arrays([pa.array([draw], pa.int32()), pa.array([len(sym)]), *(pa.array([c], pa.binary()) for c in cols)], names=["draw", "n", "sym", "cuts", "heads"])
 
     return step
 
@@ -287,21 +298,26 @@ def train(texts: DataFrame, counts: DataFrame, states: int = 12, most: int = 65_
     k = len(back)
     cols = ", ".join(f"s{s} float" for s in range(states))
     sent = spark.sparkContext.broadcast(model)  # `most` bounds it
-    coded = shared.cut(texts.select("text").mapInArrow(_encode(sent), "sym binary, cuts binary, heads binary"), "coded")
+    coded = shared.cut(texts.select("text").mapInArrow(_encode(sent), "draw int, n long, sym binary, cuts binary, heads binary"), "coded")
     sent.unpersist()
-    last = -np.inf
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(_single(model))
-        sums = coded.mapInArrow(_expect(sent), f"row int, {cols}").groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toPandas()
-        rows = np.zeros((k + states + 3, states))
-        rows[sums["row"].to_numpy()] = sums[[f"s{s}" for s in range(states)]].to_numpy()
-        model = reestimated(model, rows[:k], rows[k : k + states], rows[k + states : k + states + 2])
-        sent.unpersist()
-        spark.sparkContext._jvm.System.gc()  # lets go of the round's shuffle files, else they add up
-        now = rows[-1, 0] / np.log(10) / total
-        if now - last < gain:
-            break
-        last = now
+    for share in SHARES:
+        part = coded.where(F.col("draw") < share)
+        n = total if share == SHARES[-1] else part.agg(F.sum("n")).first()[0]
+        if not n:  # few texts: none of their blocks is in the share
+            continue
+        last = -np.inf
+        for _ in range(rounds):
+            sent = spark.sparkContext.broadcast(_single(model))
+            sums = part.select("sym", "cuts", "heads").mapInArrow(_expect(sent), f"row int, {cols}").groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toPandas()
+            rows = np.zeros((k + states + 3, states))
+            rows[sums["row"].to_numpy()] = sums[[f"s{s}" for s in range(states)]].to_numpy()
+            model = reestimated(model, rows[:k], rows[k : k + states], rows[k + states : k + states + 2])
+            sent.unpersist()
+            spark.sparkContext._jvm.System.gc()  # lets go of the round's shuffle files, else they add up
+            now = rows[-1, 0] / np.log(10) / n
+            if now - last < gain:
+                break
+            last = now
     return model
 
 
