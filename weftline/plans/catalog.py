@@ -15,7 +15,8 @@ from ..operators import evaluation as V
 from ..operators import pages as P
 from ..operators import training as R
 from ..operators import typed as T
-from ..sources import stages, warc
+from ..sources import files, stages, warc
+from . import page_sql as S
 from .ledgers import h32, ledger, ledger_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,41 +171,32 @@ def q10_title_state(t):
 # ---------------------------------------------------------------- pages
 
 
-@query()
+_TITLE = "'Page ' || page_id || ' & more'"
+
+
+@query(f"WITH {S.OUTLINE} SELECT page_id, {_TITLE} AS title, 'en' AS html_lang, n_lines, length(page) AS page_chars, md5(page) AS page_md5 FROM outline")
 def q11_outline_v1(t):
-    """HT-1 to HT-10."""
-    return P.parse_v1(t.pages).select("page_id", "title", "html_lang", "n_lines", F.length("page").cast("long").alias("page_chars"), F.md5(F.col("page").cast("binary")).alias("page_md5"))
+    """HT-1 to HT-10, SF-40: pages with tables, forms, hints in classes, hidden parts and unclosed tags."""
+    return P.parse_v1(S.furnished(t.pages)).select("page_id", "title", "html_lang", "n_lines", F.length("page").cast("long").alias("page_chars"), F.md5(F.col("page").cast("binary")).alias("page_md5"))
 
 
-@query()
+@query(f"WITH {S.VISIBLE} SELECT page_id, {_TITLE} AS title, CAST({S.LINKS} AS INTEGER) AS link_count, length(text) AS text_chars, md5(text) AS text_md5 FROM visible JOIN pages USING (page_id)")
 def q12_text_v0(t):
     """HT-11 to HT-14."""
-    return P.parse_v0(t.pages).select("page_id", "title", "link_count", F.length("text").cast("long").alias("text_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
-
+    return P.parse_v0(S.furnished(t.pages)).select("page_id", "title", "link_count", F.length("text").cast("long").alias("text_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
-def labelled_pages(t) -> DataFrame:
-    """The pages with a head that carries label sources: the driver's pages have none."""
-    kinds = F.array(*map(F.lit, ["NewsArticle", "Product", "Recipe", "FAQPage", "ItemList", "Event"]))
-    kind = F.element_at(kinds, (F.col("page_id") % 6 + 1).cast("int"))
-    day = F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
-    offer = F.concat(F.lit('"offers":{"price":"'), (F.col("page_id") % 900 + 10).cast("string"), F.lit('.50","availability":"https://schema.org/'), F.when(F.col("page_id") % 4 < 2, "InStock").otherwise("SoldOut"), F.lit('"},'))
-    head = F.concat(F.lit('<html lang="en"><head><title>Page</title><meta property="og:type" content="article"><script type="application/ld+json">{"@type":"'), kind, F.lit('",'), offer, F.lit('"datePublished":"2026-03-'), day, F.lit('"}</script></head><body><p>Posted '), day, F.lit(" March 2026, changed 2 April 2026. Now $"), (F.col("page_id") % 900 + 10).cast("string"), F.lit(".50, was $1,299.00.</p>"))
-    body = F.regexp_replace("html", "(?is)^.*?<body[^>]*>", "")
-    status = F.when(F.col("page_id") % 11 == 0, 404).otherwise(200)
-    return t.pages.select("page_id", "url", F.concat(head, body).alias("html"), status.alias("http_status"), F.when(F.col("page_id") % 5 == 0, "deu").otherwise("eng").alias("detected_language"))
 
-
-@query()
+@query(f"WITH {S.rows_v1(_PATH, _HINTS)} SELECT url || '::' || decision AS case_id, {HOST} AS source_group, decision, label_quality, gold, CAST(options AS INTEGER) AS options, label_source FROM row")
 def q13_page_rows_v1(t):
-    """LB-1 to LB-7, LB-16, LB-17, LB-19, LB-20, PF-4."""
-    rows = P.page_rows_v1(labelled_pages(t))
+    """LB-1 to LB-7, LB-16, LB-17, LB-19, LB-20, PF-4, SF-37."""
+    rows = P.page_rows_v1(S.furnished(t.pages))
     return rows.select("case_id", "source_group", "decision", "label_quality", E.gold_label(F.col("candidates.id"), F.col("target")).alias("gold"), F.size("candidates").alias("options"), "label_source")
 
 
-@query()
+@query(f"WITH {S.rows_v0()} SELECT url || '::' || decision AS case_id, {HOST} AS source_group, decision, question_type, gold, CAST(options AS INTEGER) AS options FROM row")
 def q14_page_rows_v0(t):
     """LB-8 to LB-15, LB-18, LB-21, PF-5."""
-    rows = P.page_rows_v0(labelled_pages(t))
+    rows = P.page_rows_v0(S.furnished(t.pages))
     return rows.select("case_id", "source_group", "decision", "question_type", E.gold_label(F.col("candidates.id"), F.col("target")).alias("gold"), F.size("candidates").alias("options"))
 
 
@@ -233,13 +225,13 @@ def q15_amounts(t):
     return t.part.select("p_partkey", *(L.parse_amount(x).alias(k) for k, x in texts.items()))
 
 
-@query(f"SELECT p_partkey, 3 AS n, {_CENTS} / 100.0E0 AS first, CAST(p_size AS DOUBLE) AS last FROM part WHERE p_size >= 10")
+@query(f"SELECT p_partkey, 3 AS n, {_CENTS} / 100.0E0 AS first, CAST(p_size AS DOUBLE) AS last FROM part")
 def q16_price_values(t):
     """LB-15 without contexts."""
     c = F.round(F.col("p_retailprice") * 100).cast("long")
     text = F.concat(F.lit("Now $"), _money(c, ",", "."), F.lit(" only, before "), _money(c + 100, ".", ","), F.lit(" €, shipping "), F.col("p_size").cast("string"), F.lit(" kr and again $"), _money(c, ",", "."))
     v = L.price_values(text)
-    return t.part.where("p_size >= 10").select("p_partkey", v.alias("v")).select("p_partkey", F.size("v").alias("n"), F.col("v")[0].alias("first"), F.element_at("v", -1).alias("last"))
+    return t.part.select("p_partkey", v.alias("v")).select("p_partkey", F.size("v").alias("n"), F.col("v")[0].alias("first"), F.element_at("v", -1).alias("last"))
 
 
 @query(
@@ -253,53 +245,61 @@ def q17_date_values(t):
     return t.orders.select("o_orderkey", *(F.array_join(L.date_values(x), ",").alias(k) for k, x in texts.items()))
 
 
-_JSON = ['{"@type": "Product"}', '{"@graph": [{"@type": ["FAQPage", "https://schema.org/WebPage"]}]}', '[{"@type": "schema:Recipe", "mainEntity": {"@type": "Person"}}]', '{"@context": {"@type": "Hidden"}, "@type": "http://schema.org/Article", "author": {"@type": "Org"}}', "broken {"]
+_WORDS = "split_part(p_type, ' ', 1) AS w1, split_part(p_type, ' ', 2) AS w2, split_part(p_type, ' ', 3) AS w3"
 
 
 @query(
-    """SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'Product' WHEN 1 THEN 'FAQPage,WebPage' WHEN 2 THEN 'Person,schema:Recipe' WHEN 3 THEN 'Article' ELSE '' END AS v1,
-CASE n_nationkey % 5 WHEN 0 THEN 'Product' WHEN 1 THEN ';FAQPage,WebPage' WHEN 2 THEN 'Recipe;Person' WHEN 3 THEN 'Article;Org' ELSE '' END AS v0 FROM nation"""
+    f"""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '' ELSE array_to_string(list_sort(list_distinct([w1, 'schema:' || w2, w3])), ',') END AS v1,
+CASE WHEN p_size % 7 = 0 THEN '' ELSE w1 || ';' || array_to_string(list_sort(list_distinct([w2, w3])), ',') || ';' || p_brand END AS v0 FROM (SELECT *, {_WORDS} FROM part)"""
 )
 def q18_jsonld_types(t):
-    """LB-1, LB-8, LB-9, SF-38."""
+    """LB-1, LB-8, LB-9, SF-38: the words of each part's type as types of nested objects; every seventh size is no JSON."""
+    import json
+
     import pandas as pd
 
     def step(batches):
         for b in batches:
-            raw = [_JSON[k % 5] for k in b["n_nationkey"]]
-            yield pd.DataFrame({"n_nationkey": b["n_nationkey"], "v1": [",".join(L.schema_types([x])) for x in raw], "v0": [";".join(",".join(L.node_types(n)) for n in L.schema_nodes([x + ";"])) for x in raw]})
+            raw = []
+            for kind, brand, size in zip(b["p_type"], b["p_brand"], b["p_size"], strict=True):
+                one, two, three = [*kind.split(" "), "", ""][:3]
+                made = {"@context": {"@type": "Hidden"}, "@type": f"https://schema.org/{one}", "@graph": [{"@type": [f"schema:{two}", three]}], "author": {"@type": brand}}
+                raw.append(json.dumps(made) + "{" * (size % 7 == 0))
+            yield pd.DataFrame({"p_partkey": b["p_partkey"], "v1": [",".join(L.schema_types([x])) for x in raw], "v0": [";".join(",".join(L.node_types(n)) for n in L.schema_nodes([x + ";"])) for x in raw]})
 
-    return t.nation.select("n_nationkey").mapInPandas(step, "n_nationkey int, v1 string, v0 string")
+    return t.part.select("p_partkey", "p_type", "p_brand", "p_size").mapInPandas(step, "p_partkey long, v1 string, v0 string")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN true END AS in_stock FROM part")
+@query("SELECT l_orderkey, CASE WHEN bool_and(l_returnflag = 'N') THEN true WHEN bool_and(l_returnflag = 'A') THEN false END AS in_stock FROM lineitem GROUP BY l_orderkey")
 def q19_stock(t):
-    """LB-14."""
-    states = [["https://schema.org/InStock"], ["schema:SoldOut", "OutOfStock/"], ["InStock", "SoldOut"], ["OnlineOnly", "", "LimitedAvailability"], ["PreOrder"], []]
-    out = None
-    for i, s in enumerate(states):
-        a = F.array(*map(F.lit, s)).cast("array<string>")
-        out = F.when(F.col("p_partkey") % 6 == i, a) if out is None else out.when(F.col("p_partkey") % 6 == i, a)
-    return t.part.select("p_partkey", L.stock(out).alias("in_stock"))
+    """LB-14: an order's lines as offers of one product: all in stock, all out, or at odds."""
+    state = F.when(F.col("l_returnflag") == "N", F.when(F.col("l_linenumber") % 2 == 0, "https://schema.org/InStock").otherwise("LimitedAvailability/")).when(F.col("l_returnflag") == "A", "schema:SoldOut").otherwise("PreOrder")
+    return t.lineitem.groupBy("l_orderkey").agg(F.collect_list(state).alias("a")).select("l_orderkey", L.stock(F.col("a")).alias("in_stock"))
 
 
-@query(f"SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE {_CENTS} / 100.0E0 END AS price FROM part")
+@query(
+    """SELECT l_orderkey, round(list(l_extendedprice ORDER BY l_linenumber, l_returnflag, l_quantity, printf('%.2f', l_extendedprice)) FILTER (l_returnflag <> 'A' AND CAST(l_quantity AS INTEGER) % 2 = 0)[1], 2) AS price FROM lineitem GROUP BY l_orderkey"""
+)
 def q20_offer_price(t):
-    """LB-11, LB-13."""
+    """LB-11, LB-13: the first line of an order that states a price, under one of three names; others have none or are no number."""
     import json
 
     import pandas as pd
 
+    price = F.format_string("%.2f", F.col("l_extendedprice"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", F.col("l_quantity").cast("int").alias("q"), price.alias("price")))).alias("lines"))
+
+    def offer(x) -> dict:
+        if x["l_returnflag"] == "A" or x["q"] % 2:
+            return {"price": "" if x["q"] % 2 else "free", "lowPrice": 0}
+        return [{"price": x["price"]}, {"price": "", "lowPrice": x["price"]}, {"priceSpecification": [{"price": 0}, {"price": x["price"]}]}][x["l_linenumber"] % 3]
+
     def step(batches):
         for b in batches:
-            rows = []
-            for k, v in zip(b["p_partkey"], b["p_retailprice"], strict=True):
-                s = f"{round(v * 100) / 100:.2f}"
-                offer = [{"price": s}, {"price": "", "lowPrice": s}, {"priceSpecification": [{"price": 0}, {"price": s}]}, {"price": "free"}][k % 4]
-                rows.append(L.offer_price(L.schema_nodes([json.dumps({"@graph": [{"@type": "ProductGroup", "offers": {"price": 1}}, {"@type": "Product", "offers": [offer]}]})])))
-            yield pd.DataFrame({"p_partkey": b["p_partkey"], "price": pd.array(rows, dtype="Float64")})
+            rows = [L.offer_price(L.schema_nodes([json.dumps({"@graph": [{"@type": "ProductGroup", "offers": {"price": 1}}, {"@type": "Product", "offers": [offer(x) for x in each]}]})])) for each in b["lines"]]
+            yield pd.DataFrame({"l_orderkey": b["l_orderkey"], "price": pd.array(rows, dtype="Float64")})
 
-    return t.part.select("p_partkey", "p_retailprice").mapInPandas(step, "p_partkey long, price double")
+    return lines.mapInPandas(step, "l_orderkey long, price double")
 
 
 @query("SELECT CASE event_id % 6 WHEN 0 THEN 'not_found' WHEN 1 THEN 'not_found' WHEN 2 THEN 'blocked_or_denied' WHEN 3 THEN 'server_error' WHEN 4 THEN 'login_required' END AS label, count(*) AS n FROM events GROUP BY 1")
@@ -394,10 +394,11 @@ def q27_merge(t):
     return D.merged([a, b]).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_group").alias("source_groups"))
 
 
-@query("SELECT source AS source_group, count(DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END) AS n_splits FROM documents GROUP BY source HAVING count(DISTINCT doc_id % 2) > 1")
+@query("SELECT source AS source_group, count(DISTINCT CASE WHEN lang = 'en' THEN 'train' WHEN doc_id % 50 = 7 THEN 'test' ELSE 'development' END) AS n_splits FROM documents GROUP BY source HAVING n_splits > 1")
 def q28_leak_check(t):
     """JN-5, JN-6, SO-6."""
-    return D.leaking_groups(t.documents.select(F.col("source").alias("source_group"), F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test").alias("split")))
+    split = F.when(F.col("lang") == "en", "train").when(F.col("doc_id") % 50 == 7, "test").otherwise("development")
+    return D.leaking_groups(t.documents.select(F.col("source").alias("source_group"), split.alias("split")))
 
 
 @query(f"WITH p AS (SELECT page_id, {HOST} AS host FROM pages), k AS (SELECT DISTINCT host FROM p WHERE {split_sql('host', 1)} = 'train') SELECT page_id, host FROM p WHERE host NOT IN (SELECT host FROM k)")
@@ -427,11 +428,12 @@ def q31_review_sample(t):
 LED, LED2 = ledger_sql(), ledger_sql("led2", "b")
 
 
-@query(f"WITH {LED} SELECT case_id, CAST(q AS VARCHAR) AS gold, 2 AS gold_options, split_part(case_id || '::a::b', '::', 3) AS decision, case_id || '::a' AS url FROM led")
+@query(f"WITH {LED} SELECT case_id, CAST(q AS VARCHAR) AS gold, CASE WHEN h % 5 = 0 THEN 1 ELSE 2 END AS gold_options, kind AS decision, case_id || '::' || workflow AS url FROM led")
 def q32_gold_label(t):
-    """PF-7 to PF-10."""
-    long = F.concat("case_id", F.lit("::a::b"))
-    return t.L.select("case_id", E.gold_label(F.col("ids"), F.col("target")).alias("gold"), F.size(E.gold_set(F.col("ids"), F.col("target"))).alias("gold_options"), E.decision_of(long).alias("decision"), E.url_of_case(long).alias("url"))
+    """PF-7 to PF-10: every fifth target holds nothing but its gold."""
+    long = F.concat("case_id", F.lit("::"), "workflow", F.lit("::"), F.col("question_type"))
+    target = F.when(F.col("h") % 5 == 0, F.transform("target", lambda x: F.when(x == F.array_max("target"), 1.0).otherwise(0.0))).otherwise(F.col("target"))
+    return t.L.select("case_id", E.gold_label(F.col("ids"), target).alias("gold"), F.size(E.gold_set(F.col("ids"), target)).alias("gold_options"), E.decision_of(long).alias("decision"), E.url_of_case(long).alias("url"))
 
 
 _ECE = "(SELECT sum(abs(c - h)) / sum(n) FROM (SELECT count(*) AS n, sum(conf) AS c, sum(CASE WHEN pred = q THEN 1 ELSE 0 END) AS h FROM led GROUP BY least(14, cast(floor(conf * 15) as int))))"
@@ -615,7 +617,19 @@ def q49_option_orders(t):
     return p.groupBy("case_id").agg(R6(F.max(F.when(F.col("offset") == 0, F.col("p")))).alias("p_first_order"), R6(F.avg("p")).alias("p_both_orders"))
 
 
-@query()
+def _predict_sql() -> str:
+    words = "regexp_split_to_array(lower(CAST(to_json({'page': text}) AS VARCHAR)), '\\s+')"
+    lang = S.mean_softmax([S.overlap("w", x) for x in ("the of and", "de la que")], [0, 1], 0.2, 1.5)
+    flag = S.mean_softmax([S.overlap("w", x) for x in K.NOUL_DEFAULT.values()], [0, 1], 0.2, 1.0)
+    level = S.mean_softmax([S.overlap("w", x) for x in ("low", "the mid", "de high")], [0, 1], 0.2, 1.0)
+    return f"""WITH w AS (SELECT item_id, {words} AS w FROM benchmark), p AS (SELECT item_id, {", ".join(f"{x} AS {n}{i}" for n, xs in (("c", lang), ("n", flag), ("s", level)) for i, x in enumerate(xs))} FROM w)
+SELECT item_id AS request_id, 'lang' AS qid, 'choice' AS type, CASE WHEN c1 > c0 THEN 'es' ELSE 'en' END AS choice, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS noul, round(2 * greatest(c0, c1) - 1, 4) AS confidence, greatest(c0, c1) < 0.6E0 AS abstain, CAST(NULL AS VARCHAR) AS error FROM p
+UNION ALL SELECT item_id, 'flag', 'noul', NULL, NULL, round(n1, 4), round(greatest(n1, 1 - n1), 4), greatest(n0, n1) < 0.6E0, NULL FROM p
+UNION ALL SELECT item_id, 'level', 'score', NULL, round(s1 + 2 * s2, 4), NULL, round((3 * greatest(s0, s1, s2) - 1) / 2, 4), greatest(s0, s1, s2) < 0.6E0, NULL FROM p
+UNION ALL SELECT item_id, 'bad', NULL, NULL, NULL, NULL, NULL, NULL, 'question needs non-empty instructions' FROM p"""
+
+
+@query(_predict_sql())
 def q50_predict(t):
     """SC-5, EV-2 to EV-4, EV-8: a request on each benchmark item."""
     body = F.to_json(F.struct(F.struct(F.col("text").alias("page")).alias("state"), F.lit(None).cast("string").alias("none")))
@@ -715,26 +729,25 @@ def q58_pack_arithmetic(t):
     return df.select("doc_id", F.size("p.ids").alias("input_tokens"), F.col("p.state_tokens_dropped").alias("dropped"), first.alias("first_of_tail"), T.shared_positions(F.lit(4), F.array(F.lit(1), F.lit(2))).alias("positions"))
 
 
-_HISTORY = [(1, 0.81, 0.52), (2, 0.84, 0.49), (3, 0.84, 0.47), (4, 0.84, 0.47), (5, 0.83, 0.46)]
-
-
-@query("SELECT 3 AS by_accuracy, 5 AS by_ce")
+@query(
+    f"""WITH {LED}, e AS (SELECT workflow, h % 7 AS epoch, round(avg(CASE WHEN pred = q THEN 1.0E0 ELSE 0 END), 3) AS accuracy, round(avg(-(t0 * ln(greatest(p0, 1e-12)) + t1 * ln(greatest(p1, 1e-12)))), 6) AS ce FROM led GROUP BY ALL)
+SELECT workflow, arg_min(CAST(epoch AS INTEGER), [-accuracy, ce, epoch]) AS by_accuracy, arg_min(CAST(epoch AS INTEGER), [ce, epoch]) AS by_ce FROM e GROUP BY workflow"""
+)
 def q59_best_epoch(t):
-    """AG-24."""
-    h = t.spark.createDataFrame(_HISTORY, "epoch int, accuracy double, ce double")
-    return h.agg(F.min_by("epoch", F.struct((-F.col("accuracy")).alias("a"), "ce", "epoch")).alias("by_accuracy"), F.min_by("epoch", F.struct("ce", "epoch")).alias("by_ce"))
+    """AG-24: each workflow's rows dealt to seven epochs; the best by accuracy (then loss), and by loss, the earliest among equals."""
+    e = V.scored(t.L.withColumn("epoch", (F.col("h") % 7).cast("int"))).groupBy("workflow", "epoch").agg(F.round(F.avg("correct"), 3).alias("accuracy"), R6(F.avg("ce")).alias("ce"))
+    return e.groupBy("workflow").agg(F.min_by("epoch", F.struct((-F.col("accuracy")).alias("a"), "ce", "epoch")).alias("by_accuracy"), F.min_by("epoch", F.struct("ce", "epoch")).alias("by_ce"))
 
 
-@query("SELECT role, count(*) AS n, count(*) AS same FROM conversations GROUP BY role")
+@query("SELECT role, count(*) AS n, CAST(sum(length(text) + 1) AS BIGINT) AS chars, min(md5(text || chr(8232))) AS least, max(md5(text || chr(8232))) AS most, CAST(sum(conv_id * 100 + turn) AS BIGINT) AS keys FROM conversations GROUP BY role")
 def q60_jsonl_roundtrip(t):
-    """SRC-7 to SRC-9: rows as lines of JSON and back."""
-    df = t.conversations
-    line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    back = df.withColumn("b", F.from_json(line, df.schema.simpleString()[7:-1].replace(":", " ")))
-    same = F.lit(True)
-    for c in df.columns:
-        same = same & F.col(c).eqNullSafe(F.col("b")[c])
-    return back.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("same"))
+    """SRC-7 to SRC-9: rows written as lines of JSON, a line separator of Unicode in each and blank lines beside them, and read back."""
+    path = stages.folder(t.spark, "jsonl")
+    files.write_jsonl(t.conversations.withColumn("text", F.concat("text", F.lit("\u2028"))), path)
+    t.spark.createDataFrame([("",), ("  ",)], "value string").coalesce(1).write.mode("append").text(path)
+    back = files.read_jsonl(t.spark, path, "conv_id long, turn long, role string, text string")
+    digest = F.md5(F.col("text").cast("binary"))
+    return back.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min(digest).alias("least"), F.max(digest).alias("most"), F.sum(F.col("conv_id") * 100 + F.col("turn")).alias("keys"))
 
 
 @query(f"WITH p AS (SELECT page_id, url, {HOST} AS host FROM pages), u AS (SELECT host, url, min(page_id) AS page_id FROM p GROUP BY ALL) SELECT host AS warc_file, count(*) AS pages, count(*) FILTER (page_id % 3 = 0) AS with_language FROM u WHERE page_id % 10 <> 0 GROUP BY host")
@@ -779,16 +792,20 @@ def q63_pages_per_host(t):
     return t.pages.groupBy(E.host_of(F.col("url")).alias("host")).agg(F.count_distinct("url").alias("pages"))
 
 
-@query()
+@query(
+    f"""WITH {S.OUTLINE}, {S.votes(_PATH, _HINTS)}, f AS (SELECT *, length(page) < 200 AS thin FROM vote JOIN outline USING (page_id))
+SELECT CAST(sum(CASE WHEN thin THEN 1 ELSE 0 END) AS BIGINT) AS too_little_text, CAST(sum(CASE WHEN NOT thin AND ok AND quality = 'conflict' THEN 1 ELSE 0 END) AS BIGINT) AS page_type_conflict,
+  CAST(sum(CASE WHEN NOT thin AND ok AND NOT english THEN 1 ELSE 0 END) AS BIGINT) AS language_disagreement, count(*) AS pages FROM f"""
+)
 def q64_drop_counters(t):
     """AG-15, PF-4: why labels are dropped."""
-    d = P.labels_v1(P.parse_v1(labelled_pages(t)))
+    d = P.labels_v1(P.parse_v1(S.furnished(t.pages)))
     return d.agg(*(F.sum(F.col(c).cast("long")).alias(c) for c in ("too_little_text", "page_type_conflict", "language_disagreement")), F.count(F.lit(1)).alias("pages"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to labelled decisions, capped by host, split by host, balanced, counted: the builder's whole path."""
-    rows = P.page_rows_v1(labelled_pages(Tables(spark, sf_dir)))
+    rows = P.page_rows_v1(S.furnished(Tables(spark, sf_dir).pages))
     rows = rows.withColumn("label", E.gold_label(F.col("candidates.id"), F.col("target"))).select("case_id", "url", "source_group", "decision", "label")
     rows = stages.cut(rows, "rows")  # pages are parsed once
     kept = D.cap_pages(rows, "source_group", "url", 20, 1)
@@ -796,7 +813,20 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("split", "decision", "label").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source_group").alias("source_groups"))
 
 
+def built_sql(per_host: int, ok_ratio: float, page_type_ratio: float, per_language: int) -> str:
+    """kept(split, decision, label, host, case_id): what the v1 builder leaves of the furnished pages' rows, seed 1."""
+    return f"""{S.rows_v1(_PATH, _HINTS)}, hosted AS (SELECT url || '::' || decision AS case_id, url, {HOST} AS host, decision, gold AS label FROM row),
+few AS (SELECT host, url FROM (SELECT DISTINCT host, url FROM hosted) QUALIFY row_number() OVER (PARTITION BY host ORDER BY sha256('1|' || url), url) <= {per_host}),
+dealt AS (SELECT hosted.*, {split_sql('hosted.host', 1)} AS split FROM hosted JOIN few ON hosted.host = few.host AND hosted.url = few.url),
+counted AS (SELECT split, decision, label, count(*) AS n FROM dealt GROUP BY ALL),
+capped AS (SELECT split, decision, label, CASE WHEN decision = 'page_type' THEN greatest(1, cast(floor({page_type_ratio}E0 * quantile_cont(n, 0.5) OVER w) as bigint))
+  WHEN decision = 'page_status' AND label = 'ok' AND sum(CASE WHEN label <> 'ok' THEN n ELSE 0 END) OVER w > 0 THEN greatest(1, cast(floor({ok_ratio}E0 * sum(CASE WHEN label <> 'ok' THEN n ELSE 0 END) OVER w) as bigint))
+  WHEN decision = 'language' THEN {per_language} END AS cap FROM counted WINDOW w AS (PARTITION BY split, decision)),
+kept AS (SELECT dealt.*, cap, row_number() OVER (PARTITION BY dealt.split, dealt.decision, dealt.label ORDER BY sha256('1|' || case_id), case_id) AS rn FROM dealt JOIN capped ON dealt.split = capped.split AND dealt.decision = capped.decision AND dealt.label = capped.label QUALIFY cap IS NULL OR rn <= cap)"""
+
+
 QUERIES["q00_build_dataset"] = flagship
+SQL["q00_build_dataset"] = f"WITH {built_sql(20, 3.0, 3.0, 1500)} SELECT split, decision, label, count(*) AS rows, count(DISTINCT host) AS source_groups FROM kept GROUP BY ALL"
 
 
 # ---------------------------------------------------------------- preparation
@@ -809,15 +839,17 @@ def q65_source_subset(t):
     return R.source_subset(df, 5, 21).groupBy("source_group").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS n, count(*) AS back, count(*) AS levels FROM documents")
+@query(
+    """SELECT doc_id, string_agg(i, ',' ORDER BY h) AS shown, 'a' || doc_id || ',b' || doc_id || ',c' || doc_id || ',d' || doc_id || ',e' || doc_id AS back, 'a' || doc_id || ',b' || doc_id || ',c' || doc_id || ',d' || doc_id || ',e' || doc_id AS levels
+FROM (SELECT doc_id, CAST(i AS VARCHAR) AS i, sha256('3|' || doc_id || '|' || i) AS h FROM documents, range(5) r(i)) GROUP BY doc_id"""
+)
 def q66_shuffled_options(t):
-    """SL-6, SL-7: options shuffled by hash and put back."""
+    """SL-6, SL-7: options shuffled by hash, put back by the inverse, and put in order by their levels."""
     values = F.array(*(F.concat(F.lit(x), F.col("doc_id").cast("string")) for x in "abcde"))
     order = R.shuffled_order(F.col("doc_id").cast("string"), F.lit(5), 3)
     ids = F.transform(order, lambda i: i.cast("string"))
-    back = R.unpermuted(R.permuted(values, order), order) == values
-    levels = R.by_level(ids, R.permuted(values, order)) == values
-    return t.documents.agg(F.count(F.lit(1)).alias("n"), F.count_if(back).alias("back"), F.count_if(levels).alias("levels"))
+    shown = R.permuted(values, order)
+    return t.documents.select("doc_id", F.array_join(ids, ",").alias("shown"), F.array_join(R.unpermuted(shown, order), ",").alias("back"), F.array_join(R.by_level(ids, shown), ",").alias("levels"))
 
 
 @query("""SELECT doc_id, sha256('{"a":' || doc_id || ',"b":"é"}') AS request_sha256, sha256('{"a": ' || doc_id || ', "b": "é"}') AS spaced_sha256 FROM documents""")

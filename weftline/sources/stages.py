@@ -21,15 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is removed when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "step", apart: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: what follows does not depend on executors staying alive.
 
     apart: a column whose values are written to folders of their own. The table is removed when the process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     (df.write.partitionBy(apart) if apart else df.write).parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
