@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluation, pages, typed
-from .sources import files, warc
+from .plans import build as plans
+from .sources import files, stages, warc
 
 
 def session() -> SparkSession:
@@ -41,12 +42,16 @@ def compare(spark: SparkSession, baseline: str, candidate: str, samples: int = 2
     return {"baseline": evaluation.summarize(a).first().asDict(), "candidate": evaluation.summarize(b).first().asDict(), "accuracy_delta": d.accuracy_delta, "interval": interval, "bootstrap_samples": samples, "seed": seed}
 
 
-def build(spark: SparkSession, path: str, out: str, *, max_pages: int = 40_000, errors_only: bool = False) -> dict:
-    """Labelled rows of all WARC files below a path, as JSON lines by decision."""
-    found = warc.read_pages(spark, path, errors_only=errors_only, max_pages=max_pages)
-    rows = pages.page_rows_v1(found.withColumnRenamed("status", "http_status"))
-    files.write_jsonl(rows, out, ["decision"])
-    return {"out": out}
+def build(spark: SparkSession, path: str, out: str, *, max_pages: int = 40_000, errors: str | None = None, **settings) -> dict:
+    """The whole builder (HX-11): all WARC files below a path, and the pages of other statuses below `errors`, to labelled rows, capped, split, balanced and
+    written with a manifest. Files that could not be read are named in it."""
+    scans = [warc.scan_pages(spark, path, max_pages=max_pages)]
+    if errors:
+        scans.append(warc.scan_pages(spark, errors, errors_only=True, max_pages=max_pages))
+    found = stages.cut(scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1]), "pages")
+    failed = [r["warc_file"] for r in found.where("error IS NOT NULL").select("warc_file").distinct().orderBy("warc_file").limit(1000).collect()]
+    rows = pages.page_rows_v1(found.where("error IS NULL").drop("error").withColumnRenamed("status", "http_status"))
+    return plans.build_v1(rows, out, **settings) | {"failed_warcs": failed}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -63,7 +68,13 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("build")
     s.add_argument("path")
     s.add_argument("out")
-    s.add_argument("--errors-only", action="store_true")
+    s.add_argument("--errors", help="WARC files of responses with other statuses")
+    s.add_argument("--max-pages", type=int, default=40_000, help="pages of a file")
+    s.add_argument("--pages-per-host", type=int, default=20)
+    s.add_argument("--page-type-ratio", type=float, default=3.0)
+    s.add_argument("--ok-ratio", type=float, default=3.0)
+    s.add_argument("--per-language", type=int, default=1500)
+    s.add_argument("--seed", type=int, default=1)
     a = p.parse_args(argv)
     spark = session()
     if a.what in ("decide", "validate-request"):
@@ -77,7 +88,8 @@ def main(argv: list[str] | None = None) -> int:
     elif a.what == "compare":
         out = compare(spark, a.baseline, a.candidate, a.samples)
     else:
-        out = build(spark, a.path, a.out, errors_only=a.errors_only)
+        settings = {k: getattr(a, k) for k in ("pages_per_host", "page_type_ratio", "ok_ratio", "per_language", "seed")}
+        out = build(spark, a.path, a.out, max_pages=a.max_pages, errors=a.errors, **settings)
     print(json.dumps(out, ensure_ascii=False, allow_nan=False))
     return 0
 

@@ -228,7 +228,7 @@ def answer(kind: Column, ids: Column, texts: Column, p: Column, abstain_below: f
     return F.struct(*(v.alias(k) for k, v in fields.items()))
 
 
-def decide(ids: Column, logits: Column, *, trained: Column | bool = True, temperature: float = 1.0, answerability: Column | None = None, min_probability: float = 0.70, min_margin: float = 0.05, min_answerability: float = 0.50, tie_tolerance: float = 1e-7) -> Column:
+def decide(ids: Column, logits: Column, *, trained: Column | bool = False, temperature: float = 1.0, answerability: Column | None = None, min_probability: float = 0.70, min_margin: float = 0.05, min_answerability: float = 0.50, tie_tolerance: float = 1e-7) -> Column:
     """SF-7: the selection policy. Reasons in order: untrained_model, ambiguous_tie, no_supported_candidate, low_probability, small_margin."""
     for name, v in (("min_probability", min_probability), ("min_margin", min_margin), ("min_answerability", min_answerability), ("tie_tolerance", tie_tolerance)):
         if not 0 <= v <= 1:

@@ -139,6 +139,30 @@ def rotated_states(df: DataFrame, *, workflow: str, group: str, state: str, seed
     return states.select(workflow, group, F.coalesce(F.lead("_own").over(w), F.first("_own").over(whole)).alias(state))
 
 
+def state_ablations(df: DataFrame, *, workflow: str = "workflow", group: str = "source_group", state: str = "state", seed: int = 1, blank: str = "{}") -> DataFrame:
+    """DS-11: every row three times, told apart by `condition`: as it is, with a blank state, and with the state of another source of its workflow.
+
+    Raises where a workflow has one source alone. The sources' table is small beside the rows: one row for each.
+    """
+    alone = df.groupBy(workflow).agg(F.count_distinct(group).alias("n")).where("n < 2").limit(1).collect()
+    if alone:
+        raise ValueError(f"state ablation needs several sources in {alone[0][0]}")
+    moved = rotated_states(df, workflow=workflow, group=group, state=state, seed=seed).select(F.col(workflow).alias("_w"), F.col(group).alias("_g"), F.col(state).alias("_other"))
+    joined = df.join(moved, F.col(workflow).eqNullSafe(F.col("_w")) & F.col(group).eqNullSafe(F.col("_g")))
+    conditions = F.array(
+        F.struct(F.lit("original").alias("condition"), F.col(state).alias("state")),
+        F.struct(F.lit("blank").alias("condition"), F.lit(blank).alias("state")),
+        F.struct(F.lit("shuffled_within_workflow").alias("condition"), F.col("_other").alias("state")),
+    )
+    rest = [c for c in df.columns if c != state]
+    return joined.select(*rest, F.explode(conditions).alias("_c")).select(*rest, F.col("_c.condition").alias("condition"), F.col("_c.state").alias(state))
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """SL-5: all rows in a seeded order, by a range-partitioned sort."""
+    return df.orderBy(*E.stable_key(seed, F.col(key)))
+
+
 def attach_metadata(records: DataFrame, *, file: str = "warc_file", seq: str = "seq", url: str = "url", kind: str = "rec_type", value: str = "lang3") -> DataFrame:
     """JN-1: each response with the first metadata record of its URL before the file's next response."""
     w = Window.partitionBy(file).orderBy(seq)

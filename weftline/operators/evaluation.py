@@ -50,8 +50,7 @@ def selective(df: DataFrame, thresholds: tuple[float, ...] = (0.4, 0.5, 0.6, 0.7
 def fit_temperature(df: DataFrame, keys: list[str] | None = None, low: int = 50, high: int = 500) -> DataFrame:
     """AG-5, AG-6: the temperature of least total soft cross entropy on a grid of hundredths, the first among equals.
 
-    Each row gives its losses over the whole grid as one array of fixed length, and arrays are summed by place: the grid multiplies no rows
-    in the shuffle.
+    Rows meet the grid and are summed in the same stage: what a task sends on is a row for each key and temperature, whatever it read.
     """
     keys = keys or []
     grid = df.select(*keys, "logits", "target", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("t"))
@@ -62,6 +61,89 @@ def fit_temperature(df: DataFrame, keys: list[str] | None = None, low: int = 50,
     return out.select(*keys, (F.col("b.t") / F.lit(100.0)).alias("temperature"), F.col("b.ce").alias("total_ce"))
 
 
+def order_statistics(df: DataFrame, col: str, ranks: list[int] | None = None, *, places: list[float] | None = None, few: int = 10_000) -> list[float | None]:
+    """Exact values at 0-based ranks of a column's non-null values in order; or, for places between 0 and 1, by linear interpolation (AG-18).
+
+    Found by counting: each pass counts values in 4,096 equal intervals between the least and the greatest that are left, until the interval with the rank
+    holds `few` values or one value alone. No task holds more than its counts. df is read a few times.
+    """
+    x = df.select(F.col(col).cast("double").alias("x")).where("x IS NOT NULL")
+    least, most, n = x.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
+    if not n:
+        return [None] * len(ranks if ranks is not None else places)
+    if places is not None:
+        at = [p * (n - 1) for p in places]
+        found = dict(zip(need := sorted({int(a) for a in at} | {min(n - 1, int(a) + 1) for a in at}), order_statistics(df, col, need, few=few), strict=True))
+        return [found[int(a)] + (found[min(n - 1, int(a) + 1)] - found[int(a)]) * (a - int(a)) for a in at]
+    seen: dict[tuple[float, float], list] = {}
+
+    def read(lo: float, hi: float, inside: int) -> list:
+        """What is between lo and hi: its values, or (least, greatest, count) of each interval."""
+        if (lo, hi) not in seen:
+            part = x.where(F.col("x").between(lo, hi))
+            if inside <= few:
+                seen[lo, hi] = sorted(r["x"] for r in part.collect())
+            else:
+                place = F.least(F.lit(4095), F.floor((F.col("x") - lo) * (4096 / (hi - lo))).cast("int"))
+                seen[lo, hi] = sorted((r["a"], r["b"], r["n"]) for r in part.groupBy(place.alias("p")).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count(F.lit(1)).alias("n")).collect())
+        return seen[lo, hi]
+
+    out = []
+    for rank in ranks:
+        lo, hi, left, inside = least, most, rank, n
+        while lo < hi and inside > few:
+            for a, b, k in read(lo, hi, inside):
+                if left < k:
+                    lo, hi, inside = a, b, k
+                    break
+                left -= k
+        out.append(lo if lo == hi else read(lo, hi, inside)[left])
+    return out
+
+
+def schema_key(workflow: Column, case_id: Column, candidates: Column) -> Column:
+    """HX-1: what rows that ask the same have in common: workflow, question part of the case, options by id."""
+    return F.struct(workflow.alias("workflow"), E.first_key(case_id).alias("question"), F.array_sort(F.transform(candidates, lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text")))).alias("options"))
+
+
+def decision_table(train: DataFrame, test: DataFrame, *, key: str = "workflow", sure: float = 0.9) -> DataFrame:
+    """AG-10 on (key, ids, gold) and test rows with ids, target, gold, correct, conf too: the model against the most common label of train where
+    every row of a key has the same options, else against a random pick among a row's options."""
+    same = train.groupBy(key).agg((F.count_distinct(F.col("ids").cast("string")) == 1).alias("same"))
+    votes = train.groupBy(key, "gold").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.min_by("gold", F.struct((-F.col("n")).alias("n"), "gold")).alias("majority"))
+    known = same.join(votes, key).select(F.col(key).alias("_k"), F.when(F.col("same"), F.col("majority")).alias("_majority"))
+    rows = test.join(known, F.col(key).eqNullSafe(F.col("_k")), "left")
+    pick = F.size(F.filter("target", lambda t: t > 0)) / F.size("target")
+    base = F.when(F.col("_majority").isNotNull(), (F.col("gold") == F.col("_majority")).cast("double")).otherwise(pick)
+    confident = F.col("conf") >= sure
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("correct").alias("model"), F.avg(base).alias("baseline"), F.max("_majority").alias("majority"), F.count_if(confident).alias("sure_n"), F.count_if(confident & (F.col("correct") == 1)).alias("sure_ok"))
+
+
+def option_collisions(df: DataFrame, tokens: str, limit: int) -> DataFrame:
+    """AG-13: how many rows have two options alike in their first `limit` tokens; tokens is an array of arrays."""
+    cut = F.transform(F.col(tokens), lambda t: F.slice(t, 1, limit))
+    return df.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.size(F.array_distinct(cut)) < F.size(cut)).alias("collisions"))
+
+
+def training_loss(logits: Column, target: Column, answerability: Column | None = None, answerable: Column | None = None, weight: float = 0.25) -> dict[str, Column]:
+    """SF-21, the value: mean soft cross entropy over answerable rows, and with answerability logits their binary cross entropy times a weight.
+
+    Raises in the row whose target mass does not go with its label.
+    """
+    if not 0 <= weight < float("inf"):
+        raise ValueError("answerability_weight must be nonnegative and finite")
+    mass = E.total(target)
+    active = F.lit(True) if answerable is None else answerable
+    bad = F.exists(target, lambda t: t.isNull() | F.isnan(t) | (t < 0) | (t == float("inf"))) | (active & (mass <= 0)) | (~active & (mass != 0))
+    ce = F.when(bad, F.raise_error(F.lit("target mass must match answerability labels")).cast("double")).when(active, E.soft_ce(E.softmax(logits), F.transform(target, lambda t: t / mass)))
+    choice = F.coalesce(F.avg(ce), F.lit(0.0))
+    support = F.lit(0.0)
+    if answerability is not None:
+        # log(1 + e^a) - y a, without overflow
+        support = F.avg(F.greatest(answerability, F.lit(0.0)) + F.log1p(F.exp(-F.abs(answerability))) - F.when(active, answerability).otherwise(0.0))
+    return {"loss": choice + weight * support, "choice_loss": choice, "answerability_loss": support}
+
+
 def summarize(ledger: DataFrame) -> DataFrame:
     """AG-1 on (case_id, source_group, expected, raw_choice, choice, probabilities, latency_ms)."""
     p = F.col("probabilities")
@@ -84,8 +166,7 @@ def summarize(ledger: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("choice").isNotNull(), (F.col("choice") == F.col("expected")).cast("int"))).alias("accepted_accuracy"),
         F.avg("nll").alias("nll"),
         F.avg("brier").alias("brier"),
-        F.percentile("latency_ms", F.lit(0.50)).alias("latency_p50_ms"),
-        F.percentile("latency_ms", F.lit(0.95)).alias("latency_p95_ms"),
+        *(F.lit(v).cast("double").alias(f"latency_p{p}_ms") for p, v in zip((50, 95), order_statistics(ledger, "latency_ms", places=[0.50, 0.95]), strict=True)),
     )
     return sums.crossJoin(ece(rows, []).withColumnRenamed("ece", "ece_15_bins"))  # two single rows
 
@@ -125,9 +206,9 @@ def paired(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     j = side(baseline, "a").join(side(candidate, "b"), F.col("id_a") == F.col("id_b"), "full_outer")
     problem = F.when(F.col("id_a").isNull() | F.col("id_b").isNull(), "both ledgers must contain exactly the same case ids")
     for c in ("source_group", "request_sha256", "expected"):
-        problem = problem.when(F.col(f"{c}_a") != F.col(f"{c}_b"), f"incompatible {c}")
+        problem = problem.when(~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")), f"incompatible {c}")
     keys = lambda s: F.array_sort(F.map_keys(f"probabilities_{s}"))
-    problem = problem.when(keys("a") != keys("b"), "incompatible candidate ids")
+    problem = problem.when(~keys("a").eqNullSafe(keys("b")), "incompatible candidate ids")
     hit = lambda s: (F.col(f"raw_choice_{s}") == F.col(f"expected_{s}")).cast("int")
     return j.select(F.coalesce("id_a", "id_b").alias("case_id"), F.col("source_group_a").alias("source_group"), (hit("b") - hit("a")).alias("delta"), problem.alias("problem"))
 

@@ -85,6 +85,22 @@ def preflight(df: DataFrame, error: Column, split: str = "split", share: float =
     return checked.where(~F.col("_bad")).drop("_bad")
 
 
+def labelled(df: DataFrame, *, teacher: bool = False, split: str = "split", source: str = "label_source") -> DataFrame:
+    """PF-11: rows whose label_source is "none" hold a place for a label. Without a teacher they raise in train; elsewhere they go."""
+    none = F.coalesce(F.col(source) == "none", F.lit(False))
+    if not teacher:
+        n = df.where(none & (F.col(split) == "train")).count()
+        if n:
+            raise ValueError(f"{n} training rows have label_source 'none' and there is no teacher")
+    return df.where(~none | (F.col(split) == "train"))
+
+
+def label_kept(gold: Column, quality: Column, order: Column) -> Column:
+    """LB-22: whether a judge's ranked options bear a label out: first, or among the first two where sources agreed. Without a judgement it stays."""
+    place = F.array_position(order, gold)
+    return F.coalesce((place == 1) | ((place == 2) & (quality == "agreed")), F.lit(True))
+
+
 def pending(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """SRC-16: what has not been scored yet."""
     return items.join(done.select(*keys), keys, "left_anti")

@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,25 +110,58 @@ class OnnxScorer:
         return [list(map(float, self.session.run(None, self.pack(*row))[0][0][: len(row[2])])) for row in zip(state, text, options, strict=True)]
 
 
-def score(items: DataFrame, scorer: Scorer, *, orders: int = 1, temperature: dict[str, float] | float = 1.0) -> DataFrame:
-    """SC-4: adds p, the mean over rotated option orders of the options' probabilities, to items(item_id, kind, state, text, ids, texts)."""
-    offsets = items.withColumn("offset", F.explode(E.option_orders(F.size("ids"), orders)))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in offsets.schema.fields)
+def batch_arrays(packed: list[tuple[list[int], list[tuple[int, int]]]], pad: int, shared: bool = False) -> tuple:
+    """SC-3: packed rows (ids, spans of their options) as arrays for a model: ids and mask (row, place), spans (row, option, place), and with
+    `shared` positions that start every option right after the prefix."""
+    width, most = max(len(ids) for ids, _ in packed), max(len(spans) for _, spans in packed)
+    ids, mask = np.full((len(packed), width), pad, np.int64), np.zeros((len(packed), width), np.int64)
+    marks, places = np.zeros((len(packed), most, width), np.float32), np.zeros((len(packed), width), np.int64)
+    at = np.arange(width)
+    for row, (given, spans) in enumerate(packed):
+        ids[row, : len(given)] = given
+        mask[row] = at < len(given)
+        begins, ends = (np.array(x)[:, None] for x in zip(*spans, strict=True))
+        marks[row, : len(spans)] = (begins <= at) & (at < ends)
+        # a place in an option counts from the first option's begin
+        since = np.where(at >= begins, begins, 0).max(axis=0)
+        places[row] = np.where(mask[row] > 0, np.where(at >= begins[0], at - since + begins[0], at), 0)
+    return (ids, mask, marks, places) if shared else (ids, mask, marks)
+
+
+def _offsets(count: int, orders: int) -> list[int]:
+    m = min(count, orders)
+    return [i * count // m for i in range(m)]
+
+
+def mean_probabilities(scorer: Scorer, state: list[str], text: list[str], options: list[list[str]], temperature: list[float], orders: int) -> list[list[float]]:
+    """SC-4 for a batch: the mean over rotated option orders of the options' probabilities. One call of the scorer for each order."""
+    turns = [_offsets(len(o), orders) for o in options]
+    sums = [np.zeros(len(o)) for o in options]
+    for k in range(max(map(len, turns), default=0)):
+        rows = [r for r, t in enumerate(turns) if k < len(t)]
+        shown = [[*options[r][turns[r][k] :], *options[r][: turns[r][k]]] for r in rows]
+        for r, logits in zip(rows, scorer.logits([state[r] for r in rows], [text[r] for r in rows], shown), strict=True):
+            x = np.asarray(logits, float) / temperature[r]
+            p = np.exp(x - x.max())
+            sums[r] += np.roll(p / p.sum(), turns[r][k])
+    return [(s / len(t)).tolist() for s, t in zip(sums, turns, strict=True)]
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [[*t[o:], *t[:o]] for t, o in zip(map(list, b["texts"]), b["offset"], strict=True)]
-            yield b.assign(logits=scorer.logits(list(b["state"]), list(b["text"]), texts))
-
-    made = offsets.mapInPandas(step, f"{fields}, logits array<double>")
-    if isinstance(temperature, dict):
-        t = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in temperature.items() for x in kv)), F.col("kind")), F.lit(1.0)) if temperature else F.lit(1.0)
-    else:
-        t = F.lit(float(temperature))
-    p = made.withColumn("p", E.unrotate(E.softmax(F.col("logits"), t), F.col("offset")))
-    one = p.select("item_id", F.posexplode("p").alias("i", "v")).groupBy("item_id", "i").agg(F.avg("v").alias("v"))
-    mean = one.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("p"))  # an item's options only
-    return items.join(mean, "item_id")
+
+def score(items: DataFrame, scorer: Scorer, *, orders: int = 1, temperature: dict[str, float] | float = 1.0) -> DataFrame:
+    """SC-4: adds p, the mean over rotated option orders of the options' probabilities, to items(item_id, kind, state, text, ids, texts). No shuffle."""
+    if orders < 1:
+        raise ValueError("orders must be at least 1")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                kinds, state, text, texts = (b.column(c).to_pylist() for c in ("kind", "state", "text", "texts"))
+                t = [temperature.get(k, 1.0) if isinstance(temperature, dict) else float(temperature) for k in kinds]
+                p = mean_probabilities(scorer, state, text, texts, t, orders)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.list_(pa.float64()))], names=[*b.schema.names, "p"])
+
+    return items.mapInArrow(step, f"{fields}, p array<double>")
 
 
 def predict(requests: DataFrame, scorer: Scorer, *, orders: int = 1, temperature: dict[str, float] | float = 1.0, abstain_below: float | None = None) -> DataFrame:

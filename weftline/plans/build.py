@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import exprs as E
 from ..operators import dataset as D
+from ..operators import evaluation as V
 from ..operators import pages as P
+from ..operators import training as R
+from ..operators import typed as T
 from ..sources import files, stages
 
 ROW = ("case_id", "source_group", "workflow", "state", "question", "question_type", "candidates", "target", "label_source", "label_quality")
@@ -114,3 +117,52 @@ def merge(parts: list[tuple[DataFrame, dict]], out: str) -> dict:
     rows = rows.withColumns({"decision": E.decision_of(F.col("case_id")), "label": E.gold_label(F.col("candidates.id"), F.col("target"))})
     made = _write(rows, out, "merged", inputs=[m["revision"] for _, m in parts])
     return made | {"revision": hashlib.sha256("".join(m["revision"] for _, m in parts).encode()).hexdigest()[:16]}
+
+
+def label_checked(rows: DataFrame, judged: DataFrame, base: dict, out: str, *, judge: str = "judge") -> dict:
+    """DS-15: a dataset's rows (with split, decision, label) without those whose label a judge's ranking(case_id, order) does not bear out, written
+    with the dataset's manifest patched: counts, labels and digests anew, the rest as it was, and the report of what was kept."""
+    j = judged.select(F.col("case_id").alias("_c"), "order")
+    checked = stages.cut(rows.join(j, F.col("case_id") == F.col("_c"), "left").withColumn("_keep", R.label_kept(F.col("label"), F.col("label_quality"), F.col("order"))).drop("_c", "order"), "checked")
+    key = F.concat(F.col("decision"), F.lit("="), "label", F.lit("|"), F.coalesce("label_quality", F.lit("none")))
+    report = {r["key"]: {"kept": r["kept"], "dropped": r["dropped"]} for r in checked.groupBy(key.alias("key")).agg(F.count_if("_keep").alias("kept"), F.count_if(~F.col("_keep")).alias("dropped")).collect()}
+    made = _write(checked.where("_keep").drop("_keep"), out, base["dataset"] + "-checked", **{k: v for k, v in base.items() if k not in ("dataset", "split_counts", "revision", "split_unit")}, label_check={"judge": judge, "report": report})
+    return made
+
+
+def evaluate(rows: DataFrame, scorer: T.Scorer, out: str) -> dict:
+    """HX-10: a dataset's rows(split, case_id, source_group, workflow, question_type, question, state, candidates, target) scored, temperatures fitted on
+    calibration, metrics of test before and after, how many answers an order reversal changes, and the test ledger written as JSON lines."""
+    kind = F.coalesce("question_type", F.lit("choice"))
+    items = rows.where("split IN ('calibration', 'development', 'test')").withColumns({"item_id": F.col("case_id"), "kind": kind, "text": F.col("question"), "ids": F.col("candidates.id"), "texts": F.col("candidates.text")})
+    items = items.withColumn("state", F.col("state").cast("string") if dict(items.dtypes)["state"] == "string" else F.to_json("state"))
+    one = T.score(items, scorer).withColumnRenamed("p", "p1")
+    flipped = T.score(one.withColumn("texts", F.reverse("texts")), scorer).withColumnRenamed("p", "p2").withColumn("texts", F.reverse("texts")).withColumn("p2", F.reverse("p2"))
+    log = lambda c: F.transform(c, lambda p: F.ln(F.greatest(p, F.lit(1e-12))))
+    mean = F.zip_with("p1", "p2", lambda a, b: (a + b) / 2)
+    scored = stages.cut(flipped.withColumns({"logits": log(F.col("p1")), "averaged": log(mean), "flip": (E.argmax(F.col("p1")) != E.argmax(F.col("p2"))).cast("int")}), "scored")
+    part = {s: scored.where(F.col("split") == s) for s in ("calibration", "development", "test")}
+    fitted = V.fit_temperature(part["calibration"]).first()
+    if fitted is None or fitted["temperature"] is None:
+        raise ValueError("no calibration rows")
+    by_type = {r["question_type"]: r["temperature"] for r in V.fit_temperature(part["calibration"].withColumn("question_type", kind), ["question_type"]).collect()}
+    of = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in by_type.items() for x in kv)), kind), F.lit(1.0))
+    table = lambda df, t=1.0: {r["key"]: {k: r[k] for k in ("decisions", "accuracy", "soft_ce", "brier", "ece")} for r in V.metrics(df, t).collect()}  # noqa: E731  a row for each workflow and type
+    test = part["test"]
+    p = E.softmax(F.col("logits"), F.lit(fitted["temperature"]))
+    raw = F.element_at("ids", E.argmax(F.col("_p")))
+    request = F.concat(F.lit('{"question":'), F.to_json(F.struct(F.map_from_entries(F.col("candidates")).alias("criteria"), F.col("question").alias("instructions"), F.lit("choice").alias("type"))), F.lit(',"state":'), F.when(F.col("state").rlike(r"^\s*[\[{]"), F.col("state")).otherwise(F.to_json(F.array("state"))), F.lit("}"))
+    ledger = test.withColumn("_p", p).select("case_id", "source_group", request.alias("_request"), E.gold_label(F.col("ids"), F.col("target")).alias("expected"), raw.alias("raw_choice"), raw.alias("choice"), F.map_from_arrays("ids", "_p").alias("probabilities"), F.map_from_arrays("ids", "target").alias("teacher_target"))
+    digests = R.request_digests(ledger, "case_id", "_request")
+    files.write_jsonl(ledger.drop("_request").join(digests, "case_id").withColumn("latency_ms", F.lit(0.0)), out)
+    return {
+        "temperature": fitted["temperature"],
+        "temperature_by_type": by_type,
+        "test_uncalibrated": table(test),
+        "test_calibrated": table(test, fitted["temperature"]),
+        "test_calibrated_by_type": table(test, of),
+        "test_order_averaged_uncalibrated": table(test.withColumn("logits", F.col("averaged"))),
+        "development_uncalibrated": table(part["development"]).get("all"),
+        "order_reversal_argmax_change_fraction": test.agg(F.avg("flip")).first()[0],
+        "selective_uncalibrated": {r["threshold"]: {"coverage": r["coverage"], "accepted_accuracy": r["accepted_accuracy"]} for r in V.selective(test).collect()},
+    }

@@ -528,35 +528,32 @@ SELECT key, count(*) AS decisions, round(avg(CASE WHEN NOT seen THEN 0.5E0 WHEN
 )
 def q42_prior_controls(t):
     """AG-12, JN-3, HX-1, SF-6."""
-    rows = t.L.withColumn("schema_key", F.col("workflow"))
+    options = F.transform("ids", lambda i: F.struct(i.alias("id"), i.alias("text")))
+    rows = t.L.withColumn("schema_key", V.schema_key(F.col("workflow"), F.concat("case_id", F.lit("::quality")), options))
     train = E.split_of(F.col("source_group"), 1) == "train"
     r = V.prior_controls(rows.where(train), rows.where(~train))
     return r.select("key", "decisions", *(R6(c).alias(c) for c in r.columns[2:]))
 
 
-def _order_statistics(df: DataFrame, col: str) -> list:
-    n = df.select(col).where(F.col(col).isNotNull()).count()
-    at = lambda k: F.expr(f"percentile_disc({(k + 0.5) / max(1, n)!r}D) WITHIN GROUP (ORDER BY {col})")
-    return [R6(F.percentile(col, F.lit(0.95))).alias("linear_p95"), at(int(0.95 * (n - 1))).alias("lower_p95"), at(n // 2).alias("upper_median")]
-
-
 @query(
     """SELECT 'n_chars' AS what, round(quantile_cont(n_chars, 0.95), 6) AS linear_p95, CAST(list_sort(list(n_chars))[1 + cast(floor(0.95E0 * (count(*) - 1)) as int)] AS DOUBLE) AS lower_p95, CAST(list_sort(list(n_chars))[1 + count(*) // 2] AS DOUBLE) AS upper_median FROM documents
 UNION ALL SELECT 'value', round(quantile_cont(value, 0.95), 6), list_sort(list(value))[1 + cast(floor(0.95E0 * (count(*) - 1)) as int)], list_sort(list(value))[1 + count(*) // 2] FROM events"""
 )
 def q43_quantiles(t):
     """AG-13, AG-18, AG-19: three quantile rules."""
-    a = t.documents.agg(*_order_statistics(t.documents, "n_chars")).select(F.lit("n_chars").alias("what"), *(F.col(c).cast("double").alias(c) for c in ("linear_p95", "lower_p95", "upper_median")))
-    b = t.events.agg(*_order_statistics(t.events, "value")).select(F.lit("value").alias("what"), *(F.col(c).cast("double").alias(c) for c in ("linear_p95", "lower_p95", "upper_median")))
-    return a.unionAll(b)
+    rows = []
+    for name, df, col in (("n_chars", t.documents, "n_chars"), ("value", t.events, "value")):
+        n = df.where(F.col(col).isNotNull()).count()
+        rows.append((name, *V.order_statistics(df, col, places=[0.95]), *V.order_statistics(df, col, [int(0.95 * (n - 1)), n // 2])))
+    return t.spark.createDataFrame(rows, "what string, linear_p95 double, lower_p95 double, upper_median double").withColumn("linear_p95", R6("linear_p95"))
 
 
 @query(r"WITH w AS (SELECT len(regexp_extract_all(text, '\S+')) AS n FROM documents) SELECT count(*) AS items, count(*) FILTER (n > 384) AS truncated_items, round(avg(CASE WHEN n > 384 THEN 1.0E0 ELSE 0 END), 6) AS truncated_fraction, list_sort(list(n))[1 + count(*) // 2] AS median_tokens, max(n) AS max_tokens FROM w")
 def q44_token_budget(t):
     """AG-13."""
-    w = t.documents.select(F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).cast("long").alias("n"))
-    total = w.count()
-    return w.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("n") > 384).alias("truncated_items"), R6(F.avg((F.col("n") > 384).cast("int"))).alias("truncated_fraction"), F.expr(f"percentile_disc({(total // 2 + 0.5) / max(1, total)!r}D) WITHIN GROUP (ORDER BY n)").cast("long").alias("median_tokens"), F.max("n").alias("max_tokens"))
+    w = stages.cut(t.documents.select(F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).cast("long").alias("n")), "tokens")
+    (median,) = V.order_statistics(w, "n", [w.count() // 2])
+    return w.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("n") > 384).alias("truncated_items"), R6(F.avg((F.col("n") > 384).cast("int"))).alias("truncated_fraction"), F.lit(median).cast("long").alias("median_tokens"), F.max("n").alias("max_tokens"))
 
 
 @query(f"WITH {LED}, {LED2} SELECT count(*) AS cases, count(DISTINCT led.source_group) AS source_groups, round(avg(CASE WHEN led2.pred = led2.q THEN 1.0E0 ELSE 0 END - CASE WHEN led.pred = led.q THEN 1.0E0 ELSE 0 END), 6) AS accuracy_delta, round(avg(CASE WHEN led.pred <> led2.pred THEN 1.0E0 ELSE 0 END), 6) AS flips FROM led JOIN led2 ON led.case_id = led2.case_id")
@@ -665,8 +662,7 @@ def q52_label_check(t):
     rows = t.L.withColumn("quality", F.when(F.col("h") % 2 == 0, "agreed").otherwise("single")).select("case_id", "q", "quality", "h", E.gold_label(F.col("ids"), F.col("target")).alias("gold"))
     judge = t.L2.select(F.col("case_id").alias("id"), F.transform(E.ranked(F.col("p"), F.col("ids")), lambda x: x["id"]).alias("order"))
     j = rows.join(judge, (F.col("case_id") == F.col("id")) & (F.col("h") % 5 != 0), "left")
-    place = F.array_position("order", F.col("gold"))
-    keep = F.coalesce((place == 1) | ((place == 2) & (F.col("quality") == "agreed")), F.lit(True))
+    keep = R.label_kept(F.col("gold"), F.col("quality"), F.col("order"))
     return j.groupBy(F.concat_ws("|", F.col("q").cast("string"), "quality").alias("key")).agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("dropped"))
 
 
@@ -750,32 +746,41 @@ def q60_jsonl_roundtrip(t):
     return back.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min(digest).alias("least"), F.max(digest).alias("most"), F.sum(F.col("conv_id") * 100 + F.col("turn")).alias("keys"))
 
 
-@query(f"WITH p AS (SELECT page_id, url, {HOST} AS host FROM pages), u AS (SELECT host, url, min(page_id) AS page_id FROM p GROUP BY ALL) SELECT host AS warc_file, count(*) AS pages, count(*) FILTER (page_id % 3 = 0) AS with_language FROM u WHERE page_id % 10 <> 0 GROUP BY host")
-def q61_warc_scan(t):
-    """SRC-1 to SRC-4, DS-1, PF-2, PF-3: each host's pages written as a WARC and read back."""
+def write_warcs(t, path: str) -> None:
+    """Each host's pages as a .warc.gz of its own in the shared folder: every tenth page has another status, every third a language; and a broken file."""
     import gzip
 
     import pandas as pd
 
-    def write(pid: int, url: str, html: str) -> bytes:
-        status = "404 Gone" if pid % 10 == 0 else "200 OK"
-        http = f"HTTP/1.1 {status}\r\nContent-Type: text/html; charset=utf-8\r\n\r\n".encode() + html.encode()
-        out = gzip.compress(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\n\r\n".encode() + http, 1)
-        if pid % 3 == 0:
-            out += gzip.compress(f'WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Target-URI: {url}\r\n\r\nlanguages-cld2: {{"languages":[{{"code-iso-639-3":"eng"}}]}}\r\n'.encode(), 1)
-        return out
+    def record(kind: str, url: str, body: bytes) -> bytes:
+        return gzip.compress(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\n\r\n".encode() + body, 1)
 
-    def step(batches):
-        for b in batches:
-            rows = []
-            for host, pid, url, html in zip(b["host"], b["page_id"], b["url"], b["html"], strict=True):
-                rows += [r | {"warc_file": host, "seq": int(pid) * 2 + r["seq"]} for r in warc._rows(host, write(int(pid), url, html or ""), 10**12)]
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in warc.SCHEMA.replace("map<string,string>", "map").split(", ")])
-
-    pages = t.pages.select("page_id", "url", "html", E.host_of(F.col("url")).alias("host"))
-    records = pages.mapInPandas(step, warc.SCHEMA)
-    found = warc.html_pages(records)
-    return found.groupBy("warc_file").agg(F.count(F.lit(1)).alias("pages"), F.count("detected_language").alias("with_language"))
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("page_id")
+        name = f"{part['host'].iloc[0] or 'none'}.warc.gz"
+        with stages.create(f"{path}/{name}") as f:
+            for pid, url, html in zip(part["page_id"].tolist(), part["url"], part["html"], strict=True):
+                status = "404 Gone" if pid % 10 == 0 else "200 OK"
+                f.write(record("response", url, f"HTTP/1.1 {status}\r\nContent-Type: text/html; charset=utf-8\r\n\r\n{html or ''}".encode()))
+                if pid % 3 == 0:
+                    f.write(record("metadata", url, b'languages-cld2: {"languages":[{"code-iso-639-3":"eng"}]}\r\n'))
+        return pd.DataFrame({"name": [name]})
+
+    t.pages.select("page_id", "url", "html", E.host_of(F.col("url")).alias("host")).groupBy("host").applyInPandas(write, "name string").count()
+
+
+_FIRST = f"WITH p AS (SELECT page_id, url, {HOST} AS host FROM pages WHERE page_id % 10 <> 0), u AS (SELECT host, url, min(page_id) AS page_id FROM p GROUP BY ALL)"
+
+
+@query(f"{_FIRST} SELECT host || '.warc.gz' AS warc_file, count(*) AS pages, count(*) FILTER (u.page_id % 3 = 0) AS with_language, CAST(sum(length(html)) AS BIGINT) AS chars, min(md5(html)) AS least FROM u JOIN pages ON pages.page_id = u.page_id GROUP BY host")
+def q61_warc_scan(t):
+    """SRC-1 to SRC-4, DS-1, PF-2, PF-3, JN-1: each host's pages written as a .warc.gz file and read back, streamed."""
+    path = stages.folder(t.spark, "warcs")
+    write_warcs(t, path)
+    found = warc.read_pages(t.spark, path)
+    return found.groupBy(F.element_at(F.split("warc_file", "/"), -1).alias("warc_file")).agg(
+        F.count(F.lit(1)).alias("pages"), F.count("detected_language").alias("with_language"), F.sum(F.length("html")).alias("chars"), F.min(F.md5(F.col("html").cast("binary"))).alias("least")
+    )
 
 
 @query(f"WITH {LED} SELECT round(max(greatest(abs(p0 - round(p0, 2)), abs(p1 - round(p1, 2)))), 4) AS max_drift, count(*) FILTER (pred <> CASE WHEN round(p1, 2) > round(p0, 2) THEN 1 ELSE 0 END) AS flips, count(*) AS n FROM led")

@@ -28,6 +28,18 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def create(path: str):
+    """A new file of the shared folder, written by a worker through Arrow's file systems."""
+    from urllib.parse import urlparse
+
+    import pyarrow.fs as fs
+
+    parts = urlparse(path)
+    where, at = (fs.LocalFileSystem(), parts.path) if parts.scheme in ("", "file") else fs.FileSystem.from_uri(path)
+    where.create_dir(at.rpartition("/")[0], recursive=True)
+    return where.open_output_stream(at, compression=None)
+
+
 def cut(df: DataFrame, name: str = "step", apart: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: what follows does not depend on executors staying alive.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import json
 import re
 import zlib
@@ -25,21 +24,27 @@ def fields(block: str) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
-def members(stream, max_bytes: int = 10**12) -> Iterator[bytes]:
-    """The gzip members of a stream one after another; a broken one ends it (SRC-1)."""
-    inflate, parts, read = zlib.decompressobj(31), [], 0
+def members(stream, max_bytes: int = 10**12, keep: int = BODY + (1 << 20)) -> Iterator[bytes]:
+    """The gzip members of a stream one after another, at most `keep` bytes of each; a broken one ends it (SRC-1).
+
+    What is held is one block read and the part of one member that is kept, however large the file or a record is.
+    """
+    inflate, parts, held, read = zlib.decompressobj(31), [], 0, 0
     while read < max_bytes and (data := stream.read(1 << 16)):
         read += len(data)
         while data:
             try:
-                parts.append(inflate.decompress(data))
+                out = inflate.decompress(data, 1 << 20)
             except zlib.error:
                 return
-            data = b""
+            if held < keep:
+                parts.append(out[: keep - held])
+                held += len(parts[-1])
+            data = inflate.unconsumed_tail
             if inflate.eof:
                 data = inflate.unused_data
                 yield b"".join(parts)
-                inflate, parts = zlib.decompressobj(31), []
+                inflate, parts, held = zlib.decompressobj(31), [], 0
 
 
 def record(data: bytes, body: int = BODY) -> dict | None:
@@ -65,30 +70,71 @@ def record(data: bytes, body: int = BODY) -> dict | None:
     return out | {"status": int(words[1]), "http": fields(block), "body": content[:body]}
 
 
-def _rows(name: str, content: bytes, max_bytes: int) -> Iterator[dict]:
-    for seq, data in enumerate(members(io.BytesIO(content), max_bytes)):
+def open_stream(uri: str):
+    """A file on any store that Arrow knows (local, HDFS, S3, GCS), as a stream."""
+    from urllib.parse import unquote, urlparse
+
+    import pyarrow.fs as fs
+
+    parts = urlparse(uri)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem().open_input_stream(unquote(parts.path) if parts.scheme else uri, compression=None)
+    where, path = fs.FileSystem.from_uri(uri)
+    return where.open_input_stream(path, compression=None)
+
+
+def _rows(name: str, stream, max_bytes: int) -> Iterator[dict]:
+    for seq, data in enumerate(members(stream, max_bytes)):
         r = record(data)
         if r:
             yield {"warc_file": name, "seq": seq} | r
 
 
+def _failed(name: str, why: Exception) -> dict:
+    """The row that tells that a file could not be read (to its end); the other files go on (DS-2)."""
+    return {"warc_file": name, "seq": -1, "rec_type": "failed", "url": f"{type(why).__name__}: {why}", "status": None, "http": None, "body": None, "lang3": None}
+
+
+def _streamed(name: str, max_bytes: int, seen=lambda rows: rows) -> Iterator[dict]:
+    """A file's rows as `seen` makes them of its records, and a failed one if reading stops."""
+    try:
+        with open_stream(name) as stream:
+            yield from seen(_rows(name, stream, max_bytes))
+    except (OSError, ValueError) as why:
+        yield _failed(name, why)
+
+
+def _framed(rows: Iterator[dict], columns: list[str], most: int = 64) -> Iterator[pd.DataFrame]:
+    held = []
+    for r in rows:
+        held.append(r)
+        if len(held) == most:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
+def _paths(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the files below a path. Only their names are read; each large file is a split of its own."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+
+
+_COLUMNS = [c.split()[0] for c in SCHEMA.replace("map<string,string>", "map").split(", ")]
+
+
 def read_warc(spark: SparkSession, path: str, max_bytes: int = 10**12) -> DataFrame:
-    """Records of all .warc.gz files below a path, through Spark's own file access: works on any store Spark reads. A file is one task's."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    """Records of all .warc.gz files below a path, streamed member by member; a file is one task's and takes the memory of one record.
+
+    A file that cannot be read gives a row with rec_type "failed".
+    """
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                held = []
-                for r in _rows(name, content, max_bytes):
-                    held.append(r)
-                    if len(held) == 64:
-                        yield pd.DataFrame(held)
-                        held = []
-                if held:
-                    yield pd.DataFrame(held)
+            for name in b["path"]:
+                yield from _framed(_streamed(name, max_bytes), _COLUMNS)
 
-    return files.mapInPandas(step, SCHEMA)
+    return _paths(spark, path).mapInPandas(step, SCHEMA)
 
 
 class _File(InputPartition):
@@ -97,7 +143,7 @@ class _File(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    """Streams local files member by member, so a file of any size takes the memory of one record; `paths` are separated by commas."""
+    """Streams files member by member, so a file of any size takes the memory of one record; `paths` are separated by commas."""
 
     def __init__(self, options) -> None:
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
@@ -107,14 +153,8 @@ class WarcReader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, part):
-        try:
-            with open(part.path, "rb") as stream:
-                for seq, data in enumerate(members(stream, self.max_bytes)):
-                    r = record(data)
-                    if r:
-                        yield (part.path, seq, r["rec_type"], r["url"], r["status"], r["http"], r["body"], r["lang3"])
-        except OSError as why:  # one row tells that a file failed; the others go on (DS-2)
-            yield (part.path, -1, "failed", str(why), None, None, None, None)
+        for r in _streamed(part.path, self.max_bytes):
+            yield tuple(r[c] for c in _COLUMNS)
 
 
 class WarcSource(DataSource):
@@ -187,23 +227,25 @@ def _pages(records: Iterator[dict], errors_only: bool, max_pages: int | None) ->
             return
 
 
-def read_pages(spark: SparkSession, path: str, *, errors_only: bool = False, max_pages: int | None = None) -> DataFrame:
-    """What `html_pages(read_warc(...))` gives, in one narrow stage: a file is read by one task in order, so its pages need no shuffle."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+def scan_pages(spark: SparkSession, path: str, *, errors_only: bool = False, max_pages: int | None = None) -> DataFrame:
+    """`read_pages`, and a row with `error` for each file that could not be read to its end."""
+    columns = ["warc_file", "seq", "url", "status", "detected_language", "html", "error"]
+
+    def pages(records: Iterator[dict]) -> Iterator[dict]:
+        return (r | {"error": None} for r in _pages(records, errors_only, max_pages))
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                held = []
-                for r in _pages(_rows(name, content, 10**12), errors_only, max_pages):
-                    held.append(r)
-                    if len(held) == 64:
-                        yield pd.DataFrame(held)
-                        held = []
-                if held:
-                    yield pd.DataFrame(held)
-
-    return files.mapInPandas(step, "warc_file string, seq long, url string, status int, detected_language string, html string")
+            for name in b["path"]:
+                rows = ({"warc_file": name, "seq": -1, "error": r["url"]} if r.get("rec_type") == "failed" else r for r in _streamed(name, 10**12, pages))
+                yield from _framed(({c: r.get(c) for c in columns} for r in rows), columns)
+
+    return _paths(spark, path).mapInPandas(step, "warc_file string, seq long, url string, status int, detected_language string, html string, error string")
+
+
+def read_pages(spark: SparkSession, path: str, *, errors_only: bool = False, max_pages: int | None = None) -> DataFrame:
+    """What `html_pages(read_warc(...))` gives, in one narrow stage: a file is read by one task in order, so its pages need no shuffle."""
+    return scan_pages(spark, path, errors_only=errors_only, max_pages=max_pages).where("error IS NULL").drop("error")
 
 
 def html_pages(records: DataFrame, *, errors_only: bool = False, max_pages: int | None = None, dedupe: str = "per_file") -> DataFrame:
