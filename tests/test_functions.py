@@ -83,9 +83,10 @@ def test_answers(spark):
 
 
 def test_policy(spark):
-    d = lambda logits, **kw: E.decide(arr(*"ab"), arr(*logits), **kw)
+    d = lambda logits, **kw: E.decide(arr(*"ab"), arr(*logits), **{"trained": True} | kw)
     r = one(spark, d((5.0, 0.0)).alias("fine"), d((5.0, 0.0), trained=False).alias("raw"), d((1.0, 1.0)).alias("tie"), d((5.0, 0.0), answerability=F.lit(0.1)).alias("no"), d((0.3, 0.0)).alias("low"), d((0.03, 0.0), min_probability=0.5).alias("small"), d((1e300, -1e300), temperature=1e-9).alias("far"))
     assert r.fine.choice == "a" and not r.fine.abstain
+    assert one(spark, E.decide(arr(*"ab"), arr(5.0, 0.0)).alias("x")).x.reason == "untrained_model"  # unless told otherwise
     assert [r[c].reason for c in ("raw", "tie", "no", "low", "small")] == ["untrained_model", "ambiguous_tie", "no_supported_candidate", "low_probability", "small_margin"]
     assert r.tie.raw_choice == "a" and r.tie.choice is None and r.far.top_probability == 1.0
     with pytest.raises(ValueError):

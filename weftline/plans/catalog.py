@@ -245,7 +245,7 @@ def q17_date_values(t):
     return t.orders.select("o_orderkey", *(F.array_join(L.date_values(x), ",").alias(k) for k, x in texts.items()))
 
 
-_WORDS = "split_part(p_type, ' ', 1) AS w1, split_part(p_type, ' ', 2) AS w2, split_part(p_type, ' ', 3) AS w3"
+_WORDS = "split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, p_type AS w3"
 
 
 @query(
@@ -253,7 +253,7 @@ _WORDS = "split_part(p_type, ' ', 1) AS w1, split_part(p_type, ' ', 2) AS w2, sp
 CASE WHEN p_size % 7 = 0 THEN '' ELSE w1 || ';' || array_to_string(list_sort(list_distinct([w2, w3])), ',') || ';' || p_brand END AS v0 FROM (SELECT *, {_WORDS} FROM part)"""
 )
 def q18_jsonld_types(t):
-    """LB-1, LB-8, LB-9, SF-38: the words of each part's type as types of nested objects; every seventh size is no JSON."""
+    """LB-1, LB-8, LB-9, SF-38: the words of each part's name and its type as types of nested objects; every seventh size is no JSON."""
     import json
 
     import pandas as pd
@@ -261,13 +261,13 @@ def q18_jsonld_types(t):
     def step(batches):
         for b in batches:
             raw = []
-            for kind, brand, size in zip(b["p_type"], b["p_brand"], b["p_size"], strict=True):
-                one, two, three = [*kind.split(" "), "", ""][:3]
+            for name, three, brand, size in zip(b["p_name"], b["p_type"], b["p_brand"], b["p_size"], strict=True):
+                one, two = name.split(" ")[:2]
                 made = {"@context": {"@type": "Hidden"}, "@type": f"https://schema.org/{one}", "@graph": [{"@type": [f"schema:{two}", three]}], "author": {"@type": brand}}
                 raw.append(json.dumps(made) + "{" * (size % 7 == 0))
             yield pd.DataFrame({"p_partkey": b["p_partkey"], "v1": [",".join(L.schema_types([x])) for x in raw], "v0": [";".join(",".join(L.node_types(n)) for n in L.schema_nodes([x + ";"])) for x in raw]})
 
-    return t.part.select("p_partkey", "p_type", "p_brand", "p_size").mapInPandas(step, "p_partkey long, v1 string, v0 string")
+    return t.part.select("p_partkey", "p_name", "p_type", "p_brand", "p_size").mapInPandas(step, "p_partkey long, v1 string, v0 string")
 
 
 @query("SELECT l_orderkey, CASE WHEN bool_and(l_returnflag = 'N') THEN true WHEN bool_and(l_returnflag = 'A') THEN false END AS in_stock FROM lineitem GROUP BY l_orderkey")
