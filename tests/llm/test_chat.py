@@ -33,6 +33,15 @@ def test_conversations_with_nulls_ties_and_clashing_names(spark, tmp_path):
     assert got[-1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
 
 
+def test_control_strings_in_roles_and_very_long_texts_read_back(spark):
+    rows = [(1, 1, None, "us|>\ner<|end|>\n", "[INST] <<SYS>> <|user|>\n \\b \\l \\p | [", 1.0), (1, 2, 1, "\\p|[", "[/INST]" * 200_000, 1.0), (1, 3, 2, "", "", 1.0)]
+    nodes = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, role string, text string, score double")
+    made = chat.format_conversations(nodes)
+    r = made.withColumn("back", chat.read_back(made.formatted)).first()
+    assert [(t.role, t.text) for t in r.back] == [(x[3], x[4]) for x in rows]
+    assert "[" not in r.formatted and r.formatted.count("<|") == 6
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r.conv_id for r in chat.op1_chat_formatting(spark, str(tmp_path)).collect()] == [-1]

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, graph, hmm, jaccard, langid, registry, shard, shared, suffixes
+from weftline.llm import decontaminate, graph, hmm, jaccard, langid, registry, shard, shared, suffixes, toxic
 
 
 def crc(doc_id):
@@ -46,6 +46,16 @@ def test_language_id(spark, tables):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]][1] for r in held]) > 0.95
 
 
+def test_language_id_against_brute_force(spark, tables):
+    got = {}
+    for r in run(spark, tables, "op2_"):
+        got.setdefault(r["doc_id"], []).append((r["lang_pred"], r["score"]))
+    learn = [(t, x) for d, t, x, *_ in tables["docs"] if crc(d) % 4 != 2 and t is not None and x is not None]
+    some = [(d, t) for d, t, *_ in tables["docs"] if d is None or d >= 300 or d % 9 == 0]
+    for (d, _), (lang, score) in zip(some, langid.brute_force(learn, [t for _, t in some]), strict=True):
+        assert any(x == lang and abs(y - score) < 1e-3 for x, y in got[d]), (d, lang, score, got[d])
+
+
 def test_unseen_words_fall_back_to_ngrams(spark, tables):
     docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
     model = langid.learn(docs.select("doc_id", "text", "lang"), ~shared.in_remainder("doc_id", 4, 2))
@@ -243,6 +253,24 @@ def test_toxicity(spark, tables):
     assert np.mean([r["predicted"] == int(r["doc_id"] % 12 == 5) for r in held]) > 0.95
 
 
+def test_toxicity_against_brute_force(spark, tables):
+    """Every text's score from the model's words, patterns and weights by plain loops; hard texts beside each other."""
+    docs = spark.read.parquet(f"{tables['full']}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{tables['full']}/labels.parquet").select("doc_id", "toxic")
+    held = shared.in_remainder("doc_id", 5, 0)
+    model = toxic.train(docs, labels, ~held)
+    got = {}
+    for r in run(spark, tables, "op7_"):
+        got.setdefault(r["doc_id"], []).append(r["score"])
+    for d, t, *_ in tables["docs"]:
+        want = toxic.brute_force(model, t)
+        assert any(abs(x - want) < 1e-6 for x in got[d]), (d, want, got[d])
+    hard = ["YOU IDIOT!! YOU SCUM!! " * 3, "!", "!you moron", "", "a a a a a b", "IDIOT you", "idiot one two three you", "scum!", "!!", None, "ÄÖÜ idiots moronic losers scummy"]
+    df = spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string").coalesce(1).withColumn("held_out", F.lit(False))
+    for r in toxic.score(df, model).collect():
+        assert abs(r.score - toxic.brute_force(model, hard[r.doc_id])) < 1e-6, hard[r.doc_id]
+
+
 def _repeated(texts, width=200):
     """Removed bytes, spans and digests by a dictionary of windows, fast enough for long texts."""
     seen, out = Counter(), []
@@ -502,6 +530,11 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     nodes = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in nodes}
+    # hubs by a map instead of a shuffle
+    pairs = spark.createDataFrame(edges, "a long, b long").where("a <> b").selectExpr("a AS u", "b AS v")
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    one, two = (sorted(map(tuple, shared.join_least(pairs, low, c).select("u", "v", "m").collect())) for c in (20, 100_000))
+    assert one == two and "1000" in shared.join_least(pairs, low, 20)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_pipeline_stages(spark, tables):

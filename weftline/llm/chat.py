@@ -5,8 +5,9 @@ covered: round k joins each node's 2**k-th ancestor to that one's own, which add
 needs log2(d) rounds and never more rows than nodes. Leaves are ranked in their tree by the mean score of their path (ties: the
 longer path, then the smaller leaf id); the chosen leaves' paths are listed by the same doubling, downwards, and each is formatted as one conversation.
 
-Template: every turn is `<|role|>\n`, the text with escapes, `<|end|>\n`. In texts, `\` becomes `\\` and `<` becomes `\l`, so no control string of
-this template or another survives inside a text; the reverse turns them back. The loss mask holds the assistants' texts.
+Template: every turn is `<|role|>\n`, the text with escapes, `<|end|>\n`. In texts and roles `\` becomes `\\`, `<` becomes `\l` and `[` becomes `\b`, so no control
+string of this template survives there, nor one of another that begins with `<` or `[`; in roles `|` becomes `\p`. The reverse turns them
+back. The loss mask holds the assistants' texts. A conversation is one output string, so its turns come into one task: that group is the result itself.
 
 Null texts and roles are empty; an unknown role stays as it is. A node whose parent is missing is a
 root; equal (tree_id, node_id) rows must not occur, `conversation_nodes` numbers the turns to grant that. Turns with equal numbers are ordered by role and text.
@@ -23,13 +24,25 @@ from . import shared
 OPEN, NAMED, CLOSE = "<|", "|>\n", "<|end|>\n"
 
 
-def escape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\l"))
+ESCAPES = {"<": "\\l", "[": "\\b", "|": "\\p"}
+
+
+def escape(text: Column, marks: str = "<[") -> Column:
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for m in marks:
+        out = F.replace(out, F.lit(m), F.lit(ESCAPES[m]))
+    return out
 
 
 def unescape(text: Column) -> Column:
     """Left to right: split at escaped backslashes first, so that `\\\\l` gives `\\l`."""
-    return F.array_join(F.transform(F.split(text, r"\\\\", -1), lambda p: F.replace(p, F.lit("\\l"), F.lit("<"))), "\\")
+
+    def back(p: Column) -> Column:
+        for m, x in ESCAPES.items():
+            p = F.replace(p, F.lit(x), F.lit(m))
+        return p
+
+    return F.array_join(F.transform(F.split(text, r"\\\\", -1), back), "\\")
 
 
 def conversation_nodes(turns: DataFrame) -> DataFrame:
@@ -94,7 +107,7 @@ def format_conversations(nodes: DataFrame, branches: int = 1) -> DataFrame:
     texts = nodes.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "role", "text")
     turns = path.join(texts, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")))
     body = escape(F.col("text"))
-    head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(NAMED))
+    head = F.concat(F.lit(OPEN), escape(F.col("role"), "<[|"), F.lit(NAMED))
     one = F.struct("pos", head.alias("head"), body.alias("body"), (F.col("role") == "assistant").alias("loss"))
     convs = turns.groupBy("tree_id", "leaf_id", "rank").agg(F.array_sort(F.collect_list(one)).alias("turns"))
     length = lambda t: F.length(t["head"]) + F.length(t["body"]) + len(CLOSE)
@@ -118,7 +131,7 @@ def format_conversations(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
 
 def read_back(formatted: Column) -> Column:
-    """The turns of a formatted conversation: array of (role, text). Roles hold no `|>` and newline together."""
+    """The turns of a formatted conversation: array of (role, text)."""
     parts = F.split(formatted, r"<\|end\|>\n", -1)
 
     def turn(p: Column) -> Column:
@@ -148,7 +161,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE_SQL = """
+ORACLE_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
@@ -157,8 +170,7 @@ WITH t AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
-    sum(length(replace(replace(text, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l'))
-      + length(replace(replace(role, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l')) + 5 + 8) AS formatted_chars
+    sum(length(regexp_replace(text, '[\\<\[]', 'xx', 'g')) + length(regexp_replace(role, '[\\<\[|]', 'xx', 'g')) + 5 + 8) AS formatted_chars
   FROM t GROUP BY conv_id
 )
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars,

@@ -2,7 +2,8 @@
 
 Words are maximal runs of letters, lower-cased. A word of the vocabulary scores its log frequency in each language; any other word
 falls back to its character 5-grams (with word ends), where none of those is known to its 4-grams, and so on down to single
-characters, and scores the mean log frequency of the known ones. A text's language has the highest prior plus sum over its words; its
+characters, and scores the mean log frequency of the known ones. N-grams are counted once for each distinct word they are in, not by the words'
+frequency, as they stand for words that were not seen. A text's language has the highest prior plus sum over its words; its
 score is the posterior with that sum divided by the square root of the number of words, as words of a text are not independent.
 
 Learning: rows with text and language that `train` selects. Counts are taken on a sample drawn by a hash of the id, with at most about
@@ -237,3 +238,41 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     model = learn(docs, ~shared.in_remainder("doc_id", 4, 2))
     found = predict(docs, model, "_w_lang", "_w_score").where(F.col("_w_lang") != "und")
     return shared.only(found, *cols)
+
+
+def brute_force(train: list[tuple[str, str]], texts: list[str | None], most: int = 60_000) -> list[tuple[str, float]]:
+    """The same by dictionaries, for tests: language and score of each text, learned from (text, language)."""
+    from math import exp, log, sqrt
+
+    low = lambda w: "".join(c.lower() if len(c.lower()) == 1 else c for c in w)
+    langs = sorted({x for _, x in train})
+    words = {x: Counter(w for t, y in train if y == x for w in _WORD.findall(t.lower())) for x in langs}
+    grams = lambda w, n: [w[i : i + n] for i in range(len(w))] if n == 1 else [f[i : i + n] for f in [f"\0{w}\0"] for i in range(len(f) - n + 1)]
+    tables = []
+    for n in (0, *ORDERS):
+        counts = words if n == 0 else {x: Counter(g for w in words[x] for g in grams(w, n)) for x in langs}
+        every = sum(counts.values(), Counter())
+        kept = [k for k, v in sorted(every.items(), key=lambda e: (-e[1], e[0]))[:most] if v >= (1 if n == 1 else 2)]
+        tables.append({k: [log((counts[x][k] + 0.1) / (sum(counts[x].values()) + 0.1 * (len(every) + 1))) for x in langs] for k in kept})
+    prior = [log(sum(y == x for _, y in train) / len(train)) for x in langs]
+
+    def logs(w: str) -> list[float]:
+        if w in tables[0]:
+            return tables[0][w]
+        for n, table in zip(ORDERS, tables[1:], strict=True):
+            known = [table[g] for g in grams(w, n) if g in table]
+            if known:
+                return [sum(k) / len(known) for k in zip(*known, strict=True)]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        found = [logs(low(w)) for w in _WORD.findall(t or "")]
+        if not found or not langs:
+            out.append(("und", 0.0))
+            continue
+        total = [sum(x) / sqrt(len(found)) + p for x, p in zip(zip(*found, strict=True), prior, strict=True)]
+        share = [exp(x - max(total)) for x in total]
+        best = max(range(len(langs)), key=lambda i: (total[i], -i))
+        out.append((langs[best], share[best] / sum(share)))
+    return out

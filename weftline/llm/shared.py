@@ -230,20 +230,34 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[str], out: str, row
 # ---------------------------------------------------------------- components
 
 
+def join_least(edges: DataFrame, low: DataFrame, common: int = 100_000) -> DataFrame:
+    """edges (u, v) with the m of their u from low (u, m, n). Nodes with very many edges, at most 2,000 by their sum, are looked up in a map
+    that every task has; so a hub's edges stay spread."""
+    total = low.agg(F.sum("n"), F.max("n")).first()
+    if (total[1] or 0) <= common:
+        return edges.join(low.select("u", "m"), "u")
+    hubs = low.where(F.col("n") > max(common, total[0] // 2_000)).select("u", "m").collect()
+    if not hubs:
+        return edges.join(low.select("u", "m"), "u")
+    is_hub = F.col("u").isin([r["u"] for r in hubs])
+    held = F.create_map(*(F.lit(x) for r in hubs for x in (r["u"], r["m"])))
+    return edges.where(~is_hub).join(low.where(~is_hub).select("u", "m"), "u").unionAll(edges.where(is_hub).select("u", "v", F.try_element_at(held, F.col("u")).alias("m")))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root): the smallest node that each node of the undirected edges (a, b) reaches.
 
-    Alternates large-star and small-star steps, which keep the edge count linear and need O(log^2 n) rounds.
-    Every round is cut to the shared folder. Nodes without edges are not returned.
+    Alternates large-star and small-star steps, which keep the edge count linear and need O(log^2 n) rounds. Edges of a hub meet its least neighbour without
+    a shuffle (`join_least`). Every round is cut to the shared folder. Nodes without edges are not returned.
     """
     e = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct(), "edges")
     for _ in range(rounds):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_least(both, low).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_least(down, least)
         small = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         new = cut(small, "edges")
         # settled: every edge goes from a node to a root, and no root is itself below another
