@@ -168,7 +168,7 @@ def test_outlines_of_made_pages():
         "<aside><p>s</p></aside><div class=comment-list><p>c</p></div>": "<aside>\n  <p> s\n<comments>\n  <p> c",
         "<header><nav><a>x</a></nav><h2>t</h2></header>": "<header>\n  <nav links=1> x\n  <h2> t",
         "</p></div>stray": "stray",
-        "<p>unclosed<div>next</div>": "<p> unclosed next",
+        "<p>unclosed <div>next</div>": "<p> unclosed next",
         "<script><p>no</p></script><style>x</style><noscript>n</noscript>yes": "yes",
         "<head><title>T</title>hidden</head>seen": "seen",
         "<svg><p>in</p></svg><template>t</template>out": "out",
