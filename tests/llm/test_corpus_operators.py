@@ -417,7 +417,7 @@ def test_embeddings(spark, tables):
     assert by[2001]["component_id"] == 5 and by[1010]["component_id"] == 3 and not by[1010]["kept"]
 
 
-def test_embedding_subshards_and_recall(spark):
+def test_embedding_subshards_and_recall(spark, monkeypatch):
     rng = np.random.default_rng(9)
     centers = rng.normal(size=(12, 16))
     rows = [(i, [float(x) for x in centers[i % 12] + rng.normal(size=16) * (0.05 if i % 3 else 1.0)]) for i in range(1500)]
@@ -427,6 +427,22 @@ def test_embedding_subshards_and_recall(spark):
     true = (x @ x.T >= 0.95).sum() - len(x)
     found = sum(r.n_links for r in graph.near_duplicates(df, members=300, limit=150).collect())
     assert 0.9 * true <= found <= true
+    # few centroids at first: every shard is too large and gets its own
+    refined, seen = graph._refined, []
+    monkeypatch.setattr(graph, "_refined", lambda *a: seen.append(refined(*a)) or seen[-1])
+    found = sum(r.n_links for r in graph.near_duplicates(df, members=60, limit=150, most=3).collect())
+    assert 0.9 * true <= found <= true
+    shards = [s for r in seen[0].collect() for s in r.shards]
+    assert len(set(shards)) > 3 and any(s % graph.FINE for s in shards)
+
+
+def test_a_dense_group_larger_than_a_shard_loses_no_link(spark):
+    """400 near copies among 800 vectors, in shards of at most 60: every pair of them is found."""
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=(1, 24)) + rng.normal(size=(400, 24)) * 0.02, rng.normal(size=(400, 24))])
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in graph.near_duplicates(df, members=40, limit=60, most=5).collect()}
+    assert all(got[i] == 399 for i in range(400))
 
 
 def test_audit_is_not_outvoted_and_always_runs(spark, monkeypatch):

@@ -1,7 +1,8 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
 Equal vectors form a class; classes are indexed. Centroids are fitted on a bounded sample, every class joins the shards of its nearest ones (so
-shards overlap), and a shard that would exceed `limit` members is dealt into sub-shards. In each a graph is built: a member's
+shards overlap). A shard that would exceed `limit` members gets centroids of its own, fitted on a sample of it by one task each, and its members
+join the shards of their nearest ones there; what still exceeds it, as near copies in great number do, is dealt into sub-shards. In each a graph is built: a member's
 candidates are its nearest members and some of every ring of falling similarity, robust pruning keeps those that no kept nearer one makes needless, and edges go
 both ways. The adjacency lists of a class from all its shards are united. Then every class is searched in its shards: a greedy beam from
 the shard's medoids, and once it is within range, an expansion over neighbours that are within range (less a slack) until none is new. Found pairs are
@@ -36,17 +37,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
-    """Spherical k-means: unit centroids."""
+def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5, apart: float | None = None) -> np.ndarray:
+    """Spherical k-means: unit centroids, the largest clusters' first. apart: of centroids that similar one stays, so that a dense group of near
+    copies, which draws many, is one shard and not torn."""
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
+    near = np.zeros(len(x), np.int64)
     for _ in range(rounds):
         near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
-    return c
+    c = c[np.argsort(-np.bincount(near, minlength=len(c)), kind="stable")]
+    if apart is None:
+        return c
+    alike, free = c @ c.T >= apart, np.ones(len(c), bool)
+    for i in range(len(c)):
+        if free[i]:
+            free[i + 1 :] &= ~alike[i, i + 1 :]
+    return c[free]
 
 
 # ---------------------------------------------------------------- graph of a shard
@@ -204,11 +214,21 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node), lists], names=["node", "adj"])
 
 
+def _even(lists: pa.ChunkedArray) -> np.ndarray:
+    """Lists of shards as rows of one length, filled up with their first."""
+    flat = lists.combine_chunks()
+    at = flat.offsets.to_numpy()
+    at, values, size = at - at[0], flat.flatten().to_numpy(), np.diff(at)
+    out = np.repeat(values[at[:-1]][:, None], size.max(), axis=1)
+    out[np.arange(size.max()) < size[:, None]] = values
+    return out
+
+
 def _search(threshold: float):
     def judged(t: pa.Table) -> pa.RecordBatch:
         node, size, role = t["node"].to_numpy(), t["size"].to_numpy(), t["role"].to_numpy()
         exact = _vectors(t)
-        shards = np.stack([np.asarray(s) for s in t["shards"].to_numpy()])
+        shards = _even(t["shards"])
         here = t["shard"][0].as_py()
         member = np.flatnonzero(role == 0)
         out = (*(np.zeros(0, np.int64),) * 2, np.zeros(0, bool))
@@ -282,7 +302,72 @@ def _assign(centroids: dict[int, np.ndarray], overlap: int):
     return step
 
 
-def _index(classes: DataFrame, threshold: float, overlap: int, members: int, limit: int, sample: int) -> DataFrame:
+#: Room for the shards that one of the first level is split into.
+FINE = 4096
+
+
+def _fit(members: int, most: int, apart: float):
+    """A sample of a shard to its own centroids."""
+
+    def step(t: pa.Table) -> pa.Table:
+        x = _vectors(t.sort_by("node"))
+        k = int(min(most, len(x), max(2, -(-t["total"][0].as_py() // members))))
+        return pa.table({"dim": t["dim"].slice(0, 1), "coarse": t["coarse"].slice(0, 1), "centroids": pa.array([kmeans(x, k, apart=apart).astype("<f4").tobytes()], pa.binary())})
+
+    return step
+
+
+def _assign_fine(overlap: int):
+    """Members of large shards to the nearest centroids of their own; a group's first row holds them."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, key = None, None
+        for b in batches:
+            nodes, near = [], []
+            for t in _grouped(iter([b]), ("dim", "coarse", "salt")):
+                this = tuple(t[k][0].as_py() for k in ("dim", "coarse", "salt"))
+                if this != key:  # a new group, or one that goes on from the last batch
+                    key, c = this, np.frombuffer(t["centroids"][0].as_py(), "<f4").reshape(-1, this[0]).astype(float)
+                    t = t.slice(1)
+                if not t.num_rows:
+                    continue
+                x, k = _vectors(t), min(overlap, len(c))
+                for i in range(0, len(x), 4096):
+                    near.append(this[1] * FINE + 1 + np.argsort(-(x[i : i + 4096] @ c.T), axis=1, kind="stable")[:, :k].astype(np.int32))
+                nodes.append(t["node"].to_numpy())
+            if nodes:
+                size = np.repeat([x.shape[1] for x in near], [len(x) for x in near])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate([x.ravel() for x in near])))], names=["node", "fine"])
+
+    return step
+
+
+def _refined(placed: DataFrame, overlap: int, members: int, limit: int, most: int, apart: float) -> DataFrame:
+    """placed with shards numbered with room for those that large ones are split into, and large ones split."""
+    each = placed.select("node", "dim", "emb", F.explode(F.array_distinct("shards")).alias("coarse"))
+    loads = {(r["dim"], r["coarse"]): r["n"] for r in each.groupBy("dim", "coarse").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).collect()}  # at most a row for each centroid
+    whole = F.transform(F.array_distinct("shards"), lambda x: (x * FINE).cast("int"))
+    if not loads:
+        return placed.withColumn("shards", whole)
+    spark = placed.sparkSession
+    facts = [(d, c, n, min(1.0, 16_384 / n, 8.0 * max(2, n // members) / n), -(-n // 200_000)) for (d, c), n in loads.items()]
+    large = F.broadcast(spark.createDataFrame(facts, "dim int, coarse int, total long, share double, salts int"))
+    inside = each.join(large, ["dim", "coarse"])
+    draw = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(shared.DRAW).cast("long")) < (F.col("share") * shared.DRAW).cast("long")
+    fits = shared.cut(inside.where(draw).select("dim", "coarse", "total", "node", "emb").groupBy("dim", "coarse").applyInArrow(_fit(members, most, apart), "dim int, coarse int, centroids binary"), "centroids")
+    heads = fits.join(large, ["dim", "coarse"]).select("dim", "coarse", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("array<float>").alias("emb"), "centroids")
+    rows = inside.select("dim", "coarse", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "node", "emb", F.lit(None).cast("binary").alias("centroids"))
+    keys = ["dim", "coarse", "salt"]
+    dealt = heads.unionByName(rows).repartition(*keys).sortWithinPartitions(*keys, "role", "node").mapInArrow(_assign_fine(overlap), "node long, fine array<int>")
+    fine = dealt.groupBy(F.col("node").alias("_n")).agg(F.flatten(F.collect_list("fine")).alias("fine"))  # at most overlap * overlap
+    names = F.create_map(*(F.lit(x) for d in {d for d, _ in loads} for x in (d, [c for e, c in loads if e == d])))
+    is_large = lambda x: F.array_contains(F.coalesce(F.try_element_at(names, F.col("dim")), F.array().cast("array<int>")), x)
+    small = F.transform(F.filter(F.array_distinct("shards"), lambda x: ~is_large(x)), lambda x: (x * FINE).cast("int"))
+    out = placed.join(fine, F.col("node") == F.col("_n"), "left")
+    return out.withColumn("shards", F.array_sort(F.concat(small, F.coalesce("fine", F.array().cast("array<int>"))))).drop("_n", "fine")
+
+
+def _index(classes: DataFrame, threshold: float, overlap: int, members: int, limit: int, sample: int, most: int) -> DataFrame:
     """(node, other, add): sums and stars of the links found."""
     counts = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
@@ -294,15 +379,16 @@ def _index(classes: DataFrame, threshold: float, overlap: int, members: int, lim
     centroids = {}
     for dim, v in drawn.items():
         x = _unit(np.array(v, np.float64))
-        centroids[dim] = kmeans(x, int(min(2048, len(x), max(1, -(-counts[dim] // members)))))
+        centroids[dim] = kmeans(x, int(min(most, len(x), max(1, -(-counts[dim] // members)))), apart=threshold)
     schema = "node long, size long, dim int, emb array<float>, shards array<int>"
     placed = shared.cut(classes.select("node", "size", "dim", "emb").mapInArrow(_assign(centroids, overlap), schema), "placed")
+    placed = shared.cut(_refined(placed, overlap, members, limit, most, threshold), "refined")
     each = placed.select("node", "size", "dim", "emb", "shards", F.explode(F.array_distinct("shards")).alias("shard"))
-    subs = each.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("subs"))  # a row for each centroid
-    dealt = each.join(F.broadcast(subs), ["dim", "shard"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
+    subs = each.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("subs")).where("subs > 1")
+    dealt = each.join(subs, ["dim", "shard"], "left").withColumn("subs", F.coalesce("subs", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
     keys = ["dim", "shard", "sub"]
     built = dealt.withColumnRenamed("own", "sub").select(*keys, "node", "emb").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_build, "node long, adj array<long>")
-    united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("adj"))  # at most overlap * DEGREE
+    united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("adj"))  # at most overlap * overlap * DEGREE
     spread = dealt.select("dim", "shard", "node", "size", "emb", "shards", "own", F.explode(F.sequence(F.col("own"), F.col("subs") - 1)).alias("sub"))
     rows = spread.withColumn("role", (F.col("sub") > F.col("own")).cast("int")).join(united, "node")
     return rows.select(*keys, "role", "node", "size", "emb", "shards", "adj").repartition(*keys).sortWithinPartitions(*keys, "role", "node").mapInArrow(_search(threshold), "node long, other long, add long")
@@ -347,7 +433,7 @@ def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int =
     return 1.0
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int = 2, members: int = 1500, limit: int = 6000, sample: int = 16_384, recall: float = 0.98, most_overlap: int = 32) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int = 2, members: int = 1500, limit: int = 6000, sample: int = 16_384, recall: float = 0.98, most_overlap: int = 32, most: int = 2048) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding)."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("emb"))
     fine = F.col("emb").isNotNull() & F.forall("emb", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("emb", lambda v: v != 0)
@@ -355,7 +441,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int =
     classes = good.groupBy("emb").agg(F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("first")).select(F.monotonically_increasing_id().alias("node"), "size", "first", F.size("emb").alias("dim"), "emb")
     classes = shared.cut(classes, "classes")
     while True:
-        links = shared.cut(_index(classes, threshold, overlap, members, limit, sample), "links")
+        links = shared.cut(_index(classes, threshold, overlap, members, limit, sample, most), "links")
         found = audit(classes, links, threshold)
         if found >= recall:
             break
