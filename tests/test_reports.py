@@ -176,7 +176,7 @@ def test_outlines_of_made_pages():
         "<p>" + "w" * 400 + "</p>": "<p> " + "w" * 300,
         "<li>1<li>2</li></li>": "<li> 1\n<li> 2",
         "<button>B</button><time>T</time><caption>C</caption>": "<button> B\n<time> T\n<caption> C",
-        "<form><p>in<main>no region</main></p></form>": "<form> in no region",
+        "<form><p>in <main>no region</main></p></form>": "<form> in no region",
         "<nav>" + "<p>" + "t" * 40 + "</p>" + "".join(f"<p>{i}</p>" for i in range(12)) + "</nav>": "<nav> " + " | ".join(["t" * 30, *map(str, range(7))]),
         "": "",
     }

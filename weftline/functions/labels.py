@@ -277,9 +277,13 @@ def date_values(text: Column) -> Column:
 
         return one
 
+    # what a text must hold for a pattern to match at all: most texts are spared most searches
+    has = lambda *marks: F.greatest(*(F.contains(text, F.lit(m)) for m in marks)) if len(marks) > 1 else F.contains(text, F.lit(marks[0]))
+    year = has("19", "20")
+    needs = [year & has("-"), year & has(".", "/"), year, year, has("年")]
     found = []
-    for pattern, readings in K.DATE_PATTERNS:
-        whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    for (pattern, readings), need in zip(K.DATE_PATTERNS, needs, strict=True):
+        whole = F.when(need, F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
         parts = F.transform(whole, groups(pattern))
         found += [F.transform(parts, reading(*r)) for r in readings]
     return F.array_sort(F.array_distinct(F.filter(F.concat(*found), lambda x: x.isNotNull())))
