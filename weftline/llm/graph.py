@@ -160,10 +160,13 @@ def search(x: np.ndarray, adj: np.ndarray, entries: np.ndarray, q: np.ndarray, t
     key = np.unique(key)
     seen, fresh = key, key
     while len(fresh):
-        i, node = fresh // m, fresh % m
-        new = adj[node]
-        i = np.repeat(i, new.shape[1])[(new >= 0).ravel()]
-        key = np.setdiff1d(np.unique(i * m + new[new >= 0]), seen, assume_unique=True)
+        keys = []
+        for lo in range(0, len(fresh), 1 << 16):  # a dense group's frontier is large
+            i, node = fresh[lo : lo + (1 << 16)] // m, fresh[lo : lo + (1 << 16)] % m
+            new = adj[node]
+            i = np.repeat(i, new.shape[1])[(new >= 0).ravel()]
+            keys.append(np.unique(i * m + new[new >= 0]))
+        key = np.setdiff1d(np.unique(np.concatenate(keys)), seen, assume_unique=True)
         if not len(key):
             break
         hit = np.empty(len(key), bool)
