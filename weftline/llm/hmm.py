@@ -305,6 +305,8 @@ def train(texts: DataFrame, counts: DataFrame, states: int = 12, most: int = 65_
         n = total if share == SHARES[-1] else part.agg(F.sum("n")).first()[0]
         if not n:  # few texts: none of their blocks is in the share
             continue
+        if share < SHARES[-1]:  # a task sends a row for each symbol, however little it read: a few blocks are one task's
+            part = part.coalesce(max(1, n // (8 * _BLOCK)))
         last = -np.inf
         for _ in range(rounds):
             sent = spark.sparkContext.broadcast(_single(model))
