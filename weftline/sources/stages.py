@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
 def folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that is removed when the process ends."""
     path = f"{shared_dir(spark).rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
@@ -51,7 +51,8 @@ def cut(df: DataFrame, name: str = "step", apart: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder of the shared folder goes; nothing that is still read may stand there."""
     try:
         jvm = spark.sparkContext._jvm
         there = jvm.org.apache.hadoop.fs.Path(path)
