@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import pages as P
 from weftline.plans import build
+from weftline.sources import files, sink
 
 from test_functions import NEWS
 from test_operators import SHOP
@@ -26,7 +28,7 @@ def test_builder_v1(spark, rows, tmp_path):
     pages = back.select("source_group", F.regexp_replace("case_id", "::[^:]*$", "").alias("u")).distinct().groupBy("source_group").count()
     assert pages.agg(F.max("count")).first()[0] <= 3
     assert m["split_counts"]["train"]["labels"]["language=en"] <= 5
-    kept = json.loads(spark.read.text(f"{tmp_path}/v1.manifest").first().value)
+    kept = json.loads((tmp_path / "v1" / "_manifest.json").read_text())
     assert kept["revision"] == m["revision"] and len(m["revision"]) == 16
     assert build.build_v1(rows.repartition(5), f"{tmp_path}/again", pages_per_host=3, per_language=5)["revision"] == m["revision"]
 
@@ -44,10 +46,58 @@ def test_builder_v0_balances_train_alone_and_mixes(spark, rows, tmp_path):
 
 def test_merge(spark, rows, tmp_path):
     kept = build.split_rows(rows, 1)
-    m = build.merge([(kept.where("source_group < 'h15'"), {"revision": "a"}), (kept.where("source_group >= 'h15'"), {"revision": "b"})], f"{tmp_path}/m")
-    assert sum(c["decision_cases"] for c in m["split_counts"].values()) == rows.count() and m["inputs"] == ["a", "b"]
+    made = [build.write_dataset(df, f"{tmp_path}/{name}", name) for name, df in (("a", kept.where("source_group < 'h15'")), ("b", kept.where("source_group >= 'h15'")))]
+    m = build.merge(spark, [f"{tmp_path}/a", f"{tmp_path}/b"], f"{tmp_path}/m")
+    assert sum(c["decision_cases"] for c in m["split_counts"].values()) == rows.count() and m["inputs"] == [x["revision"] for x in made]
+    assert json.loads((tmp_path / "m" / "_manifest.json").read_text())["revision"] == m["revision"] == hashlib.sha256("".join(m["inputs"]).encode()).hexdigest()[:16]
+    build.write_dataset(kept.withColumn("split", F.lit("test")), f"{tmp_path}/c", "c")
     with pytest.raises(ValueError, match="more than one split"):
-        build.merge([(kept, {"revision": "a"}), (kept.withColumn("split", F.lit("test")), {"revision": "b"})], f"{tmp_path}/n")
+        build.merge(spark, [f"{tmp_path}/a", f"{tmp_path}/c"], f"{tmp_path}/n")
+
+
+def test_merge_raises_for_a_changed_byte(spark, rows, tmp_path):
+    kept = build.split_rows(rows, 1)
+    made = [build.write_dataset(df, f"{tmp_path}/{name}", name) for name, df in (("a", kept.where("source_group < 'h15'")), ("b", kept.where("source_group >= 'h15'")))]
+    name, told = sorted(made[1]["files"].items())[0]
+    file = tmp_path / "b" / name
+    data = file.read_bytes()
+    assert hashlib.sha256(data).hexdigest() == told["sha256"] and len(data) == told["bytes"] and data.count(b"\n") == told["rows"]
+    for changed in (data[:9] + bytes([data[9] ^ 1]) + data[10:], data[:-1], None):
+        file.unlink() if changed is None else file.write_bytes(changed)
+        with pytest.raises(ValueError, match=name.rpartition("/")[2]):
+            build.merge(spark, [f"{tmp_path}/a", f"{tmp_path}/b"], f"{tmp_path}/m")
+    assert not sink.exists(f"{tmp_path}/m")
+
+
+def test_sink(spark, tmp_path):
+    df = spark.createDataFrame([(i, "é\u2028\n" * (i % 3), ["x", "y /é:%=", None][i % 3]) for i in range(300)], "i int, t string, s string").repartition(5)
+    made = sink.write(df, f"{tmp_path}/d", "s", {"dataset": "d"})
+    assert made["dataset"] == "d" and sum(f["rows"] for f in made["files"].values()) == 300
+    back = sink.read(spark, f"{tmp_path}/d")
+    assert sorted(map(tuple, back.select("i", "t", F.coalesce("s", F.lit("-"))).collect())) == sorted((r.i, r.t, r.s or "-") for r in df.collect())
+    # an attempt that was lost leaves a file that no manifest names
+    (tmp_path / "d" / "s=x" / "part-lost.jsonl").write_text('{"i":1,"t":"lost"}\n')
+    assert sink.read(spark, f"{tmp_path}/d").count() == 300 and sink.check(spark, f"{tmp_path}/d") == made
+    # a failed job leaves the dataset as it was
+    bad = df.withColumn("t", F.when(F.col("i") == 77, F.raise_error(F.lit("broken"))).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="broken"):
+        sink.write(bad, f"{tmp_path}/d", "s")
+    assert sink.check(spark, f"{tmp_path}/d") == made
+    # a new one takes its place, and its files go
+    small = sink.write(df.where("i < 10"), f"{tmp_path}/d", "s")
+    left = {f.name for f in (tmp_path / "d").rglob("*.jsonl")}
+    names = lambda m: {n.rpartition("/")[2] for n in m["files"]}
+    assert sink.read(spark, f"{tmp_path}/d").count() == 10 and names(small) <= left and not names(made) & left
+    none = sink.write(df.where("i < 0"), f"{tmp_path}/e", "s")
+    assert none["files"] == {} and sink.read(spark, f"{tmp_path}/e").count() == 0 and sink.check(spark, f"{tmp_path}/e") == none
+
+
+def test_digests_are_taken_in_blocks(spark, tmp_path):
+    for i, n in enumerate((0, 1, (1 << 20) - 1, 1 << 20, (3 << 20) + 5)):
+        (tmp_path / f"split={i}").mkdir()
+        (tmp_path / f"split={i}" / "same name").write_bytes(bytes(i % 256 for i in range(1000)) * (n // 1000) + b"x" * (n % 1000))
+    got = {r.name: r.sha256 for r in files.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {f"split={i}/same name": hashlib.sha256((tmp_path / f"split={i}" / "same name").read_bytes()).hexdigest() for i in range(1, 5)}
 
 
 def test_collect_v0(spark):

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from weftline.plans import catalog_files as catalog
+from weftline.plans import catalog_streams as catalog
 
 SF = "/root/testdata/sf0.001"
 

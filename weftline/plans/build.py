@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -15,7 +14,7 @@ from ..operators import evaluation as V
 from ..operators import pages as P
 from ..operators import training as R
 from ..operators import typed as T
-from ..sources import files, stages
+from ..sources import files, sink, stages
 
 ROW = ("case_id", "source_group", "workflow", "state", "question", "question_type", "candidates", "target", "label_source", "label_quality")
 
@@ -31,7 +30,7 @@ def split_rows(rows: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def manifest(rows: DataFrame, name: str, **extra) -> dict:
+def manifest(rows: DataFrame, name: str, revision: str | None = None, **extra) -> dict:
     """AG-14, DS-12: counts, labels and an order-free digest of each split, and the revision made of the digests."""
     text = F.to_json(F.struct(*(c for c in ROW if c in rows.columns)))
     parts = {r["split"]: r for r in D.split_manifest(rows.withColumn("_row", text), F.col("_row")).collect()}  # at most a row for each split
@@ -53,7 +52,7 @@ def manifest(rows: DataFrame, name: str, **extra) -> dict:
             "label_quality": quality.get(split, {}),
             "sha256": p["digest"] if p else hashlib.sha256(b"").hexdigest(),
         }
-    revision = hashlib.sha256("".join(counts[s]["sha256"] for s, _ in K.SPLIT_SHARES).encode()).hexdigest()[:16]
+    revision = revision or hashlib.sha256("".join(counts[s]["sha256"] for s, _ in K.SPLIT_SHARES).encode()).hexdigest()[:16]
     return {"dataset": name, "revision": revision, "split_unit": "whole hosts", **extra, "split_counts": counts}
 
 
@@ -80,13 +79,11 @@ def fresh_pages(pages: DataFrame, known_hosts: DataFrame, *, per_host: int, per_
     return D.running_cap(few, "warc_file", ["seq"], per_file)
 
 
-def _write(rows: DataFrame, out: str, name: str, **extra) -> dict:
+def write_dataset(rows: DataFrame, out: str, name: str, **extra) -> dict:
+    """Decision rows with split, decision and label as JSON lines, a folder for each split, committed by a manifest with every file's digest. Returns the manifest."""
     rows = stages.cut(rows, "dataset")
-    files.write_jsonl(rows.select("split", *(c for c in ROW if c in rows.columns)), out, ["split"])
     made = manifest(rows, name, **extra)
-    spark = rows.sparkSession
-    spark.createDataFrame([(json.dumps(made, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out.rstrip('/')}.manifest")
-    return made
+    return sink.write(rows.select("split", *(c for c in ROW if c in rows.columns)), out, "split", made)
 
 
 def build_v1(rows: DataFrame, out: str, *, seed: int = 1, pages_per_host: int = 20, page_type_ratio: float = 3.0, ok_ratio: float = 3.0, per_language: int = 1500) -> dict:
@@ -94,7 +91,7 @@ def build_v1(rows: DataFrame, out: str, *, seed: int = 1, pages_per_host: int =
     rows = stages.cut(rows.withColumn("_url", E.url_of_case(F.col("case_id"))), "rows")
     kept = split_rows(D.cap_pages(rows, "source_group", "_url", pages_per_host, seed).drop("_url"), seed)
     args = {"page_type_ratio": page_type_ratio, "ok_ratio": ok_ratio, "per_language": per_language}
-    return _write(D.balance_v1(stages.cut(kept, "kept"), seed=seed, **args), out, "web-expert", balance=args)
+    return write_dataset(D.balance_v1(stages.cut(kept, "kept"), seed=seed, **args), out, "web-expert", balance=args)
 
 
 def build_v0(rows: DataFrame, out: str, *, seed: int = 1, max_ratio: float = 3.0, old: DataFrame | None = None, mix_ratio: float = 0.0) -> dict:
@@ -105,18 +102,19 @@ def build_v0(rows: DataFrame, out: str, *, seed: int = 1, max_ratio: float = 3.0
         train = D.balance_v0(train, seed=seed, max_ratio=max_ratio)
     if old is not None and mix_ratio > 0:
         train = D.mix(stages.cut(train, "train"), split_rows(old, seed).withColumn("split", F.lit("train")), mix_ratio, key="case_id", seed=seed)
-    return _write(train.unionByName(kept.where("split <> 'train'"), allowMissingColumns=True), out, "web-decisions", mix_ratio=mix_ratio)
+    return write_dataset(train.unionByName(kept.where("split <> 'train'"), allowMissingColumns=True), out, "web-decisions", mix_ratio=mix_ratio)
 
 
-def merge(parts: list[tuple[DataFrame, dict]], out: str) -> dict:
-    """DS-8: datasets (with their split column) and their manifests, split by split; raises for a group in two splits.
+def merge(spark: SparkSession, paths: list[str], out: str) -> dict:
+    """DS-8: written datasets, split by split. Raises if a file of one is not what its manifest says, and for a group in two splits.
 
     The revision is made of the inputs' revisions, not of their rows.
     """
-    rows = D.merged([df for df, _ in parts])
+    given = [sink.check(spark, p) for p in paths]
+    rows = D.merged([sink.read(spark, p) for p in paths])
     rows = rows.withColumns({"decision": E.decision_of(F.col("case_id")), "label": E.gold_label(F.col("candidates.id"), F.col("target"))})
-    made = _write(rows, out, "merged", inputs=[m["revision"] for _, m in parts])
-    return made | {"revision": hashlib.sha256("".join(m["revision"] for _, m in parts).encode()).hexdigest()[:16]}
+    revision = hashlib.sha256("".join(m["revision"] for m in given).encode()).hexdigest()[:16]
+    return write_dataset(rows, out, "merged", revision=revision, inputs=[m["revision"] for m in given])
 
 
 def label_checked(rows: DataFrame, judged: DataFrame, base: dict, out: str, *, judge: str = "judge") -> dict:
@@ -126,7 +124,7 @@ def label_checked(rows: DataFrame, judged: DataFrame, base: dict, out: str, *, j
     checked = stages.cut(rows.join(j, F.col("case_id") == F.col("_c"), "left").withColumn("_keep", R.label_kept(F.col("label"), F.col("label_quality"), F.col("order"))).drop("_c", "order"), "checked")
     key = F.concat(F.col("decision"), F.lit("="), "label", F.lit("|"), F.coalesce("label_quality", F.lit("none")))
     report = {r["key"]: {"kept": r["kept"], "dropped": r["dropped"]} for r in checked.groupBy(key.alias("key")).agg(F.count_if("_keep").alias("kept"), F.count_if(~F.col("_keep")).alias("dropped")).collect()}
-    made = _write(checked.where("_keep").drop("_keep"), out, base["dataset"] + "-checked", **{k: v for k, v in base.items() if k not in ("dataset", "split_counts", "revision", "split_unit")}, label_check={"judge": judge, "report": report})
+    made = write_dataset(checked.where("_keep").drop("_keep"), out, base["dataset"] + "-checked", **{k: v for k, v in base.items() if k not in ("dataset", "split_counts", "revision", "split_unit", "files", "schema", "partition_by")}, label_check={"judge": judge, "report": report})
     return made
 
 

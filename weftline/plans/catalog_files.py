@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -10,7 +12,7 @@ from ..operators import evaluation as V
 from ..operators import pages as P
 from ..operators import training as R
 from ..operators import typed as T
-from ..sources import files, stages, warc
+from ..sources import files, sink, stages, warc
 from ..streaming import pages as stream
 from . import build
 from . import page_sql as S
@@ -29,7 +31,7 @@ def q73_ledger_file(t):
 
 
 def _counted(t, path: str):
-    return t.spark.read.json(path).select("split", E.decision_of(F.col("case_id")).alias("decision"), "source_group", "case_id").groupBy("split", "decision").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source_group").alias("source_groups"), F.min("case_id").alias("least"), F.max("case_id").alias("most"))
+    return sink.read(t.spark, path).select("split", E.decision_of(F.col("case_id")).alias("decision"), "source_group", "case_id").groupBy("split", "decision").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source_group").alias("source_groups"), F.min("case_id").alias("least"), F.max("case_id").alias("most"))
 
 
 _COUNTED = "SELECT split, decision, count(*) AS rows, count(DISTINCT host) AS source_groups, min(case_id) AS least, max(case_id) AS most FROM kept GROUP BY ALL"
@@ -37,13 +39,14 @@ _COUNTED = "SELECT split, decision, count(*) AS rows, count(DISTINCT host) AS so
 
 @query(f"WITH {built_sql(3, 1.0, 1.0, 5)} {_COUNTED}")
 def q74_builder_v1(t):
-    """DS-4 to DS-6, SRC-9 to SRC-12: the dataset written with its manifest; its files' digests are checked, and its counts against the rows read back."""
+    """DS-4 to DS-6, SRC-9 to SRC-12: the dataset written with its manifest; its files are hashed again, and its counts held against the rows read back."""
     path = stages.folder(t.spark, "v1")
     made = build.build_v1(P.page_rows_v1(S.furnished(t.pages)), path, pages_per_host=3, page_type_ratio=1.0, ok_ratio=1.0, per_language=5)
-    files.check_manifest(t.spark, path, {r["name"]: r["sha256"] for r in files.file_digests(t.spark, path).collect()})  # a row for each file
-    got = _counted(t, path)
+    sink.check(t.spark, path)
     total = sum(c["decision_cases"] for c in made["split_counts"].values())
-    return got.where(F.lit(total) == F.lit(t.spark.read.json(path).count()))
+    if total != sum(f["rows"] for f in made["files"].values()):
+        raise ValueError("the manifest's splits and files have different numbers of rows")
+    return _counted(t, path)
 
 
 _V0 = f"""{S.rows_v0()}, hosted AS (SELECT page_id, url, {HOST} AS host, url || '::' || decision AS case_id, decision, gold AS label, page_id % 3 AS file FROM row),
@@ -70,17 +73,17 @@ def q75_builder_v0(t):
 
 @query(f"WITH {_V0}, b AS (SELECT {split_sql("'bench' || item_id % 7", 1)} AS split, 'bench' || item_id % 7 AS host FROM benchmark), u AS (SELECT split, host FROM kept UNION ALL SELECT split, host FROM b) SELECT split, count(*) AS rows, count(DISTINCT host) AS source_groups FROM u GROUP BY split")
 def q76_merged_files(t):
-    """DS-8, SO-1, JN-6: two datasets with manifests merged split by split; the revision is made of theirs."""
-    one = stages.folder(t.spark, "part")
+    """DS-8, SO-1, JN-6, SRC-11: two written datasets merged split by split, each checked by its manifest first; the revision is made of theirs."""
+    one, two, out = (stages.folder(t.spark, x) for x in ("part", "other", "merged"))
     first = build.build_v0(_collected(t), one, max_ratio=1.5)
     group = F.concat(F.lit("bench"), (F.col("item_id") % 7).cast("string"))
-    other = t.benchmark.select(F.concat(F.lit("b"), F.col("item_id").cast("string"), F.lit("::quality")).alias("case_id"), group.alias("source_group"), E.split_of(group, 1).alias("split"), F.from_json(F.lit('[{"id":"a","text":"a"},{"id":"b","text":"b"}]'), "array<struct<id:string,text:string>>").alias("candidates"), F.array(F.lit(1.0), F.lit(0.0)).alias("target"), F.lit("agreed").alias("label_quality"))
-    a = t.spark.read.json(one)
-    a = a.select("case_id", "source_group", "split", F.transform("candidates", lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text"))).alias("candidates"), "target", F.lit(None).cast("string").alias("label_quality"))
-    out = stages.folder(t.spark, "merged")
-    made = build.merge([(a, first), (other, {"revision": "0" * 16})], out)
-    assert len(made["revision"]) == 16
-    return t.spark.read.json(out).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source_group").alias("source_groups"))
+    options = F.from_json(F.lit('[{"id":"a","text":"a"},{"id":"b","text":"b"}]'), "array<struct<id:string,text:string>>")
+    other = t.benchmark.select(F.concat(F.lit("b"), F.col("item_id").cast("string"), F.lit("::quality")).alias("case_id"), group.alias("source_group"), E.split_of(group, 1).alias("split"), options.alias("candidates"), F.array(F.lit(1.0), F.lit(0.0)).alias("target"), F.lit("agreed").alias("label_quality"))
+    second = build.write_dataset(other.withColumns({"decision": F.lit("quality"), "label": F.lit("a")}), two, "bench")
+    made = build.merge(t.spark, [one, two], out)
+    if made["revision"] != hashlib.sha256((first["revision"] + second["revision"]).encode()).hexdigest()[:16]:
+        raise ValueError("the merged revision is not made of the inputs'")
+    return sink.read(t.spark, out).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source_group").alias("source_groups"))
 
 
 @query(

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from ..operators import dataset
 
@@ -95,7 +95,7 @@ def _failed(name: str, why: Exception) -> dict:
     return {"warc_file": name, "seq": -1, "rec_type": "failed", "url": f"{type(why).__name__}: {why}", "status": None, "http": None, "body": None, "lang3": None}
 
 
-def _streamed(name: str, max_bytes: int, seen=lambda rows: rows) -> Iterator[dict]:
+def streamed(name: str, max_bytes: int, seen=lambda rows: rows) -> Iterator[dict]:
     """A file's rows as `seen` makes them of its records, and a failed one if reading stops."""
     try:
         with open_stream(name) as stream:
@@ -104,7 +104,7 @@ def _streamed(name: str, max_bytes: int, seen=lambda rows: rows) -> Iterator[dic
         yield _failed(name, why)
 
 
-def _framed(rows: Iterator[dict], columns: list[str], most: int = 64) -> Iterator[pd.DataFrame]:
+def framed(rows: Iterator[dict], columns: list[str], most: int = 64) -> Iterator[pd.DataFrame]:
     held = []
     for r in rows:
         held.append(r)
@@ -120,7 +120,7 @@ def _paths(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
 
 
-_COLUMNS = [c.split()[0] for c in SCHEMA.replace("map<string,string>", "map").split(", ")]
+COLUMNS = [c.split()[0] for c in SCHEMA.replace("map<string,string>", "map").split(", ")]
 
 
 def read_warc(spark: SparkSession, path: str, max_bytes: int = 10**12) -> DataFrame:
@@ -132,11 +132,32 @@ def read_warc(spark: SparkSession, path: str, max_bytes: int = 10**12) -> DataFr
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name in b["path"]:
-                yield from _framed(_streamed(name, max_bytes), _COLUMNS)
+                yield from framed(streamed(name, max_bytes), COLUMNS)
 
     return _paths(spark, path).mapInPandas(step, SCHEMA)
 
 
+class Wanted:
+    """Which records leave a reader, by their type and status; no values mean any. A row that tells of a failed file always does."""
+
+    def __init__(self, rec_type: str | None = None, status: str | None = None) -> None:
+        self.types = set(rec_type.split(",")) if rec_type else None
+        self.codes = {int(s) for s in status.split(",")} if status else None
+
+    def __call__(self, r: dict) -> bool:
+        return r["rec_type"] == "failed" or ((self.types is None or r["rec_type"] in self.types) and (self.codes is None or r["status"] in self.codes))
+
+    def push(self, f: Filter) -> bool:
+        """Takes over an equality or a list of values on one of the two columns; what it takes over is true of no failed row either."""
+        values = [f.value] if isinstance(f, EqualTo) else list(f.value) if isinstance(f, In) else None
+        name = {("rec_type",): "types", ("status",): "codes"}.get(f.attribute) if values else None
+        if name is None:
+            return False
+        had = getattr(self, name)
+        setattr(self, name, set(values) if had is None else had & set(values))
+        return True
+
+
 class _File(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -148,13 +169,21 @@ class WarcReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
         self.max_bytes = int(options.get("max_bytes", 10**12))
+        self.wanted = Wanted(options.get("rec_type"), options.get("status"))
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Filters on rec_type and status keep records from being handed to Spark at all; Spark checks them again, for rows of failed files."""
+        for f in filters:
+            self.wanted.push(f)
+            yield f
 
     def partitions(self):
         return [_File(p) for p in self.paths]
 
     def read(self, part):
-        for r in _streamed(part.path, self.max_bytes):
-            yield tuple(r[c] for c in _COLUMNS)
+        for r in streamed(part.path, self.max_bytes):
+            if self.wanted(r):
+                yield tuple(r[c] for c in COLUMNS)
 
 
 class WarcSource(DataSource):
@@ -237,8 +266,8 @@ def scan_pages(spark: SparkSession, path: str, *, errors_only: bool = False, max
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name in b["path"]:
-                rows = ({"warc_file": name, "seq": -1, "error": r["url"]} if r.get("rec_type") == "failed" else r for r in _streamed(name, 10**12, pages))
-                yield from _framed(({c: r.get(c) for c in columns} for r in rows), columns)
+                rows = ({"warc_file": name, "seq": -1, "error": r["url"]} if r.get("rec_type") == "failed" else r for r in streamed(name, 10**12, pages))
+                yield from framed(({c: r.get(c) for c in columns} for r in rows), columns)
 
     return _paths(spark, path).mapInPandas(step, "warc_file string, seq long, url string, status int, detected_language string, html string, error string")
 
