@@ -9,6 +9,8 @@ they are joined to the texts' tokens, never collected.
 Training: word counts over all training texts; Baum-Welch on a bounded sample (`sample_tokens`) gives a start; from there Baum-Welch over growing shares of
 the training texts (SHARES) and then over all of them, whose expected counts each partition sums and the shuffle adds up. A share is left when a round
 gains less than `gain` log10 per token over the one before, all texts likewise, after `rounds` at most. There texts are taken in stretches of `STRETCH` tokens, written once as symbols; scores take whole texts.
+Which share a text is in is a hash of its id and itself, so neither the order of rows nor how they are dealt to files changes more than the last digits of a score.
+Where a share has not settled after `rounds`, a warning says so and the next one goes on from there.
 A text's score is the log10 of its exact probability, summed over all state paths.
 
 Null and empty texts are one end token. Repeated rows score alike. With nothing to train on, every token has the probability of an
@@ -17,7 +19,8 @@ unseen one. An empty table gives an empty result. Extra columns are dropped.
 
 from __future__ import annotations
 
-import zlib
+import contextlib
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -217,14 +220,20 @@ def _fed(model: Model, column: pa.Array, most: int) -> Iterator[tuple[int, int,
 
 
 def _encode(sent):
+    """Blocks of texts of one share each. A text's own draw says which shares it is in, not the rows it comes with: how rows are dealt to files changes nothing."""
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, _, sym, first, _ in _fed(sent.value, b.column("text"), _BLOCK):
-                cuts, heads = _stretches(first)
-                # byte by byte: the upper ones are almost all zero, and compression takes them away
-                cols = [sym.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), cuts.astype("<i8").tobytes(), heads.tobytes()]
-                draw = zlib.crc32(cols[0]) % 16
-                yield pa.RecordBatch.from_arrays([pa.array([draw], pa.int32()), pa.array([len(sym)]), *(pa.array([c], pa.binary()) for c in cols)], names=["draw", "n", "sym", "cuts", "heads"])
+            draws = b.column("draw").to_numpy()
+            for low, high in zip((0, *SHARES), SHARES, strict=False):
+                own = np.flatnonzero((draws >= low) & (draws < high))
+                if not len(own):
+                    continue
+                for _, _, _, sym, first, _ in _fed(sent.value, b.column("text").take(pa.array(own)), _BLOCK):
+                    cuts, heads = _stretches(first)
+                    # byte by byte: the upper ones are almost all zero, and compression takes them away
+                    cols = [sym.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), cuts.astype("<i8").tobytes(), heads.tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([low], pa.int32()), pa.array([len(sym)]), *(pa.array([c], pa.binary()) for c in cols)], names=["draw", "n", "sym", "cuts", "heads"])
 
     return step
 
@@ -266,6 +275,18 @@ def _least_count(counts: DataFrame, most: int) -> float:
     return float("inf") if least is None else least
 
 
+@contextlib.contextmanager
+def _no_shuffle_files(spark: SparkSession):
+    """A round's shuffle files go with its query; else the rounds' add up."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def train(texts: DataFrame, counts: DataFrame, states: int = 12, most: int = 65_536, sample_tokens: int = 300_000, rounds: int = 40, gain: float = 0.001, seed: int = 7) -> Model:
     spark = texts.sparkSession
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -298,28 +319,31 @@ def train(texts: DataFrame, counts: DataFrame, states: int = 12, most: int = 65_
     k = len(back)
     cols = ", ".join(f"s{s} float" for s in range(states))
     sent = spark.sparkContext.broadcast(model)  # `most` bounds it
-    coded = shared.cut(texts.select("text").mapInArrow(_encode(sent), "draw int, n long, sym binary, cuts binary, heads binary"), "coded")
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES[-1])).cast("int")
+    coded = shared.cut(texts.select("text", draw.alias("draw")).mapInArrow(_encode(sent), "draw int, n long, sym binary, cuts binary, heads binary"), "coded")
     sent.unpersist()
-    for share in SHARES:
-        part = coded.where(F.col("draw") < share)
-        n = total if share == SHARES[-1] else part.agg(F.sum("n")).first()[0]
-        if not n:  # few texts: none of their blocks is in the share
-            continue
-        if share < SHARES[-1]:  # a task sends a row for each symbol, however little it read: a few blocks are one task's
-            part = part.coalesce(max(1, n // (8 * _BLOCK)))
-        last = -np.inf
-        for _ in range(rounds):
-            sent = spark.sparkContext.broadcast(_single(model))
-            sums = part.select("sym", "cuts", "heads").mapInArrow(_expect(sent), f"row int, {cols}").groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toPandas()
-            rows = np.zeros((k + states + 3, states))
-            rows[sums["row"].to_numpy()] = sums[[f"s{s}" for s in range(states)]].to_numpy()
-            model = reestimated(model, rows[:k], rows[k : k + states], rows[k + states : k + states + 2])
-            sent.unpersist()
-            spark.sparkContext._jvm.System.gc()  # lets go of the round's shuffle files, else they add up
-            now = rows[-1, 0] / np.log(10) / n
-            if now - last < gain:
-                break
-            last = now
+    with _no_shuffle_files(spark):
+        for share in SHARES:
+            part = coded.where(F.col("draw") < share)
+            n = total if share == SHARES[-1] else part.agg(F.sum("n")).first()[0]
+            if not n:  # few texts: none of them is in the share
+                continue
+            if share < SHARES[-1]:  # a task sends a row for each symbol, however little it read: a few blocks are one task's
+                part = part.coalesce(max(1, n // (8 * _BLOCK)))
+            last = gained = -np.inf
+            for _ in range(rounds):
+                sent = spark.sparkContext.broadcast(_single(model))
+                sums = part.select("sym", "cuts", "heads").mapInArrow(_expect(sent), f"row int, {cols}").groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toPandas()
+                rows = np.zeros((k + states + 3, states))
+                rows[sums["row"].to_numpy()] = sums[[f"s{s}" for s in range(states)]].to_numpy()
+                model = reestimated(model, rows[:k], rows[k : k + states], rows[k + states : k + states + 2])
+                sent.unpersist()
+                now = rows[-1, 0] / np.log(10) / n
+                gained, last = now - last, now
+                if gained < gain:
+                    break
+            else:
+                logging.getLogger(__name__).warning("Baum-Welch still gains %.4f log10 a token after %d rounds over %d of %d parts of the texts", gained, rounds, share, SHARES[-1])
     return model
 
 
