@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -10,7 +11,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -79,6 +80,9 @@ class Scorer(Protocol):
 
     def logits(self, state: list[str], text: list[str], options: list[list[str]]) -> list[list[float]]: ...
 
+    def tokens(self, state: list[str], text: list[str], options: list[list[str]]) -> list[tuple[int, int]]:
+        """Each row's input tokens and how many were dropped to fit; only asked for where usage is wanted."""
+
 
 class OverlapScorer:
     """A deterministic stand-in without weights: shared words of state and option, and a bias for the first place. No claim of quality."""
@@ -93,12 +97,26 @@ class OverlapScorer:
             out.append([len(words & set(x.lower().split())) * 0.5 + self.bias * (i == 0) for i, x in enumerate(o)])
         return out
 
+    def tokens(self, state, text, options):
+        """Words stand for tokens; none is dropped."""
+        return [(len(s.split()) + len(t.split()) + sum(len(x.split()) for x in o), 0) for s, t, o in zip(state, text, options, strict=True)]
+
 
 class OnnxScorer:
-    """Scores packed rows with an ONNX session, one for each Python worker. Needs a model file that all workers can read."""
+    """Scores packed rows with an ONNX session, one for each Python worker. Needs a model file that all workers can read.
+
+    `pack` makes a row's (ids, spans of its options, number of dropped tokens) of its state, text and options. Rows are run `batch` at a time, the longest together, as the arrays
+    that `batch_arrays` makes of them, under the names of the graph's inputs in its order; the first output has a row of logits for each.
+    """
+
+    def __init__(self, model: str, pack: Callable, threads: int = 1, batch: int = 16, pad: int = 0, shared: bool = False) -> None:
+        self.model, self.pack, self.threads, self.batch, self.pad, self.shared, self.session = model, pack, threads, batch, pad, shared, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"session": None}  # a session stays with its worker
 
-    def __init__(self, model: str, pack: Callable, threads: int = 1) -> None:
-        self.model, self.pack, self.threads, self.session = model, pack, threads, None
+    def tokens(self, state, text, options):
+        return [(len(ids), dropped) for ids, _, dropped in map(self.pack, state, text, options)]
 
     def logits(self, state, text, options):
         if self.session is None:
@@ -107,7 +125,16 @@ class OnnxScorer:
             o = ort.SessionOptions()
             o.intra_op_num_threads = self.threads
             self.session = ort.InferenceSession(self.model, o, providers=["CPUExecutionProvider"])
-        return [list(map(float, self.session.run(None, self.pack(*row))[0][0][: len(row[2])])) for row in zip(state, text, options, strict=True)]
+        packed = [self.pack(*row)[:2] for row in zip(state, text, options, strict=True)]
+        order = sorted(range(len(packed)), key=lambda i: len(packed[i][0]))
+        out: list = [None] * len(packed)
+        names = [i.name for i in self.session.get_inputs()]
+        for at in range(0, len(order), self.batch):
+            rows = order[at : at + self.batch]
+            found = self.session.run(None, dict(zip(names, batch_arrays([packed[i] for i in rows], self.pad, self.shared), strict=True)))[0]
+            for i, logits in zip(rows, found, strict=True):
+                out[i] = [float(x) for x in logits[: len(packed[i][1])]]
+        return out
 
 
 def batch_arrays(packed: list[tuple[list[int], list[tuple[int, int]]]], pad: int, shared: bool = False) -> tuple:
@@ -147,8 +174,18 @@ def mean_probabilities(scorer: Scorer, state: list[str], text: list[str], option
     return [(s / len(t)).tolist() for s, t in zip(sums, turns, strict=True)]
 
 
-def score(items: DataFrame, scorer: Scorer, *, orders: int = 1, temperature: dict[str, float] | float = 1.0) -> DataFrame:
-    """SC-4: adds p, the mean over rotated option orders of the options' probabilities, to items(item_id, kind, state, text, ids, texts). No shuffle."""
+def _used(scorer: Scorer, state: list[str], text: list[str], options: list[list[str]], orders: int) -> list[tuple[int, int]]:
+    """Each row's input and dropped tokens, over all the option orders it is shown in."""
+    per_order = scorer.tokens(state, text, options)
+    times = [len(_offsets(len(o), orders)) for o in options]
+    return [(n * k, d * k) for (n, d), k in zip(per_order, times, strict=True)]
+
+
+def score(items: DataFrame, scorer: Scorer, *, orders: int = 1, temperature: dict[str, float] | float = 1.0, usage: bool = False) -> DataFrame:
+    """SC-4: adds p, the mean over rotated option orders of the options' probabilities, to items(item_id, kind, state, text, ids, texts). No shuffle.
+
+    With `usage` also input_tokens and dropped_tokens, and ms, a row's share of its batch's time.
+    """
     if orders < 1:
         raise ValueError("orders must be at least 1")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
@@ -158,22 +195,59 @@ def score(items: DataFrame, scorer: Scorer, *, orders: int = 1, temperature: dic
             for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
                 kinds, state, text, texts = (b.column(c).to_pylist() for c in ("kind", "state", "text", "texts"))
                 t = [temperature.get(k, 1.0) if isinstance(temperature, dict) else float(temperature) for k in kinds]
+                began = time.perf_counter()
                 p = mean_probabilities(scorer, state, text, texts, t, orders)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.list_(pa.float64()))], names=[*b.schema.names, "p"])
+                cols, names = [pa.array(p, pa.list_(pa.float64()))], ["p"]
+                if usage:
+                    ms = (time.perf_counter() - began) * 1000 / max(1, b.num_rows)
+                    used = _used(scorer, state, text, texts, orders)
+                    cols += [pa.array([u[0] for u in used], pa.int64()), pa.array([u[1] for u in used], pa.int64()), pa.array([ms] * b.num_rows)]
+                    names += ["input_tokens", "dropped_tokens", "ms"]
+                yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *names])
+
+    return items.mapInArrow(step, f"{fields}, p array<double>" + ", input_tokens long, dropped_tokens long, ms double" * usage)
 
-    return items.mapInArrow(step, f"{fields}, p array<double>")
 
+USAGE = ("input_tokens", "dropped_tokens", "ms")
 
-def predict(requests: DataFrame, scorer: Scorer, *, orders: int = 1, temperature: dict[str, float] | float = 1.0, abstain_below: float | None = None) -> DataFrame:
-    """SC-5: (request_id, qid, answer, error) for each question of requests(request_id, body)."""
+
+def predict(requests: DataFrame, scorer: Scorer, *, orders: int = 1, temperature: dict[str, float] | float = 1.0, abstain_below: float | None = None, usage: bool = False) -> DataFrame:
+    """SC-5: (request_id, qid, answer, error) for each question of requests(request_id, body); with `usage` also its tokens and milliseconds."""
     rows = expand_requests(requests)
     good = rows.where(F.col("q.error").isNull()).select(F.struct("request_id", "qid").alias("item_id"), F.col("q.type").alias("kind"), "state", F.col("q.text").alias("text"), F.col("q.ids").alias("ids"), F.col("q.texts").alias("texts"))
-    done = score(good, scorer, orders=orders, temperature=temperature)
-    answers = done.select("item_id.request_id", "item_id.qid", E.answer(F.col("kind"), F.col("ids"), F.col("texts"), F.col("p"), abstain_below).alias("answer"), F.lit(None).cast("string").alias("error"))
+    done = score(good, scorer, orders=orders, temperature=temperature, usage=usage)
+    extra = USAGE if usage else ()
+    answers = done.select("item_id.request_id", "item_id.qid", E.answer(F.col("kind"), F.col("ids"), F.col("texts"), F.col("p"), abstain_below).alias("answer"), F.lit(None).cast("string").alias("error"), *extra)
     bad = rows.where(F.col("q.error").isNotNull()).select("request_id", "qid", F.col("q.error").alias("error"))
     return answers.unionByName(bad, allowMissingColumns=True)
 
 
+def metered(answers: DataFrame, name: str = "usage") -> tuple[DataFrame, Observation]:
+    """AG-23: answers with usage, and what is observed while they are written or collected: no second pass. Once an action ran, `.get` has the numbers of answers and
+    errors, the tokens, and the p50 and p95 of milliseconds an answer (p50 and p95 within a ten-thousandth of the ranks)."""
+    seen = Observation(name)
+    ms = F.percentile_approx("ms", F.array(F.lit(0.5), F.lit(0.95)), F.lit(10_000))
+    totals = [F.count_if(F.col("error").isNull()).alias("answers"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("dropped_tokens"), F.lit(0)).alias("dropped_tokens"), ms[0].alias("ms_p50"), ms[1].alias("ms_p95")]
+    return answers.observe(seen, *totals), seen
+
+
+def by_request(answers: DataFrame, name: str = "engine") -> DataFrame:
+    """SC-5: one row for each request: the model's name, its answers by question, its usage and its latency, the sum of its questions' milliseconds.
+
+    A request with an invalid question has `error`, the least of its questions' errors, and no answers. A request has at most 64 questions, so a group is small.
+    """
+    grouped = answers.groupBy("request_id").agg(
+        F.min("error").alias("error"),
+        F.map_from_entries(F.collect_list(F.when(F.col("answer").isNotNull(), F.struct("qid", "answer")))).alias("answers"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("dropped_tokens").alias("dropped_tokens"),
+        F.round(F.sum("ms"), 2).alias("latency_ms"),
+    )
+    fine = F.col("error").isNull()
+    usage = F.struct("input_tokens", F.lit(0).cast("long").alias("output_tokens"), "dropped_tokens")
+    return grouped.select("request_id", F.lit(name).alias("model"), F.when(fine, F.col("answers")).alias("answers"), F.when(fine, usage).alias("usage"), F.when(fine, F.col("latency_ms")).alias("latency_ms"), "error")
+
+
 @dataclass(frozen=True)
 class Engine:
     """A scorer with its settings (HX-5): orders averaged over, temperatures, the bound to abstain below."""
@@ -203,6 +277,11 @@ class Engine:
         temperatures = {k: self.temperature_by_type.get(k, self.temperature) for k in PREFIX}
         return predict(requests, self.scorer, orders=self.orders, temperature=temperatures, abstain_below=self.abstain_below)
 
+    def answer(self, requests: DataFrame) -> DataFrame:
+        """A row for each request, with usage and latency."""
+        temperatures = {k: self.temperature_by_type.get(k, self.temperature) for k in PREFIX}
+        return by_request(predict(requests, self.scorer, orders=self.orders, temperature=temperatures, abstain_below=self.abstain_below, usage=True), self.name)
+
 
 def benchmark_rows(cases: DataFrame, types: tuple[str, ...] = ("choice",)) -> DataFrame:
     """DS-9: decision rows of cases(id, workflow, state, questions, gold), the last three JSON text."""

@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import exprs as E
+from ..operators import judging
 from ..operators import pages as P
+from ..operators import training as R
 from ..operators import typed as T
 from ..sources import stages, warc, warc_ranges, warc_stream
 from ..streaming import resume
@@ -57,21 +60,20 @@ def q88_resumed_scoring(t):
 
 @query(f"""WITH {_V0.partition(",\ndealt AS")[0]} SELECT hosted.case_id, hosted.host FROM hosted JOIN few ON hosted.url = few.url AND hosted.page_id = few.page_id""")
 def q89_streamed_host_cap(t):
-    """WN-4, WN-5, DS-3 as a stream: labelled pages in three files, one a trigger; four pages of each host, each URL where it came first."""
+    """WN-4, WN-5, DS-3 as a stream: labelled pages that arrive in three runs; four pages of each host, each URL where it came first."""
     source, out, check = (stages.folder(t.spark, x) for x in ("arrivals", "given", "given-log"))
     pages = S.furnished(t.pages).select(F.concat(F.lit("f"), (F.col("page_id") % 3).cast("string")).alias("warc_file"), F.col("page_id").alias("seq"), "url", "html")
-    for k in range(3):  # one after another: a stream takes files by their age
-        pages.where(F.col("warc_file") == f"f{k}").coalesce(1).write.mode("append").parquet(source)
-    came = t.spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    rows = P.page_rows_v0(came.where(E.host_of(F.col("url")) != ""), keep=("warc_file", "seq")).select("case_id", "url", "source_group", "warc_file", "seq")
-    kept = stateful.running_cap(rows, "source_group", "url", ["warc_file", "seq"], 4)
-    stateful.to_table(kept, out, check).awaitTermination()
+    for k in range(3):  # a run for each arrival: the state is that of the run before
+        pages.where(F.col("warc_file") == f"f{k}").write.mode("append").parquet(source)
+        came = t.spark.readStream.schema(pages.schema).parquet(source)
+        rows = P.page_rows_v0(came.where(E.host_of(F.col("url")) != ""), keep=("warc_file", "seq")).select("case_id", "url", "source_group", "warc_file", "seq")
+        stateful.to_table(stateful.running_cap(rows, "source_group", "url", ["warc_file", "seq"], 4), out, check).awaitTermination()
     return t.spark.read.parquet(out).select("case_id", F.col("source_group").alias("host"))
 
 
 @query(SQL["q22_pending_metadata"])
 def q90_streamed_metadata(t):
-    """JN-1 as a stream: files of a thousand records, each cut at places of its own into four micro-batches, and a record that ends each file."""
+    """JN-1 as a stream: files of a thousand records, each cut at places of its own into four arrivals, and a record that ends each file."""
     source, out, check = (stages.folder(t.spark, x) for x in ("records", "responses", "responses-log"))
     kind = F.when(F.col("event_type") == "click", "response").otherwise("metadata")
     file = F.floor(F.col("event_id") / 1000)
@@ -79,12 +81,11 @@ def q90_streamed_metadata(t):
     place = F.col("seq") % 1000
     cut = lambda i: F.pmod(F.xxhash64("warc_file", F.lit(i)), F.lit(1000))
     part = sum((place >= cut(i)).cast("int") for i in range(3))
-    for k in range(4):
-        records.where(part == k).coalesce(1).write.mode("append").parquet(source)
     ends = stateful.ended(records.select("warc_file").distinct(), "warc_file", records.schema)
-    ends.coalesce(1).write.mode("append").parquet(source)
-    came = t.spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    stateful.to_table(stateful.attach_metadata(came), out, check).awaitTermination()
+    for rows in (*(records.where(part == k) for k in range(4)), ends):  # a run for each arrival: responses wait from one to the next
+        rows.write.mode("append").parquet(source)
+        came = t.spark.readStream.schema(records.schema).parquet(source)
+        stateful.to_table(stateful.attach_metadata(came), out, check).awaitTermination()
     return t.spark.read.parquet(out).select(F.col("seq").alias("event_id"), F.col("detected_language").alias("detected"))
 
 
@@ -128,3 +129,41 @@ def q93_warc_stream(t):
     finally:
         running.stop()
     return t.spark.read.parquet(out).groupBy("split").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("host").alias("hosts"))
+
+
+_N = lambda *texts: sum(len(x.split()) for x in texts)
+_ASKED = _N("Which?", "the of and", "de la que") + _N(K.NOUL_PREFIX + "Long.", *K.NOUL_DEFAULT.values()) + _N(K.SCORE_PREFIX + "How?", "low", "the mid", "de high")
+
+
+@query(
+    f"""WITH w AS (SELECT item_id, len(list_filter(regexp_split_to_array(CAST(to_json({{'page': text}}) AS VARCHAR), '\\s+'), lambda x: x <> '')) AS n FROM benchmark)
+SELECT item_id AS request_id, 'overlap' AS model, 3 AS answers, 2 * (3 * n + {_ASKED}) AS input_tokens, 0 AS output_tokens, true AS timed FROM w"""
+)
+def q94_usage(t):
+    """SC-5, AG-23: answers with usage and latency, gathered while they are scored; what was observed on the way must be what the rows say."""
+    body = F.to_json(F.struct(F.struct(F.col("text").alias("page")).alias("state"), F.lit(None).cast("string").alias("none")))
+    questions = '{"lang":{"type":"choice","instructions":"Which?","criteria":{"en":"the of and","es":"de la que"}},"flag":{"type":"noul","instructions":"Long."},"level":{"type":"score","instructions":"How?","criteria":["low","the mid","de high"]}}'
+    requests = t.benchmark.select(F.col("item_id").alias("request_id"), F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(f',"questions":{questions}}}')).alias("body"))
+    answers, seen = T.metered(T.predict(requests, T.OverlapScorer(0.2), orders=2, usage=True))
+    kept = stages.cut(answers, "answers")
+    said = seen.get
+    total = kept.agg(F.count("answer"), F.sum("input_tokens")).first()
+    if (said["answers"], said["input_tokens"]) != tuple(total) or said["errors"] or not 0 <= said["ms_p50"] <= said["ms_p95"]:
+        raise ValueError(f"observed {said}, the rows say {total}")
+    out = T.by_request(kept, "overlap")
+    return out.select("request_id", "model", F.size("answers").alias("answers"), "usage.input_tokens", "usage.output_tokens", (F.col("latency_ms") >= 0).alias("timed"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, substr(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), 1, 3500) AS page FROM documents),
+c AS (SELECT doc_id, len(list_filter(string_split(page, ' '), lambda x: x <> '')) + {_N("Which?", "A. the of and", "B. de la que", "Answer with one letter.")} AS tokens, string_split(lower(page), ' ') AS w FROM p),
+x AS (SELECT doc_id, tokens, {S.overlap("w", "the of and")} AS a, {S.overlap("w", "de la que")} AS b FROM c) SELECT doc_id, tokens, round(exp(a) / (exp(a) + exp(b)), 6) AS p FROM x"""
+)
+def q95_judged(t):
+    """LB-23: a judge whose memory is smaller than the token budget it is given; every document judged once, no batch above what it has room for."""
+    page = F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+", " ")
+    items = t.documents.select("doc_id", R.prompt(page, F.lit("Which?"), F.array(F.lit("the of and"), F.lit("de la que"))).alias("prompt"), F.lit(2).alias("letters"))
+    done = stages.cut(judging.judged(items, judging.OverlapJudge(room=9_000), 20_000).drop("prompt"), "judged")
+    if done.where("batch_rows > 1 AND batch_tokens > 9000").limit(1).count():
+        raise ValueError("a batch above the budget")
+    return done.select("doc_id", "tokens", R6(F.col("probabilities")[0]).alias("p"))
