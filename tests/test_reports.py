@@ -37,7 +37,7 @@ def test_warc_files_stream_in_bounded_memory(tmp_path):
         f.write(member("response", "https://bomb.example/", page("y" * (64 << 20))))
         f.write(member("response", "https://last.example/", page("<p>end")))
     tracemalloc.start()
-    urls = [r["url"] for r in warc._streamed(str(tmp_path / "big.warc.gz"), 10**12)]
+    urls = [r["url"] for r in warc.streamed(str(tmp_path / "big.warc.gz"), 10**12)]
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(urls) == 82 and urls[-1] == "https://last.example/" and peak < 24 << 20
@@ -46,7 +46,7 @@ def test_warc_files_stream_in_bounded_memory(tmp_path):
 def test_files_that_cannot_be_read(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "good.warc.gz").write_bytes(member("response", "https://h.example/", page("<p>fine")))
-    rows = [r for name in (f"{tmp_path}/a/good.warc.gz", f"{tmp_path}/a/none.warc.gz") for r in warc._streamed(name, 10**12)]
+    rows = [r for name in (f"{tmp_path}/a/good.warc.gz", f"{tmp_path}/a/none.warc.gz") for r in warc.streamed(name, 10**12)]
     assert [r["rec_type"] for r in rows] == ["response", "failed"] and "FileNotFoundError" in rows[1]["url"]
     assert warc.scan_pages(spark, f"{tmp_path}/a").select("url", "error").collect() == [("https://h.example/", None)]
 

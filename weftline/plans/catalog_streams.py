@@ -11,7 +11,7 @@ from ..operators import judging
 from ..operators import pages as P
 from ..operators import training as R
 from ..operators import typed as T
-from ..sources import stages, warc, warc_ranges, warc_stream
+from ..sources import stages, udtf, warc, warc_ranges, warc_stream
 from ..streaming import resume
 from ..streaming import state as stateful
 from . import page_sql as S
@@ -167,3 +167,26 @@ def q95_judged(t):
     if done.where("batch_rows > 1 AND batch_tokens > 9000").limit(1).count():
         raise ValueError("a batch above the budget")
     return done.select("doc_id", "tokens", R6(F.col("probabilities")[0]).alias("p"))
+
+
+@query(SQL["q11_outline_v1"])
+def q96_sql_pages(t):
+    """§2.11: pages read by a table function in SQL text alone."""
+    udtf.register(t.spark)
+    return t.spark.sql(
+        "SELECT page_id, p.title, p.html_lang, p.lines AS n_lines, CAST(length(p.page) AS BIGINT) AS page_chars, md5(CAST(p.page AS BINARY)) AS page_md5 FROM {pages}, LATERAL page_state(url, html, 'title,html_lang,lines,page') p",
+        pages=S.furnished(t.pages),
+    )
+
+
+@query(f"WITH p AS (SELECT page_id, {HOST} AS host FROM pages) SELECT host || '.warc.gz' AS warc_file, count(*) AS pages, count(*) FILTER (page_id % 10 = 0) AS gone FROM p GROUP BY host")
+def q97_sql_records(t):
+    """§2.11, SRC-1: WARC files read by a table function in SQL text alone, pages parsed by another."""
+    path = stages.folder(t.spark, "records")
+    write_warcs(t, path)
+    udtf.register(t.spark)
+    names = t.pages.select(F.concat(F.lit(f"{path}/"), E.host_of(F.col("url")), F.lit(".warc.gz")).alias("path")).distinct()
+    return t.spark.sql(
+        "SELECT element_at(split(path, '/'), -1) AS warc_file, count(p.lines) AS pages, count_if(r.status = 404) AS gone FROM {files}, LATERAL warc_records(path, 'response') r, LATERAL page_state(r.url, r.html, 'lines') p GROUP BY 1",
+        files=names,
+    )
