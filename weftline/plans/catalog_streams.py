@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import exprs as E
-from ..operators import judging
+from ..operators import evaluation as V
+from ..operators import fitting, judging
 from ..operators import pages as P
 from ..operators import training as R
 from ..operators import typed as T
@@ -190,3 +191,23 @@ def q97_sql_records(t):
         "SELECT element_at(split(path, '/'), -1) AS warc_file, count(p.lines) AS pages, count_if(r.status = 404) AS gone FROM {files}, LATERAL warc_records(path, 'response') r, LATERAL page_state(r.url, r.html, 'lines') p GROUP BY 1",
         files=names,
     )
+
+
+@query(f"SELECT {split_sql('source', 1)} AS split, count(*) AS rows, count(*) FILTER (lang IS NOT NULL AND text <> '') AS answerable, true AS beats_prior FROM documents GROUP BY 1")
+def q98_trained_head(t):
+    """MD-6, MD-7, SC-8, SF-21, AG-24: an option head trained on the train split's documents, its epoch picked on every fourth source of them, held against what the priors alone would score elsewhere."""
+    labels = [r[0] for r in t.documents.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(16).collect()]  # the commonest are the options
+    ids = F.array(*map(F.lit, labels)).cast("array<string>")
+    known = F.coalesce(F.col("text") != "", F.lit(False)) & F.col("lang").isNotNull()
+    target = F.transform(ids, lambda x: F.when(known & (x == F.col("lang")), 1.0).otherwise(0.0))
+    items = t.documents.select(F.col("doc_id").cast("string").alias("item_id"), "source", E.split_of(F.col("source"), 1).alias("split"), F.lit("choice").alias("kind"), F.col("text").alias("state"), F.lit("Which language?").alias("text"), ids.alias("ids"), ids.alias("texts"), target.alias("target"), known.alias("known"))
+    own = F.col("split") == "train"
+    picked = F.pmod(F.xxhash64("source"), F.lit(4)) == 0
+    head, _ = fitting.fit(items.where(own & ~picked), items.where(own & picked))
+    asked = items.where(~own & F.col("known"))
+    scored = T.score(asked.withColumn("state", F.coalesce("state", F.lit(""))), head)
+    loss = scored.agg(F.avg(E.soft_ce(F.col("p"), F.col("target")))).first()[0]
+    keyed = lambda d: d.where("known").select(F.col("item_id").alias("case_id"), F.lit("documents").alias("workflow"), F.lit("lang").alias("schema_key"), "ids", "target")
+    prior = V.prior_controls(keyed(items.where(own)), keyed(asked)).where("key = 'all'").first()
+    beats = loss is None or prior is None or loss < prior["soft_prior_ce"]
+    return items.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_if("known").alias("answerable"), F.lit(bool(beats)).alias("beats_prior"))
