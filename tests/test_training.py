@@ -32,3 +32,15 @@ def test_cli(spark, tmp_path, capsys):
     cli.main(["compare", str(led), str(led), "--samples", "100"])
     out = json.loads(capsys.readouterr().out)
     assert out["accuracy_delta"] == 0 and out["interval"] is None and out["baseline"]["accuracy"] == 1
+
+
+def test_moving_average_in_buckets(spark):
+    rows = [(k, i, float((i * 37 + len(k)) % 11)) for k in ("a", "bb") for i in range(0, 90, 1 if k == "a" else 7)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(3)
+    for size in (1, 7, 1000):
+        got = {r.k: r.average for r in R.moving_average(df, ["k"], "i", "v", 0.9, F.floor(F.col("i") / size)).collect()}
+        for k in ("a", "bb"):
+            want = 0.0
+            for _, _, v in sorted(r for r in rows if r[0] == k):
+                want = want * 0.9 + v * 0.1
+            assert abs(got[k] - want) < 1e-9

@@ -65,7 +65,7 @@ def parse_v0(pages: DataFrame) -> DataFrame:
     return pages.mapInPandas(step, f"{fields}, title string, text string, link_count int, node_types array<array<string>>, price double, availabilities array<string>, prices array<struct<text:string,value:double>>")
 
 
-def _options(table: dict[str, str]) -> Column:
+def options_of(table: dict[str, str]) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("id"), F.lit(v).alias("text")) for k, v in table.items()))
 
 
@@ -127,20 +127,25 @@ def labels_v1(parsed: DataFrame, min_chars: int = 200) -> DataFrame:
 
 def page_rows_v1(pages: DataFrame, min_chars: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
     """LB-17: at most four labelled decisions of each page(url, html, http_status, detected_language)."""
-    df = labels_v1(parse_v1(pages), min_chars).where(~F.col("too_little_text"))
+    return parsed_rows_v1(parse_v1(pages), min_chars, keep)
+
+
+def parsed_rows_v1(parsed: DataFrame, min_chars: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same of pages that were parsed already."""
+    df = labels_v1(parsed, min_chars).where(~F.col("too_little_text"))
     url = F.col("url")
     ok, votes, label = F.col("http_status") == 200, F.col("votes"), F.col("resolved.label")
     status = L.status_label(F.col("http_status"))
-    others = F.slice(_by_hash(F.filter(_options(K.LANGUAGE_NAMES), lambda x: x["id"] != F.col("language")), url, "id"), 1, 4)
-    own = F.filter(_options(K.LANGUAGE_NAMES), lambda x: x["id"] == F.col("language"))
+    others = F.slice(_by_hash(F.filter(options_of(K.LANGUAGE_NAMES), lambda x: x["id"] != F.col("language")), url, "id"), 1, 4)
+    own = F.filter(options_of(K.LANGUAGE_NAMES), lambda x: x["id"] == F.col("language"))
     date = F.col("published.date")
     shown = _by_hash(F.slice("dates", 1, 8), url)
     options = F.transform(shown, lambda x, i: F.struct(F.concat(F.lit("d"), i.cast("string")).alias("id"), x["text"].alias("text")))
     right = F.filter(F.transform(shown, lambda x, i: F.when(F.array_contains(x["dates"], date), F.concat(F.lit("d"), i.cast("string")))), lambda x: x.isNotNull())
     rows = [
-        _row(~ok & status.isNotNull(), "page_status", K.QUESTIONS["page_status"], _options(K.PAGE_STATUS), F.array(status), F.to_json(F.struct(F.col("http_status").alias("http_status"))), "single"),
-        _row(ok & label.isNotNull(), "page_type", K.QUESTIONS["page_type"], _options(K.PAGE_TYPES), F.array(label), F.to_json(votes), F.col("resolved.quality")),
-        _row(ok & label.isNotNull() & votes["schema.org"].isNotNull(), "page_status", K.QUESTIONS["page_status"], _options(K.PAGE_STATUS), F.array(F.lit("ok")), F.to_json(F.struct(F.col("http_status").alias("http_status"), votes["schema.org"].alias("schema.org"))), "agreed"),
+        _row(~ok & status.isNotNull(), "page_status", K.QUESTIONS["page_status"], options_of(K.PAGE_STATUS), F.array(status), F.to_json(F.struct(F.col("http_status").alias("http_status"))), "single"),
+        _row(ok & label.isNotNull(), "page_type", K.QUESTIONS["page_type"], options_of(K.PAGE_TYPES), F.array(label), F.to_json(votes), F.col("resolved.quality")),
+        _row(ok & label.isNotNull() & votes["schema.org"].isNotNull(), "page_status", K.QUESTIONS["page_status"], options_of(K.PAGE_STATUS), F.array(F.lit("ok")), F.to_json(F.struct(F.col("http_status").alias("http_status"), votes["schema.org"].alias("schema.org"))), "agreed"),
         _row(ok & F.col("language").isNotNull(), "language", K.QUESTIONS["language"], _by_hash(F.concat(own, others), F.concat(url, F.lit("#")), "id"), F.array("language"), F.to_json(F.struct(F.col("detected_language").alias("common crawl detector"), F.col("html_lang").alias("html lang"))), "agreed"),
         _row(ok & (F.size("dates") >= 2) & (F.size(right) > 0), "published_date", K.QUESTIONS["published_date"], options, right, F.to_json(F.map_from_arrays(F.array("published.source"), F.array(date))), "single"),
     ]
@@ -159,8 +164,8 @@ def page_rows_v0(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     right = F.filter(F.transform(chosen, lambda x, i: F.when(is_gold(x), F.concat(F.lit("p"), i.cast("string")))), lambda x: x.isNotNull())
     source = F.lit("schema.org")
     rows = [
-        _row(F.lit(True), "page_type", K.V0_QUESTIONS["page_type"], _options(K.V0_PAGE_TYPES), F.array("label"), source, None),
+        _row(F.lit(True), "page_type", K.V0_QUESTIONS["page_type"], options_of(K.V0_PAGE_TYPES), F.array("label"), source, None),
         _row(product & F.col("price").isNotNull() & (F.size(gold) > 0) & (F.size(other) > 0), "price_field", K.V0_QUESTIONS["price_field"], options, right, source, None),
-        _row(product & F.col("stock").isNotNull(), "in_stock", K.NOUL_PREFIX + K.V0_QUESTIONS["in_stock"], _options(K.V0_STOCK), F.array(F.col("stock").cast("string")), source, None, "noul"),
+        _row(product & F.col("stock").isNotNull(), "in_stock", K.NOUL_PREFIX + K.V0_QUESTIONS["in_stock"], options_of(K.V0_STOCK), F.array(F.col("stock").cast("string")), source, None, "noul"),
     ]
     return _rows(df, F.struct(F.substring("url", 1, 300).alias("url"), "title", "text", "link_count"), rows, keep)

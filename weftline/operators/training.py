@@ -6,7 +6,7 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -116,3 +116,18 @@ def prompt(page: Column, question: Column, texts: Column, chars: int = 3500) ->
     """SF-41: the page's head, the question and lettered options."""
     options = F.array_join(F.transform(texts, lambda t, i: F.concat(F.char(i + 65), F.lit(". "), t)), "\n")
     return F.concat_ws("\n\n", F.substring(page, 1, chars), question, options, F.lit("Answer with one letter."))
+
+
+def moving_average(df: DataFrame, keys: list[str], order: str, value: str, decay: float, bucket: Column) -> DataFrame:
+    """MD-6: (keys, average), where the average starts at 0 and each value in order moves it: average * decay + value * (1 - decay).
+
+    An average over a run of values is its number and a weighted sum, and runs put together are that again. So each key's rows are averaged in buckets, which grow with
+    `order`, and the buckets' sums, a small table, are put together: no task has all rows of a key.
+    """
+    fall = lambda n: F.pow(F.lit(float(decay)), n)
+    within = Window.partitionBy(*keys, "_bucket").orderBy(F.desc(order))
+    placed = df.select(*keys, order, value, bucket.alias("_bucket")).withColumn("_after", F.row_number().over(within) - 1)
+    parts = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(value) * (1 - decay) * fall(F.col("_after"))).alias("_s"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    moved = parts.withColumn("_s", F.col("_s") * fall(F.coalesce(F.sum("_n").over(later), F.lit(0))))
+    return moved.groupBy(*keys).agg(F.sum("_s").alias("average"))

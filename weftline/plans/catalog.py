@@ -698,19 +698,19 @@ def q55_cosine(t):
     return e.join(other, "vec_id").select("vec_id", F.round(1 - E.cosine(F.col("embedding"), F.col("next")), 5).alias("loss"))
 
 
-@query("SELECT s AS step, round(CASE WHEN s < 10 THEN (s + 1) / 10.0E0 ELSE 1 END, 6) AS constant, round(CASE WHEN s < 10 THEN (s + 1) / 10.0E0 ELSE 1 - least(1, (s - 10) / 90.0E0) END, 6) AS linear, round(0.5E0 * (1 + cos(pi() * least(1, s / 100.0E0))), 6) AS cosine FROM (SELECT unnest(range(0, 120)) AS s)")
+@query("SELECT event_id, round(CASE WHEN s < 10 THEN (s + 1) / 10.0E0 ELSE 1 END, 6) AS constant, round(CASE WHEN s < 10 THEN (s + 1) / 10.0E0 ELSE 1 - least(1, (s - 10) / 90.0E0) END, 6) AS linear, round(0.5E0 * (1 + cos(pi() * least(1, s / 100.0E0))), 6) AS cosine FROM (SELECT event_id, row_number() OVER (PARTITION BY event_id // 1000, event_type ORDER BY event_id) - 1 AS s FROM events)")
 def q56_lr_schedule(t):
-    """SF-19."""
-    s = F.col("id")
-    return t.spark.range(120).select(s.alias("step"), R6(E.lr_factor(s, 100, 0.1, "constant")).alias("constant"), R6(E.lr_factor(s, 100, 0.1, "linear")).alias("linear"), R6(E.lr_factor(s, 100, 0.0, "cosine")).alias("cosine"))
+    """SF-19: the events of each kind in a file of a thousand as steps, their rates by how many came before; the schedules end after a hundred."""
+    file = Window.partitionBy(F.floor(F.col("event_id") / 1000), "event_type").orderBy("event_id")
+    s = F.col("step")
+    steps = t.events.select("event_id", "event_type").select("event_id", (F.row_number().over(file) - 1).alias("step"))
+    return steps.select("event_id", R6(E.lr_factor(s, 100, 0.1, "constant")).alias("constant"), R6(E.lr_factor(s, 100, 0.1, "linear")).alias("linear"), R6(E.lr_factor(s, 100, 0.0, "cosine")).alias("cosine"))
 
 
 @query("WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, round(sum(value * 0.5E0 * pow(0.5E0, n - i)), 6) AS ema FROM r GROUP BY user_id")
 def q57_ema(t):
-    """MD-6: the average's closed form, a sum with falling weights."""
-    w = Window.partitionBy("user_id")
-    r = t.events.select("user_id", "value", F.row_number().over(w.orderBy("event_id")).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    return r.groupBy("user_id").agg(R6(F.sum(F.col("value") * 0.5 * F.pow(F.lit(0.5), F.col("n") - F.col("i")))).alias("ema"))
+    """MD-6: each user's moving average, made in parts of a few thousand events."""
+    return R.moving_average(t.events, ["user_id"], "event_id", "value", 0.5, F.floor(F.col("event_id") / 5000)).select("user_id", R6("average").alias("ema"))
 
 
 @query(r"WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n FROM documents) SELECT doc_id, CAST(13 + least(n, 115) AS INTEGER) AS input_tokens, CAST(greatest(n - 115, 0) AS INTEGER) AS dropped, CASE WHEN n > 115 THEN CAST(n - 56 AS INTEGER) END AS first_of_tail, [0, 1, 2, 3, 4, 5, 4, 5, 6] AS positions FROM w")

@@ -16,7 +16,8 @@ from ..sources import stages, udtf, warc, warc_ranges, warc_stream
 from ..streaming import resume
 from ..streaming import state as stateful
 from . import page_sql as S
-from .catalog import HOST, LED, QUERIES, R6, SQL, query, split_sql, write_warcs
+from . import realworld
+from .catalog import _HINTS, _PATH, HOST, LED, QUERIES, R6, SQL, query, split_sql, write_warcs
 from .catalog_files import _V0
 
 __all__ = ["QUERIES", "SQL"]  # the whole catalogue
@@ -97,10 +98,10 @@ n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id, o) - 1 AS
 
 @query(f"WITH {_MEMBERS} SELECT host || '.warc.gz' AS warc_file, seq, rec_type, CASE WHEN rec_type = 'response' THEN CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END END AS status, md5(url) AS url_md5 FROM n")
 def q91_split_warc(t):
-    """SRC-1: every file read by many tasks, a few kilobytes each; members keep the numbers they have in their file."""
+    """SRC-1: every file read in ranges of a few kilobytes, by many tasks; members keep the numbers they have in their file."""
     path = stages.folder(t.spark, "warcs")
     write_warcs(t, path)
-    found = warc_ranges.read_warc(t.spark, path, split_bytes=4096)
+    found = warc_ranges.read_warc(t.spark, path, split_bytes=16_384)
     return found.select(F.element_at(F.split("warc_file", "/"), -1).alias("warc_file"), "seq", "rec_type", "status", F.md5(F.col("url").cast("binary")).alias("url_md5"))
 
 
@@ -211,3 +212,30 @@ def q98_trained_head(t):
     prior = V.prior_controls(keyed(items.where(own)), keyed(asked)).where("key = 'all'").first()
     beats = loss is None or prior is None or loss < prior["soft_prior_ce"]
     return items.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_if("known").alias("answerable"), F.lit(bool(beats)).alias("beats_prior"))
+
+
+@query(
+    f"""WITH {S.rows_v1(_PATH, _HINTS)}, p AS (SELECT page_id, {HOST} AS host, page_id % 3 AS file FROM pages JOIN outline USING (page_id) WHERE length(page) >= 200), f AS (SELECT * FROM p WHERE host <> '' AND {split_sql('host', 1)} <> 'train'),
+a AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY file, host ORDER BY page_id) <= 2), fresh AS (SELECT page_id FROM a QUALIFY row_number() OVER (PARTITION BY file ORDER BY page_id) <= 30),
+l AS (SELECT row.* FROM row JOIN fresh USING (page_id)), q AS (SELECT unnest(['page_type', 'page_status']) AS decision FROM fresh UNION ALL SELECT decision FROM l WHERE decision NOT IN ('page_type', 'page_status')),
+c AS (SELECT decision, count(*) AS asked FROM q GROUP BY 1), b AS (SELECT decision, CAST(sum(n) AS BIGINT) AS labelled, round(max(n) / sum(n), 4) AS baseline FROM (SELECT decision, gold, count(*) AS n FROM l GROUP BY ALL) GROUP BY 1)
+SELECT decision, asked, labelled, baseline FROM c LEFT JOIN b USING (decision)"""
+)
+def q99_realworld(t):
+    """HX-13, SRC-16, AG-7 to AG-9, DS-13, DS-14: pages of unseen hosts scored and held against their labels in one call, which is stopped while it scores and called again."""
+    out = stages.folder(t.spark, "realworld")
+    host = E.host_of(F.col("url"))
+    found = S.furnished(t.pages).select(F.concat(F.lit("f"), (F.col("page_id") % 3).cast("string")).alias("warc_file"), F.col("page_id").alias("seq"), "url", "html", "http_status", "detected_language")
+    known = t.pages.select(host.alias("host")).where(E.split_of(F.col("host"), 1) == "train")
+    call = lambda **kw: realworld.check(found, known, T.OverlapScorer(), out, per_host=2, per_file=30, files_per_batch=1, **kw)
+    try:
+        call(before_commit=_once(0))
+    except Exception as why:
+        if "stopped in batch 0" not in str(why):
+            raise
+    report = call()
+    scores = resume.read(t.spark, f"{out}/scores", realworld.SCORED)
+    if report["decisions_scored"] != t.spark.read.parquet(f"{out}/items").count() or realworld.pending_items(t.spark, out).limit(1).count():
+        raise ValueError("items without an answer")
+    against = realworld.against_labels(scores, t.spark.read.parquet(f"{out}/labelled"), 0.9)
+    return scores.groupBy("decision").agg(F.count(F.lit(1)).alias("asked")).join(against.select("decision", F.col("n").alias("labelled"), F.round("baseline", 4).alias("baseline")), "decision", "left")

@@ -140,6 +140,12 @@ def _chained(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
 
 
+def _tasks(spark: SparkSession, ranges: int, split_bytes: int, most: int) -> int:
+    """One for each range of a usual size; small ones share tasks, but for a few to each core."""
+    usual = ranges * split_bytes // (64 << 20)
+    return max(1, min(ranges, most, max(4 * spark.sparkContext.defaultParallelism, usual)))
+
+
 def member_ranges(spark: SparkSession, path: str, split_bytes: int = 64 << 20, most_tasks: int = 20_000) -> DataFrame:
     """(warc_file, k, first, n, seq): where the k-th range of each file below a path has its first member, how many begin there, and the first one's number.
 
@@ -148,8 +154,8 @@ def member_ranges(spark: SparkSession, path: str, split_bytes: int = 64 << 20, m
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("warc_file"), "length")
     cuts = files.select("warc_file", "length", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.col("length"), F.lit(1)) - 1) / split_bytes).cast("int"))).alias("k"))
     ranges = cuts.select("warc_file", "k", (F.col("k").cast("long") * split_bytes).alias("begin"), F.least((F.col("k").cast("long") + 1) * split_bytes, "length").alias("stop"))
-    n = min(most_tasks, max(1, files.agg(F.sum(F.floor(F.col("length") / split_bytes) + 1)).first()[0] or 1))
-    scanned = ranges.repartition(int(n)).mapInPandas(_scan, RANGE)
+    n = int(files.agg(F.sum(F.floor(F.col("length") / split_bytes) + 1)).first()[0] or 1)
+    scanned = ranges.repartition(_tasks(spark, n, split_bytes, most_tasks)).mapInPandas(_scan, RANGE)
     return stages.cut(scanned.groupBy("warc_file").applyInPandas(_chained, INDEX), "ranges")
 
 
@@ -175,8 +181,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = 64 << 20, most_
             for r in b.itertuples():
                 yield from warc.framed(rows(r), columns)
 
-    n = min(most_tasks, max(1, index.count()))
-    return index.repartition(n).mapInPandas(step, f"{warc.SCHEMA}, offset long, length long")
+    return index.repartition(_tasks(spark, index.count(), split_bytes, most_tasks)).mapInPandas(step, f"{warc.SCHEMA}, offset long, length long")
 
 
 def fetch(refs: DataFrame, file: str = "warc_file", offset: str = "offset", length: str = "length") -> DataFrame:
