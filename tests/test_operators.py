@@ -140,6 +140,17 @@ def test_ledger_file(spark, tmp_path):
         files.read_ledger(spark, str(f))
 
 
+def test_broken_lines_raise_with_their_file(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text('{"k":"a","n":1}\n\n{"k":"b"}\n{"k":\n')
+    with pytest.raises(Exception, match=r"in\.jsonl: broken line: \{\"k\":"):
+        files.read_jsonl(spark, str(tmp_path), "k string, n int").collect()
+    (tmp_path / "in.jsonl").write_text('{"k":"a","n":1}\n \n{"k":"b","more":[1]}\n')
+    assert sorted(map(str, files.read_jsonl(spark, str(tmp_path), "k string, n int").collect())) == ["Row(k='a', n=1)", "Row(k='b', n=None)"]
+    (tmp_path / "in.jsonl").write_text('{"k":"a","n":"many"}\n')
+    with pytest.raises(Exception, match="broken line"):
+        files.read_jsonl(spark, str(tmp_path), "k string, n int").collect()
+
+
 def test_jsonl_and_manifest(spark, tmp_path):
     df = spark.createDataFrame([("a", "é x", None), ("b", "", 1)], "k string, t string, n int")
     files.write_jsonl(df, f"{tmp_path}/out")

@@ -64,7 +64,7 @@ def test_build_command(spark, tmp_path, capsys):
                     f.write(member("metadata", url, b'languages-cld2: {"languages":[{"code-iso-639-3":"eng"}]}\r\n'))
     assert cli.main(["build", f"{tmp_path}/ok", f"{tmp_path}/out", "--errors", f"{tmp_path}/bad", "--pages-per-host", "4", "--per-language", "7"]) == 0
     made = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert made["failed_warcs"] == []
+    assert made["failed_warcs"] == [] and made["failed"] == 0
     back = spark.read.json(f"{tmp_path}/out")
     assert back.count() == sum(c["decision_cases"] for c in made["split_counts"].values()) > 0
     assert {"ok", "not_found"} <= {r[0] for r in back.select(E.gold_label(F.col("candidates.id"), F.col("target"))).distinct().collect()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import evaluation, pages, typed
 from .plans import build as plans
-from .sources import files, stages, warc
+from .sources import files, sink, stages, warc
 
 
 def session() -> SparkSession:
@@ -44,14 +44,16 @@ def compare(spark: SparkSession, baseline: str, candidate: str, samples: int = 2
 
 def build(spark: SparkSession, path: str, out: str, *, max_pages: int = 40_000, errors: str | None = None, **settings) -> dict:
     """The whole builder (HX-11): all WARC files below a path, and the pages of other statuses below `errors`, to labelled rows, capped, split, balanced and
-    written with a manifest. Files that could not be read are named in it."""
+    written with a manifest. Files that could not be read are a dataset of their own, `out`.failed, however many; the result has their number and the first names."""
     scans = [warc.scan_pages(spark, path, max_pages=max_pages)]
     if errors:
         scans.append(warc.scan_pages(spark, errors, errors_only=True, max_pages=max_pages))
     found = stages.cut(scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1]), "pages")
-    failed = [r["warc_file"] for r in found.where("error IS NOT NULL").select("warc_file").distinct().orderBy("warc_file").limit(1000).collect()]
+    failed = found.where("error IS NOT NULL").groupBy("warc_file").agg(F.min("error").alias("error"))
+    told = sink.write(failed, f"{out.rstrip('/')}.failed")
+    first = [r["warc_file"] for r in sink.read(spark, f"{out.rstrip('/')}.failed").orderBy("warc_file").limit(100).collect()]
     rows = pages.page_rows_v1(found.where("error IS NULL").drop("error").withColumnRenamed("status", "http_status"))
-    return plans.build_v1(rows, out, **settings) | {"failed_warcs": failed}
+    return plans.build_v1(rows, out, **settings) | {"failed_warcs": first, "failed": sum(f["rows"] for f in told["files"].values())}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -10,10 +10,19 @@ from ..operators import evaluation
 LEDGER = "case_id string, source_group string, request_sha256 string, expected string, raw_choice string, choice string, probabilities map<string,double>, latency_ms double"
 
 
+BROKEN = "_broken_line"
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One object a line; blank lines are skipped; only CR and LF end a line (SRC-7, SRC-8)."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.from_json("value", schema).alias("x")).select("x.*")
+    """One object a line; blank lines are skipped; only CR and LF end a line (SRC-7, SRC-8). A line that is no such object raises, with its file and its begin, once it is read."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    read = lines.select("value", "file", F.from_json("value", f"{schema}, {BROKEN} string", {"columnNameOfCorruptRecord": BROKEN}).alias("x"))
+    names = [f for f in read.schema["x"].dataType.fieldNames() if f != BROKEN]
+    found = F.struct(*(F.col(f"x.`{f}`").alias(f) for f in names))
+    why = F.concat("file", F.lit(": broken line: "), F.substring("value", 1, 80))
+    kind = read.select(found.alias("x")).schema["x"].dataType
+    fine = F.when(F.col(f"x.{BROKEN}").isNull() & F.col("x").isNotNull(), found).otherwise(F.raise_error(why).cast(kind))
+    return read.select(fine.alias("x")).select("x.*")
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
