@@ -41,7 +41,7 @@ def _once(batch_id: int):
     f"""WITH {LED}, w AS (SELECT case_id, regexp_split_to_array(CASE WHEN h % 2 = 0 THEN 'big ' ELSE '' END || CASE WHEN h % 3 = 0 THEN 'red apple' ELSE 'cold' END, ' ') AS w FROM led),
 c AS (SELECT case_id, {S.overlap("w", "red apple pie")} + 0.4E0 AS a, {S.overlap("w", "big house")} AS b FROM w) SELECT case_id, round(exp(a) / (exp(a) + exp(b)), 6) AS p FROM c"""
 )
-def q88_resumed_scoring(t):
+def q120_resumed_scoring(t):
     """SRC-16: cases scored batch by batch into an append-only folder. The run is stopped in its second batch, after the rows and before their record, and started again."""
     source, out = (stages.folder(t.spark, x) for x in ("cases", "scores"))
     state = F.concat(F.when(F.col("h") % 2 == 0, "big ").otherwise(""), F.when(F.col("h") % 3 == 0, "red apple").otherwise("cold"))
@@ -61,7 +61,7 @@ def q88_resumed_scoring(t):
 
 
 @query(f"""WITH {_V0.partition(",\ndealt AS")[0]} SELECT hosted.case_id, hosted.host FROM hosted JOIN few ON hosted.url = few.url AND hosted.page_id = few.page_id""")
-def q89_streamed_host_cap(t):
+def q121_streamed_host_cap(t):
     """WN-4, WN-5, DS-3 as a stream: labelled pages that arrive in three runs; four pages of each host, each URL where it came first."""
     source, out, check = (stages.folder(t.spark, x) for x in ("arrivals", "given", "given-log"))
     pages = S.furnished(t.pages).select(F.concat(F.lit("f"), (F.col("page_id") % 3).cast("string")).alias("warc_file"), F.col("page_id").alias("seq"), "url", "html")
@@ -74,7 +74,7 @@ def q89_streamed_host_cap(t):
 
 
 @query(SQL["q22_pending_metadata"])
-def q90_streamed_metadata(t):
+def q122_streamed_metadata(t):
     """JN-1 as a stream: files of a thousand records, each cut at places of its own into four arrivals, and a record that ends each file."""
     source, out, check = (stages.folder(t.spark, x) for x in ("records", "responses", "responses-log"))
     kind = F.when(F.col("event_type") == "click", "response").otherwise("metadata")
@@ -97,7 +97,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id, o) - 1 AS
 
 
 @query(f"WITH {_MEMBERS} SELECT host || '.warc.gz' AS warc_file, seq, rec_type, CASE WHEN rec_type = 'response' THEN CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END END AS status, md5(url) AS url_md5 FROM n")
-def q91_split_warc(t):
+def q123_split_warc(t):
     """SRC-1: every file read in ranges of a few kilobytes, by many tasks; members keep the numbers they have in their file."""
     path = stages.folder(t.spark, "warcs")
     write_warcs(t, path)
@@ -106,7 +106,7 @@ def q91_split_warc(t):
 
 
 @query(f"WITH p AS (SELECT page_id, url, html, {HOST} AS host FROM pages WHERE page_id % 10 <> 0) SELECT host || '.warc.gz' AS warc_file, count(*) AS pages, min(md5(coalesce(html, ''))) AS least, max(md5(coalesce(html, ''))) AS most FROM p GROUP BY host")
-def q92_fetched_members(t):
+def q124_fetched_members(t):
     """SRC-1, PF-2: pages found without their bodies, which ranged reads bring afterwards for the wanted ones alone."""
     path = stages.folder(t.spark, "warcs")
     write_warcs(t, path)
@@ -116,7 +116,7 @@ def q92_fetched_members(t):
 
 
 @query(f"WITH p AS (SELECT DISTINCT url, {HOST} AS host FROM pages WHERE page_id % 10 <> 0) SELECT {split_sql('host', 1)} AS split, count(*) AS pages, count(DISTINCT host) AS hosts FROM p GROUP BY ALL")
-def q93_warc_stream(t):
+def q125_warc_stream(t):
     """Streaming, SRC-1, SRC-4: a folder of WARC files as a stream, several files a trigger, to parsed pages in their splits."""
     path, log, out, check = (stages.folder(t.spark, x) for x in ("warcs", "warc-log", "warc-pages", "warc-check"))
     write_warcs(t, path)
@@ -141,7 +141,7 @@ _ASKED = _N("Which?", "the of and", "de la que") + _N(K.NOUL_PREFIX + "Long.", *
     f"""WITH w AS (SELECT item_id, len(list_filter(regexp_split_to_array(CAST(to_json({{'page': text}}) AS VARCHAR), '\\s+'), lambda x: x <> '')) AS n FROM benchmark)
 SELECT item_id AS request_id, 'overlap' AS model, 3 AS answers, 2 * (3 * n + {_ASKED}) AS input_tokens, 0 AS output_tokens, true AS timed FROM w"""
 )
-def q94_usage(t):
+def q126_usage(t):
     """SC-5, AG-23: answers with usage and latency, gathered while they are scored; what was observed on the way must be what the rows say."""
     body = F.to_json(F.struct(F.struct(F.col("text").alias("page")).alias("state"), F.lit(None).cast("string").alias("none")))
     questions = '{"lang":{"type":"choice","instructions":"Which?","criteria":{"en":"the of and","es":"de la que"}},"flag":{"type":"noul","instructions":"Long."},"level":{"type":"score","instructions":"How?","criteria":["low","the mid","de high"]}}'
@@ -161,7 +161,7 @@ def q94_usage(t):
 c AS (SELECT doc_id, len(list_filter(string_split(page, ' '), lambda x: x <> '')) + {_N("Which?", "A. the of and", "B. de la que", "Answer with one letter.")} AS tokens, string_split(lower(page), ' ') AS w FROM p),
 x AS (SELECT doc_id, tokens, {S.overlap("w", "the of and")} AS a, {S.overlap("w", "de la que")} AS b FROM c) SELECT doc_id, tokens, round(exp(a) / (exp(a) + exp(b)), 6) AS p FROM x"""
 )
-def q95_judged(t):
+def q127_judged(t):
     """LB-23: a judge whose memory is smaller than the token budget it is given; every document judged once, no batch above what it has room for."""
     page = F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+", " ")
     items = t.documents.select("doc_id", R.prompt(page, F.lit("Which?"), F.array(F.lit("the of and"), F.lit("de la que"))).alias("prompt"), F.lit(2).alias("letters"))
@@ -172,7 +172,7 @@ def q95_judged(t):
 
 
 @query(SQL["q11_outline_v1"])
-def q96_sql_pages(t):
+def q128_sql_pages(t):
     """§2.11: pages read by a table function in SQL text alone."""
     udtf.register(t.spark)
     return t.spark.sql(
@@ -182,7 +182,7 @@ def q96_sql_pages(t):
 
 
 @query(f"WITH p AS (SELECT page_id, {HOST} AS host FROM pages) SELECT host || '.warc.gz' AS warc_file, count(*) AS pages, count(*) FILTER (page_id % 10 = 0) AS gone FROM p GROUP BY host")
-def q97_sql_records(t):
+def q129_sql_records(t):
     """§2.11, SRC-1: WARC files read by a table function in SQL text alone, pages parsed by another."""
     path = stages.folder(t.spark, "records")
     write_warcs(t, path)
@@ -195,7 +195,7 @@ def q97_sql_records(t):
 
 
 @query(f"SELECT {split_sql('source', 1)} AS split, count(*) AS rows, count(*) FILTER (lang IS NOT NULL AND text <> '') AS answerable, true AS beats_prior FROM documents GROUP BY 1")
-def q98_trained_head(t):
+def q130_trained_head(t):
     """MD-6, MD-7, SC-8, SF-21, AG-24: an option head trained on the train split's documents, its epoch picked on every fourth source of them, held against what the priors alone would score elsewhere."""
     labels = [r[0] for r in t.documents.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(16).collect()]  # the commonest are the options
     ids = F.array(*map(F.lit, labels)).cast("array<string>")
@@ -221,7 +221,7 @@ l AS (SELECT row.* FROM row JOIN fresh USING (page_id)), q AS (SELECT unnest(['p
 c AS (SELECT decision, count(*) AS asked FROM q GROUP BY 1), b AS (SELECT decision, CAST(sum(n) AS BIGINT) AS labelled, round(max(n) / sum(n), 4) AS baseline FROM (SELECT decision, gold, count(*) AS n FROM l GROUP BY ALL) GROUP BY 1)
 SELECT decision, asked, labelled, baseline FROM c LEFT JOIN b USING (decision)"""
 )
-def q99_realworld(t):
+def q131_realworld(t):
     """HX-13, SRC-16, AG-7 to AG-9, DS-13, DS-14: pages of unseen hosts scored and held against their labels in one call, which is stopped while it scores and called again."""
     out = stages.folder(t.spark, "realworld")
     host = E.host_of(F.col("url"))
