@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import cli
 from weftline.operators import pages as P
 from weftline.plans import build
 from weftline.sources import files, sink
@@ -119,3 +120,29 @@ def test_fresh_pages(spark):
     known = spark.createDataFrame([("h0.example",)], "host string")
     seqs = lambda **kw: sorted(r.seq for r in build.fresh_pages(df, known, **kw).collect())
     assert seqs(per_host=2, per_file=100) == [1, 2, 5, 7] and seqs(per_host=2, per_file=3) == [1, 2, 5]
+
+
+def test_prepare_benchmark(spark, tmp_path, capsys):
+    q = '{"k":{"type":"choice","instructions":"Which?","criteria":{"a":"x","b":"y"}},"s":{"type":"score","instructions":"How?","criteria":["l","h"]}}'
+    gold = '{"k":{"probabilities":{"a":3,"b":1}},"s":{"probabilities":{"0":1,"1":1}}}'
+    cases = spark.createDataFrame([(f"c{i}", f"w{i % 2}", "{}", q, gold) for i in range(50)], "id string, workflow string, state string, questions string, gold string")
+    cases.where("id <> 'c7'").write.parquet(f"{tmp_path}/train")
+    cases.where("id = 'c7'").write.parquet(f"{tmp_path}/test")
+    assert cli.main(["prepare", f"{tmp_path}/train", f"{tmp_path}/test", f"{tmp_path}/out", "--question-types", "choice,score"]) == 0
+    made = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert made["question_types"] == ["choice", "score"] and {s: c["source_groups"] for s, c in made["split_counts"].items()} == {"train": 41, "development": 4, "calibration": 4, "test": 1}
+    rows = sink.read(spark, f"{tmp_path}/out")
+    assert rows.count() == 100 and rows.where("split = 'test'").select("source_group").distinct().first()[0] == "w1::c7"
+    # the split does not depend on the question types
+    build.prepare_benchmark(cases.where("id <> 'c7'"), cases.where("id = 'c7'"), f"{tmp_path}/one")
+    pairs = lambda p: {tuple(r) for r in sink.read(spark, f"{tmp_path}/{p}").select("source_group", "split").distinct().collect()}
+    assert pairs("one") == pairs("out")
+    with pytest.raises(ValueError, match="more than one split"):
+        build.prepare_benchmark(cases, cases.where("id = 'c7'"), f"{tmp_path}/leak")
+    assert cli.main(["merge", f"{tmp_path}/merged", f"{tmp_path}/out"]) == 0 and json.loads(capsys.readouterr().out.strip().splitlines()[-1])["inputs"] == [made["revision"]]
+
+
+def test_smoke(spark, capsys):
+    assert cli.main(["smoke"]) == 0
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["passed"] and out["permutations_checked"] == 24 and out["losses"][-1] < out["losses"][0]

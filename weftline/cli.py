@@ -1,16 +1,18 @@
-"""Command line: decide, compare, validate-request, build (SV-2). Each prints one JSON object."""
+"""Command line: decide, compare, validate-request, build, merge, prepare, realworld, smoke (SV-2, HX-11 to HX-13). Each prints one JSON object."""
 
 from __future__ import annotations
 
 import argparse
+import itertools
 import json
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import evaluation, pages, typed
+from .operators import evaluation, fitting, pages, typed
 from .plans import build as plans
+from .plans import realworld as plan_realworld
 from .sources import files, sink, stages, warc
 
 
@@ -56,6 +58,23 @@ def build(spark: SparkSession, path: str, out: str, *, max_pages: int = 40_000,
     return plans.build_v1(rows, out, **settings) | {"failed_warcs": first, "failed": sum(f["rows"] for f in told["files"].values())}
 
 
+def smoke(spark: SparkSession) -> dict:
+    """MD-9: mechanics on made-up rows, no benchmark of meaning: all 24 orders of four options give each its own probability, and a small head's loss falls."""
+    words = ("red apple", "blue sky", "green leaf", "old house")
+    orders = list(itertools.permutations(range(4)))
+    rows = [(str(k), "choice", "a red blue leaf on a house", "Which?", [str(i) for i in order], [words[i] for i in order]) for k, order in enumerate(orders)]
+    items = spark.createDataFrame(rows, "item_id string, kind string, state string, text string, ids array<string>, texts array<string>")
+    scored = [dict(zip(r.ids, r.p, strict=True)) for r in typed.score(items, typed.OverlapScorer(0.3), orders=4).collect()]
+    worst = max(abs(s[i] - scored[0][i]) for s in scored for i in s)
+    made = [(f"{k}", words[k % 4], "Which?", list(words), [1.0 if i == k % 4 and k % 8 < 6 else 0.0 for i in range(4)]) for k in range(64)]
+    train = spark.createDataFrame(made, "item_id string, state string, text string, texts array<string>, target array<double>")
+    _, history = fitting.fit(train, train, fitting.Settings(dims=1024, bias=64, epochs=3))
+    passed = worst < 1e-9 and history[-1]["train"] < history[0]["train"]
+    if not passed:
+        raise RuntimeError(f"smoke checks failed: {worst}, {history}")
+    return {"scope": "made-up rows, mechanics only", "permutations_checked": len(orders), "max_permutation_difference": worst, "losses": [h["train"] for h in history], "passed": passed}
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="weftline")
     sub = p.add_subparsers(dest="what", required=True)
@@ -77,6 +96,23 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--ok-ratio", type=float, default=3.0)
     s.add_argument("--per-language", type=int, default=1500)
     s.add_argument("--seed", type=int, default=1)
+    sub.add_parser("smoke")
+    s = sub.add_parser("merge")
+    s.add_argument("out")
+    s.add_argument("datasets", nargs="+")
+    s = sub.add_parser("prepare", help="a benchmark's cases, parquet, to a dataset")
+    for name in ("train", "test", "out"):
+        s.add_argument(name)
+    s.add_argument("--question-types", default="choice")
+    s.add_argument("--seed", type=int, default=1)
+    s = sub.add_parser("realworld", help="WARC files of hosts outside a dataset, scored and held against their labels")
+    for name in ("path", "dataset", "out"):
+        s.add_argument(name)
+    s.add_argument("--errors")
+    s.add_argument("--pages-per-warc", type=int, default=800)
+    s.add_argument("--per-host", type=int, default=2)
+    s.add_argument("--review", type=int, default=150)
+    s.add_argument("--seed", type=int, default=7)
     a = p.parse_args(argv)
     spark = session()
     if a.what in ("decide", "validate-request"):
@@ -89,6 +125,18 @@ def main(argv: list[str] | None = None) -> int:
             out = {"valid": not out["errors"], "errors": out["errors"]}
     elif a.what == "compare":
         out = compare(spark, a.baseline, a.candidate, a.samples)
+    elif a.what == "smoke":
+        out = smoke(spark)
+    elif a.what == "merge":
+        out = plans.merge(spark, a.datasets, a.out)
+    elif a.what == "prepare":
+        out = plans.prepare_benchmark(spark.read.parquet(a.train), spark.read.parquet(a.test), a.out, types=tuple(x.strip() for x in a.question_types.split(",") if x.strip()), seed=a.seed)
+    elif a.what == "realworld":
+        found = warc.read_pages(spark, a.path)
+        if a.errors:
+            found = found.unionByName(warc.read_pages(spark, a.errors, errors_only=True))
+        known = sink.read(spark, a.dataset).select(F.col("source_group").alias("host")).distinct()
+        out = plan_realworld.check(found.withColumnRenamed("status", "http_status"), known, typed.OverlapScorer(), a.out, per_host=a.per_host, per_file=a.pages_per_warc, review=a.review, seed=a.seed)
     else:
         settings = {k: getattr(a, k) for k in ("pages_per_host", "page_type_ratio", "ok_ratio", "per_language", "seed")}
         out = build(spark, a.path, a.out, max_pages=a.max_pages, errors=a.errors, **settings)

@@ -164,3 +164,22 @@ def evaluate(rows: DataFrame, scorer: T.Scorer, out: str) -> dict:
         "order_reversal_argmax_change_fraction": test.agg(F.avg("flip")).first()[0],
         "selective_uncalibrated": {r["threshold"]: {"coverage": r["coverage"], "accepted_accuracy": r["accepted_accuracy"]} for r in V.selective(test).collect()},
     }
+
+
+def prepare_benchmark(train: DataFrame, test: DataFrame, out: str, *, types: tuple[str, ...] = ("choice",), seed: int = 1, name: str = "benchmark") -> dict:
+    """HX-12, DS-9, DS-10: cases(id, workflow, state, questions, gold) of a benchmark's own train and test parts as a dataset. Train's cases are split before their questions
+    are expanded, a tenth of each workflow to development and to calibration; so the split is the same for any question types. Raises where a case is in two splits."""
+    cols = ["id", "workflow", "state", "questions", "gold"]
+    dealt = stages.cut(D.stratified_split(train.select(*cols), stratum="workflow", key="id", seed=seed).select(*cols, "split").unionByName(test.select(*cols).withColumn("split", F.lit("test"))), "cases")
+    splits = [s for s, _ in K.SPLIT_SHARES]
+    parts = [T.benchmark_rows(dealt.where(F.col("split") == s), types).withColumn("split", F.lit(s)) for s in splits]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    named = {"decision": E.decision_of(F.col("case_id")), "label": E.gold_label(F.col("candidates.id"), F.col("target")), "label_quality": F.lit(None).cast("string")}
+    rows = stages.cut(rows.withColumns(named), "benchmark")
+    leaking = D.leaking_groups(rows).select("source_group").limit(5).collect()
+    if leaking:
+        raise ValueError(f"cases in more than one split: {[r[0] for r in leaking]}")
+    about = {"split_unit": "whole cases, stratified by workflow before their questions are expanded", "label_source": "teacher distributions; agreement is not ground-truth correctness", "seed": seed, **({} if types == ("choice",) else {"question_types": list(types)})}
+    return write_dataset(rows, out, name, **about)

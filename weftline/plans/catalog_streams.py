@@ -12,11 +12,11 @@ from ..operators import fitting, judging
 from ..operators import pages as P
 from ..operators import training as R
 from ..operators import typed as T
-from ..sources import stages, udtf, warc, warc_ranges, warc_stream
+from ..sources import sink, stages, udtf, warc, warc_ranges, warc_stream
 from ..streaming import resume
 from ..streaming import state as stateful
+from . import build, realworld
 from . import page_sql as S
-from . import realworld
 from .catalog import _HINTS, _PATH, HOST, LED, QUERIES, R6, SQL, query, split_sql, write_warcs
 from .catalog_files import _V0
 
@@ -239,3 +239,23 @@ def q131_realworld(t):
         raise ValueError("items without an answer")
     against = realworld.against_labels(scores, t.spark.read.parquet(f"{out}/labelled"), 0.9)
     return scores.groupBy("decision").agg(F.count(F.lit(1)).alias("asked")).join(against.select("decision", F.col("n").alias("labelled"), F.round("baseline", 4).alias("baseline")), "decision", "left")
+
+
+@query(
+    """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'w' || p_partkey % 5 AS workflow, p_partkey % 10 = 0 AS held FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY workflow ORDER BY sha256('1|' || id), id) AS n, count(*) OVER (PARTITION BY workflow) AS k FROM p WHERE NOT held), s AS (SELECT *, greatest(1, cast(round_even(k / 10.0, 0) as bigint)) AS ten FROM r),
+d AS (SELECT id, workflow, CASE WHEN n <= ten THEN 'development' WHEN n <= 2 * ten THEN 'calibration' ELSE 'train' END AS split FROM s UNION ALL SELECT id, workflow, 'test' FROM p WHERE held)
+SELECT split, 2 * count(*) AS rows, count(DISTINCT workflow || '::' || id) AS source_groups, min(id || '::kind') AS least FROM d GROUP BY split"""
+)
+def q132_benchmark_prepared(t):
+    """HX-12, DS-9, DS-10, JN-5: a benchmark's train and test cases to a written dataset in one call: split before expansion, checked for leaks, read back."""
+    options = F.struct(F.split("p_name", " ")[0].alias("a"), F.col("p_type").alias("b"))
+    questions = F.to_json(F.struct(F.struct(F.lit("choice").alias("type"), F.lit("Which kind?").alias("instructions"), options.alias("criteria")).alias("kind"), F.struct(F.lit("noul").alias("type"), F.lit("Is it big?").alias("instructions")).alias("size")))
+    big = (F.col("p_size") > 25).cast("double")
+    p = lambda *kv: F.struct(F.create_map(*(x if i % 2 else F.lit(x) for i, x in enumerate(kv))).alias("probabilities"))
+    gold = F.to_json(F.struct(p("a", F.col("p_size").cast("double"), "b", F.lit(1.0)).alias("kind"), p("false", 1 - big, "true", big).alias("size")))
+    cases = t.part.select("p_partkey", F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("w"), (F.col("p_partkey") % 5).cast("string")).alias("workflow"), F.lit("{}").alias("state"), questions.alias("questions"), gold.alias("gold"))
+    path = stages.folder(t.spark, "benchmark")
+    build.prepare_benchmark(cases.where("p_partkey % 10 <> 0"), cases.where("p_partkey % 10 = 0"), path, types=("choice", "noul"))
+    sink.check(t.spark, path)
+    return sink.read(t.spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source_group").alias("source_groups"), F.min(F.when(F.col("case_id").endswith("::kind"), F.col("case_id"))).alias("least"))
