@@ -6,8 +6,8 @@ join the shards of their nearest ones there; what still exceeds it, as near copi
 candidates are its nearest members and some of every ring of falling similarity, robust pruning keeps those that no kept nearer one makes needless, and edges go
 both ways. The adjacency lists of a class from all its shards are united. Then every class is searched in its shards: a greedy beam from
 the shard's medoids, and once it is within range, an expansion over neighbours that are within range (less a slack) until none is new. Found pairs are
-verified in double precision. A pair of two shards' members counts as a link in the first shard both are in (between sub-shards: in the later one); it joins
-their components in whichever finds it. A shard gives back sums and a spanning star of each linked cluster, not its pairs. At last recall is audited: a bounded sample of vectors is compared with all
+verified in double precision. A shard gives back a spanning star of each linked cluster, the pairs of vectors with few links, each counted once whichever shard finds it, and for vectors with many links sums in
+place of pairs: such a pair counts in the first shard that both are in (between sub-shards: in the later one). It joins their components in whichever finds it. At last recall is audited: a bounded sample of vectors is compared with all
 others by brute force, and with too low a recall the index is built anew with more overlap; if the most overlap fails too, an error is raised.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different lengths don't link. Repeated rows are
@@ -28,6 +28,10 @@ from . import shared
 #: Nearest candidates, candidates of each ring beyond; edges to near ones, to far ones, and with edges back; the pruning's slack.
 NEAR, FAR, CLOSE, WIDE, DEGREE, ALPHA = 32, 6, 20, 14, 48, 1.2
 BEAM, ENTRIES, SLACK = 12, 16, 0.03
+#: Links in one shard up to which a vector's pairs are kept as pairs, and the kinds of rows a shard gives back: a cluster's star with sums, a pair that counts in the shard, one that counts in an
+#: earlier shard of both, a vector with more links than that.
+FEW = 64
+STAR, PAIR, LATE, DENSE = range(4)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -260,11 +264,26 @@ def _search(threshold: float):
                 found.append((low * len(node) + high) * 2 + first)
             pairs = np.unique(np.concatenate(found))
             out = pairs // 2 // len(node), pairs // 2 % len(node), pairs % 2 == 1
-        every, (left, right) = out[:2], (x[out[2]] for x in out[:2])
-        add = np.bincount(left, size[right], len(node)) + np.bincount(right, size[left], len(node)) if len(left) else np.zeros(len(node))
-        root = _roots(len(node), *every)
-        linked = np.unique(np.concatenate(every))
-        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]]), pa.array(add[linked].astype(np.int64))], names=["node", "other", "add"])
+        left, right, first = out
+        root = _roots(len(node), left, right)
+        linked = np.unique(np.concatenate([left, right]))
+        # a vector with few links here gives its pairs; one with many gives sums, of the pairs that count here
+        many = np.bincount(np.concatenate([left, right]), minlength=len(node)) > FEW
+        summed = many[left] | many[right]
+        a, b = left[summed & first], right[summed & first]
+        add = np.bincount(a, size[b], len(node)) + np.bincount(b, size[a], len(node)) if len(a) else np.zeros(len(node))
+        u, v, own = left[~summed], right[~summed], first[~summed]
+        both = (shards[u][:, :, None] == shards[v][:, None, :]).any(axis=2)
+        counts_in = np.where(own, here, np.where(both, shards[u], np.iinfo(np.int32).max).min(axis=1)) if len(u) else np.zeros(0, np.int64)
+        dense = np.flatnonzero(many)
+        parts = (
+            (STAR, node[linked], node[root[linked]], add[linked], np.zeros(len(linked)), np.zeros(len(linked))),
+            (None, node[u], node[v], size[v], size[u], counts_in),
+            (DENSE, node[dense], node[dense], np.zeros(len(dense)), np.zeros(len(dense)), np.full(len(dense), here)),
+        )
+        kinds = [np.full(len(p[1]), p[0]) if p[0] is not None else np.where(own, PAIR, LATE) for p in parts]
+        cols = [np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(1, 6)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds).astype(np.int32)), *map(pa.array, cols)], names=["kind", "node", "other", "add", "back", "shard"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, ("dim", "shard", "sub")):
@@ -394,7 +413,8 @@ def _index(classes: DataFrame, threshold: float, overlap: int, members: int, lim
     united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("adj"))  # at most overlap * overlap * DEGREE
     spread = dealt.select("dim", "shard", "node", "size", "emb", "shards", "own", F.explode(F.sequence(F.col("own"), F.col("subs") - 1)).alias("sub"))
     rows = spread.withColumn("role", (F.col("sub") > F.col("own")).cast("int")).join(united, "node")
-    return rows.select(*keys, "role", "node", "size", "emb", "shards", "adj").repartition(*keys).sortWithinPartitions(*keys, "role", "node").mapInArrow(_search(threshold), "node long, other long, add long")
+    found = rows.select(*keys, "role", "node", "size", "emb", "shards", "adj").repartition(*keys).sortWithinPartitions(*keys, "role", "node").mapInArrow(_search(threshold), "kind int, node long, other long, add long, back long, shard long")
+    return _united(shared.cut(found, "found"))
 
 
 def _brute(queries: list[tuple[int, list[float]]], threshold: float):
@@ -417,6 +437,21 @@ def _brute(queries: list[tuple[int, list[float]]], threshold: float):
     return step
 
 
+def _united(found: DataFrame) -> DataFrame:
+    """(node, other, add) of what the shards gave back: stars, and every pair once with what it adds on both sides.
+
+    A pair that a later shard found counts too, unless the shard it counts in made sums for one of its vectors: it may be among them.
+    """
+    pair = lambda kind: found.where(F.col("kind") == kind).select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(F.col("node") < F.col("other"), F.col("add")).otherwise(F.col("back")).alias("of_v"), F.when(F.col("node") < F.col("other"), F.col("back")).otherwise(F.col("add")).alias("of_u"), "shard")
+    late = pair(LATE)
+    for end in ("u", "v"):
+        dense = found.where(F.col("kind") == DENSE).select(F.col("node").alias(end), "shard").distinct()
+        late = late.join(dense, [end, "shard"], "left_anti")
+    once = pair(PAIR).unionByName(late).drop("shard").dropDuplicates(["u", "v"])
+    sides = once.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("other"), F.col("of_v").alias("add")), F.struct(F.col("v").alias("node"), F.col("u").alias("other"), F.col("of_u").alias("add")))).alias("x")).select("x.*")
+    return found.where(F.col("kind") == STAR).select("node", "other", "add").unionAll(sides)
+
+
 def _sketch(tables: int, bits: int, seed: int = 11):
     """For every table, on which sides of random planes each vector lies, as one number."""
 
