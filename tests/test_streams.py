@@ -226,14 +226,16 @@ def test_filters_reach_the_reader(spark, tmp_path):
     spark.dataSource.register(warc.WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
-        found = spark.read.format("warc").option("paths", f"{tmp_path}/a.warc.gz,{tmp_path}/none").load()
+        found = spark.read.format("warc").option("paths", f"{tmp_path}/a.warc.gz,{tmp_path}/none").option("pushdown", "true").load()
         all_rows = found.collect()
         assert {r.rec_type for r in all_rows} == {"response", "metadata", "failed"}
         assert found.where("rec_type = 'metadata'").count() == sum(r.rec_type == "metadata" for r in all_rows)
         assert found.where("rec_type IN ('response', 'failed') AND status = 200").count() == sum(r.status == 200 for r in all_rows)
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
-    reader = warc.WarcReader({"paths": f"{tmp_path}/a.warc.gz"})
+    plain = spark.read.format("warc").option("paths", f"{tmp_path}/a.warc.gz").option("rec_type", "metadata").load()
+    assert {r.rec_type for r in plain.where("seq >= 0").collect()} == {"metadata"}
+    reader = warc.PushingReader({"paths": f"{tmp_path}/a.warc.gz"})
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     filters = [EqualTo(("rec_type",), "metadata"), GreaterThan(("seq",), 3)]

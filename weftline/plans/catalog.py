@@ -746,8 +746,21 @@ def q60_jsonl_roundtrip(t):
     return back.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min(digest).alias("least"), F.max(digest).alias("most"), F.sum(F.col("conv_id") * 100 + F.col("turn")).alias("keys"))
 
 
+#: Pages of a WARC file at most, by page_id; a host's files are host-0.warc.gz, host-1.warc.gz and so on.
+PER_FILE = 500
+
+
+def _placed(t) -> DataFrame:
+    return t.pages.select("page_id", "url", "html", E.host_of(F.col("url")).alias("host"), F.floor(F.col("page_id") / PER_FILE).alias("file"))
+
+
+def warc_names(t, path: str) -> DataFrame:
+    """(path) of the files that `write_warcs` writes."""
+    return _placed(t).select(F.concat(F.lit(f"{path}/"), "host", F.lit("-"), "file", F.lit(".warc.gz")).alias("path")).distinct()
+
+
 def write_warcs(t, path: str) -> None:
-    """Each host's pages as a .warc.gz of its own in the shared folder: every tenth page has another status, every third a language; and a broken file."""
+    """Each host's pages as .warc.gz files in the shared folder, a bounded number in each: every tenth page has another status, every third a language; and a broken file."""
     import gzip
 
     import pandas as pd
@@ -757,7 +770,7 @@ def write_warcs(t, path: str) -> None:
 
     def write(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("page_id")
-        name = f"{part['host'].iloc[0] or 'none'}.warc.gz"
+        name = f"{part['host'].iloc[0] or 'none'}-{part['file'].iloc[0]}.warc.gz"
         with stages.create(f"{path}/{name}") as f:
             for pid, url, html in zip(part["page_id"].tolist(), part["url"], part["html"], strict=True):
                 status = "404 Gone" if pid % 10 == 0 else "200 OK"
@@ -766,13 +779,15 @@ def write_warcs(t, path: str) -> None:
                     f.write(record("metadata", url, b'languages-cld2: {"languages":[{"code-iso-639-3":"eng"}]}\r\n'))
         return pd.DataFrame({"name": [name]})
 
-    t.pages.select("page_id", "url", "html", E.host_of(F.col("url")).alias("host")).groupBy("host").applyInPandas(write, "name string").count()
+    _placed(t).groupBy("host", "file").applyInPandas(write, "name string").count()
 
 
-_FIRST = f"WITH p AS (SELECT page_id, url, {HOST} AS host FROM pages WHERE page_id % 10 <> 0), u AS (SELECT host, url, min(page_id) AS page_id FROM p GROUP BY ALL)"
+#: A page's file, by host and page_id.
+WARC_FILE = f"host || '-' || page_id // {PER_FILE} || '.warc.gz'"
+_FIRST = f"WITH p AS (SELECT page_id, url, {WARC_FILE} AS warc_file FROM (SELECT page_id, url, {HOST} AS host FROM pages) WHERE page_id % 10 <> 0), u AS (SELECT warc_file, url, min(page_id) AS page_id FROM p GROUP BY ALL)"
 
 
-@query(f"{_FIRST} SELECT host || '.warc.gz' AS warc_file, count(*) AS pages, count(*) FILTER (u.page_id % 3 = 0) AS with_language, CAST(sum(length(html)) AS BIGINT) AS chars, min(md5(html)) AS least FROM u JOIN pages ON pages.page_id = u.page_id GROUP BY host")
+@query(f"{_FIRST} SELECT warc_file, count(*) AS pages, count(*) FILTER (u.page_id % 3 = 0) AS with_language, CAST(sum(length(html)) AS BIGINT) AS chars, min(md5(html)) AS least FROM u JOIN pages ON pages.page_id = u.page_id GROUP BY warc_file")
 def q61_warc_scan(t):
     """SRC-1 to SRC-4, DS-1, PF-2, PF-3, JN-1: each host's pages written as a .warc.gz file and read back, streamed."""
     path = stages.folder(t.spark, "warcs")

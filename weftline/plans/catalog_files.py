@@ -16,7 +16,7 @@ from ..sources import files, sink, stages, warc
 from ..streaming import pages as stream
 from . import build
 from . import page_sql as S
-from .catalog import HOST, LED, LED2, QUERIES, R6, SQL, built_sql, query, split_sql, write_warcs
+from .catalog import HOST, LED, LED2, QUERIES, R6, SQL, WARC_FILE, built_sql, query, split_sql, warc_names, write_warcs
 
 __all__ = ["QUERIES", "SQL"]  # the whole catalogue
 
@@ -213,13 +213,13 @@ def q85_evaluation(t):
     return back.agg(F.lit(made["temperature"]).alias("temperature"), F.count(F.lit(1)).alias("cases"), R6(F.avg(hit)).alias("accuracy"), R6(F.lit(made["order_reversal_argmax_change_fraction"])).alias("flips"))
 
 
-@query(f"WITH p AS (SELECT page_id, {HOST} AS host FROM pages) SELECT host || '.warc.gz' AS warc_file, count(*) AS responses, count(*) FILTER (page_id % 3 = 0) AS metadata, count(*) FILTER (page_id % 10 = 0) AS gone, 0 AS failed FROM p GROUP BY host UNION ALL SELECT 'none.gz', 0, 0, 0, 1")
+@query(f"WITH p AS (SELECT page_id, {HOST} AS host FROM pages) SELECT {WARC_FILE} AS warc_file, count(*) AS responses, count(*) FILTER (page_id % 3 = 0) AS metadata, count(*) FILTER (page_id % 10 = 0) AS gone, 0 AS failed FROM p GROUP BY 1 UNION ALL SELECT 'none.gz', 0, 0, 0, 1")
 def q86_warc_source(t):
     """SRC-1, SRC-3, DS-2: all records through the data source; a file that is not there gives a row that says so."""
     path = stages.folder(t.spark, "records")
     write_warcs(t, path)
     t.spark.dataSource.register(warc.WarcSource)
-    names = [f"{path}/{r[0]}.warc.gz" for r in t.pages.select(E.host_of(F.col("url"))).distinct().collect()]  # a name for each file
+    names = [r[0] for r in warc_names(t, path).collect()]  # a name for each file
     found = t.spark.read.format("warc").option("paths", ",".join([*names, f"{path}/none.gz"])).load()
     kind = lambda k: F.count_if(F.col("rec_type") == k)
     return found.groupBy(F.element_at(F.split("warc_file", "/"), -1).alias("warc_file")).agg(kind("response").alias("responses"), kind("metadata").alias("metadata"), F.count_if(F.col("status") == 404).alias("gone"), kind("failed").alias("failed"))

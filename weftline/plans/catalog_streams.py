@@ -17,7 +17,7 @@ from ..streaming import resume
 from ..streaming import state as stateful
 from . import build, realworld
 from . import page_sql as S
-from .catalog import _HINTS, _PATH, HOST, LED, QUERIES, R6, SQL, query, split_sql, write_warcs
+from .catalog import _HINTS, _PATH, HOST, LED, PER_FILE, QUERIES, R6, SQL, WARC_FILE, query, split_sql, warc_names, write_warcs
 from .catalog_files import _V0
 
 __all__ = ["QUERIES", "SQL"]  # the whole catalogue
@@ -93,10 +93,10 @@ def q122_streamed_metadata(t):
 
 _MEMBERS = f"""p AS (SELECT page_id, url, {HOST} AS host FROM pages),
 m AS (SELECT host, page_id, url, 'response' AS rec_type, 0 AS o FROM p UNION ALL SELECT host, page_id, url, 'metadata', 1 FROM p WHERE page_id % 3 = 0),
-n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id, o) - 1 AS seq FROM m)"""
+n AS (SELECT *, row_number() OVER (PARTITION BY host, page_id // {PER_FILE} ORDER BY page_id, o) - 1 AS seq FROM m)"""
 
 
-@query(f"WITH {_MEMBERS} SELECT host || '.warc.gz' AS warc_file, seq, rec_type, CASE WHEN rec_type = 'response' THEN CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END END AS status, md5(url) AS url_md5 FROM n")
+@query(f"WITH {_MEMBERS} SELECT {WARC_FILE} AS warc_file, seq, rec_type, CASE WHEN rec_type = 'response' THEN CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END END AS status, md5(url) AS url_md5 FROM n")
 def q123_split_warc(t):
     """SRC-1: every file read in ranges of a few kilobytes, by many tasks; members keep the numbers they have in their file."""
     path = stages.folder(t.spark, "warcs")
@@ -105,7 +105,7 @@ def q123_split_warc(t):
     return found.select(F.element_at(F.split("warc_file", "/"), -1).alias("warc_file"), "seq", "rec_type", "status", F.md5(F.col("url").cast("binary")).alias("url_md5"))
 
 
-@query(f"WITH p AS (SELECT page_id, url, html, {HOST} AS host FROM pages WHERE page_id % 10 <> 0) SELECT host || '.warc.gz' AS warc_file, count(*) AS pages, min(md5(coalesce(html, ''))) AS least, max(md5(coalesce(html, ''))) AS most FROM p GROUP BY host")
+@query(f"WITH p AS (SELECT page_id, url, html, {HOST} AS host FROM pages WHERE page_id % 10 <> 0) SELECT {WARC_FILE} AS warc_file, count(*) AS pages, min(md5(coalesce(html, ''))) AS least, max(md5(coalesce(html, ''))) AS most FROM p GROUP BY 1")
 def q124_fetched_members(t):
     """SRC-1, PF-2: pages found without their bodies, which ranged reads bring afterwards for the wanted ones alone."""
     path = stages.folder(t.spark, "warcs")
@@ -121,7 +121,7 @@ def q125_warc_stream(t):
     path, log, out, check = (stages.folder(t.spark, x) for x in ("warcs", "warc-log", "warc-pages", "warc-check"))
     write_warcs(t, path)
     t.spark.dataSource.register(warc_stream.WarcStream)
-    files = t.pages.select(E.host_of(F.col("url"))).distinct().count()
+    files = warc_names(t, path).count()
     came = t.spark.readStream.format("warc_stream").option("path", path).option("log", log).option("rec_type", "response").option("status", "200").option("files_per_trigger", -(-files // 3)).load()
     host = E.host_of(F.col("url"))
     pages = warc.decode(came.where("rec_type = 'response'")).where("html IS NOT NULL").select("url", host.alias("host"), E.split_of(host, 1).alias("split"))
@@ -181,13 +181,13 @@ def q128_sql_pages(t):
     )
 
 
-@query(f"WITH p AS (SELECT page_id, {HOST} AS host FROM pages) SELECT host || '.warc.gz' AS warc_file, count(*) AS pages, count(*) FILTER (page_id % 10 = 0) AS gone FROM p GROUP BY host")
+@query(f"WITH p AS (SELECT page_id, {HOST} AS host FROM pages) SELECT {WARC_FILE} AS warc_file, count(*) AS pages, count(*) FILTER (page_id % 10 = 0) AS gone FROM p GROUP BY 1")
 def q129_sql_records(t):
     """§2.11, SRC-1: WARC files read by a table function in SQL text alone, pages parsed by another."""
     path = stages.folder(t.spark, "records")
     write_warcs(t, path)
     udtf.register(t.spark)
-    names = t.pages.select(F.concat(F.lit(f"{path}/"), E.host_of(F.col("url")), F.lit(".warc.gz")).alias("path")).distinct()
+    names = warc_names(t, path)
     return t.spark.sql(
         "SELECT element_at(split(path, '/'), -1) AS warc_file, count(p.lines) AS pages, count_if(r.status = 404) AS gone FROM {files}, LATERAL warc_records(path, 'response') r, LATERAL page_state(r.url, r.html, 'lines') p GROUP BY 1",
         files=names,

@@ -171,12 +171,6 @@ class WarcReader(DataSourceReader):
         self.max_bytes = int(options.get("max_bytes", 10**12))
         self.wanted = Wanted(options.get("rec_type"), options.get("status"))
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Filters on rec_type and status keep records from being handed to Spark at all; Spark checks them again, for rows of failed files."""
-        for f in filters:
-            self.wanted.push(f)
-            yield f
-
     def partitions(self):
         return [_File(p) for p in self.paths]
 
@@ -186,8 +180,20 @@ class WarcReader(DataSourceReader):
                 yield tuple(r[c] for c in COLUMNS)
 
 
+class PushingReader(WarcReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Filters on rec_type and status keep records from being handed to Spark at all; Spark checks them again, for rows of failed files."""
+        for f in filters:
+            self.wanted.push(f)
+            yield f
+
+
 class WarcSource(DataSource):
-    """spark.dataSource.register(WarcSource); spark.read.format("warc").option("paths", "a.warc.gz,b.warc.gz").load()"""
+    """spark.dataSource.register(WarcSource); spark.read.format("warc").option("paths", "a.warc.gz,b.warc.gz").load()
+
+    With the option `pushdown` = true, and spark.sql.python.filterPushdown.enabled, filters on rec_type and status are pushed to the reader; without the setting Spark
+    refuses a reader that takes filters. The options `rec_type` and `status` do the same without either.
+    """
 
     @classmethod
     def name(cls):
@@ -197,7 +203,7 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(self.options)
+        return (PushingReader if str(self.options.get("pushdown", "false")).lower() == "true" else WarcReader)(self.options)
 
 
 def html_text(body: bytes | None, http: dict | None) -> str | None:
