@@ -746,8 +746,8 @@ def q60_jsonl_roundtrip(t):
     return back.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min(digest).alias("least"), F.max(digest).alias("most"), F.sum(F.col("conv_id") * 100 + F.col("turn")).alias("keys"))
 
 
-#: Pages of a WARC file at most, by page_id; a host's files are host-0.warc.gz, host-1.warc.gz and so on.
-PER_FILE = 500
+#: A file holds a host's pages of so many consecutive page_ids; a host's files are host-0.warc.gz, host-1.warc.gz and so on.
+PER_FILE = 20_000
 
 
 def _placed(t) -> DataFrame:
