@@ -22,7 +22,7 @@ def same(spark, path, name, bodies):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
-@pytest.mark.parametrize("name", ["q11_outline_v1", "q128_sql_pages"])
+@pytest.mark.parametrize("name", ["q11_outline_v1", "q12_text_v0", "q128_sql_pages"])
 def test_references_that_are_cut(spark, tmp_path, name):
     same(spark, tmp_path, name, BODIES)
 
