@@ -234,11 +234,19 @@ def _snippet(text: str, m: re.Match, before: int, after: int) -> str:
     return " ".join(f"{text[max(0, a - before) : a]}[{m.group()}]{text[b : b + after]}".split())
 
 
-def price_candidates(blocks: list[str]) -> list[dict]:
-    """LB-15: each distinct price with its context, in page order."""
+def _within_word(text: str, m: re.Match) -> bool:
+    """Whether a letter or digit goes on before or after the match: 7BRL in a key like K7BRLX."""
+    a, b = m.span()
+    return any(x.isalnum() and y.isalnum() for x, y in (text[max(0, a - 1) : a + 1].ljust(2), text[b - 1 : b + 1].ljust(2)))
+
+
+def price_candidates(blocks: list[str], whole_words: bool = False) -> list[dict]:
+    """LB-15: each distinct price with its context, in page order; with `whole_words` none that is a part of a word, which the reference takes too."""
     out = {}
     for b in blocks:
         for m in _PRICE.finditer(b):
+            if whole_words and _within_word(b, m):
+                continue
             out.setdefault(_snippet(b, m, 40, 20), amount(m.group()))
     return [{"text": t, "value": v} for t, v in out.items()]
 

@@ -44,8 +44,8 @@ def parse_v1(pages: DataFrame) -> DataFrame:
     return pages.mapInPandas(step, f"{fields}, title string, page string, n_lines int, html_lang string, jsonld array<string>, og_type string, published_meta string, types array<string>, dates array<struct<text:string,dates:array<string>>>")
 
 
-def parse_v0(pages: DataFrame) -> DataFrame:
-    """Adds title, text, link_count, node_types, price, availabilities, prices to pages(url, html, ...)."""
+def parse_v0(pages: DataFrame, whole_words: bool = False) -> DataFrame:
+    """Adds title, text, link_count, node_types, price, availabilities, prices to pages(url, html, ...); with `whole_words` no prices within words."""
     keep, fields = _passed(pages)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +59,7 @@ def parse_v0(pages: DataFrame) -> DataFrame:
             out["node_types"] = [[L.node_types(n) for n in x] for x in nodes]
             out["price"] = pd.array([L.offer_price(x) for x in nodes], dtype="Float64")
             out["availabilities"] = [L.availabilities(x) for x in nodes]
-            out["prices"] = [L.price_candidates(p.blocks) for p in rows]
+            out["prices"] = [L.price_candidates(p.blocks, whole_words) for p in rows]
             yield out
 
     return pages.mapInPandas(step, f"{fields}, title string, text string, link_count int, node_types array<array<string>>, price double, availabilities array<string>, prices array<struct<text:string,value:double>>")
@@ -152,9 +152,9 @@ def parsed_rows_v1(parsed: DataFrame, min_chars: int = 200, keep: tuple[str, ...
     return _rows(df, F.struct(F.substring("url", 1, 300).alias("url"), "title", "page"), rows, keep)
 
 
-def page_rows_v0(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def page_rows_v0(pages: DataFrame, keep: tuple[str, ...] = (), whole_words: bool = False) -> DataFrame:
     """LB-18: at most three decisions of each page(url, html) that has schema.org types and enough text."""
-    df = parse_v0(pages).withColumn("label", L.v0_page_type(F.col("node_types"))).where(F.col("label").isNotNull() & (F.length("text") >= 200)).withColumn("stock", L.stock(F.col("availabilities")))
+    df = parse_v0(pages, whole_words).withColumn("label", L.v0_page_type(F.col("node_types"))).where(F.col("label").isNotNull() & (F.length("text") >= 200)).withColumn("stock", L.stock(F.col("availabilities")))
     url, product = F.col("url"), F.col("label") == "product"
     is_gold = lambda c: c["value"].isNotNull() & (F.abs(c["value"] - F.col("price")) < 0.005)
     gold, other = F.filter("prices", is_gold), F.filter("prices", lambda c: ~F.coalesce(is_gold(c), F.lit(False)))
