@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrow
 from ..functions import constants as K
 from ..functions import exprs as E
 from ..functions import html as H
@@ -22,47 +21,50 @@ def _passed(df: DataFrame) -> tuple[list[str], str]:
     return keep, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "html")
 
 
+TEXT, TEXTS = pa.string(), pa.list_(pa.string())
+V1 = {"title": TEXT, "page": TEXT, "n_lines": pa.int32(), "html_lang": TEXT, "jsonld": TEXTS, "og_type": TEXT, "published_meta": TEXT, "types": TEXTS, "dates": pa.list_(pa.struct({"text": TEXT, "dates": TEXTS}))}
+V0 = {"title": TEXT, "text": TEXT, "link_count": pa.int32(), "node_types": pa.list_(TEXTS), "price": pa.float64(), "availabilities": TEXTS, "prices": pa.list_(pa.struct({"text": TEXT, "value": pa.float64()}))}
+
+
 def parse_v1(pages: DataFrame) -> DataFrame:
     """Adds title, page, html_lang, jsonld, meta, types, dates to pages(url, html, ...) and leaves html behind; each page is read once."""
     keep, fields = _passed(pages)
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [H.read_page(h or "") for h in b["html"]]
-            out = b[keep].copy()
-            out["title"] = [H.squeeze(p.title)[:300] for p in rows]
-            out["page"] = [H.outline(p) for p in rows]
-            out["n_lines"] = [len(p.lines) for p in rows]
-            out["html_lang"] = [p.html_lang for p in rows]
-            out["jsonld"] = [p.jsonld for p in rows]
-            out["og_type"] = [p.meta.get("og:type") for p in rows]
-            out["published_meta"] = [p.meta.get("article:published_time") for p in rows]
-            out["types"] = [L.schema_types(p.jsonld) for p in rows]
-            out["dates"] = [L.date_candidates([x.text for x in p.lines if x.info is None]) for p in rows]
-            yield out
+    def made(b: pa.RecordBatch) -> list[list]:
+        rows = [H.read_page(h or "") for h in b.column("html").to_pylist()]
+        return [
+            [H.squeeze(p.title)[:300] for p in rows],
+            [H.outline(p) for p in rows],
+            [len(p.lines) for p in rows],
+            [p.html_lang for p in rows],
+            [p.jsonld for p in rows],
+            [p.meta.get("og:type") for p in rows],
+            [p.meta.get("article:published_time") for p in rows],
+            [L.schema_types(p.jsonld) for p in rows],
+            [L.date_candidates([x.text for x in p.lines if x.info is None]) for p in rows],
+        ]
 
-    return pages.mapInPandas(step, f"{fields}, title string, page string, n_lines int, html_lang string, jsonld array<string>, og_type string, published_meta string, types array<string>, dates array<struct<text:string,dates:array<string>>>")
+    return pages.mapInArrow(arrow.added(keep, V1, made), f"{fields}, title string, page string, n_lines int, html_lang string, jsonld array<string>, og_type string, published_meta string, types array<string>, dates array<struct<text:string,dates:array<string>>>")
 
 
 def parse_v0(pages: DataFrame, whole_words: bool = False) -> DataFrame:
     """Adds title, text, link_count, node_types, price, availabilities, prices to pages(url, html, ...); with `whole_words` no prices within words."""
     keep, fields = _passed(pages)
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [H.read_text_page(h or "") for h in b["html"]]
-            nodes = [L.schema_nodes(p.jsonld) for p in rows]
-            out = b[keep].copy()
-            out["title"] = [H.squeeze(p.title)[:300] for p in rows]
-            out["text"] = [H.visible_text(p.blocks) for p in rows]
-            out["link_count"] = [p.links for p in rows]
-            out["node_types"] = [[L.node_types(n) for n in x] for x in nodes]
-            out["price"] = pd.array([L.offer_price(x) for x in nodes], dtype="Float64")
-            out["availabilities"] = [L.availabilities(x) for x in nodes]
-            out["prices"] = [L.price_candidates(p.blocks, whole_words) for p in rows]
-            yield out
-
-    return pages.mapInPandas(step, f"{fields}, title string, text string, link_count int, node_types array<array<string>>, price double, availabilities array<string>, prices array<struct<text:string,value:double>>")
+    def made(b: pa.RecordBatch) -> list[list]:
+        rows = [H.read_text_page(h or "") for h in b.column("html").to_pylist()]
+        nodes = [L.schema_nodes(p.jsonld) for p in rows]
+        return [
+            [H.squeeze(p.title)[:300] for p in rows],
+            [H.visible_text(p.blocks) for p in rows],
+            [p.links for p in rows],
+            [[L.node_types(n) for n in x] for x in nodes],
+            [L.offer_price(x) for x in nodes],
+            [L.availabilities(x) for x in nodes],
+            [L.price_candidates(p.blocks, whole_words) for p in rows],
+        ]
+
+    return pages.mapInArrow(arrow.added(keep, V0, made), f"{fields}, title string, text string, link_count int, node_types array<array<string>>, price double, availabilities array<string>, prices array<struct<text:string,value:double>>")
 
 
 def options_of(table: dict[str, str]) -> Column:
