@@ -187,7 +187,7 @@ def q129_sql_records(t):
     path = stages.folder(t.spark, "records")
     write_warcs(t, path)
     udtf.register(t.spark)
-    names = warc_names(t, path)
+    names = warc_names(t, path).repartition(4 * t.spark.sparkContext.defaultParallelism)  # names are so small that Spark would give them all to one task, with their files
     return t.spark.sql(
         "SELECT element_at(split(path, '/'), -1) AS warc_file, count(p.lines) AS pages, count_if(r.status = 404) AS gone FROM {files}, LATERAL warc_records(path, 'response') r, LATERAL page_state(r.url, r.html, 'lines') p GROUP BY 1",
         files=names,
