@@ -8,10 +8,12 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from ..functions import arrow
 from ..operators import dataset
 
 BODY = 1_500_000
@@ -123,6 +125,15 @@ def _paths(spark: SparkSession, path: str) -> DataFrame:
 COLUMNS = [c.split()[0] for c in SCHEMA.replace("map<string,string>", "map").split(", ")]
 
 
+ARROW = pa.schema({"warc_file": pa.string(), "seq": pa.int64(), "rec_type": pa.string(), "url": pa.string(), "status": pa.int32(), "http": pa.map_(pa.string(), pa.string()), "body": pa.binary(), "lang3": pa.string()})
+
+
+def batched(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
+    """A data source's rows as Arrow batches of a few megabytes; of tuples Spark would gather 10,000, whatever their bodies take."""
+    header = lambda h: None if h is None else list(h.items())
+    return arrow.weighed(((tuple(header(r.get(c)) if c == "http" else r.get(c) for c in COLUMNS), len(r.get("body") or b"")) for r in rows), ARROW)
+
+
 def read_warc(spark: SparkSession, path: str, max_bytes: int = 10**12) -> DataFrame:
     """Records of all .warc.gz files below a path, streamed member by member; a file is one task's and takes the memory of one record.
 
@@ -188,6 +199,21 @@ class PushingReader(WarcReader):
             yield f
 
 
+class _Batches:
+    """A reader's rows for Spark, in Arrow batches."""
+
+    def read(self, part) -> Iterator[pa.RecordBatch]:
+        return batched(dict(zip(COLUMNS, r, strict=True)) for r in super().read(part))
+
+
+class BatchReader(_Batches, WarcReader):
+    pass
+
+
+class PushingBatchReader(_Batches, PushingReader):
+    pass
+
+
 class WarcSource(DataSource):
     """spark.dataSource.register(WarcSource); spark.read.format("warc").option("paths", "a.warc.gz,b.warc.gz").load()
 
@@ -203,7 +229,7 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return (PushingReader if str(self.options.get("pushdown", "false")).lower() == "true" else WarcReader)(self.options)
+        return (PushingBatchReader if str(self.options.get("pushdown", "false")).lower() == "true" else BatchReader)(self.options)
 
 
 def html_text(body: bytes | None, http: dict | None) -> str | None:
@@ -222,13 +248,11 @@ def decode(pages: DataFrame) -> DataFrame:
     """html in place of body and http."""
     keep = [f for f in pages.schema.fields if f.name not in ("body", "http")]
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = b[[f.name for f in keep]].copy()
-            out["html"] = [html_text(x, dict(h) if h is not None else None) for x, h in zip(b["body"], b["http"], strict=True)]
-            yield out
+    def made(b: pa.RecordBatch) -> list[list]:
+        return [[html_text(x, None if h is None else dict(h)) for x, h in zip(b.column("body").to_pylist(), b.column("http").to_pylist(), strict=True)]]
 
-    return pages.mapInPandas(step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", html string")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+    return pages.mapInArrow(arrow.added([f.name for f in keep], {"html": pa.string()}, made), f"{fields}, html string")
 
 
 def with_language(records: Iterator[dict]) -> Iterator[dict]:

@@ -15,6 +15,7 @@ import json
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from . import warc
@@ -89,14 +90,17 @@ class WarcStreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         return [_File(name) for n in range(start["entry"] + 1, end["entry"] + 1) for name in self._files(n)]
 
-    def read(self, partition) -> Iterator[tuple]:
+    def _records(self, path: str) -> Iterator[dict]:
         last = -1
-        for r in warc.streamed(partition.path, 10**12):
+        for r in warc.streamed(path, 10**12):
             last = max(last, r["seq"])
             if self.wanted(r):
-                yield tuple(r[c] for c in warc.COLUMNS)
+                yield r
         if self.end:
-            yield tuple({"warc_file": partition.path, "seq": last + 1, "rec_type": "end"}.get(c) for c in warc.COLUMNS)
+            yield {"warc_file": path, "seq": last + 1, "rec_type": "end"}
+
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        return warc.batched(self._records(partition.path))
 
     def commit(self, end: dict) -> None:
         """The log stays: it says what was read."""
