@@ -15,14 +15,16 @@ Null states and questions are empty; a row without target mass counts as unanswe
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrow
 from ..functions import exprs as E
 from ..sources import stages
 
@@ -139,7 +141,7 @@ def encoded(items: DataFrame, s: Settings) -> DataFrame:
     given = items.select("state", "text", "texts", F.col("target").cast("array<double>").alias("target"), (mass > 0).alias("yes"), part.alias("part")).where(F.size("texts") > 0)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in arrow.pieces(batches):
             found = [features(*row, s) for row in zip(*(b.column(c).to_pylist() for c in ("state", "text", "texts")), strict=True)]
             places = pa.array([np.concatenate(p).astype(np.int32) for p, _ in found], pa.list_(pa.int32()))
             sizes = pa.array([[len(x) for x in p] for p, _ in found], pa.list_(pa.int32()))
@@ -149,17 +151,29 @@ def encoded(items: DataFrame, s: Settings) -> DataFrame:
     return given.mapInArrow(step, "places array<int>, sizes array<int>, groups int, scale double, target array<double>, yes boolean, part int")
 
 
+def _by_places(batches: Iterable[pa.RecordBatch], most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many places, which is what `loss_sums` takes memory for; a row that has more is a piece of its own."""
+    for whole in batches:
+        begin, size = 0, 0
+        for i, n in enumerate(pc.list_value_length(whole.column("places")).to_pylist()):
+            if i > begin and size + n > most:
+                yield whole.slice(begin, i - begin)
+                begin, size = i, 0
+            size += n
+        if begin < whole.num_rows:
+            yield whole.slice(begin)
+
+
 def _summed(rows: DataFrame, weights: np.ndarray, with_gradient: bool) -> tuple[np.ndarray, np.ndarray]:
     sent = rows.sparkSession.sparkContext.broadcast(weights)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, gradient = np.zeros(4), np.zeros(len(sent.value))
-        for whole in batches:
-            for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                more, g = loss_sums(sent.value, Rows.of(b), with_gradient)
-                sums += more
-                if g is not None:
-                    gradient += g
+        for b in _by_places(batches):
+            more, g = loss_sums(sent.value, Rows.of(b), with_gradient)
+            sums += more
+            if g is not None:
+                gradient += g
         some = np.flatnonzero(gradient)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.arange(-4, 0), some])), pa.array(np.concatenate([sums, gradient[some]]))], names=["place", "value"])
 
